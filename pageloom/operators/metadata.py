@@ -59,15 +59,16 @@ def _described_item(payload: Column) -> Column:
         F.filter(items, lambda x: F.try_variant_get(x, "$['@type']", "string").isin(PAGE_TYPES)), F.lit(1))
 
 
-def head_rows(pages: DataFrame) -> DataFrame:
-    rows = tag_tokens(pages, HEAD_TAGS)
+def with_head_columns(rows: DataFrame) -> DataFrame:
+    """Add attrs, the JSON-LD payload and its described item to token rows; null on rows that carry no metadata."""
+    is_head = F.col("tok").rlike(HEAD_TAGS)
+    rows = rows.withColumn("attrs", F.when(is_head, M.attributes(F.regexp_extract("tok", M.START_TAG, 0))))
     rows = rows.withColumn("payload", F.when(is_json_ld(), json_ld(F.col("tok"))))
     return rows.withColumn("item", F.when(F.col("payload").isNotNull(), _described_item(F.col("payload"))))
 
 
-def metadata(pages: DataFrame) -> DataFrame:
-    """One row per page with the fields of ``FIELDS``; absent values are null. ``html_title`` is <title>."""
-    rows = head_rows(pages)
+def metadata_aggregates() -> list[Column]:
+    """The fields of ``FIELDS`` (keywords still one line) and ``html_title`` as aggregates over head rows."""
     pos, tag, item = F.col("pos"), F.col("tag"), F.col("item")
     opening = F.col("kind").isin("open", "empty")
 
@@ -81,8 +82,10 @@ def metadata(pages: DataFrame) -> DataFrame:
     def from_json_ld(value: Column) -> Column:
         return F.max_by(value, F.when(value.isNotNull(), pos))
 
-    title_text = F.nullif(T.strip(first(M.token_text(F.col("tok")), F.col("kind") == "rcdata")), F.lit(""))
-    found = rows.groupBy("page_id").agg(
+    title_text = F.nullif(T.strip(first(
+        M.decode_references(M.raw_content(F.col("tok"))), (F.col("kind") == "rcdata") & (tag == "title"))), F.lit(""))
+    canonical = F.array_contains(M.classes(_attr("rel")), "canonical")
+    return [
         F.coalesce(from_json_ld(_string(item, "$.headline")), named("property", "og:title"),
                    named("name", "twitter:title"), title_text).alias("title"),
         F.coalesce(from_json_ld(_string(item, "$.description")), named("property", "og:description"),
@@ -93,22 +96,31 @@ def metadata(pages: DataFrame) -> DataFrame:
                    first(_attr("datetime"), opening & (tag == "time") & _attr("datetime").isNotNull())).alias("published"),
         F.coalesce(from_json_ld(_string(item, "$.dateModified")), named("property", "article:modified_time"),
                    named("name", "last-modified")).alias("modified"),
-        F.nullif(first(_attr("href"), opening & (tag == "link") & F.array_contains(M.classes(_attr("rel")), "canonical")),
-                 F.lit("")).alias("canonical_url"),
+        F.nullif(first(_attr("href"), opening & (tag == "link") & canonical), F.lit("")).alias("canonical_url"),
         F.nullif(first(_attr("lang"), opening & (tag == "html")), F.lit("")).alias("language"),
         named("name", "keywords").alias("keyword_line"),
         named("property", "og:site_name").alias("site_name"),
         named("property", "og:image").alias("image"),
         from_json_ld(_string(item, "$['@type']")).alias("schema_type"),
         title_text.alias("html_title"),
-    )
-    keywords = F.filter(F.transform(F.split("keyword_line", ","), T.strip), lambda k: k != "")
-    return found.withColumn("keywords", F.when(F.size(keywords) > 0, keywords)).select("page_id", *FIELDS, "html_title")
+    ]
+
+
+def keyword_list(line: Column) -> Column:
+    keywords = F.filter(F.transform(F.split(line, ","), T.strip), lambda k: k != "")
+    return F.when(F.size(keywords) > 0, keywords)
+
+
+def metadata(pages: DataFrame) -> DataFrame:
+    """One row per page with the fields of ``FIELDS``; absent values are null. ``html_title`` is <title>."""
+    rows = with_head_columns(tag_tokens(pages, HEAD_TAGS).drop("attrs"))
+    found = rows.groupBy("page_id").agg(*metadata_aggregates())
+    return found.withColumn("keywords", keyword_list(F.col("keyword_line"))).select("page_id", *FIELDS, "html_title")
 
 
 def json_ld_items(pages: DataFrame) -> DataFrame:
     """(page_id, script_no, schema_type, headline, description, author, published, modified) per described script."""
-    rows = head_rows(pages).filter(F.col("item").isNotNull())
+    rows = with_head_columns(tag_tokens(pages, HEAD_TAGS).drop("attrs")).filter(F.col("item").isNotNull())
     item = F.col("item")
     return rows.select(
         "page_id", "pos", _string(item, "$['@type']").alias("schema_type"), _string(item, "$.headline").alias("headline"),

@@ -174,17 +174,19 @@ def nodes(
     text_of: dict[str, int | None] | None = None,
     separator: str = "",
     markup_of: str | None = None,
-    image_context: bool = False,
+    parents: bool = False,
+    grandparent: bool = False,
 ) -> DataFrame:
     """Balanced tokens: (page_id, pos, src, kind, tag, tok, mate, parent, nth, ...).
 
     Every ``open`` row has its ``close`` row; a close row carries its element's start tag in ``tok``. ``nth``
     numbers same-named siblings from 1. A page without tokens keeps one row with null ``pos``.
 
-    text_of        tag name -> most text nodes to join (None: all); fills ``text`` on start rows, every node
-                   stripped, empty ones dropped, joined by ``separator``
+    text_of        tag name -> most text nodes to join (None: all); fills ``text`` on start rows (links: on
+                   end rows too), every node stripped, empty ones dropped, joined by ``separator``
     markup_of      pattern over start tags; fills ``markup`` with the element's balanced source
-    image_context  fills ``parent_tag`` and ``parent_text`` on img rows
+    parents        fills ``parent_tok`` on img and li rows and ``parent_text`` on img rows
+    grandparent    fills ``grandparent``
     """
     arrays = node_arrays(pages, *keep).repartition(F.col("page_id"))
 
@@ -200,16 +202,20 @@ def nodes(
             text = F.lit(None).cast("string")
             for limit in sorted(set(text_of.values()), key=lambda v: (v is None, v)):
                 names = "|".join(t for t, n in text_of.items() if n == limit)
-                text = F.when((mate > i) & tok.rlike(rf"(?i)^<(?:{names})[\s/>]"), _texts_inside(i, separator, limit)).otherwise(text)
+                wanted = (mate >= 0) & tok.rlike(rf"(?i)^<(?:{names})[\s/>]") & (~closing | tok.rlike(r"(?i)^<a[\s/>]"))
+                text = F.when(wanted, _texts_inside(F.least(i, mate), separator, limit)).otherwise(text)
             fields.append(text.alias("text"))
         if markup_of:
             fields.append(F.when((mate > i) & tok.rlike(markup_of), _markup(i)).alias("markup"))
-        if image_context:
+        if grandparent:
+            fields.append(F.get("parent", F.when(F.get("parent", i) >= 0, F.get("parent", i))).alias("grandparent"))
+        if parents:
             up = F.get("parent", i)
-            inside = tok.rlike(r"(?i)^<img[\s/>]") & (up >= 0)
-            fields.append(F.when(inside, _name_at(up)).alias("parent_tag"))
+            is_img = tok.rlike(r"(?i)^<img[\s/>]") & (up >= 0)
+            is_li = tok.rlike(r"(?i)^<li[\s/>]") & (up >= 0)
+            fields.append(F.when(is_img | is_li, F.get("toks", F.get("src", up))).alias("parent_tok"))
             # A text node has at least one character, so this many nodes tell whether the text is short.
-            fields.append(F.when(inside, _texts_inside(up, "", F.char_length(tok) + 5)).alias("parent_text"))
+            fields.append(F.when(is_img, _texts_inside(up, "", F.char_length(tok) + 5)).alias("parent_text"))
         return F.struct(*fields)
 
     rows = arrays.select("page_id", *keep, F.inline_outer(F.transform("src", item)))
