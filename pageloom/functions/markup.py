@@ -70,11 +70,26 @@ def raw_content(token: Column) -> Column:
     return F.regexp_extract(token, RAW_CONTENT, 1)
 
 
-def _named_references() -> Column:
+def _reference_table() -> str:
+    """The public HTML5 reference names and their characters as one text, frequent names first."""
     table = html.entities.html5
     names = _FREQUENT + sorted(set(table) - set(_FREQUENT))
-    pairs = "\ufdd0".join(f"{name}\ufdd1{table[name]}" for name in names)
-    return F.str_to_map(F.lit(pairs), F.lit("\ufdd0"), F.lit("\ufdd1"))
+    return "".join(f"\ufdd0{name}\ufdd1{table[name]}" for name in names) + "\ufdd0"
+
+
+_REFERENCES = _reference_table()
+
+
+def _named(name: Column) -> Column:
+    """Characters of a named reference, null for unknown names.
+
+    Looked up in one text constant: a map constant would put thousands of objects into every task.
+    """
+    key = F.concat(F.lit("\ufdd0"), name, F.lit("\ufdd1"))
+    at = F.instr(F.lit(_REFERENCES), key)
+    # No reference stands for more than two characters.
+    found = F.substring_index(F.substring(F.lit(_REFERENCES), at + F.char_length(key), F.lit(3)), "\ufdd0", 1)
+    return F.when(at > 0, found)
 
 
 def _code_point(number: Column) -> Column:
@@ -96,7 +111,7 @@ def _one_reference(part: Column) -> Column:
     return (
         F.when(~part.startswith("&") | (part == "&"), part)
         .when(part.startswith("&#"), _code_point(number))
-        .otherwise(F.coalesce(F.try_element_at(_named_references(), F.substring(part, F.lit(2), F.char_length(part))), part))
+        .otherwise(F.coalesce(_named(F.substring(part, F.lit(2), F.char_length(part))), part))
     )
 
 

@@ -2,11 +2,14 @@
 
 URLs are split with the generic pattern of RFC 3986 appendix B, not with a strict URI parser: captured
 links are often not valid URIs and must still be kept. Identical sub-expressions (the five parts) are
-evaluated once per row by Spark's common-subexpression elimination.
+evaluated once per row by Spark's common-subexpression elimination; longer functions bind intermediate values
+(``_bind``), which keeps plans small and works inside lambdas too, where nothing is shared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +47,11 @@ FORBIDDEN = r'[<>:"/\\|?*]'
 FORBIDDEN_OR_CONTROL = r'[<>:"/\\|?*\x00-\x1f]'
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, SPLIT, group)
 
@@ -94,10 +102,14 @@ def _unsplit(scheme_: Column, netloc_: Column, path_: Column, params_: Column, q
     def led(mark: str, part: Column) -> Column:
         return F.when(part == "", "").otherwise(F.concat(F.lit(mark), part))
 
-    rooted = F.when((netloc_ != "") & (path_ != "") & ~path_.startswith("/"), F.concat(F.lit("/"), path_)).otherwise(path_)
+    rooted = F.when((path_ != "") & ~path_.startswith("/"), F.concat(F.lit("/"), path_)).otherwise(path_)
+    # Without a host, web schemes and paths that would read as a host still get their two slashes.
+    bare = scheme_.isin("http", "https", "ftp", "file", "ws", "wss") & ((path_ == "") | path_.startswith("/"))
     return F.concat(
         F.when(scheme_ == "", "").otherwise(F.concat(scheme_, F.lit(":"))),
-        led("//", netloc_), rooted, led(";", params_), led("?", query_), led("#", fragment_),
+        F.when(netloc_ != "", F.concat(F.lit("//"), netloc_, rooted))
+        .when(path_.startswith("//") | bare, F.concat(F.lit("//"), path_)).otherwise(path_),
+        led(";", params_), led("?", query_), led("#", fragment_),
     )
 
 
@@ -133,24 +145,29 @@ def query_pairs(url: Column) -> Column:
 
 
 def _clean_query(url: Column) -> Column:
+    def text(kept: Column) -> Column:
+        keys = F.transform(kept, lambda p: p["k"])
+        # A repeated key is written where it first occurs; positions are only looked up when one repeats.
+        grouped = F.transform(
+            F.array_sort(F.transform(
+                kept, lambda p, i: F.struct(F.array_position(keys, p["k"]).alias("first"), i.alias("i"), p.alias("p")))),
+            lambda s: s["p"])
+        ordered = F.when(F.size(F.array_distinct(keys)) < F.size(keys), grouped).otherwise(kept)
+        return F.array_join(
+            F.transform(ordered, lambda p: F.concat(_form_encode(p["k"]), F.lit("="), _form_encode(p["v"]))), "&")
+
     kept = F.filter(query_pairs(url), lambda p: ~F.lower(p["k"]).isin(TRACKING_KEYS))
-    keys = F.transform(kept, lambda p: p["k"])
-    # A repeated key is written where it first occurs; array_position is only paid for when one repeats.
-    grouped = F.transform(
-        F.array_sort(F.transform(
-            kept, lambda p, i: F.struct(F.array_position(keys, p["k"]).alias("first"), i.alias("i"), p.alias("p")))),
-        lambda s: s["p"],
-    )
-    ordered = F.when(F.size(F.array_distinct(keys)) < F.size(keys), grouped).otherwise(kept)
-    text = F.array_join(F.transform(ordered, lambda p: F.concat(_form_encode(p["k"]), F.lit("="), _form_encode(p["v"]))), "&")
-    return F.when(query(url) == "", "").otherwise(text)
+    return F.when(query(url) == "", "").otherwise(_bind(kept, text))
 
 
 def normalize_url(url: Column) -> Column:
     """One spelling per page: no trailing slash, tracking keys or fragment; query re-encoded."""
-    bare = F.regexp_replace(path(url), r"/+$", "")
-    return _unsplit(
-        scheme(url), netloc(url), F.when(bare == "", "/").otherwise(bare), params(url), _clean_query(url), F.lit(""))
+    def join(p: Column) -> Column:
+        return _unsplit(p["scheme"], p["netloc"], F.when(p["bare"] == "", "/").otherwise(p["bare"]), p["params"], p["query"], F.lit(""))
+
+    return _bind(F.struct(
+        scheme(url).alias("scheme"), netloc(url).alias("netloc"), F.regexp_replace(path(url), r"/+$", "").alias("bare"),
+        params(url).alias("params"), _clean_query(url).alias("query")), join)
 
 
 def _merge_dots(segments: Column) -> Column:
@@ -162,32 +179,41 @@ def _merge_dots(segments: Column) -> Column:
     )
 
 
+def _resolved_path(base_path: Column, ref_path: Column) -> Column:
+    def merged(segments: Column) -> Column:
+        directory = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(_merge_dots(segments), directory), "/")
+
+    def squeezed(joined: Column) -> Column:
+        return F.filter(joined, lambda s, i: (s != "") | (i == 0) | (i == F.size(joined) - 1))
+
+    # The base directory ends with its last slash; everything behind it is replaced.
+    directory = F.split(F.regexp_replace(base_path, r"/[^/]*$|^[^/]*$", ""), "/")
+    directory = F.when(base_path.contains("/"), directory).otherwise(F.array().cast("array<string>"))
+    ending = F.when(base_path.endswith("/"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    refs = F.split(ref_path, "/")
+    segments = F.when(ref_path.startswith("/"), refs).otherwise(_bind(F.concat(directory, ending, refs), squeezed))
+    return _bind(_bind(segments, merged), lambda p: F.when(p == "", "/").otherwise(p))
+
+
 def url_join(base: Column, ref: Column) -> Column:
     """Resolve a reference against the URL of its page (RFC 3986 section 5)."""
-    ref_path, base_path = path(ref), path(base)
-    ref_segments = F.split(ref_path, "/")
-    base_dir = F.split(base_path, "/")
-    base_dir = F.when(F.element_at(base_dir, -1) != "", F.slice(base_dir, 1, F.size(base_dir) - 1)).otherwise(base_dir)
-    joined = F.concat(base_dir, ref_segments)
-    squeezed = F.filter(joined, lambda s, i: (s != "") | (i == 0) | (i == F.size(joined) - 1))
-    segments = F.when(ref_path.startswith("/"), ref_segments).otherwise(squeezed)
-    merged = _merge_dots(segments)
-    merged = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(merged, F.array(F.lit("")))).otherwise(merged)
-    resolved = F.array_join(merged, "/")
-    resolved = F.when(resolved == "", "/").otherwise(resolved)
-
-    base_scheme, ref_scheme = scheme(base), scheme(ref)
-    foreign = (ref_scheme != "") & (ref_scheme != base_scheme)
-    same_document = (ref_path == "") & (params(ref) == "")
-    return (
-        F.when(ref == "", base)
-        .when(foreign, ref)
-        .when(netloc(ref) != "", _unsplit(base_scheme, netloc(ref), ref_path, params(ref), query(ref), fragment(ref)))
-        .when(same_document, _unsplit(
-            base_scheme, netloc(base), base_path, params(base),
-            F.when(query(ref) == "", query(base)).otherwise(query(ref)), fragment(ref)))
-        .otherwise(_unsplit(base_scheme, netloc(base), resolved, params(ref), query(ref), fragment(ref)))
-    )
+    def resolve(u: Column) -> Column:
+        b, r = u["b"], u["r"]
+        foreign = (r["scheme"] != "") & (r["scheme"] != b["scheme"])
+        same_document = (r["path"] == "") & (r["params"] == "")
+        # What the reference does not say comes from the base.
+        target = F.struct(
+            F.when(r["netloc"] != "", r["netloc"]).otherwise(b["netloc"]).alias("netloc"),
+            F.when(r["netloc"] != "", r["path"]).when(same_document, b["path"])
+            .otherwise(_resolved_path(b["path"], r["path"])).alias("path"),
+            F.when((r["netloc"] == "") & same_document, b["params"]).otherwise(r["params"]).alias("params"),
+            F.when((r["netloc"] == "") & same_document & (r["query"] == ""), b["query"]).otherwise(r["query"]).alias("query"))
+        joined = _bind(target, lambda t: _unsplit(b["scheme"], t["netloc"], t["path"], t["params"], t["query"], r["fragment"]))
+        return F.when(foreign, u["ref"]).otherwise(joined)
+
+    parts = F.struct(url_parts(base).alias("b"), url_parts(ref).alias("r"), ref.alias("ref"))
+    return F.when(ref == "", base).otherwise(_bind(parts, resolve))
 
 
 def is_internal(url: Column, site: Column, prefix: str | None = None) -> Column:
@@ -224,8 +250,7 @@ def _clean_segments(path_: Column, default: str, limit: int | None = None) -> Co
     segments = F.filter(F.transform(F.split(path_, "/"), clean), lambda s: s != "")
     if limit:
         segments = F.transform(segments, shorten)
-    joined = F.array_join(segments, "/")
-    return F.when(joined == "", default).otherwise(joined)
+    return _bind(F.array_join(segments, "/"), lambda joined: F.when(joined == "", default).otherwise(joined))
 
 
 def site_dir(site: Column) -> Column:
@@ -234,26 +259,30 @@ def site_dir(site: Column) -> Column:
 
 def site_file_path(url: Column, root: Column | None = None) -> Column:
     """Where a page of a site is stored: its URL path below the site folder, ``.md``."""
-    decoded = percent_decode(path(url))
-    named = (
-        F.when((decoded == "") | (decoded == "/"), "/index")
-        .when(decoded.endswith("/"), F.concat(decoded, F.lit("index"))).otherwise(decoded))
-    relative = F.ltrim(named, F.lit("/"))
-    ext = _extension(relative)
-    stem = F.when(F.lower(ext).isin(PAGE_EXTENSIONS), _without(relative, ext)).otherwise(relative)
+    def stem(relative: Column) -> Column:
+        ext = _extension(relative)
+        return F.when(F.lower(ext).isin(PAGE_EXTENSIONS), _without(relative, ext)).otherwise(relative)
+
+    def named(decoded: Column) -> Column:
+        return F.ltrim(
+            F.when((decoded == "") | (decoded == "/"), "/index")
+            .when(decoded.endswith("/"), F.concat(decoded, F.lit("index"))).otherwise(decoded), F.lit("/"))
+
     suffix = F.when(query(url) == "", "").otherwise(
         F.concat(F.lit("_"), F.left(F.regexp_replace(query(url), FORBIDDEN, "_"), F.lit(80))))
     folder = site_dir(netloc(url)) if root is None else root
-    return F.concat(folder, F.lit("/"), _clean_segments(F.concat(stem, suffix), "index"), F.lit(".md"))
+    relative = F.concat(_bind(_bind(percent_decode(path(url)), named), stem), suffix)
+    return F.concat(folder, F.lit("/"), _clean_segments(relative, "index"), F.lit(".md"))
 
 
 def sanitize_filename(name: Column) -> Column:
-    dashed = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, FORBIDDEN_OR_CONTROL, "_"), r"(?U)[\s\x1c-\x1f]+", "-"), "-+", "-")
-    bare = F.btrim(dashed, F.lit(".-"))
-    ext = _extension(bare)
-    cut = F.concat(F.left(_without(bare, ext), F.greatest(F.lit(0), 200 - F.char_length(ext))), ext)
-    short = F.when(F.char_length(bare) > 200, cut).otherwise(bare)
-    return F.when(short == "", "untitled").otherwise(short)
+    def shorten(bare: Column) -> Column:
+        ext = _extension(bare)
+        cut = F.concat(F.left(_without(bare, ext), F.greatest(F.lit(0), 200 - F.char_length(ext))), ext)
+        return F.when(bare == "", "untitled").when(F.char_length(bare) > 200, cut).otherwise(bare)
+
+    dashed = F.regexp_replace(F.regexp_replace(name, FORBIDDEN_OR_CONTROL, "_"), r"(?U)[\s\x1c-\x1f]+", "-")
+    return _bind(F.btrim(F.regexp_replace(dashed, "-+", "-"), F.lit(".-")), shorten)
 
 
 def page_file_name(url: Column) -> Column:
@@ -273,25 +302,31 @@ def page_file_path(url: Column) -> Column:
 
 def image_path(url: Column) -> Column:
     """Where an image is stored below the corpus root; the host is not part of it."""
-    relative = F.ltrim(percent_decode(path(url)), F.lit("/"))
-    ext = _extension(relative)
     tag = F.left(F.regexp_replace(query(url), r'[<>:"/\\|?*&=]', "-"), F.lit(40))
-    named = F.when(query(url) == "", relative).otherwise(F.concat(_without(relative, ext), F.lit("_"), tag, ext))
-    return F.concat(F.lit("images/"), _clean_segments(named, "image", 200))
+
+    def named(relative: Column) -> Column:
+        ext = _extension(relative)
+        return F.when(query(url) == "", relative).otherwise(F.concat(_without(relative, ext), F.lit("_"), tag, ext))
+
+    relative = _bind(F.ltrim(percent_decode(path(url)), F.lit("/")), named)
+    return F.concat(F.lit("images/"), _clean_segments(relative, "image", 200))
 
 
 def relative_path(target: Column, source_file: Column) -> Column:
     """``target`` as seen from the folder of ``source_file``."""
-    there = F.split(target, "/")
-    here = F.split(source_file, "/")
-    depth = F.size(here) - 1
-    shared = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.least(depth, F.size(there) - 1), F.lit(1))), F.lit(0),
-        lambda n, i: F.when((n == i - 1) & (i <= depth) & (F.get(there, i - 1) == F.get(here, i - 1)), i).otherwise(n))
-    return F.concat(F.repeat(F.lit("../"), depth - shared), F.array_join(F.slice(there, shared + 1, F.size(there)), "/"))
+    def walk(p: Column) -> Column:
+        there, here = p["there"], p["here"]
+        depth = F.size(here) - 1
+        steps = F.sequence(F.lit(1), F.greatest(F.least(depth, F.size(there) - 1), F.lit(1)))
+        shared = F.aggregate(steps, F.lit(0), lambda n, i: F.when(
+            (n == i - 1) & (i <= depth) & (F.get(there, i - 1) == F.get(here, i - 1)), i).otherwise(n))
+        return _bind(shared, lambda n: F.concat(
+            F.repeat(F.lit("../"), depth - n), F.array_join(F.slice(there, n + 1, F.size(there)), "/")))
+
+    return _bind(F.struct(F.split(target, "/").alias("there"), F.split(source_file, "/").alias("here")), walk)
 
 
 def base_name_words(path_: Column) -> Column:
     """File name without extension, ``-`` and ``_`` as spaces."""
-    name = F.element_at(F.split(path_, "/"), -1)
+    name = F.substring_index(path_, "/", -1)
     return F.translate(_without(name, _extension(name)), "-_", "  ")

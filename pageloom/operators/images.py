@@ -86,8 +86,8 @@ def images(pages: DataFrame, file_path: Column | None = None) -> DataFrame:
     ``rel_path`` leads from the page's Markdown file to the image. Alt text and heading belong to the img whose
     ``src`` is the image; other references get their file name as alt text and no heading.
     """
-    where = U.site_file_path(U.normalize_url(F.col("url"))) if file_path is None else file_path
-    placed = staged(pages.select("page_id", "url", "html"), file_path=where)
+    placed = staged(pages.select("page_id", "url", "html"), norm_url=U.normalize_url(F.col("url")))
+    placed = staged(placed, file_path=U.site_file_path(F.col("norm_url")) if file_path is None else file_path)
     rows = with_nearest_heading(nodes(placed, "url", "file_path", text_of=HEADING_TEXT))
     rows = rows.filter(F.col("tok").rlike(IMAGE_TOKENS) & F.col("kind").isin("open", "empty"))
     start = F.regexp_extract(F.col("tok"), M.START_TAG, 0)
