@@ -43,7 +43,7 @@ def split_tokens(html: Column) -> Column:
 
 def is_text(token: Column) -> Column:
     """Text tokens: anything that is not a complete tag, comment or declaration."""
-    return ~token.rlike(r"(?s)^<(?:[a-zA-Z/?].*>$|!)")
+    return ~token.startswith("<") | ~token.rlike(r"(?s)^<(?:[a-zA-Z/?].*>$|!)")
 
 
 def tag_name(token: Column) -> Column:
@@ -124,14 +124,13 @@ def decode_references(text: Column) -> Column:
 def attributes(token: Column) -> Column:
     """Attributes of a tag token as array<struct<name,value>> in written order."""
     inner = F.regexp_replace(token, r"(?s)^<[a-zA-Z][^\s/>]*|/?>$", "")
-
-    def pair(a: Column) -> Column:
-        value = F.regexp_extract(a, r"(?s)=\s*(.*)$", 1)
-        quoted = value.rlike("""(?s)^(?:".*"|'.*')$""") & (F.char_length(value) > 1)
-        bare = F.when(quoted, F.substring(value, F.lit(2), F.char_length(value) - 2)).otherwise(value)
-        return F.struct(F.lower(F.regexp_extract(a, r"^([^\s=]+)", 1)).alias("name"), decode_references(bare).alias("value"))
-
-    return F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(0)), pair)
+    # One transform per step: each binds its result for the next.
+    written = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: F.struct(
+        F.lower(F.regexp_extract(a, r"^([^\s=]+)", 1)).alias("name"), F.regexp_extract(a, r"(?s)=\s*(.*)$", 1).alias("value")))
+    bare = F.transform(written, lambda a: F.struct(a["name"].alias("name"), F.when(
+        a["value"].rlike("""(?s)^(?:"|').*["']$""") & (F.char_length(a["value"]) > 1),
+        F.substring(a["value"], F.lit(2), F.char_length(a["value"]) - 2)).otherwise(a["value"]).alias("value")))
+    return F.transform(bare, lambda a: F.struct(a["name"].alias("name"), decode_references(a["value"]).alias("value")))
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -147,13 +146,24 @@ def classes(value: Column) -> Column:
     return F.filter(F.split(F.coalesce(value, F.lit("")), f"[{T.WS}]+"), lambda c: c != "")
 
 
-def token_text(token: Column) -> Column:
+def text_source(kind_: Column, token: Column) -> Column:
+    """The written text of a text or rcdata token, null for the others."""
+    return F.when(kind_ == "text", token).when(kind_ == "rcdata", raw_content(token))
+
+
+def token_text(kind_: Column, token: Column) -> Column:
     """Decoded text of a text or rcdata token, null for the others."""
-    k = kind(token)
-    return decode_references(F.when(k == "text", token).when(k == "rcdata", raw_content(token)))
+    return decode_references(text_source(kind_, token))
+
+
+def texts(tokens: Column) -> Column:
+    """Decoded text per token of an array, null for tokens without."""
+    written = F.transform(tokens, lambda t: F.when(
+        is_text(t), t).when(t.rlike(r"(?is)^<(?:title|textarea)[\s>].*</(?:title|textarea)\s*>$"), raw_content(t)))
+    return F.transform(written, decode_references)
 
 
 def inner_text(markup: Column, separator: str = "") -> Column:
     """Text nodes of a markup fragment, each stripped, empty ones dropped."""
-    nodes = F.transform(split_tokens(markup), lambda t: T.strip(token_text(t)))
-    return F.array_join(F.filter(nodes, lambda s: s.isNotNull() & (s != "")), separator)
+    nodes = F.transform(texts(split_tokens(markup)), T.strip)
+    return F.array_join(F.filter(nodes, lambda s: s != ""), separator)

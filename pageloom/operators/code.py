@@ -26,24 +26,25 @@ def code_tag(markup: Column) -> Column:
 def code_lang(tag: Column) -> Column:
     """Language of a code tag from its classes, null when none is named."""
     classes = M.classes(M.tag_attribute(tag, "class"))
-    prefixed = F.filter(classes, lambda c: c.startswith("language-") | c.startswith("lang-"))
-    known = F.filter(F.transform(classes, F.lower), lambda c: c.isin(LANGUAGES))
-    hint = F.regexp_replace(F.try_element_at(prefixed, F.lit(1)), "^lang(?:uage)?-", "")
-    return F.when(tag != "", F.coalesce(F.nullif(hint, F.lit("")), F.try_element_at(known, F.lit(1))))
+    # A prefixed class comes first wherever it stands, then the first known name.
+    hints = F.transform(classes, lambda c: F.when(c.rlike("^lang(?:uage)?-"), F.struct(
+        F.lit(0).alias("order"), F.regexp_replace(c, "^lang(?:uage)?-", "").alias("lang"))).when(
+        F.lower(c).isin(LANGUAGES), F.struct(F.lit(1).alias("order"), F.lower(c).alias("lang"))))
+    best = F.array_sort(F.filter(F.transform(hints, lambda h, i: F.when(
+        h["lang"] != "", F.struct(h["order"].alias("order"), i.alias("i"), h["lang"].alias("lang")))), lambda h: h.isNotNull()))
+    return F.when(tag != "", F.get(best, 0)["lang"])
 
 
 def verbatim(markup: Column) -> Column:
     """All text of a fragment exactly as written, character references decoded."""
-    parts = F.transform(M.split_tokens(markup), lambda t: F.coalesce(M.token_text(t), F.lit("")))
-    return F.array_join(parts, "")
+    return F.array_join(M.texts(M.split_tokens(markup)), "")
 
 
 def fence(markup: Column) -> Column:
     """A <pre> as a fenced block; languages that are not one word give a bare fence."""
-    lang = code_lang(code_tag(markup))
-    tag = F.when(lang.rlike(r"^\w+$"), lang).otherwise("")
+    lang = F.regexp_extract(F.coalesce(code_lang(code_tag(markup)), F.lit("")), r"^(\w+)$", 1)
     body = F.regexp_replace(F.regexp_replace(verbatim(markup), r"^\r?\n", ""), r"[\r\n]++\z", "")
-    return F.concat(F.lit("```"), tag, F.lit("\n"), body, F.lit("\n```"))
+    return F.concat(F.lit("```"), lang, F.lit("\n"), body, F.lit("\n```"))
 
 
 def code_blocks(pages: DataFrame) -> DataFrame:

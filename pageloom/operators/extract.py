@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import markup as M
 from pageloom.functions import text as T
-from pageloom.operators.tokens import doc_order, inside, nodes
+from pageloom.operators.tokens import doc_order, inside, nodes, with_attrs
 
 EXTRACTORS = ("heuristic", "density", "full")
 
 
-def rule_number(kind: Column, tag: Column, tok: Column) -> Column:
+def rule_number(kind: Column, tag: Column, attrs: Column) -> Column:
     """1..5 for elements that may hold the content, in order of preference; null for others."""
-    attrs = F.when((tag == "div") & tok.rlike("(?i)content|main|article|post-body"), M.attributes(tok))
     by_id = M.attribute(attrs, "id").rlike("(?i)content|main|article")
     by_class = M.attribute(attrs, "class").rlike("(?i)content|main|article|post-body")
     return F.when(kind == "open", (
@@ -32,13 +31,13 @@ def with_shown(rows: DataFrame) -> DataFrame:
 def with_region(rows: DataFrame, extractor: str = "heuristic", dense: DataFrame | None = None) -> DataFrame:
     """Add ``region``: struct(rule, start, end) of the page's content; rule 0 is the whole page.
 
-    ``rows`` hold ``shown``; ``density`` takes its blocks from ``dense_blocks``.
+    ``rows`` hold ``shown`` and ``attrs``; ``density`` takes its blocks from ``dense_blocks``.
     """
     if extractor not in EXTRACTORS:
         raise ValueError(f"extractor must be one of {EXTRACTORS}")
     page = F.struct(F.lit(0).alias("rule"), F.lit(-1).alias("start"), F.lit(2**31 - 1).alias("end"))
     if extractor == "heuristic":
-        rule = F.when(F.col("shown"), rule_number(F.col("kind"), F.col("tag"), F.col("tok")))
+        rule = F.when(F.col("shown"), rule_number(F.col("kind"), F.col("tag"), F.col("attrs")))
         rows = rows.withColumn("_rule", rule)
         found = F.when(F.col("_rule").isNotNull(), F.struct(
             F.col("_rule").alias("rule"), F.col("pos").alias("start"), F.col("mate").alias("end")))
@@ -54,7 +53,7 @@ def regions(pages: DataFrame, extractor: str = "heuristic") -> DataFrame:
     """(page_id, rule, start_pos, end_pos): the content region each page is cut to."""
     rows = with_shown(nodes(pages).filter(F.col("pos").isNotNull()))
     dense = dense_blocks(pages) if extractor == "density" else None
-    chosen = with_region(rows, extractor, dense)
+    chosen = with_region(with_attrs(rows), extractor, dense)
     return chosen.filter(F.col("pos") == 0).select(
         "page_id", "region.rule", F.col("region.start").alias("start_pos"), F.col("region.end").alias("end_pos"))
 
@@ -62,11 +61,11 @@ def regions(pages: DataFrame, extractor: str = "heuristic") -> DataFrame:
 def region_text(pages: DataFrame, extractor: str = "heuristic") -> DataFrame:
     """(page_id, text): visible text nodes of the content region, one per line."""
     rows = with_shown(nodes(pages))
-    chosen = with_region(rows, extractor, dense_blocks(pages) if extractor == "density" else None)
+    chosen = with_region(with_attrs(rows), extractor, dense_blocks(pages) if extractor == "density" else None)
     within = F.col("shown") & F.col("pos").between(F.col("region.start"), F.col("region.end"))
-    text = F.when(within, F.nullif(T.strip(M.token_text(F.col("tok"))), F.lit("")))
+    text = F.when(within, T.strip(M.token_text(F.col("kind"), F.col("tok"))))
     return chosen.select("page_id", "pos", text.alias("t")).groupBy("page_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("pos", "t")))).alias("ts")
+        F.sort_array(F.collect_list(F.when(F.col("t") != "", F.struct("pos", "t")))).alias("ts")
     ).select("page_id", F.array_join("ts.t", "\n").alias("text"))
 
 
@@ -90,7 +89,7 @@ def block_scores(pages: DataFrame) -> DataFrame:
     tag, opens = F.col("tag"), F.col("kind") == "open"
     is_block = tag.isin(_BLOCKS)
     rows = with_shown(nodes(pages).filter(F.col("pos").isNotNull()))
-    rows = rows.withColumn("t", F.when(F.col("shown") & (F.col("kind") == "text"), F.nullif(T.strip(M.token_text(F.col("tok"))), F.lit(""))))
+    rows = rows.withColumn("t", F.when(F.col("shown") & (F.col("kind") == "text"), T.strip(M.decode_references(F.col("tok")))))
     rows = rows.withColumn("chars", F.coalesce(F.char_length("t"), F.lit(0)))
     rows = rows.withColumns({
         "depth": inside(is_block), "in_p": inside(tag == "p") > 0, "in_a": inside(tag == "a") > 0})
@@ -102,7 +101,7 @@ def block_scores(pages: DataFrame) -> DataFrame:
 
     # Paragraphs: own text, with the block depth they stand at.
     commas = F.regexp_count("t", F.lit("[,\uff0c\u3001]"))
-    pars = rows.filter(F.col("in_p") & F.col("t").isNotNull()).groupBy(
+    pars = rows.filter(F.col("in_p") & (F.col("t") != "")).groupBy(
         "page_id", F.col("par.pos").alias("pos"), F.col("par.depth").alias("level")).agg(
         F.sum("chars").alias("chars"), F.sum(commas).alias("commas"))
     pars = pars.filter(F.col("chars") >= LONG_PARAGRAPH).select(

@@ -9,7 +9,7 @@ from pageloom.functions import markup as M
 from pageloom.functions import text as T
 from pageloom.functions import urls as U
 from pageloom.operators import staged
-from pageloom.operators.tokens import doc_order, nodes, tag_tokens
+from pageloom.operators.tokens import doc_order, nodes, tag_tokens, with_attrs
 
 IMAGE_TOKENS = r"(?is)^<(?:img|source)[\s/>]|^<[a-z][^>]*[\s\"']style\s*="
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
@@ -90,8 +90,7 @@ def images(pages: DataFrame, file_path: Column | None = None) -> DataFrame:
     placed = staged(placed, file_path=U.site_file_path(F.col("norm_url")) if file_path is None else file_path)
     rows = with_nearest_heading(nodes(placed, "url", "file_path", text_of=HEADING_TEXT))
     rows = rows.filter(F.col("tok").rlike(IMAGE_TOKENS) & F.col("kind").isin("open", "empty"))
-    start = F.regexp_extract(F.col("tok"), M.START_TAG, 0)
-    rows = rows.withColumn("attrs", M.attributes(start))
+    rows = with_attrs(rows)
     each = rows.select(
         "page_id", "pos", F.col("url").alias("page_url"), "file_path", "heading",
         T.strip(M.attribute(F.col("attrs"), "alt")).alias("alt"), F.inline(image_refs(F.col("tag"), F.col("attrs"))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import markup as M
 from pageloom.functions import text as T
-from pageloom.operators.tokens import doc_order, nodes
+from pageloom.operators.tokens import doc_order, nodes, with_attrs
 
 # Markers are Unicode noncharacters: they never occur in text meant for interchange.
 L, R = "\ufdd2", "\ufdd3"
@@ -136,49 +136,50 @@ _EQUATION_IMAGE = r"(?i)equation|formula|math|latex|tex"
 def with_formulas(rows: DataFrame) -> DataFrame:
     """Add ``latex``, ``is_block`` and ``formula_source`` on rows that start a formula.
 
-    ``rows`` are nodes with markup (``FORMULA_TAGS``) and parents. Formulas inside a formula are dropped.
+    ``rows`` are nodes with ``attrs``, markup (``FORMULA_TAGS``) and parents. Formulas inside one are dropped.
     """
     tag, kind, tok = F.col("tag"), F.col("kind"), F.col("tok")
-    # Attributes are only read where a formula may start.
     candidate = F.col("markup").isNotNull() | ((tag == "img") & (kind == "empty")) | ((tag == "script") & (kind == "raw"))
-    start = F.regexp_extract(tok, M.START_TAG, 0)
-    rows = rows.withColumn("_a", F.when(candidate, M.attributes(start)))
 
     def attr(name: str) -> Column:
-        return T.strip(F.coalesce(M.attribute(F.col("_a"), name), F.lit("")))
+        return T.strip(F.coalesce(M.attribute(F.col("attrs"), name), F.lit("")))
 
-    classes = M.classes(M.attribute(F.col("_a"), "class"))
+    classes = M.classes(M.attribute(F.col("attrs"), "class"))
     is_katex = F.exists(classes, lambda c: c.contains("katex"))
     annotation = F.regexp_extract(
         F.col("markup"), r"""(?is)<annotation\b[^>]*encoding=["']?application/x-tex["']?[^>]*>([^<]*)</annotation""", 1)
-    katex = F.when(is_katex, F.nullif(T.strip(M.decode_references(annotation)), F.lit("")))
-    mathml = F.when(tag == "math", F.coalesce(
-        F.nullif(attr("alttext"), F.lit("")), F.nullif(mathml_to_latex(F.col("markup")), F.lit(""))))
-    mjx = F.when(tag == "mjx-container", F.nullif(attr("aria-label"), F.lit("")))
-    script = F.when((tag == "script") & attr("type").contains("math/tex"), F.nullif(T.strip(M.raw_content(tok)), F.lit("")))
     is_equation = attr("src").rlike(_EQUATION_IMAGE) | attr("alt").rlike(r"[\\^_{}]")
-    image = F.when((tag == "img") & is_equation, F.coalesce(F.nullif(attr("alt"), F.lit("")), F.nullif(attr("title"), F.lit(""))))
-    latex = F.when(candidate, F.coalesce(katex, mathml, mjx, script, image))
-    source = (
-        F.when(katex.isNotNull(), "katex").when(mathml.isNotNull(), "mathml").when(mjx.isNotNull(), "mathjax")
-        .when(script.isNotNull(), "script").when(image.isNotNull(), "image"))
+    alt, alternative = attr("alt"), attr("title")
+    sources = {
+        "katex": F.when(F.col("markup").isNotNull() & is_katex, T.strip(M.decode_references(annotation))),
+        "mathml": F.when(tag == "math", F.when(attr("alttext") != "", attr("alttext")).otherwise(mathml_to_latex(F.col("markup")))),
+        "mathjax": F.when(tag == "mjx-container", attr("aria-label")),
+        "script": F.when((tag == "script") & attr("type").contains("math/tex"), T.strip(M.raw_content(tok))),
+        "image": F.when((tag == "img") & is_equation, F.when(alt != "", alt).otherwise(alternative)),
+    }
+    # The first source with a formula counts; computed once, then named.
+    found = F.filter(
+        F.array(*[F.struct(F.lit(n).alias("source"), latex.alias("latex")) for n, latex in sources.items()]),
+        lambda f: f["latex"] != "")
+    rows = rows.withColumn("_formula", F.when(candidate, F.get(found, 0)))
+    source, latex = F.col("_formula.source"), F.col("_formula.latex")
     short = M.tag_name(F.col("parent_tok")).isin("p", "div", "td") & (
-        F.char_length(F.coalesce("parent_text", F.lit(""))) < F.char_length("latex") + 5)
+        F.char_length(F.coalesce("parent_text", F.lit(""))) < F.char_length(latex) + 5)
     block = (
-        F.when(F.col("formula_source") == "katex", F.array_contains(classes, "katex-display"))
-        .when(F.col("formula_source") == "mathml", attr("display") == "block")
-        .when(F.col("formula_source") == "mathjax", attr("display") == "true")
-        .when(F.col("formula_source") == "script", attr("type").contains("display"))
-        .when(F.col("formula_source") == "image", F.coalesce(short, F.lit(False))))
-    found = rows.withColumns({"latex": latex, "formula_source": F.when(candidate, source)}).withColumn("is_block", block)
+        F.when(source == "katex", F.array_contains(classes, "katex-display"))
+        .when(source == "mathml", attr("display") == "block")
+        .when(source == "mathjax", attr("display") == "true")
+        .when(source == "script", attr("type").contains("display"))
+        .when(source == "image", F.coalesce(short, F.lit(False))))
+    found = rows.withColumns({"latex": latex, "formula_source": source, "is_block": block})
     earlier_end = F.max(F.when(F.col("latex").isNotNull(), F.greatest("mate", "pos"))).over(
         doc_order().rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("in_formula", F.coalesce(earlier_end >= F.col("pos"), F.lit(False)))
-    return found.withColumn("latex", F.when(~F.col("in_formula"), F.col("latex"))).drop("_a")
+    return found.withColumn("latex", F.when(~F.col("in_formula"), F.col("latex"))).drop("_formula")
 
 
 def formulas(pages: DataFrame) -> DataFrame:
     """(page_id, pos, source, is_block, latex): every formula of every page."""
-    rows = with_formulas(nodes(pages, markup_of=FORMULA_TAGS, parents=True))
+    rows = with_formulas(with_attrs(nodes(pages, markup_of=FORMULA_TAGS, parents=True)))
     return rows.filter(F.col("latex").isNotNull()).select(
         "page_id", "pos", F.col("formula_source").alias("source"), "is_block", "latex")

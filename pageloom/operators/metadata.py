@@ -60,9 +60,7 @@ def _described_item(payload: Column) -> Column:
 
 
 def with_head_columns(rows: DataFrame) -> DataFrame:
-    """Add attrs, the JSON-LD payload and its described item to token rows; null on rows that carry no metadata."""
-    is_head = F.col("tok").rlike(HEAD_TAGS)
-    rows = rows.withColumn("attrs", F.when(is_head, M.attributes(F.regexp_extract("tok", M.START_TAG, 0))))
+    """Add the JSON-LD payload and its described item to token rows with ``attrs``; null on the others."""
     rows = rows.withColumn("payload", F.when(is_json_ld(), json_ld(F.col("tok"))))
     return rows.withColumn("item", F.when(F.col("payload").isNotNull(), _described_item(F.col("payload"))))
 
@@ -113,14 +111,14 @@ def keyword_list(line: Column) -> Column:
 
 def metadata(pages: DataFrame) -> DataFrame:
     """One row per page with the fields of ``FIELDS``; absent values are null. ``html_title`` is <title>."""
-    rows = with_head_columns(tag_tokens(pages, HEAD_TAGS).drop("attrs"))
+    rows = with_head_columns(tag_tokens(pages, HEAD_TAGS))
     found = rows.groupBy("page_id").agg(*metadata_aggregates())
     return found.withColumn("keywords", keyword_list(F.col("keyword_line"))).select("page_id", *FIELDS, "html_title")
 
 
 def json_ld_items(pages: DataFrame) -> DataFrame:
     """(page_id, script_no, schema_type, headline, description, author, published, modified) per described script."""
-    rows = with_head_columns(tag_tokens(pages, HEAD_TAGS).drop("attrs")).filter(F.col("item").isNotNull())
+    rows = with_head_columns(tag_tokens(pages, HEAD_TAGS)).filter(F.col("item").isNotNull())
     item = F.col("item")
     return rows.select(
         "page_id", "pos", _string(item, "$['@type']").alias("schema_type"), _string(item, "$.headline").alias("headline"),

@@ -52,7 +52,7 @@ def _inside(condition: Column) -> Column:
 def with_context(rows: DataFrame) -> DataFrame:
     """Add what the rendering of a token depends on: open lists, quotes, links, cells; the tags before it.
 
-    ``rows`` hold ``in_body``, ``latex``/``in_formula`` and ``table_depth``. All windows share one ordering.
+    ``rows`` hold ``attrs``, ``in_body``, ``latex``/``in_formula`` and ``table_depth``. All windows share one ordering.
     """
     tag, kind, within = F.col("tag"), F.col("kind"), F.col("in_body")
     before = doc_order().rowsBetween(Window.unboundedPreceding, -1)
@@ -72,30 +72,26 @@ def with_context(rows: DataFrame) -> DataFrame:
     return rows.withColumn("after_stress", F.coalesce(after_stress, F.lit(False)))
 
 
-def _text_md() -> tuple[Column, Column]:
-    """Leading-space marker and text of a text token."""
-    raw = clean(M.token_text(F.col("tok")))
-    bounded = F.when(F.col("stressed"), T.strip(raw)).when(
-        F.col("after_stress") & raw.rlike(r"^[^\]\[(){}\s.!?]") & ~F.col("tag_before").isin("a", "code", "pre"),
-        F.concat(F.lit(" "), raw)).otherwise(raw)
-    escaped = F.when(F.col("codes") > 0, bounded).otherwise(escape(bounded))
-    flat = T.collapse(escaped)
-    lead = F.when(flat.startswith(" "), SPACE).otherwise("")
-    return lead, F.when(flat.startswith(" "), F.substring(flat, F.lit(2), F.char_length(flat))).otherwise(flat)
+def with_words(rows: DataFrame) -> DataFrame:
+    """Add ``words``: the escaped text of text rows in the content region, whitespace runs as single spaces."""
+    shown = F.col("in_body") & ~F.col("in_formula") & ~F.col("in_pre") & F.col("kind").isin("text", "rcdata")
+    raw = F.when(shown, clean(M.token_text(F.col("kind"), F.col("tok"))))
+    rows = rows.withColumn("words", raw)
+    raw = F.col("words")
+    spaced = F.col("after_stress") & raw.rlike(r"^[^\]\[(){}\s.!?]") & ~F.col("tag_before").isin("a", "code", "pre")
+    rows = rows.withColumn("words", F.when(F.col("stressed"), T.strip(raw)).when(spaced, F.concat(F.lit(" "), raw)).otherwise(raw))
+    plain = (F.col("codes") > 0) | ~F.col("words").rlike(r"[\\+.\-]")
+    return rows.withColumn("words", T.collapse(F.when(plain, F.col("words")).otherwise(escape(F.col("words")))))
 
 
 def with_markdown(rows: DataFrame, image_md: Column | None = None) -> DataFrame:
     """Add ``md``: the Markdown piece of each row, '' for those without. ``image_md`` replaces local images."""
     tag, kind = F.col("tag"), F.col("kind")
     opens, closes = kind == "open", kind == "close"
-    start = F.regexp_extract("tok", M.START_TAG, 0)
-    needs_attrs = (tag.isin("a", "img", "abbr") & kind.isin("open", "close", "empty"))
-    rows = rows.withColumn("_at", F.when(F.col("in_body") & needs_attrs, M.attributes(start)))
-    attr = lambda name: M.attribute(F.col("_at"), name)
-    lead, words = _text_md()
-    rows = rows.withColumns({
-        "_lead": F.when(F.col("in_body") & kind.isin("text", "rcdata"), lead),
-        "_words": F.when(F.col("in_body") & kind.isin("text", "rcdata"), words)})
+    attr = lambda name: M.attribute(F.col("attrs"), name)
+    rows = with_words(rows)
+    spaced = F.col("words").startswith(" ")
+    words = F.when(spaced, F.substring("words", 2, 2**31 - 1)).otherwise(F.col("words"))
 
     href, in_link = attr("href"), F.col("links") > 0
     automatic = href.rlike(r"^[a-zA-Z+]+://") & (href == F.col("text"))
@@ -107,7 +103,7 @@ def with_markdown(rows: DataFrame, image_md: Column | None = None) -> DataFrame:
 
     level = F.substring(tag, 2, 1).try_cast("int")
     numbered = M.tag_name(F.col("parent_tok")) == "ol"
-    first = F.coalesce(M.tag_attribute(F.col("parent_tok"), "start").try_cast("int"), F.lit(1))
+    first = F.coalesce(F.regexp_extract("parent_tok", r"(?i)\sstart\s*=\s*[\"']?(-?\d+)", 1).try_cast("int"), F.lit(1))
     marker = F.when(numbered, F.concat((first + F.col("nth") - 1).cast("string"), F.lit(". "))).otherwise("* ")
     item = F.concat(F.repeat(F.lit("  "), F.col("lists").cast("int")), marker)
     outermost = F.col("lists") == 1
@@ -123,7 +119,7 @@ def with_markdown(rows: DataFrame, image_md: Column | None = None) -> DataFrame:
     tagged = opens | closes
     pre = (
         F.when(F.col("latex").isNotNull(), F.when(F.col("is_block"), PARAGRAPH).otherwise(""))
-        .when(kind.isin("text", "rcdata"), F.when(in_nested, SPACE).otherwise(F.col("_lead")))
+        .when(kind.isin("text", "rcdata"), F.when(in_nested | spaced, SPACE).otherwise(""))
         .when(in_nested, SPACE)
         .when(tagged & (is_heading | is_block), PARAGRAPH)
         .when(opens & tag.isin("blockquote", "dl", "pre"), PARAGRAPH)
@@ -139,7 +135,7 @@ def with_markdown(rows: DataFrame, image_md: Column | None = None) -> DataFrame:
         F.when(F.col("latex").isNotNull(), F.when(
             F.col("is_block"), F.concat(F.lit("$$"), F.col("latex"), F.lit("$$"))).otherwise(
             F.concat(F.lit("$"), F.col("latex"), F.lit("$"))))
-        .when(kind.isin("text", "rcdata"), F.when(in_nested, T.strip(F.col("_words"))).otherwise(F.col("_words")))
+        .when(kind.isin("text", "rcdata"), F.when(in_nested, T.strip(words)).otherwise(words))
         .when(in_nested, none)
         .when(opens & is_heading, F.concat(F.repeat(F.lit("#"), F.coalesce(level, F.lit(1))), F.lit(" ")))
         .when(tag == "br", F.when(F.col("quotes") > 0, "  \n> ").otherwise("  \n"))
@@ -164,6 +160,8 @@ def with_markdown(rows: DataFrame, image_md: Column | None = None) -> DataFrame:
         .otherwise(none))
     depth = F.when(opens & (tag == "blockquote"), F.col("quotes") - 1).otherwise(F.col("quotes")).cast("int")
     gap = F.when(opens & (tag == "blockquote"), "").otherwise(" ")
+    rows = rows.withColumn("_data", data)
+    data = F.col("_data")
     quoted = F.when(
         (depth > 0) & (data != ""), F.concat(F.lit(QUOTE), F.repeat(F.lit(">"), depth), gap, F.lit(UNQUOTE))).otherwise("")
     silent = ~F.col("in_body") | F.col("in_formula") | F.col("in_pre") | ((F.col("heads") > 0) & F.col("latex").isNull())
@@ -171,7 +169,7 @@ def with_markdown(rows: DataFrame, image_md: Column | None = None) -> DataFrame:
     definition = F.when(
         F.col("in_body") & opens & (tag == "abbr") & attr("title").isNotNull(),
         F.concat(F.lit("  *["), T.collapse(F.col("text")), F.lit("]: "), attr("title")))
-    return rows.withColumns({"md": md, "definition": definition}).drop("_at", "_lead", "_words")
+    return rows.withColumns({"md": md, "definition": definition}).drop("_data", "words")
 
 
 def table_pieces(grid: Column) -> Column:

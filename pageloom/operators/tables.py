@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import markup as M
 from pageloom.operators import staged
-from pageloom.operators.tokens import doc_order, inside, nodes
+from pageloom.operators.tokens import doc_order, inside, nodes, with_attrs
 
 MOST_COLUMNS = 1000  # the largest colspan HTML allows
 
@@ -23,14 +23,13 @@ def span(value: Column) -> Column:
 
 def with_table_context(rows: DataFrame, counted: Column | None = None) -> DataFrame:
     """Add ``table_depth``, ``table_pos`` (start of the outermost table) and, on rows and cells of outermost
-    tables, ``entry``: struct(pos, tr, body, across, down, is_cell, is_header, ...). Needs ``grandparent``.
+    tables, ``entry``: struct(pos, tr, body, across, down, is_cell, is_header, ...). Needs ``grandparent`` and ``attrs``.
     Only tables on ``counted`` rows are seen."""
     opens, tag = F.col("kind") == "open", F.col("tag")
     rows = rows.withColumn("table_depth", inside((tag == "table") if counted is None else (tag == "table") & counted))
     outer = F.when(opens & (tag == "table") & (F.col("table_depth") == 1), F.col("pos"))
     is_cell = tag.isin("td", "th")
-    start = F.regexp_extract(F.col("tok"), M.START_TAG, 0)
-    spans = F.when(F.col("tok").rlike("(?i)span"), M.attributes(start))
+    spans = F.col("attrs")
     entry = F.struct(
         "pos",
         F.when(is_cell, F.col("parent")).otherwise(F.col("pos")).alias("tr"),
@@ -102,7 +101,7 @@ def with_grid(groups: DataFrame) -> DataFrame:
 
 def table_cells(pages: DataFrame) -> DataFrame:
     """(page_id, table_no, row_no, col_no, is_header, filled, text): all cells of all tables, numbered from 1."""
-    rows = with_table_context(nodes(pages, text_of={"td": None, "th": None}, separator=" ", grandparent=True))
+    rows = with_table_context(with_attrs(nodes(pages, text_of={"td": None, "th": None}, separator=" ", grandparent=True)))
     rows = rows.filter(F.col("entry").isNotNull())
     groups = rows.groupBy("page_id", "table_pos").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     placed = with_grid(groups).withColumn("table_no", F.row_number().over(Window.partitionBy("page_id").orderBy("table_pos")))

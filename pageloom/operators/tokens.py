@@ -12,84 +12,12 @@ is one exchange however many of them follow. Script and style bodies nobody read
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 from pageloom.functions import markup as M
 from pageloom.functions import text as T
-
-# Elements that never have content, and elements whose end tag may be missing in the source.
-VOID = frozenset(
-    "area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem "
-    "meta nextid param source spacer track wbr".split()
-)
-
-_TREE = S.StructType([
-    S.StructField(name, S.ArrayType(S.IntegerType()))
-    for name in ("src", "mate", "parent", "nth", "seen")
-])
-
-
-def _balance(marks) -> tuple[list, ...]:
-    """Match start and end tags of one page.
-
-    ``marks`` holds per token ``name`` (start tag), ``/name`` (end tag), ``name!!`` (element without content),
-    ``name!`` (title or textarea with text), ``#`` (visible text) or an empty string. An end tag closes its nearest open namesake and whatever is open
-    inside; one without a namesake is dropped; elements still open at the end are closed there.
-    """
-    src, mate, parent, nth, before = [], [], [], [], []
-    stack, names, siblings, still_open = [], [], [{}], {}
-    seen = 0
-
-    def put(at, mate_at, number):
-        src.append(at)
-        mate.append(mate_at)
-        parent.append(stack[-1] if stack else -1)
-        nth.append(number)
-        before.append(seen)
-
-    def close(at):
-        start, name = stack.pop(), names.pop()
-        siblings.pop()
-        still_open[name] -= 1
-        mate[start] = len(src)
-        put(at, start, nth[start])
-
-    for at, mark in enumerate(marks):
-        if not mark or mark == "#":
-            put(at, -1, 0)
-            seen += mark == "#"
-        elif mark[0] == "/":
-            name = mark[1:]
-            if still_open.get(name):
-                while names[-1] != name:
-                    close(-1)
-                close(at)
-        else:
-            name = mark.rstrip("!")
-            number = siblings[-1].get(name, 0) + 1
-            siblings[-1][name] = number
-            if name != mark or name in VOID:
-                put(at, -1, number)
-                seen += mark in ("title!", "textarea!")
-                continue
-            put(at, -1, number)
-            stack.append(len(src) - 1)
-            names.append(name)
-            siblings.append({})
-            still_open[name] = still_open.get(name, 0) + 1
-    while stack:
-        close(-1)
-    return src, mate, parent, nth, before
-
-
-@F.pandas_udf(_TREE)
-def _balance_pages(marks: pd.Series) -> pd.DataFrame:
-    rows = [_balance(m) if m is not None else ([],) * 5 for m in marks]
-    return pd.DataFrame(rows, columns=_TREE.names)
-
+from pageloom.operators.balance import balance_pages
 
 def raw_tokens(pages: DataFrame) -> DataFrame:
     """(page_id, pos, kind, tag, tok): every token as written, in order. Narrow: no shuffle."""
@@ -113,28 +41,28 @@ def tag_tokens(pages: DataFrame, pattern: str, *keep: str) -> DataFrame:
         M.attributes(start).alias("attrs"))
 
 
-def _mark(token: Column, text: Column) -> Column:
-    name = F.lower(F.regexp_extract(token, r"^<(/?[a-zA-Z][^\s/>]*)", 1))
-    kind = M.kind(token)
+def _mark(kind: Column, name: Column, text: Column) -> Column:
     return (
         F.when(kind == "text", F.when(text == "", "").otherwise("#"))
+        .when(kind == "open", name)
+        .when(kind == "close", F.concat(F.lit("/"), name))
         .when(kind == "rcdata", F.concat(name, F.when(text == "", "!!").otherwise("!")))
         .when(kind.isin("empty", "raw"), F.concat(name, F.lit("!!")))
-        .when(kind.isin("open", "close"), name)
         .otherwise("")
     )
 
 
 def node_arrays(pages: DataFrame, *keep: str) -> DataFrame:
-    """One row per page: tokens, visible texts and the position arrays of the element tree."""
+    """One row per page: tokens, their kinds and names, visible texts, and the position arrays of the tree."""
     split = pages.select("page_id", *keep, M.split_tokens(F.col("html")).alias("toks"))
-    stripped = split.select(
-        "*", F.transform("toks", lambda t: F.coalesce(T.strip(M.token_text(t)), F.lit(""))).alias("all_texts"))
-    marked = stripped.select("*", F.zip_with("toks", "all_texts", _mark).alias("marks"))
-    return marked.select(
-        "page_id", *keep, F.transform("toks", _slim).alias("toks"),
-        F.filter("all_texts", lambda t: t != "").alias("texts"), _balance_pages("marks").alias("tree"),
-    ).select("page_id", *keep, "toks", "texts", "tree.*")
+    read = split.select(
+        "*", F.transform("toks", M.kind).alias("kinds"), F.transform("toks", M.tag_name).alias("names"),
+        F.transform(M.texts(F.col("toks")), lambda t: F.coalesce(T.strip(t), F.lit(""))).alias("all_texts"))
+    marks = F.transform("kinds", lambda k, i: _mark(k, F.get("names", i), F.get("all_texts", i)))
+    return read.select(
+        "page_id", *keep, F.transform("toks", _slim).alias("toks"), "kinds", "names",
+        F.filter("all_texts", lambda t: t != "").alias("texts"), balance_pages(marks).alias("tree"),
+    ).select("page_id", *keep, "toks", "kinds", "names", "texts", "tree.*")
 
 
 def _slim(token: Column) -> Column:
@@ -147,7 +75,7 @@ def _slim(token: Column) -> Column:
 
 
 def _name_at(position: Column) -> Column:
-    return M.tag_name(F.get("toks", F.get("src", position)))
+    return F.get("names", F.get("src", position))
 
 
 def _texts_inside(start: Column, separator: str, limit: Column | int | None) -> Column:
@@ -193,8 +121,12 @@ def nodes(
     def item(src: Column, i: Column) -> Column:
         mate = F.get("mate", i)
         closing = (mate >= 0) & (mate < i)
-        tok = F.get("toks", F.when(closing, F.get("src", mate)).otherwise(src))
+        at = F.when(closing, F.get("src", mate)).otherwise(src)
+        tok = F.get("toks", at)
+        written = F.get("kinds", at)
+        kind = F.when(mate > i, "open").when(closing, "close").when(written == "open", "empty").otherwise(written)
         fields = [
+            kind.alias("kind"), F.get("names", at).alias("tag"),
             i.alias("pos"), src.alias("src"), mate.alias("mate"), F.get("parent", i).alias("parent"),
             F.get("nth", i).alias("nth"), tok.alias("tok"),
         ]
@@ -218,12 +150,19 @@ def nodes(
             fields.append(F.when(is_img, _texts_inside(up, "", F.char_length(tok) + 5)).alias("parent_text"))
         return F.struct(*fields)
 
-    rows = arrays.select("page_id", *keep, F.inline_outer(F.transform("src", item)))
-    raw_kind = M.kind(F.col("tok"))
-    kind = (
-        F.when(F.col("mate") > F.col("pos"), "open").when(F.col("mate") >= 0, "close")
-        .when(raw_kind == "open", "empty").otherwise(raw_kind))
-    return rows.withColumns({"kind": kind, "tag": M.tag_name(F.col("tok"))})
+    return arrays.select("page_id", *keep, F.inline_outer(F.transform("src", item)))
+
+
+# Start tags whose attributes some operator reads.
+READ_ATTRIBUTES = (
+    r"(?is)^<(?:a|abbr|html|img|link|math|meta|mjx-container|source|time)[\s/>]|^<script\b[^>]*(?:ld\+json|math/tex)"
+    r"|^<t[dh]\b[^>]*span|^<div\b[^>]*(?:content|main|article|post-body)|^<[a-z][^>]*(?:katex|\bstyle\s*=)")
+
+
+def with_attrs(rows: DataFrame) -> DataFrame:
+    """Add ``attrs`` on rows of ``READ_ATTRIBUTES``: array<struct<name, value>>, end rows like their start rows."""
+    start = F.regexp_extract("tok", M.START_TAG, 0)
+    return rows.withColumn("attrs", F.when(F.col("tok").rlike(READ_ATTRIBUTES), M.attributes(start)))
 
 
 def doc_order():
@@ -250,7 +189,7 @@ def element_text(pages: DataFrame, tags: list[str], separator: str = "") -> Data
     """(page_id, tag, pos, text) of every element with one of these names; title comes from its rcdata token."""
     rows = nodes(pages, text_of=dict.fromkeys(tags), separator=separator)
     rows = rows.filter(F.col("tag").isin(tags) & F.col("kind").isin("open", "rcdata"))
-    own = T.strip(M.token_text(F.col("tok")))
+    own = T.strip(M.token_text(F.col("kind"), F.col("tok")))
     return rows.select("page_id", "tag", "pos", F.when(F.col("kind") == "rcdata", own).otherwise(F.col("text")).alias("text"))
 
 
@@ -272,7 +211,7 @@ def visible(rows: DataFrame) -> DataFrame:
 def plaintext(pages: DataFrame) -> DataFrame:
     """(page_id, plaintext): visible text nodes, stripped, one per line. Pages without text give ''."""
     rows = visible(nodes(pages))
-    text = T.strip(M.token_text(F.col("tok")))
+    rows = rows.select("page_id", "pos", T.strip(M.token_text(F.col("kind"), F.col("tok"))).alias("t"))
     return rows.groupBy("page_id").agg(
-        F.sort_array(F.collect_list(F.when(text != "", F.struct("pos", text.alias("t"))))).alias("ts")
+        F.sort_array(F.collect_list(F.when(F.col("t") != "", F.struct("pos", "t")))).alias("ts")
     ).select("page_id", F.array_join("ts.t", "\n").alias("plaintext"))

@@ -15,7 +15,7 @@ from pageloom.functions import text as T
 from pageloom.functions import urls as U
 from pageloom.operators import code, extract, images, mathml, render, staged, tables
 from pageloom.operators import metadata as meta
-from pageloom.operators.tokens import nodes
+from pageloom.operators.tokens import nodes, with_attrs
 
 LAYOUTS = ("site", "single")
 
@@ -45,23 +45,22 @@ def markdown_rows(pages: DataFrame, extractor: str = "heuristic", local_images:
     rows = rows.withColumns({
         "has_image": F.coalesce(is_image, F.lit(False)),
         "url": F.when(facts, F.col("url")), "file_path": F.when(facts, F.col("file_path"))})
-    rows = extract.with_shown(rows)
+    rows = with_attrs(extract.with_shown(rows))
     dense = extract.dense_blocks(pages) if extractor == "density" else None
     rows = mathml.with_formulas(extract.with_region(rows, extractor, dense))
     in_region = F.col("pos").between(F.col("region.start"), F.col("region.end"))
     kept = F.col("shown") | (F.col("latex").isNotNull() & (F.col("kind") == "raw"))
     rows = rows.withColumn("in_body", F.coalesce(in_region & kept, F.lit(False))).drop("region")
     rows = images.with_nearest_heading(tables.with_table_context(rows, F.col("in_body")))
-    rows = rows.withColumn("_attrs", F.when(F.col("has_image"), M.attributes(F.regexp_extract("tok", M.START_TAG, 0))))
     image_md = None
     if local_images:
-        refs = F.when(F.col("has_image"), images.localized(images.image_refs(F.col("tag"), F.col("_attrs")), F.col("url"), F.col("file_path")))
+        refs = F.when(F.col("has_image"), images.localized(images.image_refs(F.col("tag"), F.col("attrs")), F.col("url"), F.col("file_path")))
         rows = rows.withColumn("refs", refs)
-        rows = rows.withColumn("alt", F.when(F.col("has_image"), T.strip(M.attribute(F.col("_attrs"), "alt"))))
+        rows = rows.withColumn("alt", F.when(F.col("has_image"), T.strip(M.attribute(F.col("attrs"), "alt"))))
         rel = F.get(F.filter("refs", lambda r: r["via"] == "src"), 0)["rel_path"]
         rows = rows.withColumn("src_rel", F.when(F.col("tag") == "img", rel))
         image_md = images.md_image(images.image_alt(F.col("alt"), F.col("src_rel")), F.col("src_rel"))
-    return render.with_markdown(render.with_context(rows.drop("_attrs")), image_md)
+    return render.with_markdown(render.with_context(rows), image_md)
 
 
 def _page_images(pages: DataFrame) -> DataFrame:
