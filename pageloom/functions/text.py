@@ -43,7 +43,20 @@ def byte_count(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def _rounded_tenths(numerator: Column, denominator: Column) -> Column:
+    """10 * numerator / denominator, rounded half up in exact integer arithmetic; null for a zero denominator."""
+    doubled = 20 * numerator + denominator
+    step = F.nullif(2 * denominator, F.lit(0))
+    return ((doubled - F.pmod(doubled, step)) / step).cast("long")
+
+
 def ratio(a: Column, b: Column) -> Column:
     """``a/b`` with one decimal and an ``x``; ``N/A`` when b is zero."""
-    tenths = F.round(a / F.nullif(b, F.lit(0)), 1).cast("decimal(20,1)").cast("string")
-    return F.coalesce(F.concat(tenths, F.lit("x")), F.lit("N/A"))
+    tenths = _rounded_tenths(a, b)
+    shown = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit("x"))
+    return F.coalesce(shown, F.lit("N/A"))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """``part`` of ``whole`` in percent with one decimal; 0 when whole is zero."""
+    return F.coalesce(_rounded_tenths(part * 100, whole) / 10, F.lit(0.0))

@@ -35,14 +35,19 @@ def with_targets(pages: DataFrame, layout: str = "site") -> DataFrame:
     return placed.withColumn("url", F.col("norm_url")) if layout == "site" else placed
 
 
-def markdown_rows(pages: DataFrame, extractor: str = "heuristic", local_images: bool = True) -> DataFrame:
-    """Node rows of pages (page_id, url, file_path, html) with their Markdown pieces and page facts."""
+def markdown_rows(pages: DataFrame, extractor: str = "heuristic", local_images: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Node rows of pages (page_id, url, file_path, html) with their Markdown pieces and page facts.
+
+    ``carry`` names further page columns; like the URL they stay on the first row of a page only.
+    """
     rows = nodes(
-        pages, "url", "file_path", text_of={**images.HEADING_TEXT, "a": None, "abbr": None},
+        pages, "url", "file_path", *carry, text_of={**images.HEADING_TEXT, "a": None, "abbr": None},
         markup_of=f"{mathml.FORMULA_TAGS}|{code.PRE}", parents=True, grandparent=True)
     is_image = F.col("tok").rlike(images.IMAGE_TOKENS) & F.col("kind").isin("open", "empty")
-    facts = F.coalesce(F.col("pos") == 0, F.lit(True)) | is_image
+    first = F.coalesce(F.col("pos") == 0, F.lit(True))
+    facts = first | F.coalesce(is_image, F.lit(False))
     rows = rows.withColumns({
+        **{c: F.when(first, F.col(c)) for c in carry},
         "has_image": F.coalesce(is_image, F.lit(False)),
         "url": F.when(facts, F.col("url")), "file_path": F.when(facts, F.col("file_path"))})
     rows = with_attrs(extract.with_shown(rows))
@@ -95,9 +100,18 @@ def place_images(body: Column, places: Column) -> Column:
     return F.when(F.size(places) > 0, F.aggregate(places, body, place)).otherwise(body)
 
 
-def page_bodies(pages: DataFrame, extractor: str = "heuristic", local_images: bool = True) -> DataFrame:
-    """(page_id, url, file_path, metadata fields, html_title, body) from pages (page_id, url, file_path, html)."""
-    rows = meta.with_head_columns(markdown_rows(pages, extractor, local_images))
+def page_bodies(
+    pages: DataFrame, extractor: str = "heuristic", local_images: bool = True, carry: tuple[str, ...] = (), plain: bool = False,
+) -> DataFrame:
+    """(page_id, url, file_path, metadata fields, html_title, body) from pages (page_id, url, file_path, html).
+
+    ``carry`` columns come along; ``plain`` adds ``plaintext``, the visible text of the whole page.
+    """
+    rows = meta.with_head_columns(markdown_rows(pages, extractor, local_images, carry))
+    visible = []
+    if plain:
+        rows = rows.withColumn("_t", F.when(F.col("shown"), T.strip(M.token_text(F.col("kind"), F.col("tok")))))
+        visible = [F.array_sort(F.collect_list(F.when(F.col("_t") != "", F.struct("pos", F.col("_t").alias("t"))))).alias("visible")]
     empty = F.array().cast("array<struct<pos:int,alt:string,heading:string,refs:array<struct<via:string,url:string,rel_path:string>>>>")
     image_row = F.struct("pos", "alt", "heading", "refs") if local_images else None
     wanted = F.col("has_image") & F.col("latex").isNull()
@@ -107,7 +121,7 @@ def page_bodies(pages: DataFrame, extractor: str = "heuristic", local_images: bo
         F.sort_array(F.collect_list(F.when(F.col("in_body"), F.col("entry")))).alias("entries"),
         F.array_sort(F.collect_list(F.when(F.col("definition").isNotNull(), F.struct("pos", "definition")))).alias("definitions"),
         (F.collect_list(F.when(wanted, image_row)) if local_images else F.first(empty)).alias("image_rows"),
-        *meta.metadata_aggregates())
+        *[F.max(c).alias(c) for c in carry], *visible, *meta.metadata_aggregates())
     found = _page_images(tables.with_grid(found))
     text = F.array_join(F.transform(
         F.array_sort(F.concat("pieces", render.table_pieces(F.col("grid")))), lambda p: p["md"]), "")
@@ -116,7 +130,8 @@ def page_bodies(pages: DataFrame, extractor: str = "heuristic", local_images: bo
     noted = F.when(F.size("definitions") > 0, T.strip(F.concat("text", F.lit("\n"), defined))).otherwise(F.col("text"))
     found = staged(found.withColumn("text", noted), body=place_images(F.col("text"), F.col("places")))
     found = found.withColumn("keywords", meta.keyword_list(F.col("keyword_line")))
-    return found.select("page_id", "url", "file_path", *meta.FIELDS, "html_title", "body")
+    extra = [F.array_join("visible.t", "\n").alias("plaintext")] if plain else []
+    return found.select("page_id", "url", "file_path", *carry, *meta.FIELDS, "html_title", "body", *extra)
 
 
 def document(bodies: DataFrame, metadata: bool = True) -> DataFrame:

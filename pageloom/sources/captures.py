@@ -44,21 +44,27 @@ def read_html_folder(spark: SparkSession, path: str, base_url: str) -> DataFrame
 
 
 def decode_charset(content: Column, declared: Column | None = None) -> Column:
-    """Bytes to text: valid UTF-8 first, then the declared charset, then the one named in a meta tag."""
+    """Bytes to text by the declared charset; absent or iso-8859-1 (the transport default) means look at the bytes:
+    valid UTF-8, else the charset a meta tag names, else windows-1252."""
     latin = F.decode(content, "ISO-8859-1")
     named = F.upper(F.regexp_extract(F.left(latin, F.lit(2048)), r"(?i)<meta[^>]*charset=[\"']?([A-Za-z0-9_\-]+)", 1))
-    named = named if declared is None else F.coalesce(F.nullif(F.upper(declared), F.lit("ISO-8859-1")), named)
+    stated = F.lit("") if declared is None else F.coalesce(F.upper(declared), F.lit(""))
+    stated = F.when(stated.isin("ISO-8859-1", "LATIN-1", "LATIN1"), "").otherwise(stated)
     # The single-byte characters in which windows-1252 differs from ISO-8859-1.
     codes = "".join(chr(i) for i in range(128, 160))
     cp1252 = "".join(bytes([i]).decode("cp1252", "replace") for i in range(128, 160))
-    single_byte = F.translate(latin, codes, cp1252)
+
+    def decoded(charset: Column) -> Column:
+        return (
+            F.when(charset.isin("UTF-16", "UTF-16LE"), F.decode(content, "UTF-16LE"))
+            .when(charset == "UTF-16BE", F.decode(content, "UTF-16BE"))
+            .when(charset.isin("UTF-8", "UTF8"), F.make_valid_utf8(content.cast("string")))
+            .otherwise(F.translate(latin, codes, cp1252)))
+
     return (
-        F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-        .when(named.isin("UTF-16", "UTF-16LE"), F.decode(content, "UTF-16LE"))
-        .when(named == "UTF-16BE", F.decode(content, "UTF-16BE"))
-        .when(named.isin("UTF-8", "UTF8"), F.make_valid_utf8(content.cast("string")))
-        .otherwise(single_byte)
-    )
+        F.when(stated != "", decoded(stated))
+        .when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
+        .otherwise(decoded(named)))
 
 
 def outcomes(pages: DataFrame) -> DataFrame:
