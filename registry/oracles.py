@@ -39,7 +39,7 @@ PLAIN = f"array_to_string({NODES.format(BARE)}, chr(10))"
 
 # The article of a raw page: a title, then paragraphs, some of them unclosed with an unclosed <b> and a <br>.
 MARK = "chr(1)"
-ARTICLE = f"""art AS (SELECT page_id, url, html, {decoded(squeezed("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"))} AS h1,
+ARTICLE = f"""art AS (SELECT page_id, url, html, {decoded("ltrim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '\\s+', ' ', 'g'))")} AS h1,
   regexp_extract(html, '<article>.*?</h1>(.*)</article>', 1, 's') AS rest FROM pages),
 md AS (SELECT page_id, url, html, h1, '# ' || h1 || chr(10) || chr(10) || {{strip}}(regexp_replace(
   {decoded(f'''regexp_replace(
@@ -241,7 +241,7 @@ def walk(where: str, expand: str = "true") -> str:
   reach(url, depth, chain) AS (
     SELECT '{START}', 0, ['{START}']
     UNION ALL SELECT e.url, r.depth + 1, list_append(r.chain, e.url) FROM reach r JOIN edges e ON e.source = r.url
-    WHERE r.depth < 12 AND NOT list_contains(r.chain, e.url) AND (r.depth = 0 OR e.url > r.url OR length(e.url) >= length(r.url))),
+    WHERE NOT list_contains(r.chain, e.url)),
   best AS (SELECT url, min(depth) AS depth FROM reach GROUP BY url),
   first AS (SELECT r.url, r.depth, min(r.chain) AS chain FROM reach r JOIN best USING (url, depth) GROUP BY r.url, r.depth),
   walk AS (SELECT CAST(row_number() OVER (ORDER BY depth, chain) AS BIGINT) AS rank, depth, f.url,
@@ -320,8 +320,8 @@ add("md1_headings_x", f"""WITH {MD_ARTICLE}, {META} SELECT page_id, CAST(n AS BI
   SELECT page_id, 2 AS n, '##  Figure ' || CAST(page_id AS VARCHAR) AS line FROM pages
   UNION ALL SELECT page_id, 3, '# ' || h1 FROM art_md
   UNION ALL SELECT page_id, 1, '# ' || {TITLE} FROM pages)""")
-LINES = "lines AS (SELECT page_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS at FROM md)"
-add("md4_line_break", f"""WITH {MD}, {LINES} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY at) AS BIGINT) AS n, line
+LINES = "lines AS (SELECT page_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS place FROM md)"
+add("md4_line_break", f"""WITH {MD}, {LINES} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY place) AS BIGINT) AS n, line
   FROM lines WHERE line LIKE '%  '""")
 add("md5_links_x", f"""WITH {K} SELECT page_id, CAST(1 AS BIGINT) AS n, '[L](/p/' || CAST(2 * i + 1 AS VARCHAR) || ') [R]( /p/' || CAST(2 * i + 2 AS VARCHAR)
   || '/?utm_medium=q#t) [U](/p/' || CAST(CAST(floor((i - 1) / 2) AS BIGINT) AS VARCHAR) || ')' AS line FROM k""")
@@ -341,7 +341,7 @@ add("md11_escape_x", r"""SELECT page_id, CAST(n AS BIGINT) AS n, line FROM (SELE
   UNION ALL SELECT page_id, 2, chr(92) || '- dash' FROM pages)""")
 add("md12_abbr_x", "SELECT page_id, CAST(1 AS BIGINT) AS n, '  *[AB' || CAST(page_id AS VARCHAR) || ']: Long ' || CAST(page_id AS VARCHAR) AS line FROM pages")
 add("md2_paragraphs", f"WITH {MD} SELECT page_id, CAST(len(string_split(body, chr(10) || chr(10))) AS BIGINT) AS parts FROM md")
-add("md3_emphasis", f"""SELECT page_id, 2 * {times('<b>')} AS marks FROM pages""")
+add("md3_emphasis", f"WITH {MD} SELECT page_id, {times('[*][*]', 'body')} AS marks FROM md")
 
 
 def document(body: str, url: str, file_path: str) -> str:
@@ -386,7 +386,7 @@ ENRICHED = """'[L](/p/' || CAST(2 * i + 1 AS VARCHAR) || ') [R]( /p/' || CAST(2
 PLACED = f"""placed AS (SELECT page_id, string_agg(chr(10) || chr(10) || {MD_IMG}, '' ORDER BY ord) AS pics FROM images WHERE ord BETWEEN 2 AND 5 GROUP BY page_id)"""
 BODY_X = f"""body_x AS (SELECT md.page_id, site, k, i, html, h1,
   trim(CASE WHEN md.page_id % 6 = 5 THEN {NAV_MD} || {AD_MD} ELSE '' END || {ENRICHED} || body
-  || CASE WHEN md.page_id % 6 = 5 THEN {FOOT_MD} ELSE '' END, chr(10) || ' ') || chr(10) || '  *[AB' || k || ']: Long ' || k || pics AS body
+  || CASE WHEN md.page_id % 6 = 5 THEN {FOOT_MD} ELSE '' END, chr(10) || ' ') || chr(10) || '  *[AB' || k || ']: Long ' || k AS bare, bare || pics AS body
   FROM (SELECT *, repeat(chr(10), 2) AS nl FROM md) AS md JOIN k USING (page_id) JOIN placed USING (page_id))"""
 FULL_X = f"""WITH {MD_RAW}, {K}, {IMAGES}, {PLACED}, {BODY_X}, {META},
 sized AS (SELECT *, {WORDS.format('body')} AS w FROM body_x JOIN m USING (page_id)),
@@ -432,9 +432,10 @@ add("rpt4_job_result", f"""WITH {MD} SELECT 'true' AS success, CAST(count(*) AS
 
 # The walk over the enriched pages without images and metadata
 SMALL_X = f"""{walk('%.org/p/%')}, {MD_RAW}, {IMAGES}, {PLACED}, {BODY_X}"""
-add("crl7_crawl_summary_x", f"""{SMALL_X}, sized AS (SELECT page_id, {WORDS.format("regexp_replace(body, '!\\[[^\\n]*', '', 'g')")} AS w, body FROM body_x)
+add("crl7_crawl_summary_x", f"""{SMALL_X}, sized AS (SELECT page_id, {WORDS.format('bare')} AS w FROM body_x)
   SELECT count(*) FILTER (WHERE status = 'saved') AS saved, count(*) FILTER (WHERE status = 'skipped') AS skipped,
-  count(*) FILTER (WHERE status = 'exists') AS already_exists, CAST(0 AS BIGINT) AS total_words, CAST(0 AS BIGINT) AS total_tokens FROM walk""")
+  count(*) FILTER (WHERE status = 'exists') AS already_exists, CAST(sum(w) AS BIGINT) AS total_words,
+  CAST(sum({TOKENS.format('w')}) AS BIGINT) AS total_tokens FROM walk LEFT JOIN sized USING (page_id)""")
 
 # User-facing jobs
 add("api1_convert_pages_x", f"WITH {K} SELECT page_id, {URL} AS url, {FILE} AS file_path FROM k WHERE page_id % 3 <> 1")

@@ -586,7 +586,7 @@ _line_query("md4_line_break", r"  $", images=False)
 _line_query("md5_links_x", r"^\[L\]", images=False)
 _line_query("md6_images_x", r"^!\[Alt")
 _line_query("md7_lists_x", r"^ +(?:\d+\.|\*) (?:one|two|sub)", images=False)
-_line_query("md8_tables_x", r"\|", images=False)
+_line_query("md8_tables_x", r"^(?:h\||---\||r\d+\||\| w)", images=False)
 _line_query("md9_code_x", r"^(?:```|p\(|_em_)", images=False)
 _line_query("md10_blockquote_hr_x", r"^(?:>  ?quote|> quote|\* \* \*)", images=False)
 _line_query("md11_escape_x", r"^(?:\d\\\.|\\-)", images=False)
