@@ -11,7 +11,10 @@ WHITESPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WS = r"\t\n\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+WS = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+# Printable ASCII is told by one comparison; only other characters are held against the whole class.
+WORD = rf"(?:[!-~]++|[^{WS}]++)++"
+GAP = rf"(?![!-~])[{WS}]++"
 
 
 def strip(text: Column) -> Column:
@@ -21,12 +24,12 @@ def strip(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Every whitespace run becomes one space."""
-    return F.regexp_replace(text, f"[{WS}]+", " ")
+    return F.regexp_replace(text, GAP, " ")
 
 
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words; null counts as no text."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{WS}]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def token_estimate(words: Column) -> Column:

@@ -30,17 +30,19 @@ def _balance(marks) -> tuple[list, ...]:
     """Match start and end tags of one page.
 
     ``marks`` holds per token ``name`` (start tag), ``/name`` (end tag), ``name!!`` (element without content),
-    ``name!`` (title or textarea with text), ``#`` (visible text) or an empty string. An end tag closes its nearest open namesake and whatever is open
-    inside; one without a namesake is dropped; elements still open at the end are closed there.
+    ``name!`` (title or textarea with text), ``#`` (visible text) or an empty string. An end tag closes its
+    nearest open namesake and whatever is open inside; one without a namesake is dropped; elements still open at
+    the end are closed there. Parent and number of a list item refer to its list, even when an item before it
+    was never closed.
     """
     src, mate, parent, nth, before = [], [], [], [], []
-    stack, names, siblings, still_open = [], [], [{}], {}
+    stack, names, siblings, still_open, lists = [], [], [{}], {}, []
     seen = 0
 
-    def put(at, mate_at, number):
+    def put(at, mate_at, number, within=None):
         src.append(at)
         mate.append(mate_at)
-        parent.append(stack[-1] if stack else -1)
+        parent.append(within if within is not None else stack[-1] if stack else -1)
         nth.append(number)
         before.append(seen)
 
@@ -48,6 +50,8 @@ def _balance(marks) -> tuple[list, ...]:
         start, name = stack.pop(), names.pop()
         siblings.pop()
         still_open[name] -= 1
+        if name in ("ul", "ol"):
+            lists.pop()
         mate[start] = len(src)
         put(at, start, nth[start])
 
@@ -63,13 +67,16 @@ def _balance(marks) -> tuple[list, ...]:
                 close(at)
         else:
             name = mark.rstrip("!")
-            number = siblings[-1].get(name, 0) + 1
-            siblings[-1][name] = number
+            of_list = name == "li" and lists
+            counts = siblings[lists[-1] + 1] if of_list else siblings[-1]
+            number = counts[name] = counts.get(name, 0) + 1
             if name != mark or name in VOID:
                 put(at, -1, number)
                 seen += mark in ("title!", "textarea!")
                 continue
-            put(at, -1, number)
+            put(at, -1, number, stack[lists[-1]] if of_list else None)
+            if name in ("ul", "ol"):
+                lists.append(len(stack))
             stack.append(len(src) - 1)
             names.append(name)
             siblings.append({})

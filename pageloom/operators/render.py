@@ -18,8 +18,8 @@ from pageloom.operators.tokens import doc_order
 
 # Markers are Unicode noncharacters; page text is cleared of them first.
 PARAGRAPH, LINE, ROW, SPACE, START, ANCHOR, QUOTE, UNQUOTE = (chr(0xFDE0 + n) for n in range(8))
-_BREAKS = f"[{PARAGRAPH}{LINE}{ROW}{SPACE}]"
-_NONCHARACTERS = "".join(chr(c) for c in range(0xFDD0, 0xFDF0))
+_BREAKS = f"[{PARAGRAPH}-{SPACE}]"
+_NONCHARACTERS = f"[{chr(0xFDD0)}-{chr(0xFDEF)}]"
 
 HEADING = r"^h[1-6]$"
 EMPHASIS = {"em": "_", "i": "_", "u": "_", "strong": "**", "b": "**", "del": "~~", "strike": "~~", "s": "~~"}
@@ -28,7 +28,7 @@ LISTS = ["ul", "ol"]
 
 
 def clean(text: Column) -> Column:
-    return F.translate(text, _NONCHARACTERS, "")
+    return F.when(text.rlike(_NONCHARACTERS), F.regexp_replace(text, _NONCHARACTERS, "")).otherwise(text)
 
 
 def escape(text: Column) -> Column:
@@ -80,7 +80,8 @@ def with_words(rows: DataFrame) -> DataFrame:
     raw = F.col("words")
     spaced = F.col("after_stress") & raw.rlike(r"^[^\]\[(){}\s.!?]") & ~F.col("tag_before").isin("a", "code", "pre")
     rows = rows.withColumn("words", F.when(F.col("stressed"), T.strip(raw)).when(spaced, F.concat(F.lit(" "), raw)).otherwise(raw))
-    plain = (F.col("codes") > 0) | ~F.col("words").rlike(r"[\\+.\-]")
+    structural = F.col("words").contains("\\") | F.col("words").rlike(r"(?:\A|[\n&<>])[ \t\r\f]*(?:\d+\.|[+\-])")
+    plain = (F.col("codes") > 0) | ~structural
     return rows.withColumn("words", T.collapse(F.when(plain, F.col("words")).otherwise(escape(F.col("words")))))
 
 
@@ -189,9 +190,12 @@ def table_pieces(grid: Column) -> Column:
         last = F.coalesce(F.element_at(F.transform(indexed, lambda d: d["j"]), -1), F.lit(0))
         is_first = (n == 0) | (F.get(grid, n - 1)["table_pos"] != r["table_pos"])
         rule = F.when(is_first & (width > 0), F.concat(F.lit(ROW), F.array_join(F.array_repeat(F.lit("---"), width), "|"))).otherwise("")
+        # A row that was never closed ends where the next one starts.
+        following = F.get(grid, n + 1)
+        early = F.coalesce((following["table_pos"] == r["table_pos"]) & (following["tr"] < r["row_end"]), F.lit(False))
         end = F.array(F.struct(
-            r["row_end"].alias("pos"), F.lit(0).alias("sub"),
-            F.concat(separators(F.greatest(width - 1 - last, F.lit(0))), rule).alias("md")))
+            F.when(early, following["tr"]).otherwise(r["row_end"]).alias("pos"), F.lit(0).alias("sub"),
+            F.concat(separators(F.greatest(width - 1 - last, F.lit(0))), rule, F.when(early, ROW).otherwise("")).alias("md")))
         return F.concat(F.when(F.size(indexed) > 0, starts).otherwise(F.slice(starts, 1, 0)), F.when(
             r["row_end"].isNotNull() & (width > 0), end).otherwise(F.slice(end, 1, 0)))
 
@@ -204,13 +208,14 @@ def settle(text: Column) -> Column:
     t = F.regexp_replace(t, f"({START}){_BREAKS}*+", "$1")
     t = F.regexp_replace(t, START, "")
     quote = f"({QUOTE}[^{UNQUOTE}]*+{UNQUOTE})?"
+    some = f"(?={_BREAKS})"  # a cheap test first: most characters are no markers
     # A paragraph break is two line ends, the others one; after a table row line ends carry two spaces.
-    row_paragraph = f"(?=[{LINE}{SPACE}{ROW}]*+{PARAGRAPH})(?=[{LINE}{SPACE}{PARAGRAPH}]*+{ROW}){_BREAKS}++{quote}"
+    row_paragraph = f"{some}(?=[{LINE}{SPACE}{ROW}]*+{PARAGRAPH})(?=[{LINE}{SPACE}{PARAGRAPH}]*+{ROW}){_BREAKS}++{quote}"
     t = F.regexp_replace(t, row_paragraph, "  \n$1  \n$1")
-    t = F.regexp_replace(t, f"(?=[{LINE}{SPACE}]*+{PARAGRAPH}){_BREAKS}++{quote}", "\n$1\n$1")
-    t = F.regexp_replace(t, f"(?=[{LINE}{SPACE}]*+{ROW}){_BREAKS}++{quote}", "  \n$1")
-    t = F.regexp_replace(t, f"(?=[{SPACE}]*+{LINE}){_BREAKS}++{quote}", "\n$1")
-    t = F.regexp_replace(t, f"(?<=[\n]){SPACE}++", "")
+    t = F.regexp_replace(t, f"{some}(?=[{LINE}{SPACE}]*+{PARAGRAPH}){_BREAKS}++{quote}", "\n$1\n$1")
+    t = F.regexp_replace(t, f"{some}(?=[{LINE}{SPACE}]*+{ROW}){_BREAKS}++{quote}", "  \n$1")
+    t = F.regexp_replace(t, f"{some}(?={SPACE}*+{LINE}){_BREAKS}++{quote}", "\n$1")
+    t = F.regexp_replace(t, f"\n{SPACE}++", "\n")
     t = F.regexp_replace(t, f"{SPACE}++", " ")
     # Quote prefixes stand where a line starts; elsewhere they vanish.
     t = F.regexp_replace(t, f"(?<=\n){QUOTE}([^{UNQUOTE}]*+){UNQUOTE}", "$1")

@@ -23,25 +23,29 @@ def span(value: Column) -> Column:
 
 def with_table_context(rows: DataFrame, counted: Column | None = None) -> DataFrame:
     """Add ``table_depth``, ``table_pos`` (start of the outermost table) and, on rows and cells of outermost
-    tables, ``entry``: struct(pos, tr, body, across, down, is_cell, is_header, ...). Needs ``grandparent`` and ``attrs``.
+    tables, ``entry``: struct(pos, tr, body, across, down, is_cell, is_header, ...). Needs ``attrs``.
     Only tables on ``counted`` rows are seen."""
     opens, tag = F.col("kind") == "open", F.col("tag")
     rows = rows.withColumn("table_depth", inside((tag == "table") if counted is None else (tag == "table") & counted))
-    outer = F.when(opens & (tag == "table") & (F.col("table_depth") == 1), F.col("pos"))
+
+    def latest(*names: str) -> Column:
+        """Start of the element opened last; a cell or row someone forgot to close ends where the next starts."""
+        return F.max(F.when(opens & tag.isin(*names) & (F.col("table_depth") == 1), F.col("pos"))).over(doc_order())
+
+    rows = rows.withColumns({
+        "table_pos": latest("table"), "_tr": latest("tr"), "_body": latest("table", "thead", "tbody", "tfoot")})
     is_cell = tag.isin("td", "th")
     spans = F.col("attrs")
     entry = F.struct(
         "pos",
-        F.when(is_cell, F.col("parent")).otherwise(F.col("pos")).alias("tr"),
-        F.when(is_cell, F.col("grandparent")).otherwise(F.col("parent")).alias("body"),
+        F.when(F.col("_tr") > F.col("_body"), F.col("_tr")).otherwise(F.col("_body")).alias("tr"), F.col("_body").alias("body"),
         F.least(span(M.attribute(spans, "colspan")), F.lit(MOST_COLUMNS)).alias("across"),
         span(M.attribute(spans, "rowspan")).alias("down"),
         is_cell.alias("is_cell"), (tag == "th").alias("is_header"),
         F.when(tag == "tr", F.col("mate")).alias("row_end"), F.col("table_pos").alias("table_pos"),
         F.coalesce(F.col("text") if "text" in rows.columns else F.lit(None), F.lit("")).alias("text"))
     wanted = opens & (F.col("table_depth") == 1) & (is_cell | (tag == "tr"))
-    rows = rows.withColumn("table_pos", F.max(outer).over(doc_order()))
-    return rows.withColumn("entry", F.when(wanted, entry))
+    return rows.withColumn("entry", F.when(wanted, entry)).drop("_tr", "_body")
 
 
 def _cell(origin: Column, text: Column, filled: bool) -> Column:
@@ -50,7 +54,7 @@ def _cell(origin: Column, text: Column, filled: bool) -> Column:
 
 
 def with_grid(groups: DataFrame) -> DataFrame:
-    """Turn ``entries`` (rows and cells in document order) into ``grid``: array<struct<table_pos, row_end, body, cells>>.
+    """Turn ``entries`` (rows and cells in document order) into ``grid``: array<struct<table_pos, tr, row_end, body, cells>>.
 
     A cell is struct(pos, is_header, text, filled); filled ones stand for the columns and rows a span covers.
     """
@@ -65,7 +69,7 @@ def with_grid(groups: DataFrame) -> DataFrame:
         stop = F.coalesce(F.get("starts", n + 1), F.size("entries"))
         cells = F.filter(F.slice("entries", start + 1, stop - start), lambda e: e["is_cell"])
         return F.struct(
-            F.get("entries", start)["table_pos"].alias("table_pos"), F.get("entries", start)["row_end"].alias("row_end"),
+            F.get("entries", start)["table_pos"].alias("table_pos"), F.get("entries", start)["tr"].alias("tr"), F.get("entries", start)["row_end"].alias("row_end"),
             F.get("entries", start)["body"].alias("body"),
             F.flatten(F.transform(cells, wide)).alias("cells"),
             F.transform(F.filter(cells, lambda e: e["down"] > 1), lambda e: F.struct(
@@ -74,7 +78,7 @@ def with_grid(groups: DataFrame) -> DataFrame:
     groups = staged(groups, rows=F.transform("starts", row))
     def laid(r: Column, cells: Column) -> Column:
         return F.struct(
-            r["table_pos"].alias("table_pos"), r["row_end"].alias("row_end"), r["body"].alias("body"), cells.alias("cells"))
+            r["table_pos"].alias("table_pos"), r["tr"].alias("tr"), r["row_end"].alias("row_end"), r["body"].alias("body"), cells.alias("cells"))
 
     grid = F.transform("rows", lambda r: laid(r, r["cells"]))
     tall = F.flatten(F.transform("rows", lambda r: r["tall"]))
@@ -101,7 +105,7 @@ def with_grid(groups: DataFrame) -> DataFrame:
 
 def table_cells(pages: DataFrame) -> DataFrame:
     """(page_id, table_no, row_no, col_no, is_header, filled, text): all cells of all tables, numbered from 1."""
-    rows = with_table_context(with_attrs(nodes(pages, text_of={"td": None, "th": None}, separator=" ", grandparent=True)))
+    rows = with_table_context(with_attrs(nodes(pages, text_of={"td": None, "th": None}, separator=" ")))
     rows = rows.filter(F.col("entry").isNotNull())
     groups = rows.groupBy("page_id", "table_pos").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     placed = with_grid(groups).withColumn("table_no", F.row_number().over(Window.partitionBy("page_id").orderBy("table_pos")))

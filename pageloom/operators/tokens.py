@@ -103,7 +103,6 @@ def nodes(
     separator: str = "",
     markup_of: str | None = None,
     parents: bool = False,
-    grandparent: bool = False,
 ) -> DataFrame:
     """Balanced tokens: (page_id, pos, src, kind, tag, tok, mate, parent, nth, ...).
 
@@ -114,7 +113,6 @@ def nodes(
                    end rows too), every node stripped, empty ones dropped, joined by ``separator``
     markup_of      pattern over start tags; fills ``markup`` with the element's balanced source
     parents        fills ``parent_tok`` on img and li rows and ``parent_text`` on img rows
-    grandparent    fills ``grandparent``
     """
     arrays = node_arrays(pages, *keep).repartition(F.col("page_id"))
 
@@ -139,8 +137,6 @@ def nodes(
             fields.append(text.alias("text"))
         if markup_of:
             fields.append(F.when((mate > i) & tok.rlike(markup_of), _markup(i)).alias("markup"))
-        if grandparent:
-            fields.append(F.get("parent", F.when(F.get("parent", i) >= 0, F.get("parent", i))).alias("grandparent"))
         if parents:
             up = F.get("parent", i)
             is_img = tok.rlike(r"(?i)^<img[\s/>]") & (up >= 0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 import pageloom
+from pageloom import session
 from pageloom.operators import crawl as walks
 from pageloom.operators import images as pictures
 from pageloom.operators import staged
@@ -57,6 +58,7 @@ def build_corpus(
 ) -> DataFrame:
     """Read captures, walk the site of ``start_url`` (or take every page), store the documents; one result row."""
     about = {"start_url": start_url, "version": pageloom.__version__}
+    session.tune(spark)
     try:
         pages = captures.read_pages(spark, source, format)
         stored = store.read_documents(spark, target)

@@ -24,6 +24,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+# Both settings suit long expressions over rows sorted by page:
+# generated methods the JVM would not compile are split per operator instead, and an aggregation per page
+# streams over its sorted input rather than hashing and sorting it again.
+TUNING = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.execution.useObjectHashAggregateExec": "false",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply ``TUNING`` where the cluster's own configuration says nothing else."""
+    own = spark.sparkContext.getConf()
+    for key, value in TUNING.items():
+        if not own.contains(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read, as the cluster names it.
 
@@ -47,7 +65,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/pageloom-{name}-{uuid.uuid4().hex}"
 
 
-def write_through(df: DataFrame, folder: str, *, compute_sizes: bool = False) -> DataFrame:
+def write_through(df: DataFrame, folder: str) -> DataFrame:
     """Write a table to the shared folder and read it back: short lineage, safe against lost executors."""
     df.write.mode("overwrite").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pageloom import session
 from pageloom.plans.convert import document, page_bodies, with_targets
 from pageloom.sources import store
 from pageloom.sources.captures import html_only
@@ -28,6 +28,7 @@ def ingest(
     spark: SparkSession, source: str, path: str, checkpoint: str, format: str = "parquet", max_files: int = 1000, **options
 ) -> StreamingQuery:
     """Run over everything that has arrived since the last run, then stop."""
+    session.tune(spark)
     arriving = spark.readStream.schema(PAGE_SCHEMA).format(format).option("maxFilesPerTrigger", max_files).load(source)
     writer = arriving.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, path, **options))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

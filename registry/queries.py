@@ -45,7 +45,7 @@ def query(name: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[D
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captures.read_pages(spark, f"{sf_dir}/pages.parquet")
+    return captures.read_pages(session.tune(spark), f"{sf_dir}/pages.parquet")
 
 
 def enriched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
