@@ -22,10 +22,13 @@ def rule_number(kind: Column, tag: Column, attrs: Column) -> Column:
         .when((tag == "div") & by_id, 4).when((tag == "div") & by_class, 5)))
 
 
+def is_shown() -> Column:
+    """Neither script, style, comment, declaration nor inside noscript."""
+    return ~F.col("kind").isin("raw", "comment", "declaration") & (inside(F.col("tag") == "noscript") == 0)
+
+
 def with_shown(rows: DataFrame) -> DataFrame:
-    """Add ``shown``: neither script, style, comment, declaration nor inside noscript."""
-    return rows.withColumn(
-        "shown", ~F.col("kind").isin("raw", "comment", "declaration") & (inside(F.col("tag") == "noscript") == 0))
+    return rows.withColumn("shown", is_shown())
 
 
 def with_region(rows: DataFrame, extractor: str = "heuristic", dense: DataFrame | None = None) -> DataFrame:

@@ -63,17 +63,16 @@ def manifest_counts(manifest: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "exists").alias("existing"), F.count_if("collides").alias("collisions"))
 
 
-def with_nearest_heading(rows: DataFrame) -> DataFrame:
-    """Add ``heading``: the nearest heading starting before a row, else the beginning of the nearest paragraph.
+def nearest_heading() -> Column:
+    """The nearest heading starting before a row, else the beginning of the nearest paragraph.
 
-    An as-of lookup: the last qualifying text in document order. ``rows`` are nodes with heading and p text.
+    An as-of lookup: the last qualifying text in document order, over nodes with heading and p text.
     """
     opens, length = F.col("kind") == "open", F.char_length("text")
     title = F.when(opens & F.col("tag").isin(HEADINGS) & (length > 3), F.col("text"))
     paragraph = F.when(opens & (F.col("tag") == "p") & (length > 20), F.left("text", F.lit(60)))
     before = doc_order().rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(
-        "heading", F.coalesce(F.last(title, True).over(before), F.last(paragraph, True).over(before), F.lit("")))
+    return F.coalesce(F.last(title, True).over(before), F.last(paragraph, True).over(before), F.lit(""))
 
 
 # Of a paragraph only the first 60 characters count, and a text node has at least one.
@@ -88,7 +87,7 @@ def images(pages: DataFrame, file_path: Column | None = None) -> DataFrame:
     """
     placed = staged(pages.select("page_id", "url", "html"), norm_url=U.normalize_url(F.col("url")))
     placed = staged(placed, file_path=U.site_file_path(F.col("norm_url")) if file_path is None else file_path)
-    rows = with_nearest_heading(nodes(placed, "url", "file_path", text_of=HEADING_TEXT))
+    rows = nodes(placed, "url", "file_path", text_of=HEADING_TEXT).withColumn("heading", nearest_heading())
     rows = rows.filter(F.col("tok").rlike(IMAGE_TOKENS) & F.col("kind").isin("open", "empty"))
     rows = with_attrs(rows)
     each = rows.select(

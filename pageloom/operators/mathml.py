@@ -134,9 +134,9 @@ _EQUATION_IMAGE = r"(?i)equation|formula|math|latex|tex"
 
 
 def with_formulas(rows: DataFrame) -> DataFrame:
-    """Add ``latex``, ``is_block`` and ``formula_source`` on rows that start a formula.
+    """Add ``latex``, ``is_block`` and ``formula_source`` on rows that start a formula, row by row.
 
-    ``rows`` are nodes with ``attrs``, markup (``FORMULA_TAGS``) and parents. Formulas inside one are dropped.
+    ``rows`` are nodes with ``attrs``, markup (``FORMULA_TAGS``) and parents.
     """
     tag, kind, tok = F.col("tag"), F.col("kind"), F.col("tok")
     candidate = F.col("markup").isNotNull() | ((tag == "img") & (kind == "empty")) | ((tag == "script") & (kind == "raw"))
@@ -171,15 +171,19 @@ def with_formulas(rows: DataFrame) -> DataFrame:
         .when(source == "mathjax", attr("display") == "true")
         .when(source == "script", attr("type").contains("display"))
         .when(source == "image", F.coalesce(short, F.lit(False))))
-    found = rows.withColumns({"latex": latex, "formula_source": source, "is_block": block})
+    return rows.withColumns({"latex": latex, "formula_source": source, "is_block": block}).drop("_formula")
+
+
+def in_formula() -> Column:
+    """Whether a row lies in a formula that started before it; such a row is no formula of its own."""
     earlier_end = F.max(F.when(F.col("latex").isNotNull(), F.greatest("mate", "pos"))).over(
         doc_order().rowsBetween(Window.unboundedPreceding, -1))
-    found = found.withColumn("in_formula", F.coalesce(earlier_end >= F.col("pos"), F.lit(False)))
-    return found.withColumn("latex", F.when(~F.col("in_formula"), F.col("latex"))).drop("_formula")
+    return F.coalesce(earlier_end >= F.col("pos"), F.lit(False))
 
 
 def formulas(pages: DataFrame) -> DataFrame:
     """(page_id, pos, source, is_block, latex): every formula of every page."""
     rows = with_formulas(with_attrs(nodes(pages, markup_of=FORMULA_TAGS, parents=True)))
-    return rows.filter(F.col("latex").isNotNull()).select(
+    rows = rows.withColumn("in_formula", in_formula())
+    return rows.filter(F.col("latex").isNotNull() & ~F.col("in_formula")).select(
         "page_id", "pos", F.col("formula_source").alias("source"), "is_block", "latex")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import markup as M
 from pageloom.functions import text as T
 from pageloom.operators.code import fence
+from pageloom.operators.tables import table_depth, table_places, with_entries
 from pageloom.operators.tokens import doc_order
 
 # Markers are Unicode noncharacters; page text is cleared of them first.
@@ -52,7 +53,8 @@ def _inside(condition: Column) -> Column:
 def with_context(rows: DataFrame) -> DataFrame:
     """Add what the rendering of a token depends on: open lists, quotes, links, cells; the tags before it.
 
-    ``rows`` hold ``attrs``, ``in_body``, ``latex``/``in_formula`` and ``table_depth``. All windows share one ordering.
+    Also adds the entries of tables. ``rows`` hold ``attrs``, ``in_body``, ``latex`` and ``in_formula``. All windows
+    share one ordering and are asked for in two steps, as the second needs the first: two passes over the rows.
     """
     tag, kind, within = F.col("tag"), F.col("kind"), F.col("in_body")
     before = doc_order().rowsBetween(Window.unboundedPreceding, -1)
@@ -60,6 +62,7 @@ def with_context(rows: DataFrame) -> DataFrame:
     stress = F.when(kind.isin("text", "rcdata"), "text").when((kind == "open") & tag.isin(list(EMPHASIS)), "stress")
     block_end = F.max(F.when(within & (kind == "open") & (tag == "pre"), F.col("mate"))).over(before)
     rows = rows.withColumns({
+        "table_depth": table_depth(within),
         "lists": _inside(tag.isin(LISTS)), "quotes": _inside(tag == "blockquote"), "links": _inside(tag == "a"),
         "cells": _inside(tag.isin("td", "th")), "codes": _inside(tag.isin(CODE)),
         # The head is silent; an unclosed one ends where the body starts.
@@ -69,7 +72,7 @@ def with_context(rows: DataFrame) -> DataFrame:
         "stressed": F.coalesce(F.last(F.when(within, stress), True).over(before) == "stress", F.lit(False)),
     })
     after_stress = F.last(F.when(within & kind.isin("text", "rcdata"), F.col("stressed")), True).over(before)
-    return rows.withColumn("after_stress", F.coalesce(after_stress, F.lit(False)))
+    return with_entries(rows.withColumns({"after_stress": F.coalesce(after_stress, F.lit(False)), **table_places()}))
 
 
 def with_words(rows: DataFrame) -> DataFrame:

@@ -21,19 +21,28 @@ def span(value: Column) -> Column:
     return F.greatest(F.coalesce(F.trim(value).try_cast("int"), F.lit(1)), F.lit(1))
 
 
-def with_table_context(rows: DataFrame, counted: Column | None = None) -> DataFrame:
-    """Add ``table_depth``, ``table_pos`` (start of the outermost table) and, on rows and cells of outermost
-    tables, ``entry``: struct(pos, tr, body, across, down, is_cell, is_header, ...). Needs ``attrs``.
-    Only tables on ``counted`` rows are seen."""
-    opens, tag = F.col("kind") == "open", F.col("tag")
-    rows = rows.withColumn("table_depth", inside((tag == "table") if counted is None else (tag == "table") & counted))
+def table_depth(counted: Column | None = None) -> Column:
+    """How many tables are open at a row; only those on ``counted`` rows are seen."""
+    is_table = F.col("tag") == "table"
+    return inside(is_table if counted is None else is_table & counted)
+
 
+def table_places() -> dict[str, Column]:
+    """Window columns telling which table, row and table body a row of nodes with ``table_depth`` belongs to."""
     def latest(*names: str) -> Column:
         """Start of the element opened last; a cell or row someone forgot to close ends where the next starts."""
-        return F.max(F.when(opens & tag.isin(*names) & (F.col("table_depth") == 1), F.col("pos"))).over(doc_order())
+        opened = (F.col("kind") == "open") & F.col("tag").isin(*names) & (F.col("table_depth") == 1)
+        return F.max(F.when(opened, F.col("pos"))).over(doc_order())
+
+    return {"table_pos": latest("table"), "_tr": latest("tr"), "_body": latest("table", "thead", "tbody", "tfoot")}
+
 
-    rows = rows.withColumns({
-        "table_pos": latest("table"), "_tr": latest("tr"), "_body": latest("table", "thead", "tbody", "tfoot")})
+def with_entries(rows: DataFrame) -> DataFrame:
+    """Add ``entry`` on rows and cells of outermost tables: struct(pos, tr, body, across, down, is_cell, ...).
+
+    ``rows`` hold ``attrs``, ``table_depth`` and ``table_places``.
+    """
+    opens, tag = F.col("kind") == "open", F.col("tag")
     is_cell = tag.isin("td", "th")
     spans = F.col("attrs")
     entry = F.struct(
@@ -43,7 +52,7 @@ def with_table_context(rows: DataFrame, counted: Column | None = None) -> DataFr
         span(M.attribute(spans, "rowspan")).alias("down"),
         is_cell.alias("is_cell"), (tag == "th").alias("is_header"),
         F.when(tag == "tr", F.col("mate")).alias("row_end"), F.col("table_pos").alias("table_pos"),
-        F.coalesce(F.col("text") if "text" in rows.columns else F.lit(None), F.lit("")).alias("text"))
+        F.coalesce(F.when(is_cell, F.col("text")), F.lit("")).alias("text"))
     wanted = opens & (F.col("table_depth") == 1) & (is_cell | (tag == "tr"))
     return rows.withColumn("entry", F.when(wanted, entry)).drop("_tr", "_body")
 
@@ -105,7 +114,8 @@ def with_grid(groups: DataFrame) -> DataFrame:
 
 def table_cells(pages: DataFrame) -> DataFrame:
     """(page_id, table_no, row_no, col_no, is_header, filled, text): all cells of all tables, numbered from 1."""
-    rows = with_table_context(with_attrs(nodes(pages, text_of={"td": None, "th": None}, separator=" ")))
+    rows = with_attrs(nodes(pages, text_of={"td": None, "th": None}, separator=" ")).withColumn("table_depth", table_depth())
+    rows = with_entries(rows.withColumns(table_places()))
     rows = rows.filter(F.col("entry").isNotNull())
     groups = rows.groupBy("page_id", "table_pos").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     placed = with_grid(groups).withColumn("table_no", F.row_number().over(Window.partitionBy("page_id").orderBy("table_pos")))

@@ -50,13 +50,16 @@ def markdown_rows(pages: DataFrame, extractor: str = "heuristic", local_images:
         **{c: F.when(first, F.col(c)) for c in carry},
         "has_image": F.coalesce(is_image, F.lit(False)),
         "url": F.when(facts, F.col("url")), "file_path": F.when(facts, F.col("file_path"))})
-    rows = with_attrs(extract.with_shown(rows))
+    rows = mathml.with_formulas(with_attrs(rows))
+    # Windows cost a pass over the rows each; those asked for together share one.
+    rows = rows.withColumns({
+        "shown": extract.is_shown(), "in_formula": mathml.in_formula(), "heading": images.nearest_heading()})
+    rows = rows.withColumn("latex", F.when(~F.col("in_formula"), F.col("latex")))
     dense = extract.dense_blocks(pages) if extractor == "density" else None
-    rows = mathml.with_formulas(extract.with_region(rows, extractor, dense))
+    rows = extract.with_region(rows, extractor, dense)
     in_region = F.col("pos").between(F.col("region.start"), F.col("region.end"))
     kept = F.col("shown") | (F.col("latex").isNotNull() & (F.col("kind") == "raw"))
     rows = rows.withColumn("in_body", F.coalesce(in_region & kept, F.lit(False))).drop("region")
-    rows = images.with_nearest_heading(tables.with_table_context(rows, F.col("in_body")))
     image_md = None
     if local_images:
         refs = F.when(F.col("has_image"), images.localized(images.image_refs(F.col("tag"), F.col("attrs")), F.col("url"), F.col("file_path")))

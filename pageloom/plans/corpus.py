@@ -60,6 +60,7 @@ def build_corpus(
     about = {"start_url": start_url, "version": pageloom.__version__}
     session.tune(spark)
     try:
+        session.size_shuffles(spark, source)
         pages = captures.read_pages(spark, source, format)
         stored = store.read_documents(spark, target)
         if start_url is None:

@@ -458,7 +458,8 @@ def _(pages):
 
 @query("img8_inline_image_x")
 def _(pages):
-    rows = plan.markdown_rows(plan.with_targets(pages))
+    rows = plan.markdown_rows(plan.with_targets(pages)).select("page_id", "in_body", "tag", "latex", "md")
+    rows = staged(rows, in_body=F.col("in_body"), latex=F.col("latex"), md=F.col("md"))
     shown = rows.filter(F.col("in_body") & (F.col("tag") == "img") & F.col("latex").isNull() & (F.col("md") != ""))
     return shown.select("page_id", "md")
 

@@ -138,7 +138,7 @@ def test_stored_runs(spark, enriched, tmp_path):
     assert over["success"] and store.read_documents(spark, target).count() == 50
     assert store.read_documents(spark, target).filter("content like '---%'").count() == 50 - int(over["data"]["pages_saved"])
     failed = corpus.build_corpus(spark, str(tmp_path / "nothing"), target).first()
-    assert not failed["success"] and "PATH_NOT_FOUND" in failed["error"]
+    assert not failed["success"] and "nothing" in failed["error"]
 
 
 def test_ingest_adds_only_new_pages(spark, enriched, tmp_path):
