@@ -15,7 +15,7 @@ LANGUAGES = [
     "css", "sql", "bash", "shell", "json", "xml", "yaml", "toml",
     "markdown", "r", "matlab", "perl", "lua", "haskell", "elixir",
 ]
-PRE = r"(?i)^<pre[\s>]"
+PRE = ["pre"]
 
 
 def code_tag(markup: Column) -> Column:

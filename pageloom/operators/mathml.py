@@ -128,8 +128,9 @@ def _shield(markup: Column) -> Column:
     return F.translate(F.regexp_replace(markup, MARKERS, ""), "<>", "\ufdd8\ufdd9")
 
 
-# Elements that hold a formula of their own.
-FORMULA_TAGS = r"""(?is)^<(?:math|mjx-container)[\s>]|^<[a-z][^>]*\bclass\s*=\s*["']?[^"'>]*katex"""
+# Elements that hold a formula of their own: these, and those with a class of this name.
+FORMULA_TAGS = ["math", "mjx-container"]
+FORMULA_CLASS = "katex"
 _EQUATION_IMAGE = r"(?i)equation|formula|math|latex|tex"
 
 
@@ -183,7 +184,7 @@ def in_formula() -> Column:
 
 def formulas(pages: DataFrame) -> DataFrame:
     """(page_id, pos, source, is_block, latex): every formula of every page."""
-    rows = with_formulas(with_attrs(nodes(pages, markup_of=FORMULA_TAGS, parents=True)))
+    rows = with_formulas(with_attrs(nodes(pages, markup_of=FORMULA_TAGS, markup_class=FORMULA_CLASS, parents=True)))
     rows = rows.withColumn("in_formula", in_formula())
     return rows.filter(F.col("latex").isNotNull() & ~F.col("in_formula")).select(
         "page_id", "pos", F.col("formula_source").alias("source"), "is_block", "latex")

@@ -101,7 +101,8 @@ def nodes(
     *keep: str,
     text_of: dict[str, int | None] | None = None,
     separator: str = "",
-    markup_of: str | None = None,
+    markup_of: list[str] | None = None,
+    markup_class: str | None = None,
     parents: bool = False,
 ) -> DataFrame:
     """Balanced tokens: (page_id, pos, src, kind, tag, tok, mate, parent, nth, ...).
@@ -111,7 +112,8 @@ def nodes(
 
     text_of        tag name -> most text nodes to join (None: all); fills ``text`` on start rows (links: on
                    end rows too), every node stripped, empty ones dropped, joined by ``separator``
-    markup_of      pattern over start tags; fills ``markup`` with the element's balanced source
+    markup_of      tag names; fills ``markup`` on start rows with the element's balanced source
+    markup_class   does the same for elements with a class containing this word
     parents        fills ``parent_tok`` on img and li rows and ``parent_text`` on img rows
     """
     arrays = node_arrays(pages, *keep).repartition(F.col("page_id"))
@@ -128,20 +130,22 @@ def nodes(
             i.alias("pos"), src.alias("src"), mate.alias("mate"), F.get("parent", i).alias("parent"),
             F.get("nth", i).alias("nth"), tok.alias("tok"),
         ]
+        name = F.get("names", at)
         if text_of:
             text = F.lit(None).cast("string")
             for limit in sorted(set(text_of.values()), key=lambda v: (v is None, v)):
-                names = "|".join(t for t, n in text_of.items() if n == limit)
-                wanted = (mate >= 0) & tok.rlike(rf"(?i)^<(?:{names})[\s/>]") & (~closing | tok.rlike(r"(?i)^<a[\s/>]"))
+                wanted = (mate >= 0) & name.isin([t for t, n in text_of.items() if n == limit]) & (~closing | (name == "a"))
                 text = F.when(wanted, _texts_inside(F.least(i, mate), separator, limit)).otherwise(text)
             fields.append(text.alias("text"))
-        if markup_of:
-            fields.append(F.when((mate > i) & tok.rlike(markup_of), _markup(i)).alias("markup"))
+        if markup_of or markup_class:
+            wanted = name.isin(markup_of or [])
+            if markup_class:
+                wanted = wanted | (tok.contains(markup_class) & tok.rlike(rf"""(?is)^<[a-z][^>]*\bclass\s*=\s*["']?[^"'>]*{markup_class}"""))
+            fields.append(F.when((mate > i) & wanted, _markup(i)).alias("markup"))
         if parents:
             up = F.get("parent", i)
-            is_img = tok.rlike(r"(?i)^<img[\s/>]") & (up >= 0)
-            is_li = tok.rlike(r"(?i)^<li[\s/>]") & (up >= 0)
-            fields.append(F.when(is_img | is_li, F.get("toks", F.get("src", up))).alias("parent_tok"))
+            is_img = (name == "img") & (up >= 0)
+            fields.append(F.when(is_img | ((name == "li") & (up >= 0)), F.get("toks", F.get("src", up))).alias("parent_tok"))
             # A text node has at least one character, so this many nodes tell whether the text is short.
             fields.append(F.when(is_img, _texts_inside(up, "", F.char_length(tok) + 5)).alias("parent_text"))
         return F.struct(*fields)

@@ -42,7 +42,7 @@ def markdown_rows(pages: DataFrame, extractor: str = "heuristic", local_images:
     """
     rows = nodes(
         pages, "url", "file_path", *carry, text_of={**images.HEADING_TEXT, "a": None, "abbr": None},
-        markup_of=f"{mathml.FORMULA_TAGS}|{code.PRE}", parents=True)
+        markup_of=mathml.FORMULA_TAGS + code.PRE, markup_class=mathml.FORMULA_CLASS, parents=True)
     is_image = F.col("tok").rlike(images.IMAGE_TOKENS) & F.col("kind").isin("open", "empty")
     first = F.coalesce(F.col("pos") == 0, F.lit(True))
     facts = first | F.coalesce(is_image, F.lit(False))
