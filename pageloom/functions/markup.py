@@ -42,8 +42,8 @@ def split_tokens(html: Column) -> Column:
 
 
 def is_text(token: Column) -> Column:
-    """Text tokens: anything that is not a complete tag, comment or declaration."""
-    return ~token.startswith("<") | ~token.rlike(r"(?s)^<(?:[a-zA-Z/?].*>$|!)")
+    """Text tokens: anything that is not a complete tag, comment, declaration, or script or style left open."""
+    return ~token.startswith("<") | ~token.rlike(r"(?s)^<(?:[a-zA-Z/?].*>$|!|(?i:script|style)(?:\s[^>]*)?>)")
 
 
 def tag_name(token: Column) -> Column:

@@ -210,8 +210,10 @@ def visible(rows: DataFrame) -> DataFrame:
 
 def plaintext(pages: DataFrame) -> DataFrame:
     """(page_id, plaintext): visible text nodes, stripped, one per line. Pages without text give ''."""
-    rows = visible(nodes(pages))
-    rows = rows.select("page_id", "pos", T.strip(M.token_text(F.col("kind"), F.col("tok"))).alias("t"))
+    # Hidden rows stay in: a page of nothing else is still a page.
+    shown = ~F.col("kind").isin("raw", "comment", "declaration") & (inside(F.col("tag") == "noscript") == 0)
+    rows = nodes(pages).withColumn("shown", shown)
+    rows = rows.select("page_id", "pos", F.when(F.col("shown"), T.strip(M.token_text(F.col("kind"), F.col("tok")))).alias("t"))
     return rows.groupBy("page_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("t") != "", F.struct("pos", "t")))).alias("ts")
     ).select("page_id", F.array_join("ts.t", "\n").alias("plaintext"))
