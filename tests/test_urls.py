@@ -62,7 +62,7 @@ def test_paths(spark, url, site_path, name, image):
 
 def test_sanitize_filename(spark):
     values = ['a<b>:"c', " x  y\tz ", "--a--b--", "...", "", "n" * 300 + ".html"]
-    assert column(spark, values, U.sanitize_filename) == ["a_b___c", "x-y-z", "a-b", "untitled", "untitled", "n" * 195 + ".html"]
+    assert column(spark, values, U.sanitize_filename) == ["a_b___c", "x-y_z", "a-b", "untitled", "untitled", "n" * 195 + ".html"]
 
 
 def test_relative_path(spark):
