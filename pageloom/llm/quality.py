@@ -82,5 +82,9 @@ def with_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def clean_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that are kept, with their own columns; texts stay as they are."""
-    return with_quality(docs, text_col).where("_quality.kept").drop("_quality")
+    """The rows that are kept, with their own columns; texts stay as they are.
+
+    The verdict passes through a generator, as a plain filter would be pushed down and spell out all of it again.
+    """
+    verdict = F.explode_outer(F.filter(F.array("_quality.kept"), lambda kept: kept))
+    return with_quality(docs, text_col).withColumn("_kept", verdict).where("_kept").drop("_quality", "_kept")

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.markup import attribute, attributes
-from pageloom.functions.urls import url_join
 from pageloom.llm.common import LOWER, UPPER, written
 from pageloom.llm.components import components
 
@@ -48,15 +46,26 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return F.lit(None).cast("struct<rule:string,verdict:string>") if cases is None else cases
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute as written, empty without one."""
+    value = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*("[^"]*|'[^']*|[^\s"'>]+)""", 1)
+    return F.trim(F.ltrim(value, F.lit("\"'")))
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): a page's node, and the node its canonical link or refresh redirect names."""
+    """(a, b): a page's node, and the node its canonical link or refresh redirect names.
+
+    Relative targets are put after the page's host or folder; dot segments stay as written.
+    """
     tags = F.filter(F.regexp_extract_all(F.col(html_col), F.lit(TAG), F.lit(0)), lambda t: t.rlike("(?i)canonical|refresh"))
-    rows = pages.select(F.col(url_col).alias("url"), F.explode(tags).alias("tag")).withColumn("attrs", attributes(F.col("tag")))
-    rel = F.concat(F.lit(" "), F.lower(F.regexp_replace(attribute(F.col("attrs"), "rel"), r"\s+", " ")), F.lit(" "))
-    target = F.when(rel.contains(" canonical "), attribute(F.col("attrs"), "href")).when(
-        F.lower(F.trim(attribute(F.col("attrs"), "http-equiv"))) == "refresh", F.regexp_extract(attribute(F.col("attrs"), "content"), REFRESH, 1))
-    rows = rows.withColumn("target", F.trim(target)).where("target <> ''")
-    rows = rows.withColumn("full", F.when(F.col("target").contains("://"), F.col("target")).otherwise(url_join(F.col("url"), F.col("target"))))
+    rows = pages.select(F.col(url_col).alias("url"), F.explode(tags).alias("tag"))
+    rows = rows.withColumn("target", F.when(attribute(F.col("tag"), "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), attribute(F.col("tag"), "href")).when(
+        attribute(F.col("tag"), "http-equiv").rlike("(?i)^refresh$"), F.regexp_extract(attribute(F.col("tag"), "content"), REFRESH, 1)))
+    rows = rows.where("target <> ''").withColumn("target", F.trim(F.regexp_replace("target", "(?i)&(amp|#38|#x26);", "&")))
+    target, site = F.col("target"), F.regexp_extract("url", "(?s)^.*?://[^/?#]*", 0)
+    folder = F.regexp_extract(path_of(F.col("url")), "(?s)^.*/", 0)
+    rows = rows.withColumn("full", F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(
+        target.startswith("/"), F.concat(site, target)).otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), target)))
     return rows.select(node_of(F.col("url")).alias("a"), node_of(F.col("full")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 
 
