@@ -1,5 +1,106 @@
-"""SQL counterparts of the queries that SQL can express."""
+"""SQL counterparts of the queries that SQL can express; the others are tested against plain versions."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from pageloom.llm import quality
+from pageloom.llm.redirects import RULES
+
+BREAK = r"[\x20\x09-\x0D]+"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def hits(pattern: str, of: str = "line") -> str:
+    return f"len(regexp_extract_all({of}, {quoted(pattern)}))"
+
+
+QUALITY = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, t, list_filter(regexp_split_to_array(t, {quoted(BREAK)}), lambda x: x <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {quoted(r'[^\x20\x09-\x0D]')})) AS ls
+  FROM d),
+spots AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM spots),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, line, list_filter(regexp_split_to_array(line, {quoted(BREAK)}), lambda x: x <> '') AS lw
+  FROM (SELECT doc_id, unnest(ls) AS line FROM w)),
+clean AS (
+  SELECT doc_id, sum(length(array_to_string(lw, ''))) AS chars FROM lines
+  WHERE NOT ((len(lw) < 5 AND NOT regexp_matches(line, {quoted(quality.CLOSING)}))
+    OR {hits(quality.SEPARATORS)} * 4 >= len(lw) OR {hits(quality.NOISE)} * 2 >= len(lw) OR {hits(quality.SHOUTED)} * 2 >= len(lw)
+    OR (len(lw) >= 8 AND len(list_distinct(lw)) * 5 < len(lw) * 2) OR regexp_matches(line, {quoted(quality.PHRASES)}))
+  GROUP BY doc_id),
+counted AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST({hits(quality.SYMBOLS, 't')} AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, coalesce(clean.chars, 0) AS clean_chars
+  FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id LEFT JOIN clean ON clean.doc_id = w.doc_id),
+judged AS (
+  SELECT *, n_words < {quality.FEWEST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * clean_chars >= {quality.LEAST_LEFT_PERCENT} * word_chars AS kept
+FROM judged
+"""
+
+UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+BY_LENGTH = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+
+
+def fits(rule: tuple[str, str, str]) -> str:
+    _, host, start = rule
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{start}')"
+
+
+def cases(of: int | None) -> str:
+    values = [r[1] + r[2] if of is None else r[of] for r in BY_LENGTH]
+    return "CASE " + " ".join(f"WHEN {fits(r)} THEN '{v}'" for r, v in zip(BY_LENGTH, values, strict=True)) + " END"
+
+
+def host(url: str) -> str:
+    return f"translate(coalesce(regexp_extract({url}, '://([^/?#]*)', 1), ''), {UPPER}, {LOWER})"
+
+
+def node(url: str) -> str:
+    rest = f"regexp_extract({url}, '://[^/?#]*([^#]*)', 1)"
+    return f"CASE WHEN contains({url}, '://') AND {host(url)} <> '' THEN {host(url)} || CASE WHEN starts_with({rest}, '/') THEN '' ELSE '/' END || {rest} END"
+
+
+def path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '://[^/?#]*([^?#]*)', 1), '')"
+
+
+def attribute(name: str) -> str:
+    found = f"""regexp_extract(tag, '(?is)[\\s"'']{name}\\s*=\\s*("[^"]*|''[^'']*|[^\\s"''>]+)', 1)"""
+    return f"""trim(ltrim({found}, '"'''))"""
+
+
+REDIRECTS = f"""
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM pages),
+named AS (
+  SELECT url, trim(regexp_replace(CASE WHEN regexp_matches({attribute('rel')}, '(?i)(^|\\s)canonical(\\s|$)') THEN {attribute('href')}
+    WHEN regexp_matches({attribute('http-equiv')}, '(?i)^refresh$')
+    THEN regexp_extract({attribute('content')}, '(?is)^\\s*[\\d.]*\\s*[;,]?\\s*url\\s*=\\s*[''"]?([^''"]*)', 1) END, '(?i)&(amp|#38|#x26);', '&', 'g')) AS target
+  FROM tags WHERE regexp_matches(tag, '(?i)canonical|refresh')),
+placed AS (
+  SELECT url, target, regexp_extract(url, '(?s)^.*?://[^/?#]*') AS site, regexp_extract({path('url')}, '(?s)^.*/') AS folder FROM named WHERE target <> ''),
+full_urls AS (
+  SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN 'x:' || target
+    WHEN starts_with(target, '/') THEN site || target ELSE site || CASE WHEN folder = '' THEN '/' ELSE folder END || target END AS full_url FROM placed),
+edges AS (SELECT {node('url')} AS a, {node('full_url')} AS b FROM full_urls),
+sides AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach AS (SELECT a AS node, a AS other FROM sides UNION SELECT reach.node, sides.b FROM reach JOIN sides ON reach.other = sides.a),
+urls AS (SELECT node, 'x://' || other AS url FROM reach),
+ruled AS (SELECT node, {host('url')} AS host, {path('url')} AS path FROM urls),
+shared AS (SELECT node, min({cases(0)}) AS verdict FROM ruled GROUP BY node),
+own AS (SELECT page_id, {host('url')} AS host, {path('url')} AS path, {node('url')} AS node FROM pages)
+SELECT page_id, host, path, {cases(None)} AS rule, coalesce({cases(0)}, shared.verdict, 'allow') AS verdict
+FROM own LEFT JOIN shared ON shared.node = own.node
+"""
+
+ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY, "op7_url_filters": REDIRECTS}
