@@ -105,8 +105,10 @@ def _code_point(number: Column) -> Column:
 
 def _one_reference(part: Column) -> Column:
     digits = F.rtrim(F.substring(part, F.lit(3), F.char_length(part)), F.lit(";"))
+    # Over eight digits, leading zeros aside, there is no such character; null says so.
+    hexadecimal = F.regexp_replace(digits, "^[xX]0*(?=.)", "")
     number = F.when(
-        part.rlike("^&#[xX]"), F.conv(F.substring(digits, F.lit(2), F.lit(12)), 16, 10).try_cast("long")
+        part.rlike("^&#[xX]"), F.when(F.char_length(hexadecimal) <= 8, F.conv(hexadecimal, 16, 10).try_cast("long"))
     ).otherwise(digits.try_cast("long"))
     return (
         F.when(~part.startswith("&") | (part == "&"), part)

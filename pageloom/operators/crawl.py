@@ -51,8 +51,10 @@ def site_captures(pages: DataFrame, site: str) -> DataFrame:
 
 
 def one_per_url(captures: DataFrame) -> DataFrame:
-    """(url, page_id, ok): the first capture of each URL; pre-aggregated, so a URL captured often is no hot spot."""
-    return captures.groupBy("url").agg(F.min(F.struct("page_id", "ok")).alias("c")).select("url", "c.page_id", "c.ok")
+    """(url, page_id, ok): the first usable capture of each URL, else the first; pre-aggregated, so a URL captured often
+    is no hot spot."""
+    first = F.min(F.struct((~F.col("ok")).alias("failed"), "page_id", "ok")).alias("c")
+    return captures.groupBy("url").agg(first).select("url", "c.page_id", "c.ok")
 
 
 def crawl(

@@ -17,9 +17,10 @@ from pageloom.sources import captures, store
 
 def convert_pages(
     pages: DataFrame, extractor: str = "heuristic", metadata: bool = True, images: bool = True,
-    existing: DataFrame | None = None, overwrite: bool = False, layout: str = "single",
+    existing: DataFrame | None = None, overwrite: bool = False, layout: str = "site",
 ) -> DataFrame:
-    """Documents of single pages. Without ``overwrite`` pages stored in ``existing`` (file_path) are left out, and
+    """Documents of pages, under paths with the host, so that pages of two hosts never collide; ``layout`` "single" names
+    them by the last part of the URL alone. Without ``overwrite`` pages stored in ``existing`` (file_path) are left out, and
     of pages with the same path the first counts; with it, the last."""
     placed = with_targets(captures.html_only(pages), layout)
     if not overwrite:
@@ -59,8 +60,9 @@ def build_corpus(
     """Read captures, walk the site of ``start_url`` (or take every page), store the documents; one result row."""
     about = {"start_url": start_url, "version": pageloom.__version__}
     session.tune(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        session.size_shuffles(spark, source)
+        spark.conf.set("spark.sql.shuffle.partitions", str(session.shuffles_for(spark, source)))
         pages = captures.read_pages(spark, source, format)
         stored = store.read_documents(spark, target)
         if start_url is None:
@@ -81,6 +83,8 @@ def build_corpus(
         return job_result(spark, True, {**counted.get, "output_dir": target}, None, about)
     except Exception as problem:  # a failed run is a result, not a crash of the caller
         return job_result(spark, False, None, str(problem), about)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def manifest(pages: DataFrame, existing: DataFrame | None = None) -> DataFrame:

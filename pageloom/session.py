@@ -42,18 +42,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def size_shuffles(spark: SparkSession, path: str, bytes_per_partition: int = 256 << 20, most: int = 100_000) -> int:
-    """Set the shuffle partitions for a capture table of this size, never below the session's own number.
+def shuffles_for(spark: SparkSession, path: str, bytes_per_partition: int = 256 << 20) -> int:
+    """The shuffle partitions for a capture table of this size, never below the session's own number.
 
     Compressed captures grow about fourfold as markup and again as token arrays. AQE merges partitions that turn
     out small; it cannot split an exchange that was planned too coarse.
     """
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     size = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
-    wanted = min(most, int(size * 8 / bytes_per_partition) + 1)
-    parts = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    return parts
+    return max(int(size * 8 / bytes_per_partition) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.functions import urls as U
-
 NOT_HTML = "not HTML content"
 HTML_TYPES = "text/html|application/xhtml"
 SNIFF = r"(?is)<html[\s>]|<!doctype\s+html"
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Give every core some pages when the scan has fewer splits than cores; large inputs pass unchanged.
-
-    Only for plain scans: the number of splits is read from the plan without running anything.
-    """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
-
-
 def read_pages(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
     """A capture table (parquet, json, csv, orc) with at least url and html.
 
@@ -29,7 +19,7 @@ def read_pages(spark: SparkSession, path: str, format: str = "parquet", **option
     pages = spark.read.options(**options).format(format).load(path)
     if "page_id" not in pages.columns:
         pages = pages.withColumn("page_id", F.monotonically_increasing_id())
-    return spread(pages)
+    return pages
 
 
 def read_html_folder(spark: SparkSession, path: str, base_url: str) -> DataFrame:
@@ -43,28 +33,48 @@ def read_html_folder(spark: SparkSession, path: str, base_url: str) -> DataFrame
         F.col("modificationTime").alias("fetched_at"))
 
 
+# Charsets that web pages name and that take a table to decode.
+TABLE_CHARSETS = [
+    "GBK", "GB2312", "GB18030", "BIG5", "BIG5-HKSCS", "SHIFT_JIS", "SHIFT-JIS", "EUC-JP", "ISO-2022-JP", "EUC-KR", "KOI8-R", "KOI8-U",
+    *(f"WINDOWS-{n}" for n in (1250, 1251, *range(1253, 1259))), *(f"ISO-8859-{n}" for n in (*range(2, 12), 13, 14, 15, 16)), "WINDOWS-874", "TIS-620"]
+WIDER = {"GB2312": "gb18030", "GBK": "gb18030", "SHIFT_JIS": "cp932", "SHIFT-JIS": "cp932", "EUC-KR": "cp949", "WINDOWS-874": "cp874"}
+
+
+def _decode_by_table(spark_columns: tuple[Column, Column]) -> Column:
+    wider = dict(WIDER)
+
+    @F.pandas_udf("string")
+    def run(content: pd.Series, charset: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else bytes(c).decode(wider.get(n, n), "replace") for c, n in zip(content, charset, strict=True)], dtype=object)
+
+    return run(*spark_columns)
+
+
 def decode_charset(content: Column, declared: Column | None = None) -> Column:
-    """Bytes to text by the declared charset; absent or iso-8859-1 (the transport default) means look at the bytes:
-    valid UTF-8, else the charset a meta tag names, else windows-1252."""
+    """Bytes to text. A byte order mark decides; then the declared charset; absent or iso-8859-1 (the transport default)
+    means look at the bytes: valid UTF-8, else the charset a meta tag names anywhere, else windows-1252, which is also
+    taken for charsets nobody knows. Only content in one of ``TABLE_CHARSETS`` is sent to Python, in Arrow batches."""
     latin = F.decode(content, "ISO-8859-1")
-    named = F.upper(F.regexp_extract(F.left(latin, F.lit(2048)), r"(?i)<meta[^>]*charset=[\"']?([A-Za-z0-9_\-]+)", 1))
-    stated = F.lit("") if declared is None else F.coalesce(F.upper(declared), F.lit(""))
-    stated = F.when(stated.isin("ISO-8859-1", "LATIN-1", "LATIN1"), "").otherwise(stated)
+    named = F.upper(F.regexp_extract(latin, r"(?i)<meta[^>]*charset=[\"']?([A-Za-z0-9_\-]+)", 1))
+    stated = F.lit("") if declared is None else F.coalesce(F.upper(F.trim(declared)), F.lit(""))
+    mark = F.hex(F.substring(content, 1, 3))
+    charset = (
+        F.when(mark == "EFBBBF", "UTF-8-MARK").when(mark.startswith("FFFE"), "UTF-16LE-MARK").when(mark.startswith("FEFF"), "UTF-16BE-MARK")
+        .when(~stated.isin("", "ISO-8859-1", "LATIN-1", "LATIN1"), stated)
+        .when(F.is_valid_utf8(content.cast("string")), "UTF-8").otherwise(named))
     # The single-byte characters in which windows-1252 differs from ISO-8859-1.
     codes = "".join(chr(i) for i in range(128, 160))
     cp1252 = "".join(bytes([i]).decode("cp1252", "replace") for i in range(128, 160))
-
-    def decoded(charset: Column) -> Column:
-        return (
-            F.when(charset.isin("UTF-16", "UTF-16LE"), F.decode(content, "UTF-16LE"))
-            .when(charset == "UTF-16BE", F.decode(content, "UTF-16BE"))
-            .when(charset.isin("UTF-8", "UTF8"), F.make_valid_utf8(content.cast("string")))
-            .otherwise(F.translate(latin, codes, cp1252)))
-
+    by_table = _decode_by_table((F.when(charset.isin(TABLE_CHARSETS), content), charset))
     return (
-        F.when(stated != "", decoded(stated))
-        .when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-        .otherwise(decoded(named)))
+        F.when(charset == "UTF-8-MARK", F.make_valid_utf8(F.substring(content, 4, 2147483647).cast("string")))
+        .when(charset == "UTF-16LE-MARK", F.decode(F.substring(content, 3, 2147483647), "UTF-16LE"))
+        .when(charset == "UTF-16BE-MARK", F.decode(F.substring(content, 3, 2147483647), "UTF-16BE"))
+        .when(charset.isin("UTF-16", "UTF-16LE"), F.decode(content, "UTF-16LE"))
+        .when(charset == "UTF-16BE", F.decode(content, "UTF-16BE"))
+        .when(charset.isin("UTF-8", "UTF8"), F.make_valid_utf8(content.cast("string")))
+        .when(charset.isin(TABLE_CHARSETS), by_table)
+        .otherwise(F.translate(latin, codes, cp1252)))
 
 
 def outcomes(pages: DataFrame) -> DataFrame:
@@ -84,7 +94,3 @@ def html_only(pages: DataFrame) -> DataFrame:
 
 def outcome_counts(pages: DataFrame) -> DataFrame:
     return outcomes(pages).groupBy("status", F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("n"))
-
-
-def with_normal_url(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("norm_url", U.normalize_url(U.ensure_scheme(F.col("url"))))

@@ -11,6 +11,7 @@ from pageloom.sources import store
 from pageloom.sources.captures import html_only
 
 PAGE_SCHEMA = "page_id long, url string, html string"
+OPTIONS = {"extractor", "metadata", "images", "layout"}
 
 
 def ingest_batch(batch: DataFrame, path: str, **options) -> None:
@@ -28,6 +29,8 @@ def ingest(
     spark: SparkSession, source: str, path: str, checkpoint: str, format: str = "parquet", max_files: int = 1000, **options
 ) -> StreamingQuery:
     """Run over everything that has arrived since the last run, then stop."""
+    if unknown := set(options) - OPTIONS:
+        raise TypeError(f"unknown options: {sorted(unknown)}")
     session.tune(spark)
     arriving = spark.readStream.schema(PAGE_SCHEMA).format(format).option("maxFilesPerTrigger", max_files).load(source)
     writer = arriving.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, path, **options))

@@ -479,7 +479,7 @@ def _(pages):
 
 @query("mth1_mathml_alttext_x")
 def _(pages):
-    return _formulas(pages, "page_id % 5 = 0")
+    return _formulas(pages, "source = 'mathml'")
 
 
 def _formulas(pages: DataFrame, which: str) -> DataFrame:
@@ -494,12 +494,11 @@ def _(pages):
 
 @query("mth3_katex")
 def _(pages):
-    title = F.regexp_extract("html", "<title>([^<]{0,20})", 1)
     span = F.concat(
         F.lit('<span class="katex'), F.when(F.col("page_id") % 2 == 0, "-display").otherwise(""), F.lit('"><span class="katex">'),
         F.lit('<math><semantics><mi>x</mi><annotation encoding="application/x-tex"> v_{'), F.col("page_id").cast("string"),
         F.lit('} </annotation></semantics></math><span class="katex-html">v</span></span></span>'))
-    built = pages.withColumn("html", F.concat(F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), span)), F.lit("<p>"), title))
+    built = pages.withColumn("html", F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), span)))
     return _formulas(built, "true")
 
 
@@ -667,7 +666,7 @@ QUERIES["rpt4_job_result"] = lambda spark, sf_dir: corpus.build_corpus(
 @query("api1_convert_pages_x")
 def _(pages):
     stored = plan.with_targets(pages.filter("page_id % 3 = 1"), "site").select("file_path")
-    return corpus.convert_pages(pages, existing=stored, layout="site").select("page_id", "url", "file_path")
+    return corpus.convert_pages(pages, existing=stored).select("page_id", "url", "file_path")
 
 
 @query("api2_crawl_site_x")
