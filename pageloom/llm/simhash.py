@@ -175,7 +175,7 @@ def candidate_pairs(reps: DataFrame, radius: int, whole: int, leaders: int) -> D
 
 
 def similar_groups(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, whole: int = 16, leaders: int = 4,
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, whole: int = 8, leaders: int = 2,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, group_id) per distinct id: texts whose sets of five-word shingles have a Jaccard similarity of 0.8.
@@ -186,17 +186,19 @@ def similar_groups(
     to each other. Rows that repeat an id count once; rows without an id are left out.
     """
     found = written(features(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col), "features")
-    texts = found.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
-    texts = written(texts, "texts")
-    least = texts.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n"))
+    texts = written(found.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "texts")
+    least = texts.groupBy("fp").agg(F.min("rep").alias("rep"))
     hubs = texts.join(least.select("fp", F.col("rep").alias("hub")), "fp").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     by_fp = least.select("fp", "rep")
     pairs = candidate_pairs(texts, radius, whole, leaders)
     pairs = pairs.join(by_fp.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x").join(
         by_fp.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
-    sets = texts.select("rep", "shingles")
-    full = pairs.unionAll(hubs).join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a").join(
-        sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
+    pairs = written(pairs.unionAll(hubs), "pairs")
+    # Shingle sets are read for the texts in pairs only, and shuffled without the others.
+    asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = written(found.select("doc_id", "shingles").join(asked, "doc_id").dropDuplicates(["doc_id"]), "sets")
+    full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(
+        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
     roots = components(jaccard_at_least(full, similarity), "similar")
     placed = texts.select("same", "rep").join(roots, F.col("rep") == F.col("node"), "left")
     placed = placed.select("same", F.coalesce("root", "rep").alias("group_id"))
