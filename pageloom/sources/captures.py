@@ -36,8 +36,10 @@ def read_html_folder(spark: SparkSession, path: str, base_url: str) -> DataFrame
 # Charsets that web pages name and that take a table to decode.
 TABLE_CHARSETS = [
     "GBK", "GB2312", "GB18030", "BIG5", "BIG5-HKSCS", "SHIFT_JIS", "SHIFT-JIS", "EUC-JP", "ISO-2022-JP", "EUC-KR", "KOI8-R", "KOI8-U",
-    *(f"WINDOWS-{n}" for n in (1250, 1251, *range(1253, 1259))), *(f"ISO-8859-{n}" for n in (*range(2, 12), 13, 14, 15, 16)), "WINDOWS-874", "TIS-620"]
-WIDER = {"GB2312": "gb18030", "GBK": "gb18030", "SHIFT_JIS": "cp932", "SHIFT-JIS": "cp932", "EUC-KR": "cp949", "WINDOWS-874": "cp874"}
+    *(f"WINDOWS-{n}" for n in (1250, 1251, *range(1253, 1259))), *(f"ISO-8859-{n}" for n in (*range(2, 12), 13, 14, 15, 16)), "WINDOWS-874", "TIS-620",
+    "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-16LE-MARK", "UTF-16BE-MARK"]
+WIDER = {"GB2312": "gb18030", "GBK": "gb18030", "SHIFT_JIS": "cp932", "SHIFT-JIS": "cp932", "EUC-KR": "cp949", "WINDOWS-874": "cp874", "UTF-16": "utf-16-le",
+         "UTF-16LE-MARK": "utf-16", "UTF-16BE-MARK": "utf-16"}
 
 
 def _decode_by_table(spark_columns: tuple[Column, Column]) -> Column:
@@ -51,16 +53,20 @@ def _decode_by_table(spark_columns: tuple[Column, Column]) -> Column:
 
 
 def decode_charset(content: Column, declared: Column | None = None) -> Column:
-    """Bytes to text. A byte order mark decides; then the declared charset; absent or iso-8859-1 (the transport default)
+    """Bytes to text by the declared charset, of UTF-16 in the byte order its mark tells. A byte order mark decides where
+    none is declared; else absent or iso-8859-1 (the transport default)
     means look at the bytes: valid UTF-8, else the charset a meta tag names anywhere, else windows-1252, which is also
     taken for charsets nobody knows. Only content in one of ``TABLE_CHARSETS`` is sent to Python, in Arrow batches."""
     latin = F.decode(content, "ISO-8859-1")
     named = F.upper(F.regexp_extract(latin, r"(?i)<meta[^>]*charset=[\"']?([A-Za-z0-9_\-]+)", 1))
     stated = F.lit("") if declared is None else F.coalesce(F.upper(F.trim(declared)), F.lit(""))
     mark = F.hex(F.substring(content, 1, 3))
+    tells = ~stated.isin("", "ISO-8859-1", "LATIN-1", "LATIN1")
     charset = (
-        F.when(mark == "EFBBBF", "UTF-8-MARK").when(mark.startswith("FFFE"), "UTF-16LE-MARK").when(mark.startswith("FEFF"), "UTF-16BE-MARK")
-        .when(~stated.isin("", "ISO-8859-1", "LATIN-1", "LATIN1"), stated)
+        F.when((mark == "EFBBBF") & (~tells | stated.isin("UTF-8", "UTF8")), "UTF-8-MARK")
+        .when(tells & ~stated.startswith("UTF-16"), stated)
+        .when(mark.startswith("FFFE"), "UTF-16LE-MARK").when(mark.startswith("FEFF"), "UTF-16BE-MARK")
+        .when(tells, stated)
         .when(F.is_valid_utf8(content.cast("string")), "UTF-8").otherwise(named))
     # The single-byte characters in which windows-1252 differs from ISO-8859-1.
     codes = "".join(chr(i) for i in range(128, 160))
@@ -68,10 +74,6 @@ def decode_charset(content: Column, declared: Column | None = None) -> Column:
     by_table = _decode_by_table((F.when(charset.isin(TABLE_CHARSETS), content), charset))
     return (
         F.when(charset == "UTF-8-MARK", F.make_valid_utf8(F.substring(content, 4, 2147483647).cast("string")))
-        .when(charset == "UTF-16LE-MARK", F.decode(F.substring(content, 3, 2147483647), "UTF-16LE"))
-        .when(charset == "UTF-16BE-MARK", F.decode(F.substring(content, 3, 2147483647), "UTF-16BE"))
-        .when(charset.isin("UTF-16", "UTF-16LE"), F.decode(content, "UTF-16LE"))
-        .when(charset == "UTF-16BE", F.decode(content, "UTF-16BE"))
         .when(charset.isin("UTF-8", "UTF8"), F.make_valid_utf8(content.cast("string")))
         .when(charset.isin(TABLE_CHARSETS), by_table)
         .otherwise(F.translate(latin, codes, cp1252)))
