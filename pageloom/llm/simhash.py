@@ -154,16 +154,24 @@ def jaccard_at_least(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "left", "right").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}")
 
 
-def candidate_pairs(reps: DataFrame, radius: int, whole: int, leaders: int) -> DataFrame:
-    """Pairs (a, b) of distinct texts to compare, from buckets of the covering tables.
+def bucket_members(texts: DataFrame, radius: int) -> DataFrame:
+    """(t, key, fp, n): the buckets of the covering tables that hold n > 1 distinct fingerprints."""
+    spread = tables(texts.select("fp").distinct(), radius)
+    sizes = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return spread.join(sizes, ["t", "key"]).select("t", "key", "fp", "n")
+
+
+def differing_bits(x: str, y: str) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
 
-    In a bucket of up to `whole` texts all pairs are taken; in a larger one every text is paired with its `leaders`
-    most central texts, those that share most buckets with others: copies of one text all lie nearer to it than to
-    each other. So the number of pairs is linear in the number of texts.
+
+def central_pairs(members: DataFrame, radius: int, whole: int, leaders: int) -> DataFrame:
+    """Pairs (x, y) of fingerprints to compare first, linear in the number of members.
+
+    In a bucket of up to `whole` all pairs are taken; in a larger one every member is paired with its `leaders` most
+    central ones, those that share most buckets with others. Pairs at over 2 * radius bits are left out: the tables
+    bring together few that far apart, and not by what they guarantee.
     """
-    spread = tables(reps.select("fp").distinct(), radius)
-    sizes = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(spread.join(sizes, ["t", "key"]).select("t", "key", "fp", "n"), "buckets")
     central = members.groupBy("fp").agg(F.sum("n").alias("central"))
     ranked = members.join(central, "fp")
     order = Window.partitionBy("t", "key").orderBy(F.desc("central"), "fp")
@@ -171,45 +179,94 @@ def candidate_pairs(reps: DataFrame, radius: int, whole: int, leaders: int) -> D
     heads = heads.select("t", "key", F.col("fp").alias("head"), "place", F.col("central").alias("head_central"))
     met = ranked.join(heads, ["t", "key"]).where((F.col("n") <= whole) | (F.col("place") <= leaders))
     later = (F.col("central") < F.col("head_central")) | (F.col("central") == F.col("head_central")) & (F.col("fp") > F.col("head"))
-    return met.where(later).select(F.col("fp").alias("x"), F.col("head").alias("y")).distinct()
+    met = met.where(later & (differing_bits("fp", "head") <= 2 * radius))
+    return met.select(F.col("fp").alias("x"), F.col("head").alias("y")).distinct()
+
+
+def pairs_apart(members: DataFrame, by: list[str], radius: int) -> DataFrame:
+    """Pairs (a, b) of texts in one bucket, within the radius, that are in different classes so far.
+
+    `members` has the columns `by`, rep, fp and c, the class. Texts of a bucket's largest class need not meet each
+    other; the others meet all texts of the bucket that are not in their own class.
+    """
+    sizes = members.groupBy(*by, "c").agg(F.count("*").alias("m"))
+    main = sizes.groupBy(*by).agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("classes"))
+    mixed = members.join(main.where("classes > 1").drop("classes"), by)
+    rest = mixed.where("c <> main").select(*by, F.col("rep").alias("a"), F.col("fp").alias("a_fp"), F.col("c").alias("a_c"))
+    met = rest.join(mixed.withColumnRenamed("fp", "b_fp") if "fp" not in by else mixed.withColumn("b_fp", F.col("fp")), by)
+    met = met.where("a_c <> c and (c = main or a < rep)").where(differing_bits("a_fp", "b_fp") <= radius)
+    return ordered(met.select("a", F.col("rep").alias("b")))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair once, the larger end first."""
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def similar_pairs(found: DataFrame, pairs: DataFrame, similarity: float, name: str) -> DataFrame:
+    """Of the pairs (a, b) of ids, those whose shingle sets are similar. Sets are read for the texts in pairs only."""
+    asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = written(found.select("doc_id", "shingles").join(asked, "doc_id").dropDuplicates(["doc_id"]), f"{name}-sets")
+    full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(
+        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+    return written(jaccard_at_least(full, similarity), f"{name}-links")
 
 
 def similar_groups(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, whole: int = 8, leaders: int = 2,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, group_id) per distinct id: texts whose sets of five-word shingles have a Jaccard similarity of 0.8.
+    """(doc_id, group_id, n_rows) per distinct id: texts whose sets of five-word shingles have a Jaccard similarity of 0.8.
 
     Texts with the same words are one from the start. The others become candidates by covering hashing of a SimHash
     over their distinct words, of which an edited word changes one and not five; every link is then checked on the
-    shingle sets. A group is a component of checked links, its id the smallest doc_id. Texts without words are equal
-    to each other. Rows that repeat an id count once; rows without an id are left out.
+    shingle sets. First every text meets the central texts of its buckets; then texts of one bucket that are still in
+    different classes meet each other. So no link between texts within the radius is lost, and members of one large
+    class are not compared with each other. A group is a component of checked links, its id the smallest doc_id.
+    Texts without words are equal to each other. Rows that repeat an id count once, n_rows being their number; rows
+    without an id are left out.
     """
     found = written(features(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col), "features")
     texts = written(found.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "texts")
-    least = texts.groupBy("fp").agg(F.min("rep").alias("rep"))
-    hubs = texts.join(least.select("fp", F.col("rep").alias("hub")), "fp").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    by_fp = least.select("fp", "rep")
-    pairs = candidate_pairs(texts, radius, whole, leaders)
-    pairs = pairs.join(by_fp.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x").join(
-        by_fp.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
-    pairs = written(pairs.unionAll(hubs), "pairs")
-    # Shingle sets are read for the texts in pairs only, and shuffled without the others.
-    asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(found.select("doc_id", "shingles").join(asked, "doc_id").dropDuplicates(["doc_id"]), "sets")
-    full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
-    roots = components(jaccard_at_least(full, similarity), "similar")
-    placed = texts.select("same", "rep").join(roots, F.col("rep") == F.col("node"), "left")
-    placed = placed.select("same", F.coalesce("root", "rep").alias("group_id"))
-    return found.select("doc_id", "same").join(placed, "same").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    members = written(bucket_members(texts, radius), "buckets")
+    least = texts.groupBy("fp").agg(F.min("rep").alias("least"))
+    hubs = texts.join(least, "fp").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    near = central_pairs(members, radius, whole, leaders).join(least.select(F.col("fp").alias("x"), F.col("least").alias("a")), "x").join(
+        least.select(F.col("fp").alias("y"), F.col("least").alias("b")), "y").select("a", "b")
+    pairs = written(ordered(near.unionAll(hubs)), "pairs")
+    roots = components(similar_pairs(found, pairs, similarity, "central"), "similar")
+
+    classes = written(texts.join(roots, F.col("rep") == F.col("node"), "left").select(
+        "same", "rep", "fp", F.coalesce("root", "rep").alias("c")), "classes")
+    # Of the texts with one fingerprint, the least stands for all of its class.
+    stand = classes.groupBy("fp", "c").agg(F.min("rep").alias("rep"))
+    again = pairs_apart(members.join(stand, "fp").select("t", "key", "rep", "fp", "c"), ["t", "key"], radius)
+    again = again.unionAll(pairs_apart(classes.select("rep", "fp", "c"), ["fp"], radius)).distinct()
+    again = written(again.join(pairs, ["a", "b"], "left_anti"), "pairs-apart")
+    late = similar_pairs(found, again, similarity, "apart")
+    if not late.isEmpty():
+        of = classes.select("rep", "c")
+        joined = late.join(of.select(F.col("rep").alias("a"), F.col("c").alias("a_c")), "a").join(
+            of.select(F.col("rep").alias("b"), F.col("c").alias("b_c")), "b").select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
+        merged = components(joined, "merged")
+        classes = classes.join(merged, F.col("c") == F.col("node"), "left").select("same", F.coalesce("root", "c").alias("c"))
+    placed = classes.select("same", F.col("c").alias("group_id"))
+    return found.select("doc_id", "same").join(placed, "same").groupBy("doc_id").agg(
+        F.min("group_id").alias("group_id"), F.count("*").alias("n_rows"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group, each id once, with all their columns."""
+    """The rows of `docs` whose id is the smallest of its group, each id once, with all their columns.
+
+    The ids to leave out are written, so Spark knows their size: a small table is broadcast and the texts stay where
+    they are. Only rows of ids that repeat are shuffled to keep one of each.
+    """
     groups = similar_groups(docs, id_col=id_col, text_col=text_col, **options)
-    kept = groups.where("doc_id = group_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    marked = written(groups.where("doc_id <> group_id or n_rows > 1").select(
+        F.col("doc_id").alias(id_col), (F.col("doc_id") == F.col("group_id")).alias("one_stays")), "left-out")
+    once = docs.where(F.col(id_col).isNotNull()).join(marked.select(id_col), id_col, "left_anti")
+    repeated = docs.join(marked.where("one_stays").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
+    return once.unionAll(repeated)
 
 
 def hex16(fp: Column) -> Column:

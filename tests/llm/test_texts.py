@@ -95,6 +95,26 @@ def test_groups_of_similar_texts_against_all_pairs(spark, corpus):
     assert all(true[i] == true[g] for i, g in group.items())  # nothing is grouped that is not linked
 
 
+def test_groups_do_not_depend_on_central_texts(spark):
+    """Two copied families share buckets; a bucket where each text first meets one other loses no link within the radius."""
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for k in range(24):
+        changed = list(base)
+        changed[10 * k] = f"x{k}"  # 5 of about 300 shingles
+        if k % 3 == 0:
+            changed[150:190] = [f"w{i}" for i in range(189, 149, -1)]  # the same words in another order
+        texts.append((k, " ".join(changed)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts}
+    fps = {r.doc_id: r.fp for r in simhash.features(docs, 5, "doc_id", "text").collect()}
+    near = [(a, b) for a, b in itertools.combinations(sets, 2) if ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 6]
+    true = joined([(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
+    for options in ({}, {"whole": 0, "leaders": 1}):
+        found = {r.doc_id: r.group_id for r in simhash.similar_groups(docs, **options).collect()}
+        assert found == {i: true[i] for i in found} and len(found) == 24
+
+
 def test_near_duplicate_stage_keeps_one_of_each(documents, odd):
     kept = simhash.without_near_duplicates(documents(*odd))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 5, 6, 7, 8, 9, 10]
