@@ -65,11 +65,13 @@ def crawl(
     recursive: bool = True,
     existing: DataFrame | None = None,
     expand_existing: bool = False,
+    overwrite: bool = False,
 ) -> DataFrame:
     """(rank, depth, url, status, page_id, file_path) in the order a queue would visit the URLs.
 
-    Status is ``saved``, ``skipped`` (not captured or not HTML) or ``exists`` (``file_path`` is in ``existing``;
-    such pages are not expanded unless ``expand_existing``). The walk ends after ``max_pages`` saved pages;
+    Status is ``saved``, ``skipped`` (not captured or not HTML) or ``exists``: ``file_path`` is in ``existing``, or a
+    page saved earlier in this walk has it. Such pages are not expanded unless ``expand_existing``. With ``overwrite``
+    nothing counts as existing, and pages of one path are all saved. The walk ends after ``max_pages`` saved pages;
     None or 0 mean no limit. Pages found together are ordered by the rank of their finder, then by URL.
     """
     spark = pages.sparkSession
@@ -84,10 +86,11 @@ def crawl(
 
     saved = 0
     depth = 0
+    taken = None if existing is None or overwrite else existing.select("file_path")
     frontier = spark.range(1).select(F.lit(start).alias("url"), F.lit(0).cast("long").alias("finder"))
     while True:
-        ordered = frontier.orderBy("finder", "url").select("url", F.monotonically_increasing_id().alias("ord"))
-        level = _with_status(ordered, known, existing).withColumn("depth", F.lit(depth))
+        ordered = frontier.orderBy("finder", "url").select("url", "finder", F.monotonically_increasing_id().alias("ord"))
+        level = _with_status(ordered, known, taken, overwrite).withColumn("depth", F.lit(depth))
         level = session.write_through(level, f"{folder}/level/{depth}")
         counts = {r["status"]: r["count"] for r in level.groupBy("status").count().collect()}
         saved += counts.get("saved", 0)
@@ -98,6 +101,9 @@ def crawl(
         targets = here.join(edges, "source").groupBy("url").agg(F.min("ord").alias("finder"))
         visited = spark.read.schema(level.schema).parquet(*[f"{folder}/level/{d}" for d in range(depth + 1)])
         frontier = targets.join(visited.select("url"), "url", "left_anti")
+        if not overwrite:
+            own = visited.filter("status = 'saved'").select("file_path")
+            taken = own if existing is None else own.unionAll(existing.select("file_path"))
         depth += 1
 
     rows = spark.read.schema(level.schema).parquet(*[f"{folder}/level/{d}" for d in range(depth + 1)])
@@ -108,15 +114,20 @@ def crawl(
     return ranked.select("rank", "depth", "url", "status", "page_id", "file_path")
 
 
-def _with_status(urls: DataFrame, known: DataFrame, existing: DataFrame | None) -> DataFrame:
+def _with_status(urls: DataFrame, known: DataFrame, taken: DataFrame | None, overwrite: bool) -> DataFrame:
+    """``urls`` (url, finder, ord) of a level with path, capture and status; ``taken`` holds paths saved before."""
     placed = staged(urls, file_path=U.site_file_path(F.col("url"))).join(known, "url", "left")
-    if existing is None:
-        stored: Column = F.lit(False)
-    else:
-        paths = existing.select("file_path", F.lit(True).alias("stored")).distinct()
-        placed = placed.join(paths, "file_path", "left")
-        stored = F.coalesce("stored", F.lit(False))
-    status = F.when(stored, "exists").when(F.coalesce("ok", F.lit(False)), "saved").otherwise("skipped")
+    usable = F.coalesce("ok", F.lit(False))
+    exists: Column = F.lit(False)
+    if taken is not None:
+        placed = placed.join(taken.select("file_path", F.lit(True).alias("stored")).distinct(), "file_path", "left")
+        exists = F.coalesce("stored", F.lit(False))
+    if not overwrite:
+        # One row per path, pre-aggregated, so a path many URLs share is no hot spot before the join.
+        first = placed.filter(usable).groupBy("file_path").agg(F.min(F.struct("finder", "url")).alias("first"))
+        placed = placed.join(first, "file_path", "left")
+        exists = exists | F.coalesce(F.struct("finder", "url") > F.col("first"), F.lit(False))
+    status = F.when(exists, "exists").when(usable, "saved").otherwise("skipped")
     return placed.select("url", "ord", "file_path", "page_id", status.alias("status"))
 
 

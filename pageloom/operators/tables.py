@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import markup as M
+from pageloom.functions import text as T
 from pageloom.operators import staged
 from pageloom.operators.tokens import doc_order, inside, nodes, with_attrs
 
@@ -37,6 +38,22 @@ def table_places() -> dict[str, Column]:
     return {"table_pos": latest("table"), "_tr": latest("tr"), "_body": latest("table", "thead", "tbody", "tfoot")}
 
 
+def with_cell_text(rows: DataFrame) -> DataFrame:
+    """Add ``text`` on cells of outermost tables: their text nodes, stripped, joined by a space.
+
+    A node belongs to the cell that starts last before it, if that has not ended; so text is held once, however many
+    cells nobody closed. ``rows`` hold ``table_depth``.
+    """
+    kind = F.col("kind")
+    starts = (kind == "open") & F.col("tag").isin("td", "th") & (F.col("table_depth") == 1)
+    rows = rows.withColumn("_cell", F.max(F.when(starts, F.struct("pos", "mate"))).over(doc_order()))
+    inner = kind.isin("text", "rcdata") & (F.col("pos") < F.col("_cell.mate"))
+    rows = rows.withColumns({"_cell": F.col("_cell.pos"), "_piece": F.when(inner, T.strip(M.token_text(kind, F.col("tok"))))})
+    whole = Window.partitionBy("page_id", "_cell").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pieces = F.collect_list(F.when(F.col("_piece") != "", F.col("_piece"))).over(whole)
+    return rows.withColumn("text", F.when(starts, F.array_join(pieces, " "))).drop("_cell", "_piece")
+
+
 def with_entries(rows: DataFrame) -> DataFrame:
     """Add ``entry`` on rows and cells of outermost tables: struct(pos, tr, body, across, down, is_cell, ...).
 
@@ -114,7 +131,7 @@ def with_grid(groups: DataFrame) -> DataFrame:
 
 def table_cells(pages: DataFrame) -> DataFrame:
     """(page_id, table_no, row_no, col_no, is_header, filled, text): all cells of all tables, numbered from 1."""
-    rows = with_attrs(nodes(pages, text_of={"td": None, "th": None}, separator=" ")).withColumn("table_depth", table_depth())
+    rows = with_cell_text(with_attrs(nodes(pages)).withColumn("table_depth", table_depth()))
     rows = with_entries(rows.withColumns(table_places()))
     rows = rows.filter(F.col("entry").isNotNull())
     groups = rows.groupBy("page_id", "table_pos").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
@@ -123,10 +140,3 @@ def table_cells(pages: DataFrame) -> DataFrame:
         "page_id", "table_no", (F.col("r") + 1).alias("row_no"), F.posexplode("row.cells").alias("c", "cell"))
     return cells.select(
         "page_id", "table_no", "row_no", (F.col("c") + 1).alias("col_no"), "cell.is_header", "cell.filled", "cell.text")
-
-
-def nested_tables(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, text): tables inside a cell, as the text they become."""
-    rows = nodes(pages, text_of={"table": None}, separator=" ").withColumn("depth", inside(F.col("tag") == "table"))
-    nested = (F.col("tag") == "table") & (F.col("kind") == "open") & (F.col("depth") > 1)
-    return rows.filter(nested).select("page_id", "pos", "text")

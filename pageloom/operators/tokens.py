@@ -99,7 +99,7 @@ def _markup(start: Column) -> Column:
 def nodes(
     pages: DataFrame,
     *keep: str,
-    text_of: dict[str, int | None] | None = None,
+    text_of: dict[str, int | str | None] | None = None,
     separator: str = "",
     markup_of: list[str] | None = None,
     markup_class: str | None = None,
@@ -110,7 +110,7 @@ def nodes(
     Every ``open`` row has its ``close`` row; a close row carries its element's start tag in ``tok``. ``nth``
     numbers same-named siblings from 1. A page without tokens keeps one row with null ``pos``.
 
-    text_of        tag name -> most text nodes to join (None: all); fills ``text`` on start rows (links: on
+    text_of        tag name -> most text nodes to join (None: all, "tag": as many as its start tag has characters); fills ``text`` on start rows (links: on
                    end rows too), every node stripped, empty ones dropped, joined by ``separator``
     markup_of      tag names; fills ``markup`` on start rows with the element's balanced source
     markup_class   does the same for elements with a class containing this word
@@ -133,9 +133,9 @@ def nodes(
         name = F.get("names", at)
         if text_of:
             text = F.lit(None).cast("string")
-            for limit in sorted(set(text_of.values()), key=lambda v: (v is None, v)):
+            for limit in sorted(set(text_of.values()), key=str):
                 wanted = (mate >= 0) & name.isin([t for t, n in text_of.items() if n == limit]) & (~closing | (name == "a"))
-                text = F.when(wanted, _texts_inside(F.least(i, mate), separator, limit)).otherwise(text)
+                text = F.when(wanted, _texts_inside(F.least(i, mate), separator, F.char_length(tok) if limit == "tag" else limit)).otherwise(text)
             fields.append(text.alias("text"))
         if markup_of or markup_class:
             wanted = name.isin(markup_of or [])

@@ -40,8 +40,9 @@ def markdown_rows(pages: DataFrame, extractor: str = "heuristic", local_images:
 
     ``carry`` names further page columns; like the URL they stay on the first row of a page only.
     """
+    # The text of a link is only compared with its address, which its start tag holds.
     rows = nodes(
-        pages, "url", "file_path", *carry, text_of={**images.HEADING_TEXT, "a": None, "abbr": None},
+        pages, "url", "file_path", *carry, text_of={**images.HEADING_TEXT, "a": "tag", "abbr": None},
         markup_of=mathml.FORMULA_TAGS + code.PRE, markup_class=mathml.FORMULA_CLASS, parents=True)
     is_image = F.col("tok").rlike(images.IMAGE_TOKENS) & F.col("kind").isin("open", "empty")
     first = F.coalesce(F.col("pos") == 0, F.lit(True))

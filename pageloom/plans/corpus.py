@@ -35,7 +35,7 @@ def crawl_site(
     metadata: bool = True, images: bool = True, overwrite: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """The walk over a captured site and the documents of its saved pages."""
-    walk = walks.crawl(pages, start_url, prefix, max_pages, recursive, None if overwrite else existing, expand_existing)
+    walk = walks.crawl(pages, start_url, prefix, max_pages, recursive, existing, expand_existing, overwrite)
     saved = walk.filter(F.col("status") == "saved").select("page_id", "rank", F.col("url").alias("norm_url"), "file_path")
     placed = pages.select("page_id", "html").join(saved, "page_id").withColumn("url", F.col("norm_url"))
     placed = store.resolve_collisions(placed, "last" if overwrite else "first", "rank")

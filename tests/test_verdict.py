@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom.functions import markup
-from pageloom.operators import crawl
+from pageloom.operators import crawl, tables, tokens
 from pageloom.plans import corpus
 from pageloom.sources import captures
 from pageloom.streaming import ingest
@@ -38,3 +38,34 @@ def test_a_good_capture_wins_over_an_earlier_failed_one(spark):
 def test_unknown_ingest_options_are_refused(spark, tmp_path):
     with pytest.raises(TypeError):
         ingest.ingest(spark, str(tmp_path), str(tmp_path), str(tmp_path), extractr="full")
+
+
+def test_equal_paths_within_a_walk(spark):
+    def page(*targets):
+        return "<html><body>" + "".join(f'<a href="{t}">x</a>' for t in targets) + "</body></html>"
+
+    found = {"https://h/s": page("/a", "/a.html"), "https://h/a": page("/b"), "https://h/a.html": page("/z"), "https://h/b": page(), "https://h/z": page()}
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(found.items())], "page_id long, url string, html string")
+    walk, documents = corpus.crawl_site(pages, "https://h/s", metadata=False, images=False)
+    by_path = [(r.file_path, r.status) for r in walk.orderBy("rank").collect()]
+    assert [s for _, s in by_path] == ["saved", "saved", "exists", "saved"] and by_path[1][0] == by_path[2][0]
+    assert documents.select("page_id").count() == 3
+    limited = crawl.crawl(pages, "https://h/s", max_pages=3).filter("status = 'saved'").select("url").collect()
+    assert {r.url for r in limited} == {"https://h/s", "https://h/a", "https://h/b"}
+    again = crawl.crawl(pages, "https://h/s", overwrite=True)
+    assert again.filter("status = 'saved'").count() == 5
+
+
+def test_links_nobody_closed_hold_no_text_of_the_rest(spark):
+    def total(n):
+        html = "<html><body><article>" + "".join(f"<a name=n{i}>some words in a line {i} " for i in range(n)) + "</article></body></html>"
+        df = spark.createDataFrame([(1, html)], "page_id long, html string")
+        return tokens.nodes(df, text_of={"a": "tag"}).agg(F.sum(F.char_length("text"))).first()[0]
+
+    assert total(400) < 2.5 * total(200)
+
+
+def test_text_of_cells_nobody_closed(spark):
+    html = "<table><tr><td>a<td>b <b>c</b><table><tr><td>n</td></tr></table>d<tr><td>e</td>stray<td>f</table>"
+    cells = tables.table_cells(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    assert [r.text for r in cells.orderBy("row_no", "col_no").collect()] == ["a", "b c n d", "e", "f"]
