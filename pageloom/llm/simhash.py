@@ -7,6 +7,8 @@ fingerprints that differ in at most `radius` bits agree on all kept positions of
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -183,19 +185,90 @@ def central_pairs(members: DataFrame, radius: int, whole: int, leaders: int) ->
     return met.select(F.col("fp").alias("x"), F.col("head").alias("y")).distinct()
 
 
-def pairs_apart(members: DataFrame, by: list[str], radius: int) -> DataFrame:
-    """Pairs (a, b) of texts in one bucket, within the radius, that are in different classes so far.
+def split_buckets(members: DataFrame, by: list[str]) -> DataFrame:
+    """(by, main, pairs): the buckets with several classes, their largest class and a bound of the pairs to compare."""
+    sizes = members.groupBy(*by, "c").agg(F.count("*").alias("m"))
+    found = sizes.groupBy(*by).agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("n"))
+    return found.where("n > most").select(*by, "main", ((F.col("n") - F.col("most")) * F.col("n")).alias("pairs"))
+
+
+def pairs_in_buckets(members: DataFrame, split: DataFrame, by: list[str], radius: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts in one bucket, within the radius, of sizes that allow the similarity, in different classes so far.
 
-    `members` has the columns `by`, rep, fp and c, the class. Texts of a bucket's largest class need not meet each
-    other; the others meet all texts of the bucket that are not in their own class.
+    `members` has the columns `by`, rep, fp, n (hashes in the shingle set) and c, the class. Texts of a bucket's largest
+    class need not meet each other; the others meet all texts of the bucket that are not in their own class.
     """
-    sizes = members.groupBy(*by, "c").agg(F.count("*").alias("m"))
-    main = sizes.groupBy(*by).agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("classes"))
-    mixed = members.join(main.where("classes > 1").drop("classes"), by)
-    rest = mixed.where("c <> main").select(*by, F.col("rep").alias("a"), F.col("fp").alias("a_fp"), F.col("c").alias("a_c"))
-    met = rest.join(mixed.withColumnRenamed("fp", "b_fp") if "fp" not in by else mixed.withColumn("b_fp", F.col("fp")), by)
-    met = met.where("a_c <> c and (c = main or a < rep)").where(differing_bits("a_fp", "b_fp") <= radius)
-    return ordered(met.select("a", F.col("rep").alias("b")))
+    mixed = members.join(split.select(*by, "main"), by)
+    rest = mixed.where("c <> main").select(*by, *[F.col(x).alias(f"a_{x}") for x in ("rep", "fp", "n", "c")])
+    met = rest.join(mixed.withColumn("b_fp", F.col("fp")), by).where("a_c <> c and (c = main or a_rep < rep)")
+    met = met.where((F.least("a_n", "n") >= similarity * F.greatest("a_n", "n")) & (differing_bits("a_fp", "b_fp") <= radius))
+    return ordered(met.select(F.col("a_rep").alias("a"), F.col("rep").alias("b")))
+
+
+def in_size_bands(members: DataFrame, similarity: float) -> DataFrame:
+    """Every row in two bands of set sizes; sets of sizes that allow the similarity have a band in common."""
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / (math.log(1 / similarity) + 1e-9))
+    return members.withColumn("band", F.explode(F.array(band, band + 1)))
+
+
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """(rep, n, h): the hashes of each text's shingle set, one per row, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, shingles in zip(batch.column("rep"), batch.column("shingles"), strict=True):
+                found = np.frombuffer(shingles.as_buffer(), dtype="<u4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.repeat(rep, len(found)), pa.array(np.full(len(found), len(found), dtype=np.int32)), pa.array(found)], ["rep", "n", "h"])
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    return sets.select("rep", "shingles").mapInArrow(run, f"rep {kind}, n int, h long")
+
+
+def pairs_by_rare_shingles(crowd: DataFrame, found: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts in different classes, within the radius, that may reach the similarity; none that does is left out.
+
+    Of two similar sets, in any one order of all hashes, the first ones of each must have a hash in common: sets of x
+    and y >= x hashes share at least s (x + y) / (1 + s), which is at least 2 s x / (1 + s) and s y. The order is
+    from rare to frequent, so what a crowd of copies has in common comes last and is not met under. At the first hash in
+    common, what follows in either set must be enough for the number that has to be shared.
+    """
+    texts = crowd.join(found.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"]), "rep")
+    rows = written(shingle_rows(texts), "crowd-shingles")
+    often = rows.groupBy("h").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("rep").orderBy("often", "h")
+    placed = rows.join(often, "h").withColumn("at", F.row_number().over(order))
+    slack, shared = 1e-6, similarity / (1 + similarity)
+    placed = placed.where((F.col("often") > 1) & (F.col("at") <= F.col("n") - F.ceil(similarity * F.col("n") - slack) + 1))
+    placed = written(placed.select("rep", "n", "h", "at").join(crowd, "rep"), "crowd-prefixes")
+    first = placed.where(F.col("at") <= F.col("n") - F.ceil(2 * shared * F.col("n") - slack) + 1)
+    x = first.select("h", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "at", "fp", "c")])
+    y = placed.select("h", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "at", "fp", "c")])
+    met = x.join(y, "h").where("x_c <> y_c and (x_n < y_n or x_n = y_n and x_rep < y_rep)")
+    met = met.where(F.least(F.expr("x_n - x_at"), F.expr("y_n - y_at")) + 1 >= shared * (F.col("x_n") + F.col("y_n")) - slack)
+    met = met.where(differing_bits("x_fp", "y_fp") <= radius)
+    return ordered(met.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")))
+
+
+def pairs_apart(classes: DataFrame, members: DataFrame, found: DataFrame, radius: int, similarity: float, few: int) -> DataFrame:
+    """Pairs (a, b) of texts within the radius that share a bucket and are in different classes, as far as they can be similar.
+
+    Texts meet within their bucket where that makes up to few * few pairs. Larger buckets are divided by the sizes of
+    shingle sets; in parts that are still too large texts meet by rare shingles. So no step grows with the square of a bucket.
+    """
+    pairs, crowds, limit = [], [], few * few
+    texts = classes.select("rep", "fp", "n", "c")
+    for by, placed in ((["t", "key"], members.select("t", "key", "fp").join(texts, "fp")), (["fp"], texts)):
+        for _ in range(2):
+            split = written(split_buckets(placed, by), "split-buckets")
+            pairs.append(pairs_in_buckets(placed, split.where(F.col("pairs") <= limit), by, radius, similarity))
+            crowded = placed.join(split.where(F.col("pairs") > limit).select(*by), by)
+            if "band" not in by:
+                by, placed = [*by, "band"], written(in_size_bands(crowded, similarity), "size-bands")
+        crowds.append(crowded.select("rep", "fp", "c"))
+    crowd = written(crowds[0].unionAll(crowds[1]).distinct(), "crowd")
+    pairs.append(pairs_by_rare_shingles(crowd, found, radius, similarity))
+    return functools.reduce(DataFrame.unionAll, pairs).distinct()
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -213,7 +286,7 @@ def similar_pairs(found: DataFrame, pairs: DataFrame, similarity: float, name: s
 
 
 def similar_groups(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, whole: int = 8, leaders: int = 2,
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, whole: int = 8, leaders: int = 2, few: int = 64,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, group_id, n_rows) per distinct id: texts whose sets of five-word shingles have a Jaccard similarity of 0.8.
@@ -221,13 +294,14 @@ def similar_groups(
     Texts with the same words are one from the start. The others become candidates by covering hashing of a SimHash
     over their distinct words, of which an edited word changes one and not five; every link is then checked on the
     shingle sets. First every text meets the central texts of its buckets; then texts of one bucket that are still in
-    different classes meet each other. So no link between texts within the radius is lost, and members of one large
-    class are not compared with each other. A group is a component of checked links, its id the smallest doc_id.
+    different classes meet, in large buckets (over `few` squared pairs) by the sizes of their sets, then under rare shingles.
+    So no link between texts within the radius that joins two classes is lost, and no bucket is compared all with all. A group is a component of checked links, its id the smallest doc_id.
     Texts without words are equal to each other. Rows that repeat an id count once, n_rows being their number; rows
     without an id are left out.
     """
     found = written(features(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col), "features")
-    texts = written(found.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "texts")
+    texts = written(found.groupBy("same").agg(
+        F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.max(F.expr("cast(length(shingles) / 4 as int)")).alias("n")), "texts")
     members = written(bucket_members(texts, radius), "buckets")
     least = texts.groupBy("fp").agg(F.min("rep").alias("least"))
     hubs = texts.join(least, "fp").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
@@ -237,11 +311,8 @@ def similar_groups(
     roots = components(similar_pairs(found, pairs, similarity, "central"), "similar")
 
     classes = written(texts.join(roots, F.col("rep") == F.col("node"), "left").select(
-        "same", "rep", "fp", F.coalesce("root", "rep").alias("c")), "classes")
-    # Of the texts with one fingerprint, the least stands for all of its class.
-    stand = classes.groupBy("fp", "c").agg(F.min("rep").alias("rep"))
-    again = pairs_apart(members.join(stand, "fp").select("t", "key", "rep", "fp", "c"), ["t", "key"], radius)
-    again = again.unionAll(pairs_apart(classes.select("rep", "fp", "c"), ["fp"], radius)).distinct()
+        "same", "rep", "fp", "n", F.coalesce("root", "rep").alias("c")), "classes")
+    again = pairs_apart(classes, members, found, radius, similarity, few)
     again = written(again.join(pairs, ["a", "b"], "left_anti"), "pairs-apart")
     late = similar_pairs(found, again, similarity, "apart")
     if not late.isEmpty():

@@ -110,11 +110,30 @@ def test_groups_do_not_depend_on_central_texts(spark):
     fps = {r.doc_id: r.fp for r in simhash.features(docs, 5, "doc_id", "text").collect()}
     near = [(a, b) for a, b in itertools.combinations(sets, 2) if ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 6]
     true = joined([(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
-    for options in ({}, {"whole": 0, "leaders": 1}):
+    for options in ({}, {"whole": 0, "leaders": 1}, {"whole": 0, "leaders": 1, "few": 0}):
         found = {r.doc_id: r.group_id for r in simhash.similar_groups(docs, **options).collect()}
         assert found == {i: true[i] for i in found} and len(found) == 24
 
 
+def test_rare_shingles_lose_no_similar_pair(spark):
+    """Random sets of shared and own shingles: pairs met under rare shingles hold every pair at 0.8, and few that are not."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    sets = {i: set(rng.permutation(60)[: rng.integers(1, 60)].tolist()) | {1000 * i + j for j in range(rng.integers(0, 8))} for i in range(60)}
+    for i in range(60, 120):
+        sets[i] = set(sorted(sets[i - 60])[rng.integers(0, 4):]) | {1000 * i} or {1}
+    template = set(range(5000, 5030))
+    for i in range(120, 200):  # a crowd with too much of its own
+        sets[i] = template | {10000 * i + j for j in range(5)}
+    rows = [(i, np.array(sorted(s), dtype="<u4").tobytes()) for i, s in sets.items()]
+    found = spark.createDataFrame(rows, "doc_id long, shingles binary")
+    crowd = found.select(F.col("doc_id").alias("rep"), F.lit(0).cast("long").alias("fp"), F.col("doc_id").alias("c"))
+    met = {(r.a, r.b) for r in simhash.pairs_by_rare_shingles(crowd, found, 6, 0.8).collect()}
+    true = {(a, b) for a, b in itertools.permutations(sets, 2) if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert true and true <= met
+    assert not any(a >= 120 and b >= 120 for a, b in met)
+
+
 def test_near_duplicate_stage_keeps_one_of_each(documents, odd):
     kept = simhash.without_near_duplicates(documents(*odd))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 5, 6, 7, 8, 9, 10]
