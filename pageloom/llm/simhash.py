@@ -7,7 +7,6 @@ fingerprints that differ in at most `radius` bits agree on all kept positions of
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 from itertools import accumulate
@@ -185,90 +184,118 @@ def central_pairs(members: DataFrame, radius: int, whole: int, leaders: int) ->
     return met.select(F.col("fp").alias("x"), F.col("head").alias("y")).distinct()
 
 
-def split_buckets(members: DataFrame, by: list[str]) -> DataFrame:
-    """(by, main, pairs): the buckets with several classes, their largest class and a bound of the pairs to compare."""
-    sizes = members.groupBy(*by, "c").agg(F.count("*").alias("m"))
-    found = sizes.groupBy(*by).agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("n"))
-    return found.where("n > most").select(*by, "main", ((F.col("n") - F.col("most")) * F.col("n")).alias("pairs"))
+def shingle_frequencies(sets: DataFrame) -> np.ndarray:
+    """A class of frequency (four to an octave) for each cell of a table that hashes fall into by their low bits.
 
+    The table has 2 ** 16 to 2 ** 22 cells, by the number of hashes. It only orders hashes: what cells confuse costs time, no result.
+    """
+    total = sets.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()[0] // 4
+    bits = min(22, max(16, total.bit_length() - 4))
+    cells, parts = 1 << bits, 64
 
-def pairs_in_buckets(members: DataFrame, split: DataFrame, by: list[str], radius: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts in one bucket, within the radius, of sizes that allow the similarity, in different classes so far.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(cells, dtype=np.int64)
+        for batch in batches:
+            for shingles in batch.column("shingles"):
+                np.add.at(n, np.frombuffer(shingles.as_buffer(), dtype="<u4") & np.uint32(cells - 1), 1)
+        blocks = [x.astype("<u4").tobytes() for x in np.split(np.minimum(n, (1 << 32) - 1), parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blocks, pa.binary())], ["block", "n"])
 
-    `members` has the columns `by`, rep, fp, n (hashes in the shingle set) and c, the class. Texts of a bucket's largest
-    class need not meet each other; the others meet all texts of the bucket that are not in their own class.
-    """
-    mixed = members.join(split.select(*by, "main"), by)
-    rest = mixed.where("c <> main").select(*by, *[F.col(x).alias(f"a_{x}") for x in ("rep", "fp", "n", "c")])
-    met = rest.join(mixed.withColumn("b_fp", F.col("fp")), by).where("a_c <> c and (c = main or a_rep < rep)")
-    met = met.where((F.least("a_n", "n") >= similarity * F.greatest("a_n", "n")) & (differing_bits("a_fp", "b_fp") <= radius))
-    return ordered(met.select(F.col("a_rep").alias("a"), F.col("rep").alias("b")))
+    def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, n in zip(batch.column("block").to_pylist(), batch.column("n"), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(n.as_buffer(), dtype="<u4").astype(np.int64)
+        classes = [np.round(4 * np.log2(np.maximum(n, 1))).astype(np.uint8).tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary())], ["block", "n"])
 
+    counted = sets.select("shingles").mapInArrow(count, "block int, n binary").repartition("block").mapInArrow(total_of, "block int, n binary")
+    found = np.zeros((parts, cells // parts), dtype=np.uint8)
+    for block, n in counted.collect():
+        found[block] = np.frombuffer(n, dtype=np.uint8)
+    return found.reshape(-1)
 
-def in_size_bands(members: DataFrame, similarity: float) -> DataFrame:
-    """Every row in two bands of set sizes; sets of sizes that allow the similarity have a band in common."""
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / (math.log(1 / similarity) + 1e-9))
-    return members.withColumn("band", F.explode(F.array(band, band + 1)))
 
+def rare_prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """(rep, fp, c, n, h, at): the first hashes of each text's shingle set of n, from rare to frequent, `at` from 1 on.
 
-def shingle_rows(sets: DataFrame) -> DataFrame:
-    """(rep, n, h): the hashes of each text's shingle set, one per row, and their number."""
+    `texts` has rep, fp, c and shingles. Of two similar sets, in any one order of all hashes, the first ones of each
+    must have a hash in common; these are all that a row is made for, about a fifth of the set.
+    """
+    often = shingle_frequencies(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rep, shingles in zip(batch.column("rep"), batch.column("shingles"), strict=True):
-                found = np.frombuffer(shingles.as_buffer(), dtype="<u4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.repeat(rep, len(found)), pa.array(np.full(len(found), len(found), dtype=np.int32)), pa.array(found)], ["rep", "n", "h"])
+        for batch in slices(batches, text="shingles"):
+            hashes, sizes, firsts = [], [], []
+            for shingles in batch.column("shingles"):
+                found = np.frombuffer(shingles.as_buffer(), dtype="<u4")
+                first = len(found) - math.ceil(similarity * len(found) - 1e-6) + 1 if len(found) else 0
+                ranked = np.sort(often[found & np.uint32(len(often) - 1)].astype(np.uint64) << np.uint64(32) | found)[:first]
+                hashes.append((ranked & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                sizes.append(len(found))
+                firsts.append(len(ranked))
+            of = pa.array(np.repeat(np.arange(len(firsts)), firsts))
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(c).take(of) for c in ("rep", "fp", "c")], pa.array(np.repeat(np.array(sizes, dtype=np.int32), firsts)),
+                pa.array(np.concatenate([*hashes, np.empty(0, dtype=np.int32)])),
+                pa.array(np.concatenate([*[np.arange(1, k + 1, dtype=np.int32) for k in firsts], np.empty(0, dtype=np.int32)]))],
+                ["rep", "fp", "c", "n", "h", "at"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+    return texts.select("rep", "fp", "c", "shingles").mapInArrow(run, f"rep {kinds['rep']}, fp long, c {kinds['c']}, n int, h int, at int")
 
-    kind = sets.schema["rep"].dataType.simpleString()
-    return sets.select("rep", "shingles").mapInArrow(run, f"rep {kind}, n int, h long")
 
+def met_enough(x_n: str, x_at: str, y_n: str, y_at: str, similarity: float) -> Column:
+    """Sets of x and y hashes that meet at these places first may still share what the similarity asks for, s (x + y) / (1 + s)."""
+    left = F.least(F.col(x_n) - F.col(x_at), F.col(y_n) - F.col(y_at)) + 1
+    return left >= similarity / (1 + similarity) * (F.col(x_n) + F.col(y_n)) - 1e-6
 
-def pairs_by_rare_shingles(crowd: DataFrame, found: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts in different classes, within the radius, that may reach the similarity; none that does is left out.
 
-    Of two similar sets, in any one order of all hashes, the first ones of each must have a hash in common: sets of x
-    and y >= x hashes share at least s (x + y) / (1 + s), which is at least 2 s x / (1 + s) and s y. The order is
-    from rare to frequent, so what a crowd of copies has in common comes last and is not met under. At the first hash in
-    common, what follows in either set must be enough for the number that has to be shared.
+def held_by_several(placed: DataFrame) -> DataFrame:
+    """The rows whose hash texts of several classes hold; written, as most hashes are held by one text."""
+    several = placed.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("h")
+    return written(placed.join(several, "h"), "shared-prefixes")
+
+
+def pairs_under_shingles(placed: DataFrame, radius: int | None, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the texts of `rare_prefixes` in different classes that may reach the similarity; none that does is left out.
+
+    Two similar sets share at least s (x + y) / (1 + s) of their x and y >= x hashes, which is at least 2 s x / (1 + s)
+    and s y; the first hash they share lies that far from the end of either. With a radius, pairs of fingerprints at more bits are left out.
     """
-    texts = crowd.join(found.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"]), "rep")
-    rows = written(shingle_rows(texts), "crowd-shingles")
-    often = rows.groupBy("h").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("rep").orderBy("often", "h")
-    placed = rows.join(often, "h").withColumn("at", F.row_number().over(order))
-    slack, shared = 1e-6, similarity / (1 + similarity)
-    placed = placed.where((F.col("often") > 1) & (F.col("at") <= F.col("n") - F.ceil(similarity * F.col("n") - slack) + 1))
-    placed = written(placed.select("rep", "n", "h", "at").join(crowd, "rep"), "crowd-prefixes")
-    first = placed.where(F.col("at") <= F.col("n") - F.ceil(2 * shared * F.col("n") - slack) + 1)
+    first = placed.where(F.col("at") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-6) + 1)
     x = first.select("h", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "at", "fp", "c")])
     y = placed.select("h", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "at", "fp", "c")])
     met = x.join(y, "h").where("x_c <> y_c and (x_n < y_n or x_n = y_n and x_rep < y_rep)")
-    met = met.where(F.least(F.expr("x_n - x_at"), F.expr("y_n - y_at")) + 1 >= shared * (F.col("x_n") + F.col("y_n")) - slack)
-    met = met.where(differing_bits("x_fp", "y_fp") <= radius)
+    met = met.where(met_enough("x_n", "x_at", "y_n", "y_at", similarity))
+    if radius is not None:
+        met = met.where(differing_bits("x_fp", "y_fp") <= radius)
     return ordered(met.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")))
 
 
-def pairs_apart(classes: DataFrame, members: DataFrame, found: DataFrame, radius: int, similarity: float, few: int) -> DataFrame:
-    """Pairs (a, b) of texts within the radius that share a bucket and are in different classes, as far as they can be similar.
+def pairs_by_rare_shingles(crowd: DataFrame, found: DataFrame, radius: int | None, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts in different classes that may reach the similarity, at any distance of fingerprints if the radius is None."""
+    sets = found.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"])
+    prefixes = written(rare_prefixes(crowd.join(sets, "rep"), similarity), "prefixes")
+    return pairs_under_shingles(held_by_several(prefixes), radius, similarity)
 
-    Texts meet within their bucket where that makes up to few * few pairs. Larger buckets are divided by the sizes of
-    shingle sets; in parts that are still too large texts meet by rare shingles. So no step grows with the square of a bucket.
-    """
-    pairs, crowds, limit = [], [], few * few
-    texts = classes.select("rep", "fp", "n", "c")
-    for by, placed in ((["t", "key"], members.select("t", "key", "fp").join(texts, "fp")), (["fp"], texts)):
-        for _ in range(2):
-            split = written(split_buckets(placed, by), "split-buckets")
-            pairs.append(pairs_in_buckets(placed, split.where(F.col("pairs") <= limit), by, radius, similarity))
-            crowded = placed.join(split.where(F.col("pairs") > limit).select(*by), by)
-            if "band" not in by:
-                by, placed = [*by, "band"], written(in_size_bands(crowded, similarity), "size-bands")
-        crowds.append(crowded.select("rep", "fp", "c"))
-    crowd = written(crowds[0].unionAll(crowds[1]).distinct(), "crowd")
-    pairs.append(pairs_by_rare_shingles(crowd, found, radius, similarity))
-    return functools.reduce(DataFrame.unionAll, pairs).distinct()
+
+def pairs_with_first_holder(placed: DataFrame, similarity: float, few: int) -> DataFrame:
+    """Pairs (a, b), linear in the rows: under a hash that over `few` texts hold, each text and the holder with the smallest id."""
+    heads = placed.groupBy("h").agg(F.count("*").alias("often"), F.min_by(F.struct("rep", "n", "at", "c"), "rep").alias("head"))
+    heads = heads.where((F.col("often") > few)).select("h", *[F.col(f"head.{c}").alias(f"head_{c}") for c in ("rep", "n", "at", "c")])
+    met = placed.join(heads, "h").where(F.col("c") != F.col("head_c")).where(met_enough("n", "at", "head_n", "head_at", similarity))
+    met = met.where(F.least("n", "head_n") >= similarity * F.greatest("n", "head_n"))
+    return ordered(met.select(F.col("rep").alias("a"), F.col("head_rep").alias("b")))
+
+
+def merge_classes(classes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(rep, ..., c) with classes joined that have a link (a, b) of their texts."""
+    of = classes.select("rep", "c")
+    joined = links.join(of.select(F.col("rep").alias("a"), F.col("c").alias("a_c")), "a").join(
+        of.select(F.col("rep").alias("b"), F.col("c").alias("b_c")), "b").select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
+    merged = components(joined, name).withColumnRenamed("node", "c")
+    return written(classes.join(merged, "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root"), f"{name}-classes")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -291,11 +318,12 @@ def similar_groups(
 ) -> DataFrame:
     """(doc_id, group_id, n_rows) per distinct id: texts whose sets of five-word shingles have a Jaccard similarity of 0.8.
 
-    Texts with the same words are one from the start. The others become candidates by covering hashing of a SimHash
-    over their distinct words, of which an edited word changes one and not five; every link is then checked on the
-    shingle sets. First every text meets the central texts of its buckets; then texts of one bucket that are still in
-    different classes meet, in large buckets (over `few` squared pairs) by the sizes of their sets, then under rare shingles.
-    So no link between texts within the radius that joins two classes is lost, and no bucket is compared all with all. A group is a component of checked links, its id the smallest doc_id.
+    Texts with the same words are one from the start. Most others meet first by covering hashing of a SimHash over
+    their distinct words, of which an edited word changes one and not five: every text meets the central texts of its
+    buckets. Then texts that are still in different classes meet under the rarest shingles of their sets, whatever
+    their fingerprints: first the smallest holder of a shingle that more than `few` texts hold, then each other. The
+    last step leaves out no pair that is similar, so groups are those of all pairs; every link is checked on the
+    shingle sets. A group is a component of checked links, its id the smallest doc_id.
     Texts without words are equal to each other. Rows that repeat an id count once, n_rows being their number; rows
     without an id are left out.
     """
@@ -312,15 +340,16 @@ def similar_groups(
 
     classes = written(texts.join(roots, F.col("rep") == F.col("node"), "left").select(
         "same", "rep", "fp", "n", F.coalesce("root", "rep").alias("c")), "classes")
-    again = pairs_apart(classes, members, found, radius, similarity, few)
-    again = written(again.join(pairs, ["a", "b"], "left_anti"), "pairs-apart")
-    late = similar_pairs(found, again, similarity, "apart")
-    if not late.isEmpty():
-        of = classes.select("rep", "c")
-        joined = late.join(of.select(F.col("rep").alias("a"), F.col("c").alias("a_c")), "a").join(
-            of.select(F.col("rep").alias("b"), F.col("c").alias("b_c")), "b").select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
-        merged = components(joined, "merged")
-        classes = classes.join(merged, F.col("c") == F.col("node"), "left").select("same", F.coalesce("root", "c").alias("c"))
+    sets = found.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"])
+    prefixes = written(rare_prefixes(classes.where("n > 0").select("rep", "fp", "c").join(sets, "rep"), similarity), "prefixes")
+    placed = held_by_several(prefixes)
+    steps = (("holders", lambda: pairs_with_first_holder(placed, similarity, few)), ("apart", lambda: pairs_under_shingles(placed, None, similarity)))
+    for name, step in steps:
+        again = written(step().join(pairs, ["a", "b"], "left_anti"), f"pairs-{name}")
+        late = similar_pairs(found, again, similarity, name)
+        if not late.isEmpty():
+            classes = merge_classes(classes, late, f"merged-{name}")
+            placed = held_by_several(placed.drop("c").join(classes.select("rep", "c"), "rep"))
     placed = classes.select("same", F.col("c").alias("group_id"))
     return found.select("doc_id", "same").join(placed, "same").groupBy("doc_id").agg(
         F.min("group_id").alias("group_id"), F.count("*").alias("n_rows"))

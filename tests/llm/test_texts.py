@@ -134,6 +134,28 @@ def test_rare_shingles_lose_no_similar_pair(spark):
     assert not any(a >= 120 and b >= 120 for a, b in met)
 
 
+def test_cut_and_edited_copies_against_all_pairs(spark):
+    """Cuts and edits put the word SimHashes of similar texts far apart; every pair at 0.8 is in one group all the same."""
+    random.seed(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts, kinds = [], []
+    for _ in range(60):
+        base = [random.choice(vocabulary) for _ in range(random.randint(80, 400))]
+        edited = [random.choice(vocabulary) if random.random() < 0.02 else w for w in base]
+        for kind, w in (("own", base), ("82", base[: math.ceil(len(base) * 0.82)]), ("90", base[len(base) - math.ceil(len(base) * 0.9):]), ("2", edited)):
+            texts.append(" ".join(w))
+            kinds.append(kind)
+    order = random.sample(range(len(texts)), len(texts))
+    sets = {i: set(simhash.shingle_hashes(texts[k], 5).tolist()) for i, k in enumerate(order)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    fps = {r.doc_id: r.fp for r in simhash.features(docs, 5, "doc_id", "text").collect()}
+    assert sum(((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() > 6 for a, b in links) > len(links) / 4
+    true = joined(links, sets)
+    for options in ({}, {"few": 0}):
+        assert {r.doc_id: r.group_id for r in simhash.similar_groups(docs, **options).collect()} == true
+
+
 def test_near_duplicate_stage_keeps_one_of_each(documents, odd):
     kept = simhash.without_near_duplicates(documents(*odd))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 5, 6, 7, 8, 9, 10]
