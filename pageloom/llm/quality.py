@@ -1,7 +1,8 @@
 """Line-first cleaning: rules per line, then the document by what is left of it. DataFrame functions only.
 
 A line fails if it is a fragment (under five words and no closing punctuation), a navigation bar (many separators),
-noise (symbols, shouted or repeated words) or boilerplate (known phrases, braces of code). Failed lines are removed; a
+noise (symbols, shouted or repeated words) or boilerplate (braces of code, or known phrases of whole words, one in under 15
+words; a long line that mentions one stays). Failed lines are removed; a
 document that loses more than half of its word characters is rejected.
 """
 
@@ -14,6 +15,8 @@ from pageloom.llm.common import WORD_BREAK
 
 CLOSING = r"[.!?:;…。！？：；][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 PHRASES = r"(?i)lorem ipsum|enable javascript|accept (all )?cookies|uses cookies|cookie policy|terms of use|privacy policy|sign in|log in|skip to content|subscribe to our|click here"
+WHOLE_PHRASES = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{PHRASES.removeprefix('(?i)')})(?![\p{{L}}\p{{N}}])"
+FEWEST_WORDS_A_PHRASE = 15
 SEPARATORS = r"[|»›•·]"
 SYMBOLS = r"[#*$%&|<>]"
 NOISE = r"[#*$%&|<>{}~^_=\\]"
@@ -40,7 +43,7 @@ def line_verdict(line: Column) -> Column:
         | (F.regexp_count(line, F.lit(NOISE)) * 2 >= n_words)
         | (F.regexp_count(line, F.lit(SHOUTED)) * 2 >= n_words)
         | ((n_words >= 8) & (F.size(F.array_distinct(words_of(line))) * 5 < n_words * 2))
-        | line.rlike(PHRASES)
+        | (F.regexp_count(line, F.lit(WHOLE_PHRASES)) * FEWEST_WORDS_A_PHRASE > n_words)
     )
 
 

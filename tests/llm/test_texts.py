@@ -191,6 +191,15 @@ def test_lines_decide(documents):
     assert [r.doc_id for r in quality.clean_rows(documents(*texts)).collect()] == [0]
 
 
+def test_a_phrase_in_a_long_line_does_not_fail_it(documents):
+    prose = " ".join(f"word{i}" for i in range(60))
+    texts = [f"{prose} a design in two parts, a blog in print and our privacy policy in short.", f"{prose} said.\nA design in two parts, a catalog in print.", f"{prose} said.\nPlease read our privacy policy.",
+             f"{prose} said.\nSign in.", " ".join(f"click here word{i}" for i in range(60)) + "."]
+    rows = {r.doc_id: r._quality for r in quality.with_quality(documents(*texts)).collect()}
+    assert [rows[i].kept for i in range(5)] == [True, True, True, True, False]
+    assert [rows[i].clean_text == texts[i] for i in range(4)] == [True, True, False, False]
+
+
 def test_op6_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.01"
     truth = {r.doc_id: (r.lang, r.text) for r in docs_of(spark, sf_dir)}
