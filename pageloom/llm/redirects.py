@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.urls import url_join
 from pageloom.llm.common import LOWER, UPPER, written
 from pageloom.llm.components import components
 
@@ -60,17 +61,15 @@ def bound(column: Column) -> Column:
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): a page's node, and the node its canonical link or refresh redirect names.
 
-    Relative targets are put after the page's host or folder; dot segments stay as written.
+    Relative targets are resolved against the page's URL; absolute ones stay as written.
     """
     tags = F.filter(F.regexp_extract_all(F.col(html_col), F.lit(TAG), F.lit(0)), lambda t: t.rlike("(?i)canonical|refresh"))
     rows = pages.select(F.col(url_col).alias("url"), F.explode(tags).alias("tag"))
     rows = rows.withColumn("target", bound(F.when(attribute(F.col("tag"), "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), attribute(F.col("tag"), "href")).when(
         attribute(F.col("tag"), "http-equiv").rlike("(?i)^refresh$"), F.regexp_extract(attribute(F.col("tag"), "content"), REFRESH, 1))))
     rows = rows.where("target <> ''").withColumn("target", bound(F.trim(F.regexp_replace("target", "(?i)&(amp|#38|#x26);", "&"))))
-    target, site = F.col("target"), F.regexp_extract("url", "(?s)^.*?://[^/?#]*", 0)
-    folder = F.regexp_extract(path_of(F.col("url")), "(?s)^.*/", 0)
-    rows = rows.withColumn("full", bound(F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(
-        target.startswith("/"), F.concat(site, target)).otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), target))))
+    target = F.col("target")
+    rows = rows.withColumn("full", bound(F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).otherwise(url_join(F.col("url"), target))))
     rows = rows.select(bound(F.struct(node_of(F.col("url")).alias("a"), node_of(F.col("full")).alias("b"))).alias("e")).select("e.a", "e.b")
     return rows.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 

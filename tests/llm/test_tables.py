@@ -68,6 +68,18 @@ def test_rules_and_aliases(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
+def test_relative_alias_targets_are_resolved(spark):
+    """The page has no rule of its own; its decision is that of the page its target names."""
+    canonical = '<link rel="canonical" href="{}">'.format
+    blocked = canonical("http://shop.com/de/1")
+    targets = ["../z", "./z", "?q=1", "../../z", "/z", "z?q=2", "//a3.net/up/z", "//a8.net/./x#y", "sub/../z"]
+    named = ["a{0}.net/up/z", "a{0}.net/up/on/z", "a{0}.net/up/on/p?q=1", "a{0}.net/z", "a{0}.net/z", "a{0}.net/up/on/z?q=2", "a3.net/up/z", None, "a{0}.net/up/on/z"]
+    rows = [(f"http://a{i}.net/up/on/p", canonical(t)) for i, t in enumerate(targets)]
+    rows += [("https://" + n.format(i), blocked) for i, n in enumerate(named) if n]
+    found = {r.page_id: (r.verdict, r.via) for r in redirects.judge(pages(spark, rows)).collect()}
+    assert [found[i] for i in range(len(targets))] == [("block", "alias") if n else ("allow", "default") for n in named]
+
+
 def test_many_pages_with_one_canonical_url(spark):
     rows = [(f"http://h{i}.net/p", '<link rel=canonical href="http://x.com/de/1">') for i in range(300)] + [("http://free.net/", "")]
     assert [r["count"] for r in redirects.judge(pages(spark, rows)).groupBy("verdict").count().orderBy("verdict").collect()] == [1, 300]
