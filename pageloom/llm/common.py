@@ -39,6 +39,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """Column names as Spark reads them literally, dots and all."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that Python objects exist for a few megabytes of text at a time; a longer text comes alone."""
     for batch in batches:

@@ -7,17 +7,16 @@ fingerprints that differ in at most `radius` bits agree on all kept positions of
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import LOWER_BYTES, id_and_text, slices, written
+from pageloom.llm.common import LOWER_BYTES, id_and_text, quoted, slices, written
 from pageloom.llm.components import components
 
 SEED = 42
@@ -110,262 +109,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-# --- groups of similar texts: wider radius, checked on the shingles ---
+def without_near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without those that `near_duplicates` groups with another one that stays; all columns are kept.
 
-
-def features(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, same, fp, n, shingles): `same` is equal for equal word sequences, `fp` is the SimHash of the distinct
-    words, `shingles` the sorted distinct hashes of runs of `words` words, folded to 32 bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            same, fp, shingles = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = (text or "").encode().translate(LOWER_BYTES).split()
-                same.append(xxhash.xxh128_digest(b" ".join(found)))
-                once = set(found)
-                fp.append(majority(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in once), dtype=np.uint64, count=len(once))))
-                hashed = shingle_hashes(text, words)
-                shingles.append(np.unique((hashed ^ hashed >> np.uint64(32)).astype(np.uint32)).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(fp, pa.int64()), pa.array(shingles, pa.binary())],
-                ["doc_id", "same", "fp", "shingles"])
-
-    source = id_and_text(docs, id_col, text_col)
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, same binary, fp long, shingles binary")
-
-
-def jaccard_at_least(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b, left, right), those whose shingle sets have at least this Jaccard similarity: (a, b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), dtype="<u4") for s in (left, right))
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.select("a", "b", "left", "right").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}")
-
-
-def bucket_members(texts: DataFrame, radius: int) -> DataFrame:
-    """(t, key, fp, n): the buckets of the covering tables that hold n > 1 distinct fingerprints."""
-    spread = tables(texts.select("fp").distinct(), radius)
-    sizes = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return spread.join(sizes, ["t", "key"]).select("t", "key", "fp", "n")
-
-
-def differing_bits(x: str, y: str) -> Column:
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-
-
-def central_pairs(members: DataFrame, radius: int, whole: int, leaders: int) -> DataFrame:
-    """Pairs (x, y) of fingerprints to compare first, linear in the number of members.
-
-    In a bucket of up to `whole` all pairs are taken; in a larger one every member is paired with its `leaders` most
-    central ones, those that share most buckets with others. Pairs at over 2 * radius bits are left out: the tables
-    bring together few that far apart, and not by what they guarantee.
-    """
-    central = members.groupBy("fp").agg(F.sum("n").alias("central"))
-    ranked = members.join(central, "fp")
-    order = Window.partitionBy("t", "key").orderBy(F.desc("central"), "fp")
-    heads = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(whole, leaders))
-    heads = heads.select("t", "key", F.col("fp").alias("head"), "place", F.col("central").alias("head_central"))
-    met = ranked.join(heads, ["t", "key"]).where((F.col("n") <= whole) | (F.col("place") <= leaders))
-    later = (F.col("central") < F.col("head_central")) | (F.col("central") == F.col("head_central")) & (F.col("fp") > F.col("head"))
-    met = met.where(later & (differing_bits("fp", "head") <= 2 * radius))
-    return met.select(F.col("fp").alias("x"), F.col("head").alias("y")).distinct()
-
-
-def shingle_frequencies(sets: DataFrame) -> np.ndarray:
-    """A class of frequency (four to an octave) for each cell of a table that hashes fall into by their low bits.
-
-    The table has 2 ** 16 to 2 ** 22 cells, by the number of hashes. It only orders hashes: what cells confuse costs time, no result.
-    """
-    total = sets.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()[0] // 4
-    bits = min(22, max(16, total.bit_length() - 4))
-    cells, parts = 1 << bits, 64
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(cells, dtype=np.int64)
-        for batch in batches:
-            for shingles in batch.column("shingles"):
-                np.add.at(n, np.frombuffer(shingles.as_buffer(), dtype="<u4") & np.uint32(cells - 1), 1)
-        blocks = [x.astype("<u4").tobytes() for x in np.split(np.minimum(n, (1 << 32) - 1), parts)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blocks, pa.binary())], ["block", "n"])
-
-    def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, n in zip(batch.column("block").to_pylist(), batch.column("n"), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(n.as_buffer(), dtype="<u4").astype(np.int64)
-        classes = [np.round(4 * np.log2(np.maximum(n, 1))).astype(np.uint8).tobytes() for n in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary())], ["block", "n"])
-
-    counted = sets.select("shingles").mapInArrow(count, "block int, n binary").repartition("block").mapInArrow(total_of, "block int, n binary")
-    found = np.zeros((parts, cells // parts), dtype=np.uint8)
-    for block, n in counted.collect():
-        found[block] = np.frombuffer(n, dtype=np.uint8)
-    return found.reshape(-1)
-
-
-def rare_prefixes(texts: DataFrame, similarity: float) -> DataFrame:
-    """(rep, fp, c, n, h, at): the first hashes of each text's shingle set of n, from rare to frequent, `at` from 1 on.
-
-    `texts` has rep, fp, c and shingles. Of two similar sets, in any one order of all hashes, the first ones of each
-    must have a hash in common; these are all that a row is made for, about a fifth of the set.
-    """
-    often = shingle_frequencies(texts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text="shingles"):
-            hashes, sizes, firsts = [], [], []
-            for shingles in batch.column("shingles"):
-                found = np.frombuffer(shingles.as_buffer(), dtype="<u4")
-                first = len(found) - math.ceil(similarity * len(found) - 1e-6) + 1 if len(found) else 0
-                ranked = np.sort(often[found & np.uint32(len(often) - 1)].astype(np.uint64) << np.uint64(32) | found)[:first]
-                hashes.append((ranked & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-                sizes.append(len(found))
-                firsts.append(len(ranked))
-            of = pa.array(np.repeat(np.arange(len(firsts)), firsts))
-            yield pa.RecordBatch.from_arrays([
-                *[batch.column(c).take(of) for c in ("rep", "fp", "c")], pa.array(np.repeat(np.array(sizes, dtype=np.int32), firsts)),
-                pa.array(np.concatenate([*hashes, np.empty(0, dtype=np.int32)])),
-                pa.array(np.concatenate([*[np.arange(1, k + 1, dtype=np.int32) for k in firsts], np.empty(0, dtype=np.int32)]))],
-                ["rep", "fp", "c", "n", "h", "at"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
-    return texts.select("rep", "fp", "c", "shingles").mapInArrow(run, f"rep {kinds['rep']}, fp long, c {kinds['c']}, n int, h int, at int")
-
-
-def met_enough(x_n: str, x_at: str, y_n: str, y_at: str, similarity: float) -> Column:
-    """Sets of x and y hashes that meet at these places first may still share what the similarity asks for, s (x + y) / (1 + s)."""
-    left = F.least(F.col(x_n) - F.col(x_at), F.col(y_n) - F.col(y_at)) + 1
-    return left >= similarity / (1 + similarity) * (F.col(x_n) + F.col(y_n)) - 1e-6
-
-
-def held_by_several(placed: DataFrame) -> DataFrame:
-    """The rows whose hash texts of several classes hold; written, as most hashes are held by one text."""
-    several = placed.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("h")
-    return written(placed.join(several, "h"), "shared-prefixes")
-
-
-def pairs_under_shingles(placed: DataFrame, radius: int | None, similarity: float) -> DataFrame:
-    """Pairs (a, b) of the texts of `rare_prefixes` in different classes that may reach the similarity; none that does is left out.
-
-    Two similar sets share at least s (x + y) / (1 + s) of their x and y >= x hashes, which is at least 2 s x / (1 + s)
-    and s y; the first hash they share lies that far from the end of either. With a radius, pairs of fingerprints at more bits are left out.
-    """
-    first = placed.where(F.col("at") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-6) + 1)
-    x = first.select("h", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "at", "fp", "c")])
-    y = placed.select("h", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "at", "fp", "c")])
-    met = x.join(y, "h").where("x_c <> y_c and (x_n < y_n or x_n = y_n and x_rep < y_rep)")
-    met = met.where(met_enough("x_n", "x_at", "y_n", "y_at", similarity))
-    if radius is not None:
-        met = met.where(differing_bits("x_fp", "y_fp") <= radius)
-    return ordered(met.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")))
-
-
-def pairs_by_rare_shingles(crowd: DataFrame, found: DataFrame, radius: int | None, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts in different classes that may reach the similarity, at any distance of fingerprints if the radius is None."""
-    sets = found.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"])
-    prefixes = written(rare_prefixes(crowd.join(sets, "rep"), similarity), "prefixes")
-    return pairs_under_shingles(held_by_several(prefixes), radius, similarity)
-
-
-def pairs_with_first_holder(placed: DataFrame, similarity: float, few: int) -> DataFrame:
-    """Pairs (a, b), linear in the rows: under a hash that over `few` texts hold, each text and the holder with the smallest id."""
-    heads = placed.groupBy("h").agg(F.count("*").alias("often"), F.min_by(F.struct("rep", "n", "at", "c"), "rep").alias("head"))
-    heads = heads.where((F.col("often") > few)).select("h", *[F.col(f"head.{c}").alias(f"head_{c}") for c in ("rep", "n", "at", "c")])
-    met = placed.join(heads, "h").where(F.col("c") != F.col("head_c")).where(met_enough("n", "at", "head_n", "head_at", similarity))
-    met = met.where(F.least("n", "head_n") >= similarity * F.greatest("n", "head_n"))
-    return ordered(met.select(F.col("rep").alias("a"), F.col("head_rep").alias("b")))
-
-
-def merge_classes(classes: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """(rep, ..., c) with classes joined that have a link (a, b) of their texts."""
-    of = classes.select("rep", "c")
-    joined = links.join(of.select(F.col("rep").alias("a"), F.col("c").alias("a_c")), "a").join(
-        of.select(F.col("rep").alias("b"), F.col("c").alias("b_c")), "b").select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
-    merged = components(joined, name).withColumnRenamed("node", "c")
-    return written(classes.join(merged, "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root"), f"{name}-classes")
-
-
-def ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair once, the larger end first."""
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def similar_pairs(found: DataFrame, pairs: DataFrame, similarity: float, name: str) -> DataFrame:
-    """Of the pairs (a, b) of ids, those whose shingle sets are similar. Sets are read for the texts in pairs only."""
-    asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(found.select("doc_id", "shingles").join(asked, "doc_id").dropDuplicates(["doc_id"]), f"{name}-sets")
-    full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
-    return written(jaccard_at_least(full, similarity), f"{name}-links")
-
-
-def similar_groups(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, whole: int = 8, leaders: int = 2, few: int = 64,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """(doc_id, group_id, n_rows) per distinct id: texts whose sets of five-word shingles have a Jaccard similarity of 0.8.
-
-    Texts with the same words are one from the start. Most others meet first by covering hashing of a SimHash over
-    their distinct words, of which an edited word changes one and not five: every text meets the central texts of its
-    buckets. Then texts that are still in different classes meet under the rarest shingles of their sets, whatever
-    their fingerprints: first the smallest holder of a shingle that more than `few` texts hold, then each other. The
-    last step leaves out no pair that is similar, so groups are those of all pairs; every link is checked on the
-    shingle sets. A group is a component of checked links, its id the smallest doc_id.
-    Texts without words are equal to each other. Rows that repeat an id count once, n_rows being their number; rows
-    without an id are left out.
-    """
-    found = written(features(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col), "features")
-    texts = written(found.groupBy("same").agg(
-        F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.max(F.expr("cast(length(shingles) / 4 as int)")).alias("n")), "texts")
-    members = written(bucket_members(texts, radius), "buckets")
-    least = texts.groupBy("fp").agg(F.min("rep").alias("least"))
-    hubs = texts.join(least, "fp").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    near = central_pairs(members, radius, whole, leaders).join(least.select(F.col("fp").alias("x"), F.col("least").alias("a")), "x").join(
-        least.select(F.col("fp").alias("y"), F.col("least").alias("b")), "y").select("a", "b")
-    pairs = written(ordered(near.unionAll(hubs)), "pairs")
-    roots = components(similar_pairs(found, pairs, similarity, "central"), "similar")
-
-    classes = written(texts.join(roots, F.col("rep") == F.col("node"), "left").select(
-        "same", "rep", "fp", "n", F.coalesce("root", "rep").alias("c")), "classes")
-    sets = found.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"])
-    prefixes = written(rare_prefixes(classes.where("n > 0").select("rep", "fp", "c").join(sets, "rep"), similarity), "prefixes")
-    placed = held_by_several(prefixes)
-    steps = (("holders", lambda: pairs_with_first_holder(placed, similarity, few)), ("apart", lambda: pairs_under_shingles(placed, None, similarity)))
-    for name, step in steps:
-        again = written(step().join(pairs, ["a", "b"], "left_anti"), f"pairs-{name}")
-        late = similar_pairs(found, again, similarity, name)
-        if not late.isEmpty():
-            classes = merge_classes(classes, late, f"merged-{name}")
-            placed = held_by_several(placed.drop("c").join(classes.select("rep", "c"), "rep"))
-    placed = classes.select("same", F.col("c").alias("group_id"))
-    return found.select("doc_id", "same").join(placed, "same").groupBy("doc_id").agg(
-        F.min("group_id").alias("group_id"), F.count("*").alias("n_rows"))
-
-
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group, each id once, with all their columns.
-
-    The ids to leave out are written, so Spark knows their size: a small table is broadcast and the texts stay where
-    they are. Only rows of ids that repeat are shuffled to keep one of each.
+    Of each group the row with the smallest id stays, rows without an id last, equal ids by a hash of the text; of rows
+    equal in id and text any one. Rows are told apart by id and text, so unlike texts under one id or none all
+    stay. Texts without words are one group. The keys to leave out are written, so Spark knows their size: a small
+    table is broadcast and the texts stay where they are. An empty table gives an empty one.
     """
-    groups = similar_groups(docs, id_col=id_col, text_col=text_col, **options)
-    marked = written(groups.where("doc_id <> group_id or n_rows > 1").select(
-        F.col("doc_id").alias(id_col), (F.col("doc_id") == F.col("group_id")).alias("one_stays")), "left-out")
-    once = docs.where(F.col(id_col).isNotNull()).join(marked.select(id_col), id_col, "left_anti")
-    repeated = docs.join(marked.where("one_stays").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
+    of = F.struct(F.isnull(id_col).alias("without"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"))
+    found = near_duplicates(docs.select(of.alias("doc_id"), F.col(text_col).alias("text")), words)
+    counted = found.groupBy("doc_id", "component_id").agg(F.count("*").alias("n")).select(
+        F.col("doc_id").alias("key"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("one_stays"), "n")
+    marked = written(counted.where("not one_stays or n > 1"), "left-out")
+    rows = docs.select(of.alias("key"), F.struct(*[F.col(c) for c in quoted(docs.columns)]).alias("row"))
+    once = rows.join(marked.select("key"), "key", "left_anti").select("row.*")
+    repeated = rows.join(marked.where("one_stays").select("key"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")
     return once.unionAll(repeated)
 
 

@@ -79,83 +79,6 @@ def test_components_of_random_graphs(spark):
     assert {r.node: r.root for r in found} == expected and len(found) == len(nodes)
 
 
-def test_groups_of_similar_texts_against_all_pairs(spark, corpus):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    sets = {r.doc_id: set(simhash.shingle_hashes(r.text, 5).tolist()) for r in docs.collect()}
-    holders, common = collections.defaultdict(list), collections.Counter()
-    for i in sorted(sets):
-        for h in sets[i]:
-            holders[h].append(i)
-    for ids in holders.values():
-        common.update(itertools.combinations(ids, 2))
-    links = [p for p, n in common.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
-    group = {r.doc_id: r.group_id for r in simhash.similar_groups(docs).collect()}
-    assert sum(group[a] == group[b] for a, b in links) >= 0.95 * len(links)
-    true = joined(links, sets)
-    assert all(true[i] == true[g] for i, g in group.items())  # nothing is grouped that is not linked
-
-
-def test_groups_do_not_depend_on_central_texts(spark):
-    """Two copied families share buckets; a bucket where each text first meets one other loses no link within the radius."""
-    base = [f"w{i}" for i in range(300)]
-    texts = []
-    for k in range(24):
-        changed = list(base)
-        changed[10 * k] = f"x{k}"  # 5 of about 300 shingles
-        if k % 3 == 0:
-            changed[150:190] = [f"w{i}" for i in range(189, 149, -1)]  # the same words in another order
-        texts.append((k, " ".join(changed)))
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts}
-    fps = {r.doc_id: r.fp for r in simhash.features(docs, 5, "doc_id", "text").collect()}
-    near = [(a, b) for a, b in itertools.combinations(sets, 2) if ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 6]
-    true = joined([(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
-    for options in ({}, {"whole": 0, "leaders": 1}, {"whole": 0, "leaders": 1, "few": 0}):
-        found = {r.doc_id: r.group_id for r in simhash.similar_groups(docs, **options).collect()}
-        assert found == {i: true[i] for i in found} and len(found) == 24
-
-
-def test_rare_shingles_lose_no_similar_pair(spark):
-    """Random sets of shared and own shingles: pairs met under rare shingles hold every pair at 0.8, and few that are not."""
-    import numpy as np
-    rng = np.random.default_rng(5)
-    sets = {i: set(rng.permutation(60)[: rng.integers(1, 60)].tolist()) | {1000 * i + j for j in range(rng.integers(0, 8))} for i in range(60)}
-    for i in range(60, 120):
-        sets[i] = set(sorted(sets[i - 60])[rng.integers(0, 4):]) | {1000 * i} or {1}
-    template = set(range(5000, 5030))
-    for i in range(120, 200):  # a crowd with too much of its own
-        sets[i] = template | {10000 * i + j for j in range(5)}
-    rows = [(i, np.array(sorted(s), dtype="<u4").tobytes()) for i, s in sets.items()]
-    found = spark.createDataFrame(rows, "doc_id long, shingles binary")
-    crowd = found.select(F.col("doc_id").alias("rep"), F.lit(0).cast("long").alias("fp"), F.col("doc_id").alias("c"))
-    met = {(r.a, r.b) for r in simhash.pairs_by_rare_shingles(crowd, found, 6, 0.8).collect()}
-    true = {(a, b) for a, b in itertools.permutations(sets, 2) if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert true and true <= met
-    assert not any(a >= 120 and b >= 120 for a, b in met)
-
-
-def test_cut_and_edited_copies_against_all_pairs(spark):
-    """Cuts and edits put the word SimHashes of similar texts far apart; every pair at 0.8 is in one group all the same."""
-    random.seed(11)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    texts, kinds = [], []
-    for _ in range(60):
-        base = [random.choice(vocabulary) for _ in range(random.randint(80, 400))]
-        edited = [random.choice(vocabulary) if random.random() < 0.02 else w for w in base]
-        for kind, w in (("own", base), ("82", base[: math.ceil(len(base) * 0.82)]), ("90", base[len(base) - math.ceil(len(base) * 0.9):]), ("2", edited)):
-            texts.append(" ".join(w))
-            kinds.append(kind)
-    order = random.sample(range(len(texts)), len(texts))
-    sets = {i: set(simhash.shingle_hashes(texts[k], 5).tolist()) for i, k in enumerate(order)}
-    links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")
-    fps = {r.doc_id: r.fp for r in simhash.features(docs, 5, "doc_id", "text").collect()}
-    assert sum(((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() > 6 for a, b in links) > len(links) / 4
-    true = joined(links, sets)
-    for options in ({}, {"few": 0}):
-        assert {r.doc_id: r.group_id for r in simhash.similar_groups(docs, **options).collect()} == true
-
-
 def test_near_duplicate_stage_keeps_one_of_each(documents, odd):
     kept = simhash.without_near_duplicates(documents(*odd))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 5, 6, 7, 8, 9, 10]
@@ -163,6 +86,25 @@ def test_near_duplicate_stage_keeps_one_of_each(documents, odd):
     assert simhash.without_near_duplicates(documents()).count() == 0
 
 
+def test_near_duplicate_stage_against_all_pairs(spark, corpus):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = {r.doc_id: fingerprint(r.text) for r in docs.collect()}
+    links = [(a, b) for a, b in itertools.combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    true = joined(links, fps)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in fps if true[i] == i) and 0 < kept.count() < len(fps)
+
+
+def test_near_duplicate_stage_keeps_unlike_texts_without_an_id_of_their_own(spark):
+    texts = [" ".join(f"{c}{(i * i) % 37}" for i in range(80)) for c in "abcdefg"]
+    rows = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (1, texts[3]), (2, texts[4]), (None, texts[4]), (3, texts[5]), (2, texts[5]), (None, texts[6]), (None, texts[6])]
+    docs = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, fp long, `a.key` string").repartition(3)
+    kept = simhash.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(found, key=str) == sorted([(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (2, texts[4]), (2, texts[5]), (None, texts[6])], key=str)
+
+
 def base_rules(text):
     w = words(text)
     seen = collections.defaultdict(list)
