@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: the one with the smallest id."""
+    """One document of each group of the SimHash operator: three-word shingles, links at two or fewer bits."""
     return simhash.without_near_duplicates(docs)
 
 
@@ -29,7 +29,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("language", language_stage), ("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
 
-# The language model, the SimHash groups and the tokenizer have no SQL form; tests hold the stages against plain versions.
+# The language model, the fingerprints and the tokenizer have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
