@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import ann, bpe, language, licenses, matrices, maxent, packing, quality, redirects, simhash
+from pageloom.llm import ann, bpe, language, licenses, matrices, maxent, packing, pivots, quality, redirects, simhash
 from pageloom.llm.common import is_held_out
 from pageloom.llm.tokens import ModelFile
 
@@ -89,6 +89,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.array_max("found.score"), F.lit(0.0)).alias("score"))
 
 
+def op11_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.similar_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_byte_bpe, op2_packing, op3_nearest_neighbours, op4_language_model, op5_quality_rules, op6_language_id, op7_url_filters,
-    op8_token_matrices, op9_simhash, op10_license_scan)}
+    op8_token_matrices, op9_simhash, op10_license_scan, op11_embedding_near_duplicates)}
