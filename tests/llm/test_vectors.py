@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pageloom.llm import pivots, queries
+from pageloom.llm import pivots, queries, whitening
 
 
 def brute(ids, vectors, similarity=0.9):
@@ -84,3 +84,60 @@ def test_odd_vectors(spark):
 def test_similarity_at_the_threshold_links(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [9.0, 3.0, 3.0, 1.0]), (3, [0.0, 0.0, 1.0, 0.0])], "vec_id long, embedding array<float>")
     assert found(pivots.similar_vectors(df)) == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+
+
+def plain(vectors, scale=256):
+    """Distinct whole vectors, their mean, and the eigenvectors and eigenvalues of their covariance, falling."""
+    x = np.unique(np.floor(scale * np.asarray(vectors, dtype=np.float64)), axis=0)
+    values, directions = np.linalg.eigh(np.cov(x.T, bias=True).reshape(x.shape[1], -1))
+    return x, x.mean(axis=0), values[::-1], directions[:, ::-1]
+
+
+def test_op12_against_a_dense_decomposition(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    fit, mean, values, directions = plain([r.embedding for r in rows])
+    sums = [int(s) for s in fit.sum(axis=0)]
+    out = queries.op12_embedding_whitening(spark, "/root/testdata/sf0.1").toPandas().set_index(["component", "vec_id"]).sort_index()
+    assert len(out) == 4 * len(rows) and (out.n == len(fit)).all() and out.identity_error.max() < 1e-9
+    for k in range(4):
+        of = out.loc[k + 1].loc[[r.vec_id for r in rows]]
+        x = np.floor(256 * np.array([r.embedding for r in rows], dtype=np.float64))
+        white = (x - mean) @ directions[:, k] / np.sqrt(values[k])
+        white *= np.sign(white @ of.whitened)
+        assert np.abs(white - of.whitened).max() < 1e-9
+        assert np.allclose(of.explained, values[k] / values.sum(), rtol=1e-10)
+        assert of.deviation.tolist() == [sum((len(fit) * int(a) - s) ** 2 for a, s in zip(row, sums, strict=True)) for row in x]
+
+
+def whitened(spark, rows, **options):
+    df = spark.createDataFrame([(i, v, 1.0) for i, v in rows], "vec_id long, embedding array<double>, whitened double").repartition(3)
+    return whitening.whiten(df, **options).toPandas()
+
+
+def test_whitening_of_odd_and_repeated_rows(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((60, 3)) * [4, 2, 1])]
+    odd = [(100, None), (101, []), (102, [1.0, None, 2.0]), (103, [float("nan"), 0.0, 0.0]), (104, [1.0, 2.0]), (105, [float("-inf"), 0.0, 0.0])]
+    out = whitened(spark, [*rows, *odd, *rows[:5], (None, rows[0][1]), (200, [0.0, 0.0, 0.0])])
+    assert len(out) == 3 * (60 + 5 + 1 + 1) and set(out.component) == {1, 2, 3} and (out.n == 61).all() and out.vec_id.isna().sum() == 3
+    assert abs(out.drop_duplicates("component").explained.sum() - 1) < 1e-12 and out.identity_error.max() < 1e-10
+    assert len(whitened(spark, [])) == len(whitened(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])) == len(whitened(spark, odd[:4])) == 0
+
+
+def test_whitening_with_equal_eigenvalues_and_few_dimensions(spark):
+    """Repeated eigenvalues need more than one chain; vectors that span a plane have two components."""
+    axes = [(i, (s * row).tolist()) for i, (s, row) in enumerate((s, row) for s in (-1, 1) for row in np.eye(6))]
+    out = whitened(spark, axes)
+    assert len(out) == 48 and np.allclose(out.explained, 1 / 6) and out.identity_error.max() < 1e-10
+    plane = [(i, [float(p) for p in (a, b, a + b, 2 * a, 0)]) for i, (a, b) in enumerate((a, b) for a in range(5) for b in range(7))]
+    out = whitened(spark, plane)
+    assert set(out.component) == {1, 2} and abs(out.drop_duplicates("component").explained.sum() - 1) < 1e-12
+
+
+def test_whitening_of_large_parts_is_exact_where_a_long_holds_it(spark):
+    rows = [(1, [1e12, 1.0]), (2, [-1e12, 5.0]), (3, [3e11, 2.0])]
+    out = whitened(spark, rows)
+    assert out.deviation.isna().all() and out.identity_error.max() < 1e-6
+    out = whitened(spark, [(1, [1e6, 1.0]), (2, [-1e6, 5.0]), (3, [3e5, 2.0])])
+    x = np.array([[256 * 10**6, 256], [-256 * 10**6, 1280], [256 * 3 * 10**5, 512]], dtype=object)
+    assert dict(zip(out.vec_id, out.deviation, strict=True)) == {i + 1: sum((3 * x[i] - x.sum(axis=0)) ** 2) for i in range(3)}
