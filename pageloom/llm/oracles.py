@@ -103,4 +103,31 @@ SELECT page_id, host, path, {cases(None)} AS rule, coalesce({cases(0)}, shared.v
 FROM own LEFT JOIN shared ON shared.node = own.node
 """
 
-ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY, "op7_url_filters": REDIRECTS}
+# crc32 of a number's digits, bit by bit; the constants are the polynomial and the mask of CRC-32.
+CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"""
+
+PREFIXES = f"""
+WITH turns AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST) AS turns FROM turns GROUP BY c),
+asked AS (SELECT c, turns, {CRC} % 4 AS h, c - c % 20 AS base FROM own),
+rebuilt AS (
+  SELECT asked.c, list_concat(CASE WHEN own.turns IS NULL OR h = 0 THEN [] ELSE own.turns[1:h] END, asked.turns[h + 1:]) AS s
+  FROM asked LEFT JOIN own ON own.c = asked.base),
+prefixes AS (SELECT c, len(s) AS length, s, unnest(range(0, len(s) + 1)) AS depth FROM rebuilt),
+members AS (SELECT c, length, depth, min(c) OVER (PARTITION BY depth, s[1:depth]) AS conv_id, s[depth].text AS last_text FROM prefixes),
+nodes AS (
+  SELECT conv_id, depth, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (length = depth), '') AS ends,
+    CASE WHEN depth = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(any_value(last_text), {quoted(BREAK)}), lambda x: x <> '')) END AS words
+  FROM members GROUP BY conv_id, depth),
+placed AS (SELECT nodes.*, members.conv_id AS parent_conv_id FROM nodes LEFT JOIN members ON members.c = nodes.conv_id AND members.depth = nodes.depth - 1),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM placed WHERE depth > 0 GROUP BY ALL),
+below AS (
+  SELECT members.conv_id, members.depth, count(*) FILTER (children.n IS NULL) AS n_leaves, sum((nodes.n_convs - 1) * nodes.words) AS saved
+  FROM nodes JOIN members ON members.c = nodes.conv_id AND members.depth <= nodes.depth
+  LEFT JOIN children ON children.conv_id = nodes.conv_id AND children.depth = nodes.depth GROUP BY members.conv_id, members.depth)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(children.n, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM placed LEFT JOIN children USING (conv_id, depth) JOIN below USING (conv_id, depth)
+"""
+
+ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY, "op7_url_filters": REDIRECTS, "op13_conversation_prefixes": PREFIXES}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import ann, bpe, language, licenses, matrices, maxent, packing, pivots, quality, redirects, simhash, whitening
+from pageloom.llm import ann, bpe, language, licenses, matrices, maxent, packing, pivots, prefixes, quality, redirects, simhash, whitening
 from pageloom.llm.common import is_held_out
 from pageloom.llm.tokens import ModelFile
 
@@ -97,6 +97,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_conversation_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_byte_bpe, op2_packing, op3_nearest_neighbours, op4_language_model, op5_quality_rules, op6_language_id, op7_url_filters,
-    op8_token_matrices, op9_simhash, op10_license_scan, op11_embedding_near_duplicates, op12_embedding_whitening)}
+    op8_token_matrices, op9_simhash, op10_license_scan, op11_embedding_near_duplicates, op12_embedding_whitening, op13_conversation_prefixes)}
