@@ -28,6 +28,7 @@ TOKEN = (
 )
 TAG_NAME = r"^</?([a-zA-Z][^\s/>]*)"
 START_TAG = rf"(?s)^<[a-zA-Z]{_TAG_REST}>"
+CODE_TAG = rf"(?is)<code(?=[\s/>]){_TAG_REST}>"
 RAW_CONTENT = r"(?s)^<[a-zA-Z]+(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>=]++|=)*+>(.*?)(?:</[a-zA-Z]+[^>]*>)?$"
 _REFERENCE = r"(&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?|[^&]+|&)"
 _ATTRIBUTE = r"""(?s)[^\s/>="'][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?"""

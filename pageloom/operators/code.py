@@ -20,7 +20,7 @@ PRE = ["pre"]
 
 def code_tag(markup: Column) -> Column:
     """Start tag of the first <code> in a <pre>, '' without one."""
-    return F.regexp_extract(markup, r"(?i)<code(?:\s[^>]*)?>", 0)
+    return F.regexp_extract(markup, M.CODE_TAG, 0)
 
 
 def code_lang(tag: Column) -> Column:

@@ -11,8 +11,9 @@ from pageloom.functions import urls as U
 from pageloom.operators import metadata as meta
 from pageloom.operators import staged
 from pageloom.operators.tokens import tag_tokens
+from pageloom.session import take_last_keys
 
-LINK_TOKENS = r"(?is)^<(?:a[\s/>]|[a-z][^>]*[\s\"']data-href|script\b[^>]*ld\+json)"
+LINK_TOKENS = r"(?is)^<(?:a[\s/>]|[a-z].*[\s\"']data-href|script[\s/>].*ld\+json)"
 
 # JSON-LD keys whose string values are page URLs.
 _JSON_URL = r'(?<!\\)"(?:url|@id|mainEntityOfPage|itemListElement)":"(http(?:[^"\\]|\\.)*+)"'
@@ -30,6 +31,7 @@ def json_urls(payload: Column) -> Column:
 
 def link_candidates(pages: DataFrame) -> DataFrame:
     """(page_id, url, via, target): absolute targets before site filtering. Narrow: no shuffle."""
+    take_last_keys(pages.sparkSession)
     rows = tag_tokens(pages, LINK_TOKENS, "url")
     started = F.col("kind").isin("open", "empty", "raw", "rcdata")
     href = F.when(started & (F.col("tag") == "a"), M.attribute(F.col("attrs"), "href"))

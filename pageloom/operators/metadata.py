@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pageloom.functions import markup as M
 from pageloom.functions import text as T
 from pageloom.operators.tokens import tag_tokens
+from pageloom.session import take_last_keys
 
-HEAD_TAGS = r"(?is)^<(?:(?:meta|link|html|time|title)[\s/>]|script\b[^>]*ld\+json)"
+HEAD_TAGS = r"(?is)^<(?:(?:meta|link|html|time|title)[\s/>]|script[\s/>].*ld\+json)"
 
 # JSON-LD types that describe the page itself.
 PAGE_TYPES = ["Article", "BlogPosting", "NewsArticle", "TechArticle", "WebPage", "ScholarlyArticle"]
@@ -25,7 +26,7 @@ def _attr(name: str) -> Column:
 
 
 def json_ld(tok: Column) -> Column:
-    """The parsed payload of a JSON-LD script; null when it is not valid JSON."""
+    """The parsed payload of a JSON-LD script, the last of repeated keys kept; null when it is not valid JSON."""
     return F.try_parse_json(F.nullif(T.strip(M.raw_content(tok)), F.lit("")))
 
 
@@ -61,6 +62,7 @@ def _described_item(payload: Column) -> Column:
 
 def with_head_columns(rows: DataFrame) -> DataFrame:
     """Add the JSON-LD payload and its described item to token rows with ``attrs``; null on the others."""
+    take_last_keys(rows.sparkSession)
     rows = rows.withColumn("payload", F.when(is_json_ld(), json_ld(F.col("tok"))))
     return rows.withColumn("item", F.when(F.col("payload").isNotNull(), _described_item(F.col("payload"))))
 

@@ -182,14 +182,15 @@ def table_pieces(grid: Column) -> Column:
         return F.repeat(F.lit("| "), n)
 
     def row(r: Column, n: Column) -> Column:
-        indexed = F.filter(
-            F.transform(r["cells"], lambda c, j: F.struct(j.alias("j"), c["pos"].alias("pos"), c["filled"].alias("filled"))),
-            lambda c: ~c["filled"])
+        # Runs to columns: each cell that is not filled, with the number of columns before it.
+        placed = F.aggregate(r["cells"], F.struct(F.lit(0).alias("j"), F.array().cast("array<struct<j:int,pos:int>>").alias("own")), lambda acc, c: F.struct(
+            (acc["j"] + c["n"]).alias("j"), F.when(c["filled"], acc["own"]).otherwise(
+                F.concat(acc["own"], F.array(F.struct(acc["j"].alias("j"), c["pos"].cast("int").alias("pos"))))).alias("own")))
+        indexed, width = placed["own"], placed["j"]
         # A real cell is preceded by one separator per column since the real cell before it.
         starts = F.transform(indexed, lambda c, m: F.struct(
             c["pos"].alias("pos"), F.lit(0).alias("sub"),
             separators(c["j"] - F.coalesce(F.get(F.transform(indexed, lambda d: d["j"]), m - 1), F.lit(0))).alias("md")))
-        width = F.size(r["cells"])
         last = F.coalesce(F.element_at(F.transform(indexed, lambda d: d["j"]), -1), F.lit(0))
         is_first = (n == 0) | (F.get(grid, n - 1)["table_pos"] != r["table_pos"])
         rule = F.when(is_first & (width > 0), F.concat(F.lit(ROW), F.array_join(F.array_repeat(F.lit("---"), width), "|"))).otherwise("")

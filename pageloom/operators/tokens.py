@@ -28,7 +28,9 @@ def raw_tokens(pages: DataFrame) -> DataFrame:
 def tag_tokens(pages: DataFrame, pattern: str, *keep: str) -> DataFrame:
     """Tokens matching a pattern, with their attributes: (page_id, pos, kind, tag, tok, attrs).
 
-    The others never leave the token array. Narrow, and a page without a match keeps one row of nulls.
+    The others never leave the token array. Narrow, and a page without a match keeps one row of nulls. A token is one
+    tag (with its body for scripts and the like), whatever its quoted values hold, so patterns may look at all of it: what
+    they let through too much is decided by the attributes.
     """
     found = F.filter(
         F.transform(M.split_tokens(F.col("html")), lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))),
@@ -67,7 +69,7 @@ def node_arrays(pages: DataFrame, *keep: str) -> DataFrame:
 
 def _slim(token: Column) -> Column:
     """Empty the bodies no operator reads: comments, styles, scripts other than JSON-LD and TeX."""
-    used = token.rlike(r"(?is)^<script\b[^>]*(?:ld\+json|math/tex)")
+    used = token.rlike(r"(?is)^<script[\s/>].*(?:ld\+json|math/tex)")
     return (
         F.when(token.startswith("<!--"), "<!---->")
         .when(token.rlike(r"(?i)^<style[\s/>]"), "<style></style>")
@@ -140,7 +142,7 @@ def nodes(
         if markup_of or markup_class:
             wanted = name.isin(markup_of or [])
             if markup_class:
-                wanted = wanted | (tok.contains(markup_class) & tok.rlike(rf"""(?is)^<[a-z][^>]*\bclass\s*=\s*["']?[^"'>]*{markup_class}"""))
+                wanted = wanted | (tok.contains(markup_class) & tok.rlike(rf"""(?is)^<[a-z].*[\s"']class\s*=\s*(?:"[^"]*|'[^']*|[^\s"'>]*){markup_class}"""))
             fields.append(F.when((mate > i) & wanted, _markup(i)).alias("markup"))
         if parents:
             up = F.get("parent", i)
@@ -153,10 +155,10 @@ def nodes(
     return arrays.select("page_id", *keep, F.inline_outer(F.transform("src", item)))
 
 
-# Start tags whose attributes some operator reads.
+# Start tags whose attributes some operator reads; a token ends with its tag, quoted '>' included.
 READ_ATTRIBUTES = (
-    r"(?is)^<(?:a|abbr|html|img|link|math|meta|mjx-container|source|time)[\s/>]|^<script\b[^>]*(?:ld\+json|math/tex)"
-    r"|^<t[dh]\b[^>]*span|^<div\b[^>]*(?:content|main|article|post-body)|^<[a-z][^>]*(?:katex|\bstyle\s*=)")
+    r"(?is)^<(?:a|abbr|html|img|link|math|meta|mjx-container|source|time)[\s/>]|^<script[\s/>].*(?:ld\+json|math/tex)"
+    r"|^<t[dh][\s/].*span|^<div[\s/].*(?:content|main|article|post-body)|^<[a-z].*(?:katex|\bstyle\s*=)")
 
 
 def with_attrs(rows: DataFrame) -> DataFrame:

@@ -24,12 +24,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-# Both settings suit long expressions over rows sorted by page:
+# The first two suit long expressions over rows sorted by page:
 # generated methods the JVM would not compile are split per operator instead, and an aggregation per page
-# streams over its sorted input rather than hashing and sorting it again.
+# streams over its sorted input rather than hashing and sorting it again. The third takes the last of repeated
+# keys in a JSON object, as browsers and the standard parsers do, instead of calling the text invalid.
 TUNING = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.useObjectHashAggregateExec": "false",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -42,6 +44,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def take_last_keys(spark: SparkSession) -> None:
+    """Set the one option that results depend on, for callers that did not ``tune`` their session."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def shuffles_for(spark: SparkSession, path: str, bytes_per_partition: int = 256 << 20) -> int:
     """The shuffle partitions for a capture table of this size, never below the session's own number.
 

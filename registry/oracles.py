@@ -158,8 +158,8 @@ add("tok5_element_text", f"""WITH found AS (
   UNION ALL SELECT page_id, 'li', generate_subscripts(regexp_extract_all(html, '<li><a [^>]*>(.*?)</a>', 1), 1),
     unnest(regexp_extract_all(html, '<li><a [^>]*>(.*?)</a>', 1)) FROM pages)
   SELECT page_id, tag, CAST(n AS BIGINT) AS n, {decoded('trim(t)')} AS text FROM found""")
-add("tok6_strip_boilerplate", f"""SELECT page_id, CAST(0 AS BIGINT) AS n_hidden,
-  CAST(len(list_filter(regexp_split_to_array(h, '<[^>]*>'), lambda t: t <> '')) AS BIGINT) AS n_text FROM (SELECT page_id, {REDUCED} AS h FROM pages)""")
+add("tok6_strip_boilerplate", f"SELECT page_id, {PLAIN} AS text FROM pages")
+add("tok2_quoted_gt", "SELECT page_id, CAST(4 AS INTEGER) AS rule, CAST(3 AS INTEGER) AS columns, CAST(1 AS BIGINT) AS n_links FROM pages")
 add("tok7_plaintext", f"SELECT page_id, {PLAIN} AS plaintext FROM pages")
 
 # Content extraction
@@ -169,6 +169,7 @@ add("ext1_heuristic_rule_x", "SELECT page_id, CASE WHEN page_id % 6 = 5 THEN 0 E
 add("ext3_full", f"SELECT page_id, {PLAIN} AS text FROM pages")
 add("ext4_extract_fallback_x", f"""SELECT page_id, CASE WHEN {PLAIN} LIKE 'T%' THEN 'true' ELSE 'false' END AS from_top
   FROM pages WHERE page_id % 6 = 5""")
+add("ext4_extract_fallback", f"SELECT page_id, {PLAIN} AS text FROM pages")
 TITLE = decoded(r"trim(regexp_extract(html, '<title>(.*?)</title>', 1, 's'))")
 add("ext5_title", f"SELECT page_id, {TITLE} AS title FROM pages")
 
@@ -197,6 +198,7 @@ add("mta10_jsonld_override_x", """SELECT page_id,
   CASE WHEN page_id % 4 = 2 THEN 'J' || CAST(page_id AS VARCHAR) END AS description,
   CASE WHEN page_id % 4 = 2 THEN '2025-02-03' END AS published, CASE WHEN page_id % 4 = 3 THEN '2025-03-04' END AS modified
   FROM pages WHERE page_id % 4 <> 1""")
+add("mta10_repeated_keys", """SELECT page_id, 'H' || page_id AS headline, 'A' || page_id AS author, 'https://a.example.org/' || page_id AS target FROM pages""")
 add("mta11_jsonld_author_x", f"WITH {META} SELECT page_id, author FROM m WHERE page_id % 4 <> 1")
 _FIELDS = ["title", "description", "author", "published", "modified", "canonical_url", "language", "keywords", "site_name", "image", "schema_type"]
 add("mta13_null_drop_x", f"WITH {META} SELECT * FROM (" + " UNION ALL ".join(
@@ -303,6 +305,15 @@ CELLS = """cells AS (
   UNION ALL SELECT page_id, 3, CAST(1 + page_id % 2 AS INTEGER), 'false', 'false', 'w' FROM pages)"""
 add("tbl2_colspan_x", f"WITH {CELLS} SELECT page_id, col_no, filled, text FROM cells WHERE row_no = 1")
 add("tbl3_rowspan_x", f"WITH {CELLS} SELECT page_id, col_no, filled, text FROM cells WHERE row_no = 3")
+add("tbl2_wide_colspan", """SELECT page_id, CAST(page_id % 600 + 1001 AS BIGINT) AS n_cells, CAST(page_id % 600 + 999 AS BIGINT) AS n_filled,
+  CAST(page_id % 600 + 1001 AS INTEGER) AS v_col FROM pages""")
+# A cell put into a row moves what stands at or behind its column; the span of two rows up comes first, if it is three high.
+add("tbl3_tall_spans", """WITH RECURSIVE g AS (
+  SELECT page_id, 1 AS row_no, 1 AS t, 2 AS p, 0 AS above, 2 AS n FROM pages
+  UNION ALL SELECT page_id, row_no + 1, t1 + CASE WHEN t <= t1 THEN 1 ELSE 0 END, p1 + CASE WHEN t <= p1 THEN 1 ELSE 0 END, t, n1 + 1
+  FROM (SELECT page_id, row_no, t, 1 + CASE WHEN two AND above <= 1 THEN 1 ELSE 0 END AS t1, 2 + CASE WHEN two AND above <= 2 THEN 1 ELSE 0 END AS p1,
+    2 + CASE WHEN two THEN 1 ELSE 0 END AS n1 FROM (SELECT *, row_no > 1 AND (row_no - 1 + page_id) % 2 = 1 AS two FROM g WHERE row_no < 20)))
+  SELECT page_id, CAST(row_no AS INTEGER) AS row_no, CAST(n AS BIGINT) AS n_cells, CAST(t AS INTEGER) AS t_col, CAST(p AS INTEGER) AS p_col FROM g""")
 add("tbl4_table_cells_x", f"WITH {CELLS} SELECT page_id, CAST(1 AS INTEGER) AS table_no, row_no, col_no, is_header, filled, text FROM cells")
 LANG = "CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'sql' WHEN 2 THEN 'rust' ELSE '' END"
 CODE = "'p(' || CAST(page_id AS VARCHAR) || ')'"

@@ -243,6 +243,17 @@ def _(pages):
     return rows.select("page_id", "n", "value")
 
 
+@query("tok2_quoted_gt")
+def _(pages):
+    """Attributes behind a quoted '>': the region, a column span, a link and a JSON-LD type of each page."""
+    opened = F.concat(F.lit('<div title="a>b" id="content"><table><tr><td title="1 > 0" colspan=3>w</td></tr></table><span title="x > y" data-href="/s">s</span>'))
+    built = pages.withColumn("html", F.replace(F.replace("html", F.lit("<article>"), opened), F.lit("</article>"), F.lit("</div>")))
+    rule = extract.regions(built).select("page_id", "rule")
+    wide = tables.table_cells(built).groupBy("page_id").agg(F.max("col_no").alias("columns"))
+    named = links.link_candidates(built).filter("via = 'data-href'").groupBy("page_id").agg(F.count("*").alias("n_links"))
+    return rule.join(wide, "page_id").join(named, "page_id")
+
+
 @query("tok3_entities")
 def _(pages):
     return tokens.element_text(pages, ["footer"]).select("page_id", "text")
@@ -262,9 +273,8 @@ def _(pages):
 
 @query("tok6_strip_boilerplate")
 def _(pages):
-    rows = tokens.visible(tokens.nodes(pages))
-    return rows.groupBy("page_id").agg(
-        count("n_hidden", F.col("kind").isin("raw", "comment", "declaration")), count("n_text", F.col("kind") == "text"))
+    rows = tokens.visible(tokens.nodes(pages)).withColumn("t", T.strip(M.token_text(F.col("kind"), F.col("tok"))))
+    return rows.groupBy("page_id").agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("t") != "", F.struct("pos", "t"))))["t"], "\n").alias("text"))
 
 
 @query("tok7_plaintext")
@@ -300,6 +310,12 @@ def _(pages):
     return extract.region_text(pages.join(whole, "page_id", "left_semi"), "heuristic").select("page_id", F.startswith("text", F.lit("T")).cast("string").alias("from_top"))
 
 
+@query("ext4_extract_fallback")
+def _(pages):
+    """The text of pages whose content no rule finds, which is all they show."""
+    return extract.region_text(pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1section>")), "heuristic")
+
+
 @query("ext5_title")
 def _(pages):
     return meta.metadata(pages).select("page_id", F.coalesce("title", "html_title").alias("title"))
@@ -333,6 +349,17 @@ def _(pages):
     return items.select("page_id", "schema_type", "headline", "description", "published", "modified")
 
 
+@query("mta10_repeated_keys")
+def _(pages):
+    k = F.col("page_id").cast("string")
+    script = F.concat(
+        F.lit('<script data-x="a>b" type="application/ld+json">{"@type":"Article","headline":"no","headline":"H'), k, F.lit('","author":{"name":"x","name":"A'), k,
+        F.lit('"},"url":"https://a.example.org/no","url":"https://a.example.org/'), k, F.lit('"}</script>'))
+    built = pages.withColumn("html", F.concat(script, "html"))
+    found = links.link_candidates(built).filter("via = 'json-ld'").select("page_id", "target")
+    return meta.json_ld_items(built).select("page_id", "headline", "author").join(found, "page_id")
+
+
 @query("mta11_jsonld_author_x")
 def _(pages):
     return meta.json_ld_items(pages).select("page_id", "author")
@@ -544,6 +571,25 @@ def _(pages):
     return cells.select("page_id", "col_no", F.col("filled").cast("string").alias("filled"), "text")
 
 
+@query("tbl2_wide_colspan")
+def _(pages):
+    wide = F.concat(F.lit('<article><table><tr><td colspan="'), (F.col("page_id") % 600 + 1000).cast("string"), F.lit('">w</td><td>v</td></tr></table>'))
+    cells = tables.table_cells(pages.withColumn("html", F.replace("html", F.lit("<article>"), wide)))
+    return cells.groupBy("page_id").agg(F.count("*").alias("n_cells"), count("n_filled", F.col("filled")), F.max(F.when(F.col("text") == "v", F.col("col_no"))).alias("v_col"))
+
+
+@query("tbl3_tall_spans")
+def _(pages):
+    """A table per page in whose rows one cell spans 2 or 3 rows: all cells as laid out."""
+    k = F.col("page_id")
+    tall = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda r: F.concat(
+        F.lit('<tr><td rowspan="'), (F.lit(2) + (r + k) % 2).cast("string"), F.lit('">t'), r.cast("string"), F.lit("</td><td>p"), r.cast("string"), F.lit("</td></tr>")))
+    built = pages.withColumn("html", F.concat(F.lit("<table>"), F.array_join(tall, ""), F.lit("</table>")))
+    cells = tables.table_cells(built)
+    return cells.groupBy("page_id", "row_no").agg(
+        F.count("*").alias("n_cells"), F.max(F.when(F.startswith("text", F.lit("t")), F.col("col_no"))).alias("t_col"), F.max(F.when(F.startswith("text", F.lit("p")), F.col("col_no"))).alias("p_col"))
+
+
 @query("tbl4_table_cells_x")
 def _(pages):
     return tables.table_cells(pages).select(
