@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom import session
 from pageloom.functions import markup as M
 from pageloom.functions import text as T
 from pageloom.functions import urls as U
@@ -45,16 +46,24 @@ def image_set(pages: DataFrame) -> DataFrame:
 
 
 def image_manifest(pages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """(url, path, status, collides): each image of the corpus once; ``existing`` has a ``path`` column."""
+    """(url, path, status, collides): each image of the corpus once; ``existing`` has a ``path`` column.
+
+    What is known of a path is one row, combined before any shuffle. Only paths that collide or exist are joined back to
+    the URLs, both sides written first, so that a path of very many URLs is split over tasks by AQE.
+    """
+    spark = pages.sparkSession
     urls = image_candidates(pages).select("url").distinct()
-    placed = staged(urls, path=U.image_path(F.col("url")))
-    shared = placed.groupBy("path").agg((F.count("*") > 1).alias("collides"))
-    out = placed.join(shared, "path")
+    placed = session.write_through(staged(urls, path=U.image_path(F.col("url"))), session.new_folder(spark, "images"))
+    facts = placed.groupBy("path").agg((F.count("*") > 1).alias("collides"))
     if existing is None:
-        return out.select("url", "path", F.lit("to fetch").alias("status"), "collides")
-    stored = existing.select("path", F.lit(True).alias("stored")).distinct()
-    status = F.when(F.col("stored"), "exists").otherwise("to fetch")
-    return out.join(stored, "path", "left").select("url", "path", status.alias("status"), "collides")
+        facts = facts.withColumn("stored", F.lit(False))
+    else:
+        stored = existing.select("path").distinct().withColumn("stored", F.lit(True))
+        facts = facts.join(stored, "path", "left").fillna({"stored": False})
+    known = session.write_through(facts.filter("collides or stored"), session.new_folder(spark, "image-paths"))
+    out = placed.join(known, "path", "left")
+    status = F.when(F.coalesce("stored", F.lit(False)), "exists").otherwise("to fetch")
+    return out.select("url", "path", status.alias("status"), F.coalesce("collides", F.lit(False)).alias("collides"))
 
 
 def manifest_counts(manifest: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NOT_HTML = "not HTML content"
@@ -11,15 +11,47 @@ HTML_TYPES = "text/html|application/xhtml"
 SNIFF = r"(?is)<html[\s>]|<!doctype\s+html"
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """Add ``page_id`` from a row's file, by name, and its place in it: the same however files are split for reading.
+
+    The table of file names, a row for each file of the listing that the driver holds anyway, is what is broadcast.
+    """
+    rows = files.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    names = files.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    held = names.withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("long") - 1)
+    placed = rows.join(F.broadcast(held), "_file", "left")
+    return placed.withColumn("page_id", F.shiftleft("_number", 33) + F.col("_row")).drop("_file", "_row", "_number")
+
+
+def declared_charset(pages: DataFrame) -> Column | None:
+    """The charset a capture names: its ``charset`` column, else that of its ``content_type``."""
+    found = [F.nullif(F.trim("charset"), F.lit(""))] if "charset" in pages.columns else []
+    if "content_type" in pages.columns:
+        found.append(F.nullif(F.regexp_extract("content_type", r"""(?i)charset\s*=\s*["']?([A-Za-z0-9_\-]+)""", 1), F.lit("")))
+    return F.coalesce(*found) if found else None
+
+
+def decoded_pages(pages: DataFrame) -> DataFrame:
+    """Captures whose body is bytes (``content``, or a binary ``html``) with the text in ``html`` instead."""
+    kinds = dict(pages.dtypes)
+    body = "html" if kinds.get("html") == "binary" else "content" if "html" not in kinds and kinds.get("content") == "binary" else None
+    if body is None:
+        return pages
+    text = decode_charset(F.col(body), declared_charset(pages))
+    return pages.withColumn("html", text) if body == "html" else pages.withColumn("html", text).drop(body)
+
+
 def read_pages(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
-    """A capture table (parquet, json, csv, orc) with at least url and html.
+    """A capture table (parquet, json, csv, orc) with at least url and html, or ``content`` bytes in place of html.
 
-    Without a ``page_id`` one is numbered from file order: unique, and the same on every read of the same files.
+    Bytes are decoded by ``decode_charset`` under the charset that a ``charset`` column or the ``content_type`` declares.
+    Without a ``page_id`` rows of Parquet files are numbered by file name and place in the file; those of other formats by
+    the order of the splits they are read in, so they keep their numbers only while files are split alike.
     """
     pages = spark.read.options(**options).format(format).load(path)
     if "page_id" not in pages.columns:
-        pages = pages.withColumn("page_id", F.monotonically_increasing_id())
-    return pages
+        pages = numbered(pages) if format == "parquet" else pages.withColumn("page_id", F.monotonically_increasing_id())
+    return decoded_pages(pages)
 
 
 def read_html_folder(spark: SparkSession, path: str, base_url: str) -> DataFrame:

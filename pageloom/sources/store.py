@@ -48,15 +48,34 @@ def write_markdown(documents: DataFrame, path: str, mode: str = "append") -> Non
     _stored_columns(documents).hint("rebalance", "site").write.mode(mode).partitionBy("site").parquet(path)
 
 
+MOST_SITES = 4096  # partitions named in a filter; more sites than that and all partitions are read
+
+
+def stored_of(placed: DataFrame, stored: DataFrame) -> DataFrame:
+    """The stored documents that can have a path of ``placed``: those in the partitions of its sites.
+
+    Paths below a folder named after their site are stored in that site's partition only. Sites are named in a filter, so
+    the scan lists their folders alone; paths of another layout, or a great many sites, leave ``stored`` as it is.
+    """
+    if "site" not in stored.columns or "url" not in placed.columns:
+        return stored
+    site = site_of(F.col("url"))
+    at_home = F.startswith("file_path", F.concat(site, F.lit("/")))
+    found = placed.select(F.when(at_home, site).alias("site")).distinct().limit(MOST_SITES + 1).collect()
+    if len(found) > MOST_SITES or any(r["site"] is None for r in found):
+        return stored
+    return stored.filter(F.col("site").isin([r["site"] for r in found]))
+
+
 def skip_existing(placed: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Drop pages whose ``file_path`` is stored already.
 
-    Paths are compared without the markup; the pages then keep the few new ids, so that an incremental run does
-    not move the markup of pages it skips.
+    Only the partitions of the sites concerned are read. Paths are compared without the markup; the pages then keep the
+    few new ids, so that an incremental run does not move the markup of pages it skips.
     """
     if stored is None:
         return placed
-    fresh = placed.select("page_id", "file_path").join(stored.select("file_path"), "file_path", "left_anti")
+    fresh = placed.select("page_id", "file_path").join(stored_of(placed, stored).select("file_path"), "file_path", "left_anti")
     return placed.join(fresh.select("page_id"), "page_id", "left_semi")
 
 

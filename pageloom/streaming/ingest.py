@@ -10,7 +10,9 @@ from pageloom.plans.convert import document, page_bodies, with_targets
 from pageloom.sources import store
 from pageloom.sources.captures import html_only
 
-PAGE_SCHEMA = "page_id long, url string, html string"
+PAGE_SCHEMA = {"page_id": "long", "url": "string", "html": "string"}
+# What a capture may say besides; taken where the arrived files have it.
+CAPTURE_SCHEMA = {"content_type": "string", "error": "string", "fetched_at": "timestamp"}
 OPTIONS = {"extractor", "metadata", "images", "layout"}
 
 
@@ -25,13 +27,24 @@ def ingest_batch(batch: DataFrame, path: str, **options) -> None:
     store.write_markdown(document(page_bodies(fresh, extractor, images), metadata), path)
 
 
+def arrived_schema(spark: SparkSession, source: str, format: str = "parquet") -> str:
+    """The columns of captures to read: the page's, and of the others those that the files arrived so far have."""
+    present = {c for c in spark.read.format(format).load(source).columns if c in CAPTURE_SCHEMA}
+    return ", ".join(f"{n} {kind}" for n, kind in (PAGE_SCHEMA | {c: k for c, k in CAPTURE_SCHEMA.items() if c in present}).items())
+
+
 def ingest(
-    spark: SparkSession, source: str, path: str, checkpoint: str, format: str = "parquet", max_files: int = 1000, **options
+    spark: SparkSession, source: str, path: str, checkpoint: str, format: str = "parquet", max_files: int = 1000,
+    schema: str | None = None, **options
 ) -> StreamingQuery:
-    """Run over everything that has arrived since the last run, then stop."""
+    """Run over everything that has arrived since the last run, then stop.
+
+    A capture's ``content_type`` and ``error`` decide as in a batch run: failed ones and other types leave no document, and
+    a later good capture of the URL does. ``schema`` names the columns to read where the first files do not tell.
+    """
     if unknown := set(options) - OPTIONS:
         raise TypeError(f"unknown options: {sorted(unknown)}")
     session.tune(spark)
-    arriving = spark.readStream.schema(PAGE_SCHEMA).format(format).option("maxFilesPerTrigger", max_files).load(source)
+    arriving = spark.readStream.schema(schema or arrived_schema(spark, source, format)).format(format).option("maxFilesPerTrigger", max_files).load(source)
     writer = arriving.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, path, **options))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
