@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pageloom import session
 from pageloom.functions import urls as U
 from pageloom.operators import staged
+from pageloom.operators.images import manifest_counts
 from pageloom.operators.links import links
 from pageloom.sources.captures import outcomes
 
@@ -131,11 +132,20 @@ def _with_status(urls: DataFrame, known: DataFrame, taken: DataFrame | None, ove
     return placed.select("url", "ord", "file_path", "page_id", status.alias("status"))
 
 
-def crawl_summary(walk: DataFrame, converted: DataFrame) -> DataFrame:
-    """One row: pages saved, skipped, already stored, and the words and tokens of the saved ones."""
+def crawl_summary(walk: DataFrame, converted: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """One row: pages saved, skipped, already stored, and the words and tokens of the saved ones.
+
+    With the ``manifest`` of their images also how many there are, how many to fetch and stored already, and how many
+    share a path with another.
+    """
     sizes = converted.select("page_id", "word_count", "estimated_tokens")
-    return walk.join(sizes, "page_id", "left").agg(
+    found = walk.join(sizes, "page_id", "left").agg(
         F.count_if(F.col("status") == "saved").alias("saved"), F.count_if(F.col("status") == "skipped").alias("skipped"),
         F.count_if(F.col("status") == "exists").alias("already_exists"),
         F.coalesce(F.sum(F.when(F.col("status") == "saved", F.col("word_count"))), F.lit(0)).alias("total_words"),
         F.coalesce(F.sum(F.when(F.col("status") == "saved", F.col("estimated_tokens"))), F.lit(0)).alias("total_tokens"))
+    if manifest is None:
+        return found
+    counts = manifest_counts(manifest).select(
+        "images", F.col("to_fetch").alias("images_to_fetch"), F.col("existing").alias("images_existing"), F.col("collisions").alias("image_collisions"))
+    return found.join(counts)  # one row each

@@ -166,6 +166,20 @@ add("tok7_plaintext", f"SELECT page_id, {PLAIN} AS plaintext FROM pages")
 ART = "regexp_extract(html, '<article>(.*)</article>', 1, 's')"
 add("ext1_heuristic", f"SELECT page_id, array_to_string({NODES.format(ART)}, chr(10)) AS text FROM pages")
 add("ext1_heuristic_rule_x", "SELECT page_id, CASE WHEN page_id % 6 = 5 THEN 0 ELSE CAST(1 + page_id % 6 AS INTEGER) END AS rule FROM pages")
+add("ext2_density", f"SELECT page_id, array_to_string({NODES.format(ART)}, chr(10)) AS text FROM pages")
+# Each block by the rule: 1 + commas + a point per 100 characters (3 at most) a paragraph, less the share of link text, 25 for
+# the name; the body gets half the points of the blocks in it. The first of the best counts.
+add("ext2_density_scored", """WITH made AS (
+  SELECT page_id, 1 + page_id % 3 AS ap, 6 + length(html) % 8 AS an, 1 + page_id % 13 AS bp, 30 + page_id % 400 AS bn, 40 + length(html) % 9 AS cn, 1 + page_id % 50 AS cl FROM pages),
+points AS (SELECT *, CAST(ap * (1 + an + least(5 * an // 100, 3)) AS DOUBLE) AS a, CAST(bp * (1 + least(bn // 100, 3)) AS DOUBLE) AS b,
+  CAST(1 + least((cn + cl) // 100, 3) AS DOUBLE) AS c, 5 * an * ap + bn * bp + cn + cl AS chars FROM made),
+texts AS (SELECT *, array_to_string(list_transform(range(ap), lambda i: repeat('abcd,', an)), chr(10)) AS text_a,
+  array_to_string(list_transform(range(bp), lambda i: repeat('z', bn)), chr(10)) AS text_b, repeat('y', cn) || chr(10) || repeat('x', cl) AS text_c FROM points),
+blocks AS (
+  SELECT page_id, 0 AS place, (a + b + c) / 2 * (1 - CAST(cl AS DOUBLE) / chars) AS score, text_a || chr(10) || text_b || chr(10) || text_c AS text FROM texts
+  UNION ALL SELECT page_id, 1, a, text_a FROM texts UNION ALL SELECT page_id, 2, b - 25, text_b FROM texts
+  UNION ALL SELECT page_id, 3, c * (1 - CAST(cl AS DOUBLE) / (cn + cl)) + 25, text_c FROM texts)
+SELECT page_id, text FROM blocks QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, place) = 1""")
 add("ext3_full", f"SELECT page_id, {PLAIN} AS text FROM pages")
 add("ext4_extract_fallback_x", f"""SELECT page_id, CASE WHEN {PLAIN} LIKE 'T%' THEN 'true' ELSE 'false' END AS from_top
   FROM pages WHERE page_id % 6 = 5""")
@@ -448,6 +462,13 @@ add("crl7_crawl_summary_x", f"""{SMALL_X}, sized AS (SELECT page_id, {WORDS.form
   count(*) FILTER (WHERE status = 'exists') AS already_exists, CAST(sum(w) AS BIGINT) AS total_words,
   CAST(sum({TOKENS.format('w')}) AS BIGINT) AS total_tokens FROM walk LEFT JOIN sized USING (page_id)""")
 
+add("crl7_crawl_images_x", f"""{walk('%.org/p/%')}, {IMAGES}, pictures AS (
+    SELECT page_id, url, {STORE_PATH} AS path FROM images WHERE page_id IN (SELECT page_id FROM walk WHERE status = 'saved')),
+  single AS (SELECT DISTINCT url, path FROM pictures), at_hand AS (SELECT DISTINCT path FROM pictures WHERE page_id % 2 = 0),
+  marked AS (SELECT path IN (SELECT path FROM at_hand) AS stored, count(*) OVER (PARTITION BY path) > 1 AS collides FROM single)
+  SELECT (SELECT count(*) FROM walk WHERE status = 'saved') AS saved, (SELECT count(*) FROM walk WHERE status = 'skipped') AS skipped, count(*) AS images,
+  count(*) FILTER (WHERE NOT stored) AS images_to_fetch, count(*) FILTER (WHERE stored) AS images_existing, count(*) FILTER (WHERE collides) AS image_collisions FROM marked""")
+
 # User-facing jobs
 add("api1_convert_pages_x", f"WITH {K} SELECT page_id, {URL} AS url, {FILE} AS file_path FROM k WHERE page_id % 3 <> 1")
 add("api2_crawl_site_x", f"{walk('%.org/p/%')} SELECT k.page_id, {URL} AS url, {FILE} AS file_path FROM walk JOIN k USING (page_id) WHERE status = 'saved'")

@@ -299,6 +299,20 @@ def _(pages):
     return extract.region_text(pages, "density")
 
 
+@query("ext2_density_scored")
+def _(pages):
+    """Pages of three blocks whose paragraphs, commas, links and names follow from the page: the text of the densest."""
+    k, n = F.col("page_id"), F.length("html")
+    def times(text: str, count: Column) -> Column:
+        return F.repeat(F.lit(text), count.cast("int"))
+
+    body = F.concat(
+        F.lit('<html><body><div id="a">'), F.repeat(F.concat(F.lit("<p>"), times("abcd,", 6 + n % 8), F.lit("</p>")), (1 + k % 3).cast("int")), F.lit("</div>"),
+        F.lit('<div class="sidebar">'), F.repeat(F.concat(F.lit("<p>"), times("z", 30 + k % 400), F.lit("</p>")), (1 + k % 13).cast("int")), F.lit("</div>"),
+        F.lit('<div class="post"><p>'), times("y", 40 + n % 9), F.lit("<a href=/l>"), times("x", 1 + k % 50), F.lit("</a></p></div></body></html>"))
+    return extract.region_text(pages.withColumn("html", body), "density")
+
+
 @query("ext3_full")
 def _(pages):
     return extract.region_text(pages, "full")
@@ -447,6 +461,18 @@ def _(pages):
     return crawl.crawl_summary(walk, documents)
 
 
+@query("crl7_crawl_images_x")
+def _(pages):
+    """The images of a walk's saved pages beside its pages; those of every second page are stored already."""
+    walk = crawl.crawl(pages, START, prefix="/p/")
+    saved = walk.filter("status = 'saved'").select("page_id", F.col("url").alias("norm_url"))
+    own = pages.join(saved, "page_id").withColumn("url", F.col("norm_url"))
+    stored = images.image_set(own.filter("page_id % 2 = 0")).select(U.image_path(F.col("url")).alias("path"))
+    none = pages.select("page_id", F.lit(0).cast("long").alias("word_count"), F.lit(0).cast("long").alias("estimated_tokens"))
+    found = crawl.crawl_summary(walk, none, images.image_manifest(own, stored))
+    return found.select("saved", "skipped", "images", "images_to_fetch", "images_existing", "image_collisions")
+
+
 # Images
 
 def _image_query(name: str, *via: str) -> None:
