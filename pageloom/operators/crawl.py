@@ -1,9 +1,11 @@
 """Breadth-first walk of a captured site.
 
 The link graph of the site is extracted once and written to the shared folder; it is a small fraction of the
-markup. Each level then is one job: join the frontier with the edges, keep each target once, drop the visited
-ones, number the rest in discovery order, write the level. Levels are read back from the folder, so neither the
-plan nor the lineage grows with the depth, and a lost executor costs one level at most.
+markup, and so is what is known of each URL (path, capture, stored already, path shared with another URL). Each level
+then is one job: join the frontier with the edges, keep each target once, drop the visited ones, number the rest in
+discovery order, write the level. Edges are rewritten now and then without those whose ends were visited, after which
+older levels need not be read again: what a level reads does not grow with the depth. Levels are read back from the
+folder, so neither the plan nor the lineage grows, and a lost executor costs one level at most.
 """
 
 from __future__ import annotations
@@ -67,6 +69,7 @@ def crawl(
     existing: DataFrame | None = None,
     expand_existing: bool = False,
     overwrite: bool = False,
+    rewrite_after: int = 1 << 16,
 ) -> DataFrame:
     """(rank, depth, url, status, page_id, file_path) in the order a queue would visit the URLs.
 
@@ -74,62 +77,98 @@ def crawl(
     page saved earlier in this walk has it. Such pages are not expanded unless ``expand_existing``. With ``overwrite``
     nothing counts as existing, and pages of one path are all saved. The walk ends after ``max_pages`` saved pages;
     None or 0 mean no limit. Pages found together are ordered by the rank of their finder, then by URL.
+
+    Edges are rewritten when at least `rewrite_after` URLs, and a quarter as many as edges, were visited since.
     """
     spark = pages.sparkSession
     start, site = normal_start(spark, start_url)
     folder = session.new_folder(spark, "crawl")
     captures = site_captures(pages, site)
     known = session.write_through(one_per_url(captures), f"{folder}/captures")
+    urls = known.select("url").unionAll(spark.range(1).select(F.lit(start)))
     if recursive:
         found = links(captures.filter("ok").select("page_id", "url", "html"), F.lit(site), prefix)
         sources = known.filter("ok").select("page_id", F.col("url").alias("source"))
-        edges = session.write_through(found.join(sources, "page_id").select("source", "url"), f"{folder}/edges")
+        edges = session.write_through(found.join(sources, "page_id").select("source", "url"), f"{folder}/edges/0")
+        urls, n_edges = urls.unionAll(edges.select("url")), edges.count()
+    facts = session.write_through(url_facts(urls, known, None if overwrite else existing), f"{folder}/urls")
 
     saved = 0
     depth = 0
-    taken = None if existing is None or overwrite else existing.select("file_path")
+    since, since_rows, rewritten, taken = [], 0, 0, []
     frontier = spark.range(1).select(F.lit(start).alias("url"), F.lit(0).cast("long").alias("finder"))
     while True:
         ordered = frontier.orderBy("finder", "url").select("url", "finder", F.monotonically_increasing_id().alias("ord"))
-        level = _with_status(ordered, known, taken, overwrite).withColumn("depth", F.lit(depth))
+        earlier = spark.read.schema("file_path string").parquet(*taken) if taken else None
+        level = _with_status(ordered, facts, earlier, overwrite).withColumn("depth", F.lit(depth))
         level = session.write_through(level, f"{folder}/level/{depth}")
-        counts = {r["status"]: r["count"] for r in level.groupBy("status").count().collect()}
-        saved += counts.get("saved", 0)
+        counts = level.groupBy("status", "shared").count().collect()
+        saved += sum(r["count"] for r in counts if r["status"] == "saved")
         if not counts or not recursive or (max_pages and saved >= max_pages):
             break
         open_status = ["saved", "exists"] if expand_existing else ["saved"]
         here = level.filter(F.col("status").isin(open_status)).select(F.col("url").alias("source"), "ord")
         targets = here.join(edges, "source").groupBy("url").agg(F.min("ord").alias("finder"))
-        visited = spark.read.schema(level.schema).parquet(*[f"{folder}/level/{d}" for d in range(depth + 1)])
-        frontier = targets.join(visited.select("url"), "url", "left_anti")
-        if not overwrite:
-            own = visited.filter("status = 'saved'").select("file_path")
-            taken = own if existing is None else own.unionAll(existing.select("file_path"))
+        since.append(f"{folder}/level/{depth}")
+        since_rows += sum(r["count"] for r in counts)
+        visited = spark.read.schema(level.schema).parquet(*since).select("url")
+        frontier = targets.join(visited, "url", "left_anti")
+        # Only a path that several URLs have can be met again.
+        if any(r["status"] == "saved" and r["shared"] for r in counts):
+            taken.append(f"{folder}/taken/{depth}")
+            level.filter("status = 'saved' and shared").select("file_path").write.parquet(taken[-1])
+        if since_rows >= max(rewrite_after, n_edges // 4):
+            frontier = session.write_through(frontier, f"{folder}/frontier/{depth}")
+            left = edges.join(visited, "url", "left_anti").join(visited.withColumnRenamed("url", "source"), "source", "left_anti")
+            # The URLs found but not yet visited keep the edges out of them; those into them have done their work.
+            left = left.join(frontier.select("url"), "url", "left_anti").select("source", "url")
+            since = [f"{folder}/frontier/{depth}"]
+            rewritten += 1
+            edges = session.write_through(left, f"{folder}/edges/{rewritten}")
+            n_edges, since_rows = edges.count(), 0
         depth += 1
 
     rows = spark.read.schema(level.schema).parquet(*[f"{folder}/level/{d}" for d in range(depth + 1)])
-    ranked = global_rank(rows, "depth", "ord")
+    ranked = global_rank(rows.drop("shared"), "depth", "ord")
     if max_pages and saved > max_pages:
         last = global_rank(ranked.filter("status = 'saved'"), "rank", name="nth").filter(F.col("nth") == max_pages).first()
         ranked = ranked.filter(F.col("rank") <= last["rank"])
     return ranked.select("rank", "depth", "url", "status", "page_id", "file_path")
 
 
-def _with_status(urls: DataFrame, known: DataFrame, taken: DataFrame | None, overwrite: bool) -> DataFrame:
-    """``urls`` (url, finder, ord) of a level with path, capture and status; ``taken`` holds paths saved before."""
-    placed = staged(urls, file_path=U.site_file_path(F.col("url"))).join(known, "url", "left")
-    usable = F.coalesce("ok", F.lit(False))
-    exists: Column = F.lit(False)
-    if taken is not None:
-        placed = placed.join(taken.select("file_path", F.lit(True).alias("stored")).distinct(), "file_path", "left")
-        exists = F.coalesce("stored", F.lit(False))
+def url_facts(urls: DataFrame, known: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """(url, file_path, page_id, ok, stored, shared) of every URL a walk can meet, worked out once.
+
+    ``stored`` tells whether ``existing`` has the path, ``shared`` whether another URL has it too; a path of many URLs is
+    combined before the shuffle and is no hot spot but for the join back, which is left to AQE.
+    """
+    placed = staged(urls.distinct(), file_path=U.site_file_path(F.col("url"))).join(known, "url", "left")
+    of_path = placed.groupBy("file_path").agg((F.count("*") > 1).alias("shared"))
+    if existing is None:
+        of_path = of_path.withColumn("stored", F.lit(False))
+    else:
+        stored = existing.select("file_path").distinct().withColumn("stored", F.lit(True))
+        of_path = of_path.join(stored, "file_path", "left").fillna({"stored": False})
+    noted = of_path.filter("shared or stored")
+    return placed.join(noted, "file_path", "left").select(
+        "url", "file_path", "page_id", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("stored", F.lit(False)).alias("stored"),
+        F.coalesce("shared", F.lit(False)).alias("shared"))
+
+
+def _with_status(urls: DataFrame, facts: DataFrame, taken: DataFrame | None, overwrite: bool) -> DataFrame:
+    """``urls`` (url, finder, ord) of a level with path, capture and status; ``taken`` holds shared paths saved before."""
+    placed = urls.join(facts, "url", "left")
+    exists: Column = F.col("stored")
     if not overwrite:
+        if taken is not None:
+            placed = placed.join(taken.select("file_path", F.lit(True).alias("met")).distinct(), "file_path", "left")
+            exists = exists | F.coalesce("met", F.lit(False))
         # One row per path, pre-aggregated, so a path many URLs share is no hot spot before the join.
-        first = placed.filter(usable).groupBy("file_path").agg(F.min(F.struct("finder", "url")).alias("first"))
+        first = placed.filter("ok and shared").groupBy("file_path").agg(F.min(F.struct("finder", "url")).alias("first"))
         placed = placed.join(first, "file_path", "left")
         exists = exists | F.coalesce(F.struct("finder", "url") > F.col("first"), F.lit(False))
-    status = F.when(exists, "exists").when(usable, "saved").otherwise("skipped")
-    return placed.select("url", "ord", "file_path", "page_id", status.alias("status"))
+    status = F.when(exists, "exists").when(F.col("ok"), "saved").otherwise("skipped")
+    return placed.select("url", "ord", "file_path", "page_id", status.alias("status"), "shared")
 
 
 def crawl_summary(walk: DataFrame, converted: DataFrame, manifest: DataFrame | None = None) -> DataFrame:

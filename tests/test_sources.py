@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pageloom.operators import images
+from pageloom.operators import crawl, images
 from pageloom.sources import captures, store
 from pageloom.streaming import ingest
 
@@ -76,3 +76,21 @@ def test_one_image_path_of_very_many_urls(spark, pages):
     paths = {r.path: (r.n, r.hit) for r in found.groupBy("path").agg(F.count("*").alias("n"), F.max("collides").alias("hit")).collect()}
     assert sorted(paths.values(), key=str)[-1] == (120, True) and len(paths) == 121
     assert images.image_manifest(pages("<html>")).count() == 0
+
+
+def test_a_long_chain_is_walked_with_edges_that_shrink(spark, monkeypatch):
+    """60 levels; every page links to the next, to the first and to one before. Edges are rewritten on the way."""
+    rows = [(k, f"https://h/{k}", f'<html><a href="/{k + 1}">n</a><a href="/0">f</a><a href="/{k // 2}">b</a>') for k in range(60)]
+    sizes, plain = [], crawl.session.write_through
+
+    def counted(df, folder):
+        out = plain(df, folder)
+        if "/edges/" in folder:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(crawl.session, "write_through", counted)
+    walk = crawl.crawl(spark.createDataFrame(rows, "page_id long, url string, html string"), "https://h/0", rewrite_after=12)
+    found = [(r.depth, r.url, r.status) for r in walk.orderBy("rank").collect()]
+    assert found == [(k, f"https://h/{k}", "saved" if k < 60 else "skipped") for k in range(61)]
+    assert len(sizes) >= 3 and all(b < a for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[-1] < 15
