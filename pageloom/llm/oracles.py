@@ -16,6 +16,11 @@ def hits(pattern: str, of: str = "line") -> str:
     return f"len(regexp_extract_all({of}, {quoted(pattern)}))"
 
 
+# Whole words without look-around: what is no letter or digit is doubled, in the text and in the phrases, so that two
+# phrases in a row each have a boundary of their own.
+DOUBLED = f"regexp_replace(line, {quoted(r'([^\p{L}\p{N}])')}, {quoted(r'\1\1')}, 'g')"
+WHOLE = r"(?i)(?:^|[^\p{L}\p{N}])(?:" + quality.PHRASES.removeprefix("(?i)").replace(" ", "  ") + r")(?:$|[^\p{L}\p{N}])"
+
 QUALITY = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (
@@ -33,7 +38,7 @@ clean AS (
   SELECT doc_id, sum(length(array_to_string(lw, ''))) AS chars FROM lines
   WHERE NOT ((len(lw) < 5 AND NOT regexp_matches(line, {quoted(quality.CLOSING)}))
     OR {hits(quality.SEPARATORS)} * 4 >= len(lw) OR {hits(quality.NOISE)} * 2 >= len(lw) OR {hits(quality.SHOUTED)} * 2 >= len(lw)
-    OR (len(lw) >= 8 AND len(list_distinct(lw)) * 5 < len(lw) * 2) OR regexp_matches(line, {quoted(quality.PHRASES)}))
+    OR (len(lw) >= 8 AND len(list_distinct(lw)) * 5 < len(lw) * 2) OR {hits(WHOLE, DOUBLED)} * {quality.FEWEST_WORDS_A_PHRASE} > len(lw))
   GROUP BY doc_id),
 counted AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
@@ -79,6 +84,11 @@ def attribute(name: str) -> str:
     return f"""trim(ltrim({found}, '"'''))"""
 
 
+# Dot segments of a path, one after the other; the last one leaves its slash.
+NO_DOTS = """CASE WHEN whole = '' THEN '' ELSE list_reduce(list_prepend('', string_split(whole, '/')[2:]), lambda done, part:
+  CASE WHEN part = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN part = '.' THEN done ELSE done || '/' || part END)
+  || CASE WHEN regexp_matches(whole, '(^|/)[.][.]?$') THEN '/' ELSE '' END END"""
+
 REDIRECTS = f"""
 WITH RECURSIVE tags AS (
   SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM pages),
@@ -89,9 +99,15 @@ named AS (
   FROM tags WHERE regexp_matches(tag, '(?i)canonical|refresh')),
 placed AS (
   SELECT url, target, regexp_extract(url, '(?s)^.*?://[^/?#]*') AS site, regexp_extract({path('url')}, '(?s)^.*/') AS folder FROM named WHERE target <> ''),
+parts AS (
+  SELECT *, regexp_extract(target, '(?s)^[^?#]*') AS named_path, regexp_extract(target, '(?s)^[^?#]*(.*)$', 1) AS rest,
+    regexp_extract(target, '(?s)^//[^/?#]*') AS named_site FROM placed),
+merged AS (
+  SELECT *, CASE WHEN named_site <> '' THEN substr(named_path, len(named_site) + 1) WHEN starts_with(target, '/') THEN named_path WHEN named_path = '' THEN {path('url')}
+    ELSE regexp_replace(CASE WHEN folder = '' THEN '/' ELSE folder END || named_path, '/+', '/', 'g') END AS whole FROM parts),
 full_urls AS (
-  SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN 'x:' || target
-    WHEN starts_with(target, '/') THEN site || target ELSE site || CASE WHEN folder = '' THEN '/' ELSE folder END || target END AS full_url FROM placed),
+  SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    ELSE CASE WHEN named_site <> '' THEN 'x:' || named_site ELSE site END || {NO_DOTS} || rest END AS full_url FROM merged),
 edges AS (SELECT {node('url')} AS a, {node('full_url')} AS b FROM full_urls),
 sides AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM sides UNION SELECT reach.node, sides.b FROM reach JOIN sides ON reach.other = sides.a),

@@ -78,6 +78,10 @@ def test_relative_alias_targets_are_resolved(spark):
     rows += [("https://" + n.format(i), blocked) for i, n in enumerate(named) if n]
     found = {r.page_id: (r.verdict, r.via) for r in redirects.judge(pages(spark, rows)).collect()}
     assert [found[i] for i in range(len(targets))] == [("block", "alias") if n else ("allow", "default") for n in named]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [(i, u, h) for i, (u, h) in enumerate(rows)])
+    assert {r[0]: r[4] for r in con.execute(ORACLES["op7_url_filters"]).fetchall()} == {i: v for i, (v, _) in found.items()}
 
 
 def test_many_pages_with_one_canonical_url(spark):

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pageloom.llm import language, licenses, maxent, quality, queries, simhash
 from pageloom.llm.components import components
+from pageloom.llm.oracles import ORACLES
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -142,6 +144,22 @@ def test_a_phrase_in_a_long_line_does_not_fail_it(documents):
     assert [rows[i].clean_text == texts[i] for i in range(4)] == [True, True, False, False]
 
 
+def test_sql_of_the_quality_rules_knows_whole_phrases_and_long_lines(spark):
+    phrases = ["please sign in now", "a design in two", "sign in sign in", "a blog in here", "LOG IN today", "accept all cookies,", "xlorem ipsum dolor", "über sign inn 1log in", "log in", "lorem ipsum-"]
+    long = "our privacy policy explains at length"
+    texts = ["\n".join(" ".join(f"w{k}x{j}" for j in range(8)) + f" {p}." for k in range(12)) for p in phrases]
+    texts += ["\n".join(" ".join(f"w{k}x{j}" for j in range(n)) + f" {long}." for k in range(12)) for n in (8, 9, 20)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.with_quality(df).select("doc_id", "_quality.*").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    rel = con.sql(ORACLES["op5_quality_rules"])
+    at = {c: i for i, c in enumerate(rel.columns)}
+    assert {r[at["doc_id"]]: (r[at["base_failed"]], r[at["kept"]]) for r in rel.fetchall()} == got
+    assert [got[i] for i in range(len(texts))] == [(False, k) for k in (False, True, False, True, False, False, True, True, False, False, False, True, True)]
+
+
 def test_op6_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.01"
     truth = {r.doc_id: (r.lang, r.text) for r in docs_of(spark, sf_dir)}
