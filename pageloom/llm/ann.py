@@ -4,7 +4,9 @@ A shard's graph is a set of flat arrays: vectors, neighbours per node and layer,
 index row holds one shard; index rows are stored in the shared folder. A search sends every query to every shard, each
 of which streams its queries past its graph, and keeps the best of what the shards found.
 
-Inner products are turned into distances by one more component, which gives all vectors of a shard the same norm.
+Inner products are turned into distances by one more component, which gives all vectors of a graph the same norm. That
+works where norms are alike, so a shard holds one graph per band of norms. A search goes from the longest band down and
+ends where no vector of a shorter one can enter its list, by the bound |q| |x|; without that bound it visits all bands.
 """
 
 from __future__ import annotations
@@ -149,18 +151,66 @@ class Graph:
         near = self.descend(point, int(self.level[self.entry]), 0)
         return [i for _, i in self.search_layer(point, near, breadth, 0)]
 
+
+BAND = 1.25  # the longest vector of a band is at most this much longer than the shortest
+
+
+def unit_scale(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows times a power of two each (none overflows or vanishes), the exponents, and the logarithms (base 2) of norms."""
+    exponents = np.frexp(np.abs(vectors).max(axis=1, initial=0.0))[1]
+    rows = np.ldexp(vectors, -exponents[:, None])
+    return rows, exponents, np.log2(np.sqrt(np.einsum("ij,ij->i", rows, rows))) + exponents
+
+
+class Shard:
+    """The graphs of a shard's vectors, none zero, one per band of norms, the longest first."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors
+        rows, exponents, logs = unit_scale(vectors)
+        bands = np.floor(logs / math.log2(BAND)).astype(np.int64)
+        order = np.lexsort((np.arange(len(bands)), -bands))
+        cuts = np.flatnonzero(np.append(True, bands[order][1:] != bands[order][:-1]))
+        self.members = np.split(order, cuts[1:]) if len(order) else []
+        self.longest = [float(logs[m].max()) for m in self.members]
+        self.exponents = [math.ceil(x) for x in self.longest]
+        self.graphs = [Graph(np.ldexp(rows[m], (exponents[m] - e)[:, None])) for m, e in zip(self.members, self.exponents, strict=True)]
+
+    def build(self) -> Shard:
+        for graph in self.graphs:
+            graph.build()
+        return self
+
+    def search(self, q: np.ndarray, breadth: int, k: int) -> np.ndarray:
+        """Places of vectors among which the k of the largest inner product with q are looked for."""
+        point = unit_scale(q[None, :])[0][0]
+        point = point / np.sqrt(point @ point)
+        found, best = [], []
+        for members, longest, exponent, graph in zip(self.members, self.longest, self.exponents, self.graphs, strict=True):
+            if len(best) == k and best[0] > longest + 1e-9:
+                break
+            near = np.array(graph.search(point, breadth), dtype=int)
+            found.append(members[near])
+            scores = graph.vectors[near] @ point
+            for score in np.log2(scores[scores > 0]) + exponent:
+                (heapq.heappush if len(best) < k else heapq.heappushpop)(best, float(score))
+        return np.concatenate(found) if found else np.empty(0, dtype=int)
+
     def pack(self, ids: np.ndarray, owner: np.ndarray) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, level=self.level, entry=self.entry, ids=ids, owner=owner, **{f"links{k}": x for k, x in enumerate(self.links)})
+        out, arrays = io.BytesIO(), {}
+        for b, graph in enumerate(self.graphs):
+            arrays |= {f"level{b}": graph.level, f"entry{b}": graph.entry} | {f"links{b}_{j}": x for j, x in enumerate(graph.links)}
+        np.savez(out, vectors=self.vectors, ids=ids, owner=owner, **arrays)
         return out.getvalue()
 
     @staticmethod
-    def unpack(raw: bytes) -> tuple[Graph, np.ndarray, np.ndarray]:
+    def unpack(raw: bytes) -> tuple[Shard, np.ndarray, np.ndarray]:
         held = np.load(io.BytesIO(raw))
-        graph = Graph(held["vectors"])
-        graph.level, graph.entry = held["level"], int(held["entry"])
-        graph.links = [held[f"links{k}"] for k in range(len([x for x in held.files if x.startswith("links")]))]
-        return graph, held["ids"], held["owner"]
+        shard = Shard(held["vectors"])
+        for b, graph in enumerate(shard.graphs):
+            graph.level, graph.entry = held[f"level{b}"], int(held[f"entry{b}"])
+            graph.links = [held[f"links{b}_{j}"] for j in range(int(graph.level.max(initial=0)) + 1)]
+        return shard, held["ids"], held["owner"]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -177,6 +227,11 @@ def shard_of(vector: Column, shards: int) -> Column:
     return F.size(vector).cast("long") * F.lit(1 << 24) + F.pmod(F.xxhash64(vector), F.lit(shards))
 
 
+def task_of(shards: int) -> Column:
+    """A shard's own task; shards of other lengths join those of the same number."""
+    return F.pmod(F.col("shard"), F.lit(1 << 24)).cast("int") % shards
+
+
 def floats(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -194,7 +249,7 @@ def build_index(rows: DataFrame, shards: int, k: int) -> DataFrame:
         def graph() -> pa.RecordBatch:
             vectors = np.concatenate(parts)
             new = np.append(True, (vectors[1:] != vectors[:-1]).any(axis=1))
-            packed = Graph(vectors[new]).build().pack(np.concatenate(ids), np.cumsum(new) - 1)
+            packed = Shard(vectors[new]).build().pack(np.concatenate(ids), np.cumsum(new) - 1)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([packed], pa.binary())], ["shard", "graph"])
 
         for batch in batches:
@@ -212,7 +267,7 @@ def build_index(rows: DataFrame, shards: int, k: int) -> DataFrame:
         if parts:
             yield graph()
 
-    ordered = nodes.repartition(shards, "shard").sortWithinPartitions("shard", "hash", "vector", "id")
+    ordered = nodes.repartitionById(shards, task_of(shards)).sortWithinPartitions("shard", "hash", "vector", "id")
     return written(ordered.mapInArrow(run, "shard long, graph binary"), "graphs")
 
 
@@ -244,13 +299,13 @@ def nearest(
             columns = [batch.column(c) for c in ("shard", "graph", "id", "vector")]
             for shard, packed, own, vector in zip(*columns, strict=True):
                 if packed.is_valid:
-                    graph, ids, owner = Graph.unpack(packed.as_buffer().to_pybytes())
+                    graph, ids, owner = Shard.unpack(packed.as_buffer().to_pybytes())
                     at, first = shard.as_py(), np.searchsorted(owner, np.arange(len(graph.vectors) + 1))
                     continue
                 if shard.as_py() != at:
                     continue  # a shard without vectors
                 q = vector.values.to_numpy()
-                found = np.array(graph.search(q, max(breadth, 2 * k)), dtype=int)
+                found = graph.search(q, max(breadth, 2 * k), k + 1)
                 scores = graph.vectors[found] @ q
                 mine, best = own.as_py(), []
                 for node, score in sorted(zip(found.tolist(), scores.tolist(), strict=True), key=lambda x: -x[1])[: k + 1]:
@@ -259,7 +314,7 @@ def nearest(
             query_id, vec_id, score = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(query_id, pa.int64()), pa.array(vec_id, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
-    met = held.unionAll(sent).repartition(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first())
+    met = held.unionAll(sent).repartitionById(shards, task_of(shards)).sortWithinPartitions("shard", F.col("id").asc_nulls_first())
     found = met.mapInArrow(run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

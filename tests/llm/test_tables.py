@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom.llm import ann, redirects
@@ -22,6 +23,45 @@ def test_op3_recall_and_scores(spark):
     assert hits >= 0.95 * total
 
 
+def recall(spark, matrix, **options):
+    """Of the true 20 nearest of every 20th row, the share that is found."""
+    ids = np.arange(len(matrix))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, matrix, strict=True)], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, **options).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        scores = matrix @ matrix[q]
+        hits += len(found[q] & {i for i in ids[np.lexsort((ids, -scores))][:21].tolist() if i != q})
+    return hits / (20 * len(found))
+
+
+@pytest.mark.parametrize("kind", ["log-normal", "outlier", "tiny", "huge", "mixed"])
+def test_op3_recall_on_any_norms(spark, kind):
+    rng = np.random.default_rng(8)
+    matrix = rng.standard_normal((3000, 32))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix *= {"log-normal": rng.lognormal(0, 1, (3000, 1)), "tiny": 1e-25, "huge": 1e20, "mixed": 10.0 ** rng.integers(-40, 40, (3000, 1)), "outlier": 1.0}[kind]
+    if kind == "outlier":
+        matrix[7] *= 1e4
+    assert recall(spark, matrix, rows_per_shard=3000) >= 0.95
+
+
+@pytest.mark.parametrize("sigma", [0.0, 1.0])
+def test_op3_recall_of_one_large_shard(sigma):
+    rng = np.random.default_rng(9)
+    matrix = np.repeat(rng.standard_normal((600, 48)), 10, axis=0) + 0.3 * rng.standard_normal((6000, 48))  # jittered copies
+    matrix *= rng.lognormal(0, sigma, (6000, 1)) / np.linalg.norm(matrix, axis=1, keepdims=True)
+    shard = ann.Shard.unpack(ann.Shard(matrix).build().pack(np.arange(6000), np.arange(6000)))[0]
+    hits = 0
+    for q in range(0, 6000, 60):
+        found = shard.search(matrix[q], 80, 21)
+        best = found[np.argsort(-(matrix[found] @ matrix[q]), kind="stable")][:20]
+        hits += len(set(best.tolist()) & set(np.argsort(-(matrix @ matrix[q]), kind="stable")[:20].tolist()))
+    assert hits >= 0.95 * 20 * 100
+
+
 def test_vectors_of_all_kinds(spark):
     same = [(i, [3.0, 4.0]) for i in range(100, 160)]
     odd = [(0, None), (1, []), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0])]
