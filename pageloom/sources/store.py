@@ -105,14 +105,16 @@ def resolve_collisions(placed: DataFrame, keep: str = "first", order: str = "pag
 
 
 def overwrite_documents(documents: DataFrame, path: str) -> None:
-    """Replace stored documents of the same path; only the partitions of the sites concerned are rewritten."""
+    """Replace stored documents of the same path; only the partitions of the sites concerned are read and rewritten.
+
+    A table cannot be read while it is overwritten, so what stays of those sites is set aside once, and the new
+    documents once; both then go to their place in one write.
+    """
     spark = documents.sparkSession
-    fresh = session.write_through(_stored_columns(documents), session.new_folder(spark, "fresh"))
+    ready = session.write_through(_stored_columns(documents), session.new_folder(spark, "fresh"))
     stored = read_documents(spark, path)
     if stored is not None:
-        sites = fresh.select("site").distinct()
-        kept = stored.join(sites, "site", "left_semi").join(fresh.select("file_path"), "file_path", "left_anti")
-        fresh = kept.select(*fresh.columns).unionByName(fresh)
-    # A table cannot be read while it is overwritten.
-    ready = session.write_through(fresh, session.new_folder(spark, "overwrite"))
+        of_sites = stored_of(ready, stored).join(ready.select("site").distinct(), "site", "left_semi")
+        kept = of_sites.join(ready.select("file_path"), "file_path", "left_anti").select(*ready.columns)
+        ready = ready.unionByName(session.write_through(kept, session.new_folder(spark, "kept")))
     ready.hint("rebalance", "site").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site").parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pageloom import session
@@ -27,6 +28,19 @@ def ingest_batch(batch: DataFrame, path: str, **options) -> None:
     store.write_markdown(document(page_bodies(fresh, extractor, images), metadata), path)
 
 
+def first_captures(arriving: DataFrame, within: str, layout: str) -> DataFrame:
+    """The arriving captures without those whose path was seen up to ``within`` before, by ``fetched_at``.
+
+    The stream's state holds one time per path, no markup, and forgets it once the watermark has passed. Captures that are no
+    pages (failed, of another type) go first, so they never stand in for a good one. Of captures of one path in one
+    batch any may stay. A null ``fetched_at`` cannot be placed in time: such captures pass, and the store decides.
+    """
+    good = html_only(arriving)
+    placed = with_targets(good.withColumn("as_fetched", F.col("url")), layout).drop("url").withColumnRenamed("as_fetched", "url")
+    fresh = placed.filter("fetched_at IS NOT NULL").withWatermark("fetched_at", within).dropDuplicatesWithinWatermark(["file_path"])
+    return fresh.select(*good.columns).unionByName(good.filter("fetched_at IS NULL"))
+
+
 def arrived_schema(spark: SparkSession, source: str, format: str = "parquet") -> str:
     """The columns of captures to read: the page's, and of the others those that the files arrived so far have."""
     present = {c for c in spark.read.format(format).load(source).columns if c in CAPTURE_SCHEMA}
@@ -35,16 +49,25 @@ def arrived_schema(spark: SparkSession, source: str, format: str = "parquet") ->
 
 def ingest(
     spark: SparkSession, source: str, path: str, checkpoint: str, format: str = "parquet", max_files: int = 1000,
-    schema: str | None = None, **options
+    schema: str | None = None, repeats_within: str | None = None, **options
 ) -> StreamingQuery:
     """Run over everything that has arrived since the last run, then stop.
 
     A capture's ``content_type`` and ``error`` decide as in a batch run: failed ones and other types leave no document, and
     a later good capture of the URL does. ``schema`` names the columns to read where the first files do not tell.
+
+    ``repeats_within`` (such as "7 days") keeps the paths seen in the stream's state for that long by ``fetched_at``, so that captures
+    repeated in later batches are neither compared with the store nor read from it. Results are the same with and without but
+    for two things: a path dropped from the store meanwhile stays away that long, and a capture older than the watermark is
+    late and left out. A stream keeps the choice it started with.
     """
     if unknown := set(options) - OPTIONS:
         raise TypeError(f"unknown options: {sorted(unknown)}")
     session.tune(spark)
     arriving = spark.readStream.schema(schema or arrived_schema(spark, source, format)).format(format).option("maxFilesPerTrigger", max_files).load(source)
+    if repeats_within is not None:
+        if "fetched_at" not in arriving.columns:
+            raise ValueError("repeats_within needs captures with fetched_at")
+        arriving = first_captures(arriving, repeats_within, options.get("layout", "site"))
     writer = arriving.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, path, **options))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -76,6 +76,7 @@ add("snk5_path_collision", f"""SELECT file_path, min(page_id) AS first_page, max
   SELECT page_id, {SHARED_PATH} AS file_path FROM pages) GROUP BY file_path""")
 STORED = f"WITH {K} SELECT page_id, replace(site, 'https://', '') AS site, {FILE} AS file_path FROM k"
 add("snk6_stream_ingest_x", STORED)
+add("snk6_stream_repeats_x", STORED)
 
 # URLs
 add("url1_ensure_scheme", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://' || split_part(url, '://', 2) ELSE url END AS url
@@ -151,7 +152,9 @@ add("tok4_element_span", f"""SELECT * FROM (
   SELECT page_id, 'nav' AS tag, 1 AS spans, 1 AS depth, 3 + 5 * {times('<li>')} AS width FROM pages
   UNION ALL SELECT page_id, 'ul', 1, 1, 1 + 5 * {times('<li>')} FROM pages
   UNION ALL SELECT page_id, 'li', {times('<li>')}, 1, 4 * {times('<li>')} FROM pages
-  UNION ALL SELECT page_id, 'article', 1, 1, 0 FROM pages) WHERE spans > 0""")
+  UNION ALL SELECT page_id, 'article', 1, 1, 1 + len(regexp_extract_all(inside, '<[^>]*>')) + len(list_filter(regexp_split_to_array(inside, '<[^>]*>'), lambda t: t <> ''))
+      + len(regexp_extract_all(inside, '<[pb]>')) - len(regexp_extract_all(inside, '</[pb]>'))  -- ends of elements nobody closed
+    FROM (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS inside FROM pages)) WHERE spans > 0""")
 add("tok5_element_text", f"""WITH found AS (
   SELECT page_id, 'title' AS tag, 1 AS n, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t FROM pages
   UNION ALL SELECT page_id, 'h1', 1, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') FROM pages
@@ -365,8 +368,10 @@ add("md10_blockquote_hr_x", """SELECT page_id, CAST(n AS BIGINT) AS n, line FROM
 add("md11_escape_x", r"""SELECT page_id, CAST(n AS BIGINT) AS n, line FROM (SELECT page_id, 1 AS n, '1' || chr(92) || '. start' AS line FROM pages
   UNION ALL SELECT page_id, 2, chr(92) || '- dash' FROM pages)""")
 add("md12_abbr_x", "SELECT page_id, CAST(1 AS BIGINT) AS n, '  *[AB' || CAST(page_id AS VARCHAR) || ']: Long ' || CAST(page_id AS VARCHAR) AS line FROM pages")
-add("md2_paragraphs", f"WITH {MD} SELECT page_id, CAST(len(string_split(body, chr(10) || chr(10))) AS BIGINT) AS parts FROM md")
-add("md3_emphasis", f"WITH {MD} SELECT page_id, {times('[*][*]', 'body')} AS marks FROM md")
+add("md2_paragraphs", f"""WITH {MD}, parts AS (SELECT page_id, string_split(body, chr(10) || chr(10)) AS p FROM md)
+  SELECT page_id, CAST(generate_subscripts(p, 1) AS BIGINT) AS n, unnest(p) AS paragraph FROM parts""")
+add("md3_emphasis", f"""WITH {MD}, marked AS (SELECT page_id, regexp_extract_all(body, '[*][*](.*?)[*][*]', 1, 's') AS found FROM md)
+  SELECT page_id, CAST(generate_subscripts(found, 1) AS BIGINT) AS n, unnest(found) AS strong FROM marked""")
 
 
 def document(body: str, url: str, file_path: str) -> str:

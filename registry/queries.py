@@ -154,6 +154,21 @@ def _(pages):
     return store.read_documents(spark, f"{folder}/documents").select("page_id", "site", "file_path")
 
 
+@query("snk6_stream_repeats_x")
+def _(pages):
+    """Pages captured again within a day, in a later batch: state drops them before the store is asked."""
+    spark = pages.sparkSession
+    folder = session.new_folder(spark, "stream")
+    seen = pages.withColumn("fetched_at", F.timestamp_seconds(F.col("page_id") * 60))
+    again = seen.filter("page_id % 2 = 0").withColumn("page_id", F.col("page_id") + 1_000_000).withColumn("fetched_at", F.col("fetched_at") + F.expr("interval 1 hour"))
+    for arrived in (seen.filter("page_id % 3 <> 0"), seen.filter("page_id % 3 = 0").unionByName(again)):
+        arrived.write.mode("append").parquet(f"{folder}/arrived")
+        stream = ingest.ingest(
+            spark, f"{folder}/arrived", f"{folder}/documents", f"{folder}/checkpoint", repeats_within="36500 days", metadata=False, images=False)
+        stream.awaitTermination()
+    return store.read_documents(spark, f"{folder}/documents").select(F.pmod("page_id", F.lit(1_000_000)).alias("page_id"), "site", "file_path")
+
+
 # URLs
 
 @query("url1_ensure_scheme")
@@ -262,8 +277,8 @@ def _(pages):
 @query("tok4_element_span")
 def _(pages):
     spans = tokens.element_spans(pages, ["nav", "ul", "li", "article"])
-    width = F.when(F.col("tag") == "article", 0).otherwise(F.col("end_pos") - F.col("start_pos"))
-    return spans.groupBy("page_id", "tag").agg(F.count("*").alias("spans"), F.max("depth").alias("depth"), F.sum(width).alias("width"))
+    width = F.sum(F.col("end_pos") - F.col("start_pos"))
+    return spans.groupBy("page_id", "tag").agg(F.count("*").alias("spans"), F.max("depth").alias("depth"), width.alias("width"))
 
 
 @query("tok5_element_text")
@@ -668,13 +683,15 @@ _line_query("md12_abbr_x", r"^ *\*\[AB", images=False)
 @query("md2_paragraphs")
 def _(pages):
     bodies = plan.page_bodies(plan.with_targets(pages), local_images=False)
-    return bodies.select("page_id", F.size(F.split("body", "\n\n")).cast("long").alias("parts"))
+    parts = bodies.select("page_id", F.posexplode(F.split("body", "\n\n")).alias("pos", "paragraph"))
+    return parts.select("page_id", (F.col("pos") + 1).cast("long").alias("n"), "paragraph")
 
 
 @query("md3_emphasis")
 def _(pages):
     bodies = plan.page_bodies(plan.with_targets(pages), local_images=False)
-    return bodies.select("page_id", F.regexp_count("body", F.lit(r"\*\*")).cast("long").alias("marks"))
+    strong = F.regexp_extract_all("body", F.lit(r"(?s)\*\*(.*?)\*\*"), F.lit(1))
+    return bodies.select("page_id", F.posexplode(strong).alias("pos", "strong")).select("page_id", (F.col("pos") + 1).cast("long").alias("n"), "strong")
 
 
 @query("md5_links_full")

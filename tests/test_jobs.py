@@ -135,6 +135,43 @@ def test_ingest_adds_only_new_pages(spark, enriched, tmp_path):
     assert store.read_documents(spark, target).count() == 50
 
 
+def test_stream_state_holds_repeats_across_restarts(spark, tmp_path):
+    """Three runs of one stream over a folder of captures: new, repeated within the delay, late, without a time."""
+    arrived, passed, checkpoint = (str(tmp_path / n) for n in ("arrived", "passed", "checkpoint"))
+    schema = "page_id long, url string, html string, error string, fetched_at timestamp"
+
+    def run(*rows):
+        df = spark.createDataFrame([(i, f"https://h/{u}", "<html>", e, t) for i, u, e, t in rows], schema.replace("timestamp", "string"))
+        df.withColumn("fetched_at", F.to_timestamp("fetched_at")).write.mode("append").parquet(arrived)
+        first = ingest.first_captures(spark.readStream.schema(schema).parquet(arrived), "2 days", "site")
+        query = first.writeStream.format("parquet").option("path", passed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        dropped = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+        return sorted(r["page_id"] for r in spark.read.parquet(passed).collect()), dropped
+
+    assert run((1, "a", None, "2024-01-01 10:00:00"), (2, "b", "timeout", "2024-01-01 10:00:00")) == ([1], 0)
+    # a again within the delay; b's first good capture; c twice in one batch
+    passing, _ = run((3, "a/", None, "2024-01-02 10:00:00"), (4, "b", None, "2024-01-02 10:00:00"), (5, "c", None, "2024-01-20 10:00:00"), (6, "c", None, "2024-01-20 10:00:00"))
+    assert passing in ([1, 4, 5], [1, 4, 6])
+    # d is later than the watermark allows, e has no time, a is forgotten, c is not
+    again, dropped = run((7, "d", None, "2024-01-03 10:00:00"), (8, "e", None, None), (9, "a", None, "2024-01-20 11:00:00"), (10, "c", None, "2024-01-20 12:00:00"))
+    assert again == sorted([*passing, 8, 9]) and dropped == 1
+    with pytest.raises(ValueError):
+        ingest.ingest(spark, arrived, passed, checkpoint, schema="page_id long, url string, html string", repeats_within="2 days")
+
+
+def test_overwrite_reads_and_writes_its_sites_only(spark, tmp_path):
+    target = str(tmp_path / "documents")
+    schema = "page_id long, url string, file_path string, content string, word_count long, estimated_tokens long"
+    rows = [(i, f"https://s{i % 3}/p{i}", f"s{i % 3}/p{i}.md", "old", 1, 1) for i in range(12)]
+    store.write_markdown(spark.createDataFrame(rows, schema), target)
+    before = {f for f in spark.read.parquet(target).inputFiles() if "site=s1" not in f}
+    store.overwrite_documents(spark.createDataFrame([(r[0], *r[1:3], "new", 2, 2) for r in rows if r[0] in (1, 4)] + [(20, "https://s1/n", "s1/n.md", "new", 2, 2)], schema), target)
+    found = {r["file_path"]: r["content"] for r in store.read_documents(spark, target).collect()}
+    assert found == {r[2]: "new" if r[0] in (1, 4) else "old" for r in rows} | {"s1/n.md": "new"}
+    assert before <= set(spark.read.parquet(target).inputFiles())
+
+
 def test_saved_html_folder(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.html").write_text("<html><h1>é</h1>", encoding="utf-8")
