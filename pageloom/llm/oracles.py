@@ -89,9 +89,13 @@ NO_DOTS = """CASE WHEN whole = '' THEN '' ELSE list_reduce(list_prepend('', stri
   CASE WHEN part = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN part = '.' THEN done ELSE done || '/' || part END)
   || CASE WHEN regexp_matches(whole, '(^|/)[.][.]?$') THEN '/' ELSE '' END END"""
 
+# What a comment, a script or other raw text holds is no tag; one alternative an element, as there are no back references.
+_ATTRS = """\\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+HIDDEN = "(?is)<!--.*?(?:-->|$)|" + "|".join(f"<{x}{_ATTRS}.*?(?:</{x}\\s*>|$)" for x in ("script", "style", "textarea", "title", "template"))
+
 REDIRECTS = f"""
 WITH RECURSIVE tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM pages),
+  SELECT url, unnest(regexp_extract_all(regexp_replace(html, '{HIDDEN}', ' ', 'g'), '(?is)<(?:link|meta)\\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM pages),
 named AS (
   SELECT url, trim(regexp_replace(CASE WHEN regexp_matches({attribute('rel')}, '(?i)(^|\\s)canonical(\\s|$)') THEN {attribute('href')}
     WHEN regexp_matches({attribute('http-equiv')}, '(?i)^refresh$')

@@ -15,6 +15,7 @@ from pageloom.llm.components import components
 
 # Fixed values: (verdict, host, start of the path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+HIDDEN = r"""(?is)<!--.*?(?:-->|$)|<(script|style|textarea|title|template)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|$)"""
 TAG = r"""(?i)<(?:link|meta)\b(?:[^>"']|"[^"]*+"|'[^']*+')*+>"""
 REFRESH = r"""(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*['"]?([^'"]*)"""
 
@@ -61,9 +62,12 @@ def bound(column: Column) -> Column:
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): a page's node, and the node its canonical link or refresh redirect names.
 
-    Relative targets are resolved against the page's URL; absolute ones stay as written.
+    Relative targets are resolved against the page's URL; absolute ones stay as written. Tags in comments, scripts, styles,
+    templates, titles and text areas are text, not links.
     """
-    tags = F.filter(F.regexp_extract_all(F.col(html_col), F.lit(TAG), F.lit(0)), lambda t: t.rlike("(?i)canonical|refresh"))
+    html = F.col(html_col)
+    shown = F.when(html.rlike("(?i)canonical|refresh"), F.regexp_replace(html, HIDDEN, " "))
+    tags = F.filter(F.regexp_extract_all(shown, F.lit(TAG), F.lit(0)), lambda t: t.rlike("(?i)canonical|refresh"))
     rows = pages.select(F.col(url_col).alias("url"), F.explode(tags).alias("tag"))
     rows = rows.withColumn("target", bound(F.when(attribute(F.col("tag"), "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), attribute(F.col("tag"), "href")).when(
         attribute(F.col("tag"), "http-equiv").rlike("(?i)^refresh$"), F.regexp_extract(attribute(F.col("tag"), "content"), REFRESH, 1))))

@@ -124,6 +124,22 @@ def test_relative_alias_targets_are_resolved(spark):
     assert {r[0]: r[4] for r in con.execute(ORACLES["op7_url_filters"]).fetchall()} == {i: v for i, (v, _) in found.items()}
 
 
+def test_tags_in_comments_and_scripts_are_no_links(spark):
+    """They are text; the query and its SQL agree, and a real link behind them still counts."""
+    link = '<link rel="canonical" href="http://x.com/de/1">'
+    hidden = [f"<!-- {link} -->", f"<!-- {link}", f"<script type='a>b'>var t = '{link}'</script>", f"<SCRIPT>{link}", f"<style>{link}</style >", f"<template>{link}</template>",
+              f"<textarea>{link}</textarea>", f"<title>{link}</title>"]
+    shown = [f"<!-- c -->{link}", f"<script>1</script>{link}<script>2</script>", f"<scripts>{link}", f"<!-- {link} --> <p> {link}", f"<noscript>{link}</noscript>"]
+    rows = [(f"http://h{i}.net/p", h) for i, h in enumerate(hidden + shown)]
+    table = pages(spark, rows)
+    found = {r.page_id: r.verdict for r in redirects.judge(table).collect()}
+    assert [found[i] for i in sorted(found)] == ["allow"] * len(hidden) + ["block"] * len(shown)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [(i, u, h) for i, (u, h) in enumerate(rows)])
+    assert {r[0]: r[4] for r in con.execute(ORACLES["op7_url_filters"]).fetchall()} == found
+
+
 def test_many_pages_with_one_canonical_url(spark):
     rows = [(f"http://h{i}.net/p", '<link rel=canonical href="http://x.com/de/1">') for i in range(300)] + [("http://free.net/", "")]
     assert [r["count"] for r in redirects.judge(pages(spark, rows)).groupBy("verdict").count().orderBy("verdict").collect()] == [1, 300]
