@@ -1,9 +1,10 @@
 """Languages of a text as a mixture: proportions by expectation-maximisation over the words' n-gram likelihoods.
 
 Every language is a distribution over hashed byte trigrams of lower-cased text, counted over all labelled training
-rows. A word's likelihood under a language is the product over the trigrams that end in it. For each text,
+rows. A word's likelihood under a language is the product over the trigrams that end in it or right behind it. For each text,
 expectation-maximisation finds the proportions of the languages among its words. Sets of the largest 1, 2, ...
-languages are compared by penalised likelihood: a language more has to gain more than the penalty.
+languages are compared by penalised likelihood: a language more has to gain more than the penalty, and a text's set
+grows until the first that does not.
 """
 
 from __future__ import annotations
@@ -74,10 +75,12 @@ class Mixture:
 
     def word_likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of every word under every language, and each text's first word. Every text needs a word."""
-        raw = bytes_of([t.replace("\0", " ") for t in texts])
-        word_end = (raw != 32) & (raw != 0)
-        start = np.flatnonzero(word_end[2:] & ~word_end[1:-1])
-        per_word = np.add.reduceat(self.log_p[trigram_buckets(raw)], start, axis=0)
+        raw = bytes_of([t.replace("\0", " ") + " " for t in texts])
+        inside = (raw != 32) & (raw != 0)
+        start = np.flatnonzero(inside[2:] & ~inside[1:-1])
+        each = self.log_p[trigram_buckets(raw)]
+        each[~(inside[2:] | inside[1:-1])] = 0  # beyond the break behind a word; else a text's last word would reach into the next text
+        per_word = np.add.reduceat(each, start, axis=0)
         first = np.searchsorted(start + 2, np.concatenate([[0], np.flatnonzero(raw == 0)]))
         return per_word, first
 
@@ -97,15 +100,16 @@ class Mixture:
         order = np.argsort(-share, axis=1, kind="stable")
         best = np.full(len(texts), -np.inf)
         chosen = np.ones(len(texts), dtype=int)
+        growing = np.ones(len(texts), dtype=bool)  # a text stops at the first language that gains too little
         for k in range(1, len(self.languages) + 1):
             some = np.zeros_like(share)
             np.put_along_axis(some, order[:, :k], np.take_along_axis(share, order[:, :k], axis=1), axis=1)
             some /= some.sum(axis=1, keepdims=True)
             total = np.log(np.maximum((weight * np.repeat(some, n_words, axis=0)).sum(axis=1), 1e-30))
             value = np.add.reduceat(total, first) - self.penalty * (k - 1) * np.log(n_words + 1)
-            better = value > best + 1e-6
-            best, chosen = np.where(better, value, best), np.where(better, k, chosen)
-            if not better.any():
+            growing &= value > best + 1e-6
+            best, chosen = np.where(growing, value, best), np.where(growing, k, chosen)
+            if not growing.any():
                 break
         out = []
         for row, k, ranked in zip(share, chosen, order, strict=True):
