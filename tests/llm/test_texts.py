@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -182,6 +183,39 @@ def test_language_of_mixtures_and_odd_texts(spark, documents, odd):
     assert language.with_a_language(documents(*odd), empty).count() == 0
 
 
+def test_the_languages_of_a_text_do_not_depend_on_its_batch(spark, corpus):
+    rows = spark.read.parquet(f"{corpus}/documents.parquet").where("text IS NOT NULL")
+    model = language.learn(rows)
+    texts = [r.text for r in rows.orderBy("doc_id").limit(60).collect() if language.letters(r.text)]
+    halves = [t[: len(t) // 2] + " " + u[len(u) // 3 :] for t, u in zip(texts, texts[1:])]  # mixtures, of which some gain by a second language
+    mixed = texts[:20] + halves + ["xq zzv kkj", "a", "der the la que"]
+    together = model.propose(mixed)
+    assert {len(langs) for langs, _ in together} >= {1, 2}
+    for text, (langs, shares) in zip(mixed, together):
+        (alone, own), = model.propose([text])
+        assert alone == langs and np.allclose(own, shares, atol=1e-4)
+
+
+def test_tables_grow_with_the_vocabulary():
+    sizes = [maxent.past_rows(n) for n in (0, 1, 10**4, 10**6, 10**8, 10**12)]
+    assert sizes == [1 << 10, 1 << 10, 1 << 10, 1 << 13, 1 << 17, 1 << 18]
+
+
+def test_rows_of_the_model_are_averaged_over_the_tasks_that_met_them(spark):
+    """A word that one task of many meets moves the classes as far as in that task alone."""
+    schema = "doc_id long, text string"
+    one = spark.createDataFrame([(0, "rare end " * 50)], schema).coalesce(1)
+    other = spark.createDataFrame([(1, "other words " * 50)], schema).coalesce(1)
+    model, _ = maxent.learn(one.union(other), F.lit(True), most_frequent=4)
+    tokens = maxent.tokens_of(pa.array(["rare end " * 50]))
+    rows, label = maxent.features_of(tokens, model.past), maxent.classes_of(tokens.words, model.own)[tokens.code]
+    alone = maxent.Trainer(model.bias, len(model.weights))
+    alone.learn(rows, label)
+    others = maxent.features_of(maxent.tokens_of(pa.array(["other words " * 50])), model.past)
+    only = np.setdiff1d(rows, others)
+    assert len(only) and np.allclose(model.weights[only], alone.weights[only], atol=1e-6) and np.abs(alone.weights[only]).max() > 0
+
+
 def test_op10_base_places(spark, documents, odd):
     texts = [*odd, "Released under the MIT License. under the mit license", "Licensed under the Apache License, Version 2.0.", "CC BY-NC 4.0 cc-by-nc, xcc by nc",
              "Licensed under the GNU General Public License, version 3", "free software: Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"]
@@ -212,7 +246,7 @@ def test_op4_base_and_model(spark, corpus):
 def test_class_probabilities_sum_to_one(documents, odd):
     docs = documents(*odd)
     model, counts = maxent.learn(docs, F.lit(True), most_frequent=2)
-    rows = np.random.default_rng(0).integers(0, maxent.ROWS, (3, 50))
+    rows = np.random.default_rng(0).integers(0, len(model.weights), (3, 50))
     assert np.allclose(np.exp(maxent.log_softmax(model.weights, model.bias, rows)).sum(axis=1), 1, atol=1e-5)
     assert maxent.score(docs, model, counts, ["doc_id"]).count() == len(odd)
     model, counts = maxent.learn(documents(), F.lit(True))
