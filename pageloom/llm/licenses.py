@@ -1,8 +1,10 @@
 """License notices by a positional index of rare words.
 
-Templates are indexed by the words that are rarest in the corpus. In a file, each occurrence of such a word votes for
-the start its template would have there; starts with enough votes are aligned word by word, and a template is found
-if its mandatory key phrase stands in its place and enough of its other words do.
+The index lists, for every licence word, the templates and positions it has in their key phrases. Of a file, the licence
+words it has are looked up by falling IDF; a template whose key words are all there is placed by the two rarest of them:
+the places where both stand at the distance they have in the template. There the whole key phrase must stand, further
+mandatory phrases near it, and enough of the template's other words before and behind it in their order, whatever
+few words were put in between or left out.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,34 +47,73 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 ]
-RARE_WORDS, LEAST_SCORE = 6, 0.8
+# Mandatory phrases besides the key, by template: what tells versions of one notice apart.
+ALSO = {
+    ("gpl-3", "gnu general public license as published"): "version 3 of the license", ("gpl-2", "gnu general public license as published"): "version 2 of the license",
+    ("lgpl-2.1", "gnu lesser general public license"): "version 2 1 of the license", ("lgpl-3", "gnu lesser general public license"): "version 3 of the license",
+    ("agpl-3", "gnu affero general public license"): "version 3 of the license"}
+# The words of short identifiers behind `SPDX-License-Identifier:`, and of addresses that name a licence.
+IDENTIFIERS = {
+    "mit": "mit", "apache 2 0": "apache-2", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3", "agpl 3 0": "agpl-3",
+    "mpl 2 0": "mpl-2", "epl 2 0": "epl-2", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "isc": "isc", "unlicense": "unlicense", "zlib": "zlib",
+    "cc0 1 0": "cc0", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc"}
+ADDRESSES = {
+    "apache org licenses license 2 0": "apache-2", "opensource org licenses mit": "mit", "mozilla org mpl 2 0": "mpl-2", "creativecommons org publicdomain zero 1 0": "cc0",
+    "creativecommons org licenses by 4 0": "cc-by", "creativecommons org licenses by sa 4 0": "cc-by-sa", "creativecommons org licenses by nc 4 0": "cc-by-nc"}
+LOOKED_UP, STRAY, LEAST_SCORE = 2, 8, 0.8
+
+
+def common_length(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
+    """Length of the longest common subsequence of `words` and the n words of which `masks` has the positions, as bits."""
+    full = (1 << n) - 1
+    open_ = full
+    for w in words:
+        met = open_ & masks.get(w, 0)
+        open_ = ((open_ + met) | (open_ - met)) & full
+    return n - open_.bit_count()
+
+
+def positions(words: list[bytes]) -> dict[bytes, int]:
+    masks: dict[bytes, int] = {}
+    for i, w in enumerate(words):
+        masks[w] = masks.get(w, 0) | 1 << i
+    return masks
+
+
+def stands_in(phrase: list[bytes], words: list[bytes]) -> bool:
+    return any(words[i : i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
 
 
-@dataclass
 class Template:
-    label: str
-    words: list[bytes]
-    key: range
-    base: bool
-
-    def score(self, words: list[bytes], start: int) -> float:
-        """Share of the template's words found in place if its key phrase is, else 0."""
-        n = len(words)
-        if start + self.key.start < 0 or start + self.key.stop > n:
+    """A notice: words, key phrase, and what else must stand within the notice's length and `STRAY` words of the key."""
+
+    def __init__(self, label: str, text: str, key: str, also: str | None = None, base: bool = False):
+        self.label, self.words, self.key, self.base = label, text.encode().split(), key.encode().split(), base
+        self.also = also.encode().split() if also else None
+        n = len(self.key)
+        at = next(i for i in range(len(self.words)) if self.words[i : i + n] == self.key)
+        self.before, self.behind = self.words[:at], self.words[at + n :]
+        self.masks = positions(self.before), positions(self.behind)
+
+    def score(self, words: list[bytes], at: int) -> float:
+        """Share of the template's words found in their order around the key phrase, 0 unless that stands at `at`."""
+        end = at + len(self.key)
+        if at < 0 or words[at:end] != self.key:
             return 0.0
-        if words[start + self.key.start : start + self.key.stop] != self.words[self.key.start : self.key.stop]:
+        before = words[max(0, at - len(self.before) - STRAY) : at] if self.before else []
+        behind = words[end : end + len(self.behind) + STRAY] if self.behind else []
+        if self.also and not (stands_in(self.also, before) or stands_in(self.also, behind)):
             return 0.0
-        lo, hi = max(0, -start), min(len(self.words), n - start)
-        return sum(a == b for a, b in zip(self.words[lo:hi], words[start + lo : start + hi], strict=True)) / len(self.words)
+        found = common_length(self.masks[0], len(self.before), before) + common_length(self.masks[1], len(self.behind), behind)
+        return (len(self.key) + found) / len(self.words)
 
 
 def templates() -> list[Template]:
-    found = [Template(label, p.encode().split(), range(len(p.split())), True) for label, p in BASE.items()]
-    for label, text, key in TEMPLATES:
-        words, key_words = text.encode().split(), key.encode().split()
-        at = next(i for i in range(len(words)) if words[i : i + len(key_words)] == key_words)
-        found.append(Template(label, words, range(at, at + len(key_words)), False))
-    return found
+    whole = [*((x, f"spdx license identifier {w}") for w, x in IDENTIFIERS.items()), *((x, w) for w, x in ADDRESSES.items())]
+    return [
+        *(Template(label, phrase, phrase, base=True) for label, phrase in BASE.items()),
+        *(Template(label, text, key, ALSO.get((label, key))) for label, text, key in TEMPLATES),
+        *(Template(label, text, text) for label, text in whole)]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -97,41 +137,48 @@ def document_frequencies(docs: DataFrame, vocabulary: list[bytes], text_col: str
 
 
 class RareWordIndex:
-    """Postings (template, position) of each template's rarest words."""
+    """Postings (template, position in its key phrase) of every word of a key phrase."""
 
     def __init__(self, listed: list[Template], n_docs: int, frequency: dict[bytes, int]):
         self.templates = listed
-        self.idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for t in listed for w in t.words}
+        self.idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for t in listed for w in t.key}
+        self.keys = [frozenset(t.key) for t in listed]
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.needed = []
         for k, t in enumerate(listed):
-            # Of the key phrase the rarest word is always there, so that no place of it can be missed.
-            anchor = max(t.words[t.key.start : t.key.stop], key=lambda w: (self.idf[w], w))
-            rare = {anchor} if t.base else {anchor, *sorted(set(t.words), key=lambda w: (-self.idf[w], w))[:RARE_WORDS]}
-            for at, w in enumerate(t.words):
-                if w in rare:
+            for at, w in enumerate(t.key):
+                if w not in t.key[:at]:
                     self.postings.setdefault(w, []).append((k, at))
-            self.needed.append(1 if t.base else min(2, len(rare)))
         self.vocabulary = frozenset(self.postings)
 
+    def lookups(self, have: frozenset[bytes]) -> dict[int, list[tuple[bytes, int]]]:
+        """By template, the rarest of the file's licence words with their positions; templates that lack a key word are out."""
+        taken: dict[int, list[tuple[bytes, int]]] = {}
+        for w in sorted(have, key=lambda w: (-self.idf[w], w)):
+            for k, at in self.postings[w]:
+                if self.keys[k] <= have and len(chosen := taken.setdefault(k, [])) < LOOKED_UP:
+                    chosen.append((w, at))
+        return taken
+
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Places of base phrases as (first word, label), and the best score of every label found."""
-        known = self.vocabulary
-        votes: Counter[tuple[int, int]] = Counter()
-        for i, w in enumerate(words):
-            if w in known:
-                for k, at in self.postings[w]:
-                    votes[k, i - at] += 1
+        lookups = self.lookups(self.vocabulary.intersection(words))
+        rows: dict[bytes, list[int]] = {w: [] for chosen in lookups.values() for w, _ in chosen}
+        if rows:
+            for i, w in enumerate(words):
+                if w in rows:
+                    rows[w].append(i)
         places, labels = [], {}
-        for (k, start), n in votes.items():
+        for k, chosen in lookups.items():
             t = self.templates[k]
-            if n < self.needed[k]:
-                continue
-            score = t.score(words, start)
-            if t.base and score == 1.0:
-                places.append((start, t.label))
-            if score >= LEAST_SCORE:
-                labels[t.label] = max(score, labels.get(t.label, 0.0))
+            starts = set.intersection(*({i - at for i in rows[w]} for w, at in chosen))
+            for start in starts:
+                if not t.base and labels.get(t.label) == 1.0:
+                    break  # no place can add to it
+                score = t.score(words, start)
+                if t.base and score == 1.0:
+                    places.append((start, t.label))
+                if score >= LEAST_SCORE:
+                    labels[t.label] = max(score, labels.get(t.label, 0.0))
         return places, labels
 
 
@@ -140,11 +187,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     `found` are structs (label, score) of all licences, by label.
 
     Only A-Z are lower-cased; words are runs of digits, letters a-z and anything beyond ASCII. A null text has no
-    words. Rows do not depend on each other except through the corpus frequencies that choose the rare words; a
-    base phrase is found wherever it stands whatever these are. An empty table gives an empty one.
+    words. The corpus frequencies only choose the words that are looked up: every place of a key phrase has them all, so
+    what is found is the same whatever they are, and rows do not depend on each other. An empty table gives an empty one.
     """
     listed = templates()
-    vocabulary = sorted({w for t in listed for w in t.words})
+    vocabulary = sorted({w for t in listed for w in t.key})
     n_docs, frequency = document_frequencies(docs, vocabulary, text_col)
     index = RareWordIndex(listed, n_docs, frequency)
 

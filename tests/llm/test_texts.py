@@ -228,6 +228,68 @@ def test_op10_base_places(spark, documents, odd):
     assert not any(rows[i].found for i in range(len(odd))) and licenses.scan(documents()).count() == 0
 
 
+def plain_licences(w):
+    """Labels and scores from every template at every word, the notice's other words by a plain common subsequence."""
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(len(b)), lambda left, j, x=x, old=row: old[j] + 1 if x == b[j] else max(left, old[j + 1]), initial=0))
+        return row[-1]
+
+    found = {}
+    for t in licenses.templates():
+        text, key = [x.decode() for x in t.words], [x.decode() for x in t.key]
+        n, at = len(key), len(t.before)
+        for i in range(len(w) - n + 1):
+            if w[i : i + n] != key:
+                continue
+            lead, tail = w[max(0, i - at - licenses.STRAY) : i] if at else [], w[i + n : i + len(text) - at + licenses.STRAY] if at + n < len(text) else []
+            also = " ".join(x.decode() for x in t.also or [])
+            if also and not any(f" {also} " in f" {' '.join(side)} " for side in (lead, tail)):
+                continue
+            score = (n + common(text[:at], lead) + common(text[at + n :], tail)) / len(text)
+            if score >= licenses.LEAST_SCORE:
+                found[t.label] = max(score, found.get(t.label, 0))
+    return found
+
+
+def test_op10_labels_against_every_place(documents):
+    rng = random.Random(3)
+    texts = []
+    for t in licenses.templates():
+        notice = [x.decode() for x in t.words]
+        for changes in range(5):
+            w = list(notice)
+            for _ in range(changes):
+                if rng.random() < 0.5:
+                    del w[rng.randrange(len(w))]
+                else:
+                    w.insert(rng.randrange(len(w) + 1), rng.choice(["the", "license", "extra", "mit", "software"]))
+                w = w or ["the"]
+            around = [rng.choice(["the", "of", "public", "license", "word"]) for _ in range(20)]
+            texts.append(" ".join([*around[: rng.randrange(20)], *w, *around]))
+    texts.append(" ".join(texts))
+    rows = licenses.scan(documents(*texts)).collect()
+    for r in rows:
+        found = {x.label: x.score for x in r.found}
+        assert found == plain_licences(texts[r.doc_id].split()), texts[r.doc_id]
+        if r.doc_id % 5 == 0 and r.doc_id < len(texts) - 1:  # unchanged notices
+            assert found[licenses.templates()[r.doc_id // 5].label] == 1
+
+
+def test_op10_changed_notices(documents):
+    mit = "Permission is hereby granted, free of charge, to any legal person obtaining a copy of this software and associated documentation files, to deal in Software without any restriction"
+    gpl = "under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version"
+    texts = {mit: ["mit"], gpl.format(2): ["gpl-2"], gpl.format(3): ["gpl-3"], gpl.replace("General", "Lesser General").format("2.1"): ["lgpl-2.1"],
+             "// SPDX-License-Identifier: MIT": ["mit"], "SPDX-License-Identifier: GPL-3.0-only": ["gpl-3"], "see http://www.apache.org/licenses/LICENSE-2.0 there": ["apache-2"],
+             "permission is granted free of charge": [], "free of charge hereby granted is permission": []}
+    rows = licenses.scan(documents(*texts)).collect()
+    assert [[x.label for x in r.found] for r in sorted(rows, key=lambda r: r.doc_id)] == list(texts.values())
+    once = licenses.RareWordIndex(licenses.templates(), 0, {})
+    many = licenses.words_of((mit + " . ") * 20000 + "license " * 100000)
+    assert once.find(many) == once.find(licenses.words_of(mit))
+
+
 def test_op4_base_and_model(spark, corpus):
     texts = {r.doc_id: r.text for r in docs_of(spark, corpus)}
     tokens = {k: [*words(lower(t)), ""] for k, t in texts.items()}
