@@ -4,7 +4,8 @@ Every language is a distribution over hashed byte trigrams of lower-cased text,
 rows. A word's likelihood under a language is the product over the trigrams that end in it or right behind it. For each text,
 expectation-maximisation finds the proportions of the languages among its words. Sets of the largest 1, 2, ...
 languages are compared by penalised likelihood: a language more has to gain more than the penalty, and a text's set
-grows until the first that does not.
+grows until the first that does not. Apart from that, a text is in no learned language if trigrams drawn evenly from all
+buckets explain it better than every language does, by more than chance allows for its length.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import slices
+from pageloom.llm.common import quoted, slices
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 MOST_LANGUAGES = 1000
+# Spread of a trigram's log-likelihood, and how many standard errors below even odds a text must be to count as noise.
+SPREAD, ERRORS = 3.0, 3.0
 
 
 def trigram_buckets(raw: np.ndarray) -> np.ndarray:
@@ -73,24 +76,34 @@ class Mixture:
         smooth = counts + 0.5
         self.log_p = np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
-    def word_likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood of every word under every language, and each text's first word. Every text needs a word."""
+    def word_likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihood of every word under every language, its trigrams, and each text's first word; all texts have words."""
         raw = bytes_of([t.replace("\0", " ") + " " for t in texts])
         inside = (raw != 32) & (raw != 0)
         start = np.flatnonzero(inside[2:] & ~inside[1:-1])
         each = self.log_p[trigram_buckets(raw)]
-        each[~(inside[2:] | inside[1:-1])] = 0  # beyond the break behind a word; else a text's last word would reach into the next text
+        counted = inside[2:] | inside[1:-1]
+        each[~counted] = 0  # beyond the break behind a word; else a text's last word would reach into the next text
         per_word = np.add.reduceat(each, start, axis=0)
+        trigrams = np.add.reduceat(counted.astype(np.int64), start)
         first = np.searchsorted(start + 2, np.concatenate([[0], np.flatnonzero(raw == 0)]))
-        return per_word, first
+        return per_word, trigrams, first
 
     def propose(self, texts: list[str]) -> list[tuple[list[str], list[float]]]:
         """Languages and proportions of each text, largest proportion first, ties by language; texts with letters."""
+        return [(langs, shares) for langs, shares, _ in self.judge(texts)]
+
+    def judge(self, texts: list[str]) -> list[tuple[list[str], list[float], bool]]:
+        """As `propose`, and whether the text is in the learned languages at all: its words, each under the language that
+        explains it best, are no less likely than under even odds for all buckets, but for `ERRORS` standard errors."""
         if not texts or not self.languages:
-            return [([], [])] * len(texts)
-        like, first = self.word_likelihoods(texts)
+            return [([], [], False)] * len(texts)
+        like, trigrams, first = self.word_likelihoods(texts)
         n_words = np.diff(np.append(first, len(like)))
         highest = like.max(axis=1, keepdims=True)
+        n_trigrams = np.add.reduceat(trigrams, first)
+        gain = np.add.reduceat(highest[:, 0].astype(float), first) + n_trigrams * np.log(BUCKETS)
+        natural = gain >= -ERRORS * SPREAD * np.sqrt(n_trigrams)
         weight = np.exp(like - highest)  # a word's likelihood by language, the best one 1
         share = np.full((len(texts), len(self.languages)), 1 / len(self.languages), dtype=np.float32)
         for _ in range(self.rounds):
@@ -112,10 +125,10 @@ class Mixture:
             if not growing.any():
                 break
         out = []
-        for row, k, ranked in zip(share, chosen, order, strict=True):
+        for row, k, ranked, real in zip(share, chosen, order, natural, strict=True):
             top = ranked[:k]
             proportions = row[top].astype(float) / float(row[top].sum())
-            out.append(([self.languages[i] for i in top], [min(1.0, float(p)) for p in proportions]))
+            out.append(([self.languages[i] for i in top], [min(1.0, float(p)) for p in proportions], bool(real)))
         return out
 
 
@@ -137,43 +150,49 @@ def learn(docs: DataFrame, trained: Column | None = None, text_col: str = "text"
     return Mixture(languages, table)
 
 
-def predictions(model: Mixture, texts: list[str | None]) -> Iterator[tuple[list[str], list[float]]]:
+def predictions(model: Mixture, texts: list[str | None]) -> Iterator[tuple[list[str], list[float], bool]]:
+    """Languages, proportions and whether the text is in any of them; nothing and false for texts without letters."""
     have = [letters(t) for t in texts]
-    found = iter(model.propose([t for t, h in zip(texts, have, strict=True) if h]))
-    return (next(found) if h else ([], []) for h in have)
+    found = iter(model.judge([t for t, h in zip(texts, have, strict=True) if h]))
+    return (next(found) if h else ([], [], False) for h in have)
 
 
 def identify(docs: DataFrame, model: Mixture, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of every row, with langs and proportions (arrays), lang_pred and score.
+    """The columns `keep` of every row, with langs and proportions (arrays), lang_pred, score and is_language.
 
-    `lang_pred` is the language of the largest proportion, `score` that proportion among the languages selected. A
-    text that is null or has no letter, or a model without languages, gives `und`, 0 and empty arrays. Rows are
-    independent; an empty table gives an empty one.
+    `lang_pred` is the language of the largest proportion, `score` that proportion among the languages selected;
+    `is_language` is false for noise, which gets the nearest language all the same. A text that is null or has no letter,
+    or a model without languages, gives `und`, 0, false and empty arrays. A kept column of a result's name gives way to
+    the result. Rows are independent; an empty table gives an empty one.
     """
+    keep = [c for c in keep if c not in NAMES]
+    text = "_text"
+    while text in keep:
+        text += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text="_text"):
-            found = list(predictions(model, batch.column("_text").to_pylist()))
-            langs, shares = [list(x) for x in zip(*found, strict=True)]
+        for batch in slices(batches, text=text):
+            found = list(predictions(model, batch.column(text).to_pylist()))
+            langs, shares, real = [list(x) for x in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 *[batch.column(c) for c in keep], pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())),
-                pa.array([x[0] if x else UNKNOWN for x in langs], pa.string()), pa.array([x[0] if x else 0.0 for x in shares], pa.float64())],
-                [*keep, *NAMES])
+                pa.array([x[0] if x else UNKNOWN for x in langs], pa.string()), pa.array([x[0] if x else 0.0 for x in shares], pa.float64()),
+                pa.array(real, pa.bool_())], [*keep, *NAMES])
 
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
-    return source.mapInArrow(run, f"{kinds}, langs array<string>, proportions array<double>, lang_pred string, score double")
+    source = docs.select(*quoted(keep), F.col(text_col).cast("string").alias(text))
+    kinds = "".join(f"{name} {f.dataType.simpleString()}, " for name, f in zip(quoted(keep), source.schema, strict=False))
+    return source.mapInArrow(run, f"{kinds}langs array<string>, proportions array<double>, lang_pred string, score double, is_language boolean")
 
 
-NAMES = ["langs", "proportions", "lang_pred", "score"]
+NAMES = ["langs", "proportions", "lang_pred", "score", "is_language"]
 
 
 def with_a_language(docs: DataFrame, model: Mixture, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, of which one language has at least this proportion."""
+    """The rows, with all their columns, that are in the learned languages and of which one has at least this proportion."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text=text_col):
             found = predictions(model, batch.column(text_col).to_pylist())
-            yield batch.filter(pa.array([bool(p) and p[0] >= least for _, p in found], pa.bool_()))
+            yield batch.filter(pa.array([real and p[0] >= least for _, p, real in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

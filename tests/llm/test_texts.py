@@ -216,6 +216,60 @@ def test_rows_of_the_model_are_averaged_over_the_tasks_that_met_them(spark):
     assert len(only) and np.allclose(model.weights[only], alone.weights[only], atol=1e-6) and np.abs(alone.weights[only]).max() > 0
 
 
+def plain_mixture(model, text):
+    """Proportions and chosen languages by loops over words and languages."""
+    padded = b"  " + re.sub(SPACE, " ", text.lower()).encode() + b" "
+    likes = []
+    for found in re.finditer(rb"[^ ]+", padded):
+        at = [model.log_p[language.trigram_buckets(np.frombuffer(padded[i - 2 : i + 1], np.uint8))[0]].astype(float) for i in range(found.start(), found.end() + 1)]
+        likes.append(sum(at))
+    share = [1 / len(model.languages)] * len(model.languages)
+    for _ in range(model.rounds):
+        parts = []
+        for like in likes:
+            joint = [s * math.exp(x - max(like)) for s, x in zip(share, like, strict=True)]
+            parts.append([j / sum(joint) for j in joint])
+        share = [sum(p[i] for p in parts) / len(parts) for i in range(len(share))]
+    order = sorted(range(len(share)), key=lambda i: -share[i])
+    best, size = -math.inf, 1
+    for k in range(1, len(order) + 1):
+        whole = sum(share[i] for i in order[:k])
+        value = sum(math.log(max(1e-30, sum(share[i] / whole * math.exp(like[i] - max(like)) for i in order[:k]))) for like in likes)
+        value -= model.penalty * (k - 1) * math.log(len(likes) + 1)
+        if value <= best + 1e-6:
+            break
+        best, size = value, k
+    whole = sum(share[i] for i in order[:size])
+    return {model.languages[i]: share[i] / whole for i in order[:size]}
+
+
+def test_mixtures_against_plain_expectation_maximisation(spark, corpus):
+    rows = spark.read.parquet(f"{corpus}/documents.parquet").where("text IS NOT NULL")
+    model = language.learn(rows)
+    texts = [r.text for r in rows.orderBy("doc_id").limit(30).collect() if language.letters(r.text) and "\0" not in r.text]
+    texts += [f"{a[:400]} {b[:700]}" for a, b in zip(texts, reversed(texts), strict=True)] + ["a", "the ñ ü"]
+    for text, (langs, shares) in zip(texts, model.propose(texts), strict=True):
+        plain = plain_mixture(model, text)
+        assert set(langs) == set(plain) and all(abs(plain[x] - p) < 1e-3 for x, p in zip(langs, shares, strict=True))
+
+
+def test_noise_is_in_no_language(spark, documents):
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.learn(corpus)
+    rng = random.Random(5)
+    noise = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (60, 300, 5000)
+             for letters in ("bcdfghjklmnpqrstvwxz", "абвгдежзиклмн", "abcdefghijklmnopqrstuvwxyz")]
+    clean = ["The committee met on Tuesday and agreed that the garden behind the library should be kept open for another year. " * 3, "buy now", "ok"]
+    table = documents(*noise, *clean, None, "123").withColumn("score", F.lit(7)).withColumn("_text", F.lit("x"))
+    found = {r.doc_id: r for r in language.identify(table, model, table.columns).collect()}
+    assert [found[i].is_language for i in range(len(found))] == [False] * len(noise) + [True] * 3 + [False] * 2
+    assert all(0 <= r.score <= 1 and (r.lang_pred == "und") == (i >= len(noise) + 3) for i, r in found.items())
+    kept = language.with_a_language(table, model)
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {len(noise), len(noise) + 1, len(noise) + 2}
+    lettered = corpus.where(F.col("text").rlike("[A-Za-z]"))
+    assert language.identify(lettered, model, ["doc_id"]).where("NOT is_language").count() == 0
+
+
 def test_op10_base_places(spark, documents, odd):
     texts = [*odd, "Released under the MIT License. under the mit license", "Licensed under the Apache License, Version 2.0.", "CC BY-NC 4.0 cc-by-nc, xcc by nc",
              "Licensed under the GNU General Public License, version 3", "free software: Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"]
