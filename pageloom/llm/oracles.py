@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pageloom.llm import quality
+from pageloom.llm import quality, redirects
 from pageloom.llm.redirects import RULES
 
 BREAK = r"[\x20\x09-\x0D]+"
@@ -72,7 +72,11 @@ def host(url: str) -> str:
 
 def node(url: str) -> str:
     rest = f"regexp_extract({url}, '://[^/?#]*([^#]*)', 1)"
-    return f"CASE WHEN contains({url}, '://') AND {host(url)} <> '' THEN {host(url)} || CASE WHEN starts_with({rest}, '/') THEN '' ELSE '/' END || {rest} END"
+    pieces = f"regexp_extract_all({rest}, '{redirects.ESCAPE}|%|[^%]+')"
+    plain = f"""array_to_string(list_transform({pieces}, lambda p: CASE WHEN regexp_matches(p, '^{redirects.NEEDLESS}$') THEN decode(unhex(p[2:3]))
+      WHEN regexp_matches(p, '^{redirects.ESCAPE}$') THEN upper(p) ELSE p END), '')"""
+    named = f"regexp_replace({host(url)}, ':(80|443)?$', '')"
+    return f"CASE WHEN contains({url}, '://') AND {named} <> '' THEN {named} || CASE WHEN starts_with({rest}, '/') THEN '' ELSE '/' END || {plain} END"
 
 
 def path(url: str) -> str:
@@ -118,9 +122,12 @@ reach AS (SELECT a AS node, a AS other FROM sides UNION SELECT reach.node, sides
 urls AS (SELECT node, 'x://' || other AS url FROM reach),
 ruled AS (SELECT node, {host('url')} AS host, {path('url')} AS path FROM urls),
 shared AS (SELECT node, min({cases(0)}) AS verdict FROM ruled GROUP BY node),
-own AS (SELECT page_id, {host('url')} AS host, {path('url')} AS path, {node('url')} AS node FROM pages)
-SELECT page_id, host, path, {cases(None)} AS rule, coalesce({cases(0)}, shared.verdict, 'allow') AS verdict
-FROM own LEFT JOIN shared ON shared.node = own.node
+own AS (SELECT page_id, {host('url')} AS host, {path('url')} AS path, {node('url')} AS node FROM pages),
+twin_urls AS (SELECT DISTINCT node, 'x://' || node AS url FROM own WHERE node IS NOT NULL),
+twin_parts AS (SELECT node, {host('url')} AS host, {path('url')} AS path FROM twin_urls),
+twins AS (SELECT node, {cases(0)} AS verdict FROM twin_parts)
+SELECT page_id, host, path, {cases(None)} AS rule, coalesce({cases(0)}, shared.verdict, twins.verdict, 'allow') AS verdict
+FROM own LEFT JOIN shared ON shared.node = own.node LEFT JOIN twins ON twins.node = own.node
 """
 
 # crc32 of a number's digits, bit by bit; the constants are the polynomial and the mask of CRC-32.

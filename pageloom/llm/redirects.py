@@ -1,7 +1,7 @@
 """URL rules, and what the method adds: pages that are aliases of each other share decisions. DataFrame functions only.
 
 Aliases are found from the pages themselves: a canonical link and a refresh redirect are edges between URLs, taken
-without scheme and fragment. Connected components over the edges carry a rule's decision to the pages no rule fits.
+without scheme, default port and fragment, and with escapes of characters that need none undone. Connected components over the edges carry a rule's decision to the pages no rule fits.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pageloom.llm.components import components
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 HIDDEN = r"""(?is)<!--.*?(?:-->|$)|<(script|style|textarea|title|template)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|$)"""
 TAG = r"""(?i)<(?:link|meta)\b(?:[^>"']|"[^"]*+"|'[^']*+')*+>"""
+ESCAPE, NEEDLESS = "%[0-9A-Fa-f]{2}", "%(2[DdEe]|3[0-9]|[46][1-9A-Fa-f]|[57][0-9Aa]|5[Ff]|7[Ee])"
 REFRESH = r"""(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*['"]?([^'"]*)"""
 
 
@@ -29,10 +30,22 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "(?s)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def plain_escapes(text: Column) -> Column:
+    """Escapes of letters, digits and `-._~` undone, the others in capitals; anything else as it is."""
+    def plain(piece: Column) -> Column:
+        return F.when(piece.rlike(f"^{NEEDLESS}$"), F.decode(F.unhex(F.substring(piece, 2, 2)), "UTF-8")).when(piece.rlike(f"^{ESCAPE}$"), F.upper(piece)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"{ESCAPE}|%|[^%]+"), F.lit(0))
+    return F.when(text.contains("%"), F.array_join(F.transform(pieces, plain), "")).otherwise(text)
+
+
 def node_of(url: Column) -> Column:
-    """Host, path and query of an absolute URL, null for others: what names a document whatever the scheme."""
-    rest = F.regexp_extract(url, "(?s)://[^/?#]*([^#]*)", 1)
-    return F.when(url.contains("://") & (host_of(url) != ""), F.concat(host_of(url), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
+    """Host, path and query of an absolute URL, null for others: what names a document whatever the scheme.
+
+    Twins have one node: ports 80 and 443 or none, `%70` or `p`, `%2f` or `%2F`.
+    """
+    host, rest = F.regexp_replace(host_of(url), ":(80|443)?$", ""), plain_escapes(F.regexp_extract(url, "(?s)://[^/?#]*([^#]*)", 1))
+    return F.when(url.contains("://") & (host != ""), F.concat(host, F.when(rest.startswith("/"), F.lit("")).otherwise("/"), rest))
 
 
 def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -82,7 +95,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     """(page_id, host, path, rule, verdict, via) per row.
 
     The verdict is the longest fitting rule's. A page without one takes its component's: allow if any alias is
-    explicitly allowed, else block if any is blocked, else allow; `via` tells rule, alias or default. A null URL, or one
+    explicitly allowed, else block if any is blocked, else allow; `via` tells rule, alias or default. A page whose URL only
+    differs in a default port or needless escapes from one that a rule fits is an alias of that one. A null URL, or one
     without `://`, has an empty host and path and is allowed. Null markup has no aliases. Rows that repeat come out
     repeated; an empty table gives an empty one.
     """
@@ -92,12 +106,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
 
     edges = written(alias_edges(pages, url_col, html_col), "aliases")
     roots = components(edges, "redirects")
-    own = ruled(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))).withColumn("node", node_of(F.col("url")))
+    own = ruled(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))).withColumn("node", bound(node_of(F.col("url"))))
+    twin = F.concat(F.lit("x://"), F.col("node"))
+    own = own.withColumn("twin", best_rule(host_of(twin), path_of(twin), rules).getField("verdict"))
     # A node's rule is that of any URL with its host and path, so alias targets count even where no page has them.
     decided = ruled(roots.withColumn("url", F.concat(F.lit("x://"), F.col("node")))).where("found IS NOT NULL")
     shared = decided.groupBy("root").agg(F.min("found.verdict").alias("shared"))  # allow comes before block
     aliases = roots.join(shared, "root").select("node", "shared")
-    joined = own.join(aliases, "node", "left")
+    joined = own.join(aliases, "node", "left").withColumn("shared", F.coalesce("shared", "twin"))
     return joined.select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"),
         F.coalesce("found.verdict", "shared", F.lit("allow")).alias("verdict"),

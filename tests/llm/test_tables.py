@@ -140,6 +140,30 @@ def test_tags_in_comments_and_scripts_are_no_links(spark):
     assert {r[0]: r[4] for r in con.execute(ORACLES["op7_url_filters"]).fetchall()} == found
 
 
+def test_twins_by_escapes_and_ports_and_repeated_rows(spark):
+    def canonical(href):
+        return f'<link rel="canonical" href="{href}">'
+
+    cases = [  # url, markup, verdict
+        ("http://example.org:80/es/a", "", "block"), ("HTTPS://EXAMPLE.org:443/%65s/b", "", "block"), ("http://example.org:8080/es/a", "", "allow"),
+        ("http://example.org:/en/%31", "", "block"), ("http://other.net/%7euser%2fx", canonical("http://example.org/es/q"), "block"),
+        ("http://other.net/~user%2Fx", "", "block"), ("http://other.net/~user/x", "", "allow"), ("http://third.net/100%", "", "allow"),
+        ("http://third.net/%41b", canonical("//other.net:443/%7Euser%2Fx"), "block"), ("http://third.net/Ab", None, "block"),
+        ("http://fourth.net/a", canonical("http://sub.com:80/%64e/1"), "block"), ("http://sub.com/de/1", "", "block"), (None, canonical("http://sub.com/de/1"), "allow"),
+        ("http://sub.com:80/%64e/1", "", "block"), ("http://:80/es/", "", "allow")]
+    rows = [(u, h) for u, h, _ in cases] * 2
+    found = {r.page_id: r for r in redirects.judge(pages(spark, rows)).collect()}
+    assert [found[i].verdict for i in range(len(rows))] == [v for *_, v in cases] * 2
+    assert found[0].rule is None and found[0].host == "example.org:80" and found[11].rule == "com/de/"
+    assert redirects.judge(pages(spark, rows).unionAll(pages(spark, rows))).count() == 2 * len(rows)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [(i, u, h) for i, (u, h) in enumerate(rows)])
+    for page_id, host, path, rule, verdict in con.execute(ORACLES["op7_url_filters"]).fetchall():
+        r = found[page_id]
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
+
+
 def test_many_pages_with_one_canonical_url(spark):
     rows = [(f"http://h{i}.net/p", '<link rel=canonical href="http://x.com/de/1">') for i in range(300)] + [("http://free.net/", "")]
     assert [r["count"] for r in redirects.judge(pages(spark, rows)).groupBy("verdict").count().orderBy("verdict").collect()] == [1, 300]
