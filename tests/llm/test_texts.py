@@ -270,6 +270,30 @@ def test_noise_is_in_no_language(spark, documents):
     assert language.identify(lettered, model, ["doc_id"]).where("NOT is_language").count() == 0
 
 
+def test_op4_kernels_against_plain_loops(odd):
+    rng = np.random.default_rng(2)
+    for n, size in ((1, 4), (7, 3), (500, 40), (3000, 100000)):
+        rows, values = rng.integers(0, size, n), rng.normal(size=(n, maxent.CLASSES)).astype(np.float32)
+        which, times, sums = maxent.sums_by_row(rows, values)
+        assert which.tolist() == sorted(set(rows.tolist())) and times.sum() == n
+        assert all(t == (rows == r).sum() and np.allclose(s, values[rows == r].sum(axis=0), atol=1e-4) for r, t, s in zip(which, times, sums, strict=True))
+        assert np.array_equal(maxent.across(np.maximum, values)[:, 0], values.max(axis=1))
+    weights, bias = rng.normal(size=(30, maxent.CLASSES)).astype(np.float32) * 40, rng.normal(size=maxent.CLASSES).astype(np.float32)
+    rows = rng.integers(0, 30, (3, 50))
+    for k, found in enumerate(maxent.log_softmax(weights, bias, rows)):
+        logits = [math.fsum([bias[c], *(weights[r[k], c] for r in rows)]) for c in range(maxent.CLASSES)]
+        whole = max(logits) + math.log(math.fsum(math.exp(x - max(logits)) for x in logits))
+        assert np.allclose(found, [x - whole for x in logits], atol=1e-3)
+    listed = pa.array(["", "a", "the", "é", "lang", "ng", "x" * 300])
+    own = pa.array(["the"])
+    for some in (listed, listed.slice(2, 4), listed.slice(0, 0)):
+        plain = []
+        for w in some.to_pylist():
+            one, two = ([*w.encode()[::-1], 0, 0])[:2]
+            plain.append(0 if not w else 1 if w == "the" else 1 + maxent.OWN_CLASS + ((one * 257 + two) * 40503 >> 4) % maxent.SUFFIX_CLASSES)
+        assert maxent.classes_of(some, own).tolist() == plain
+
+
 def test_op10_base_places(spark, documents, odd):
     texts = [*odd, "Released under the MIT License. under the mit license", "Licensed under the Apache License, Version 2.0.", "CC BY-NC 4.0 cc-by-nc, xcc by nc",
              "Licensed under the GNU General Public License, version 3", "free software: Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"]
