@@ -77,7 +77,10 @@ class Mixture:
         self.log_p = np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
     def word_likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-likelihood of every word under every language, its trigrams, and each text's first word; all texts have words."""
+        """Log-likelihood of every word under every language, its trigrams, and each text's first word; all texts have words.
+
+        Words with digits count no trigrams: numbers, addresses and keys tell nothing against a language.
+        """
         raw = bytes_of([t.replace("\0", " ") + " " for t in texts])
         inside = (raw != 32) & (raw != 0)
         start = np.flatnonzero(inside[2:] & ~inside[1:-1])
@@ -85,7 +88,8 @@ class Mixture:
         counted = inside[2:] | inside[1:-1]
         each[~counted] = 0  # beyond the break behind a word; else a text's last word would reach into the next text
         per_word = np.add.reduceat(each, start, axis=0)
-        trigrams = np.add.reduceat(counted.astype(np.int64), start)
+        digits = np.add.reduceat(((raw[2:] >= 48) & (raw[2:] <= 57)).astype(np.int64), start)
+        trigrams = np.where(digits > 0, 0, np.add.reduceat(counted.astype(np.int64), start))
         first = np.searchsorted(start + 2, np.concatenate([[0], np.flatnonzero(raw == 0)]))
         return per_word, trigrams, first
 
@@ -94,7 +98,7 @@ class Mixture:
         return [(langs, shares) for langs, shares, _ in self.judge(texts)]
 
     def judge(self, texts: list[str]) -> list[tuple[list[str], list[float], bool]]:
-        """As `propose`, and whether the text is in the learned languages at all: its words, each under the language that
+        """As `propose`, and whether the text is in the learned languages at all: its words without digits, each under the language that
         explains it best, are no less likely than under even odds for all buckets, but for `ERRORS` standard errors."""
         if not texts or not self.languages:
             return [([], [], False)] * len(texts)
@@ -102,7 +106,7 @@ class Mixture:
         n_words = np.diff(np.append(first, len(like)))
         highest = like.max(axis=1, keepdims=True)
         n_trigrams = np.add.reduceat(trigrams, first)
-        gain = np.add.reduceat(highest[:, 0].astype(float), first) + n_trigrams * np.log(BUCKETS)
+        gain = np.add.reduceat(np.where(trigrams > 0, highest[:, 0], 0.0), first) + n_trigrams * np.log(BUCKETS)
         natural = gain >= -ERRORS * SPREAD * np.sqrt(n_trigrams)
         weight = np.exp(like - highest)  # a word's likelihood by language, the best one 1
         share = np.full((len(texts), len(self.languages)), 1 / len(self.languages), dtype=np.float32)

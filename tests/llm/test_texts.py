@@ -259,7 +259,7 @@ def test_noise_is_in_no_language(spark, documents):
     rng = random.Random(5)
     noise = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (60, 300, 5000)
              for letters in ("bcdfghjklmnpqrstvwxz", "абвгдежзиклмн", "abcdefghijklmnopqrstuvwxyz")]
-    clean = ["The committee met on Tuesday and agreed that the garden behind the library should be kept open for another year. " * 3, "buy now", "ok"]
+    clean = ["The committee met on Tuesday and agreed that the garden behind the library should be kept open for another year. " * 3, "buy now", "mail ab3f9c0de4477821 to xkq.95@mail0.example.com or 4792160228539108"]
     table = documents(*noise, *clean, None, "123").withColumn("score", F.lit(7)).withColumn("_text", F.lit("x"))
     found = {r.doc_id: r for r in language.identify(table, model, table.columns).collect()}
     assert [found[i].is_language for i in range(len(found))] == [False] * len(noise) + [True] * 3 + [False] * 2
