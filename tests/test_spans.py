@@ -1,11 +1,13 @@
 """Quoted '>' in tags, repeated JSON keys, wide and tall table cells."""
 
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import code, extract, images, links, mathml, tables
+from pageloom.operators import balance, code, extract, images, links, mathml, tables
 from pageloom.operators import metadata as meta
 
 
@@ -94,3 +96,22 @@ def test_last_of_repeated_json_keys(spark, pages):
     row = meta.metadata(pages(script)).first()
     assert (row.title, row.author, row.schema_type) == ("b", "y", "Article")
     assert [r.target for r in links.link_candidates(pages(script)).collect()] == ["http://h.example.org/2"]
+
+
+def test_the_tree_of_a_batch_takes_little_memory():
+    """The Python step hands positions back part by part: 2,000 pages of 300 marks are never objects all at once."""
+    page = ["div", "p", "#", "/p", "ul", "li", "#", "li", "", "/ul", "img!!", "/b"] * 25
+    pages = [page] * 2000 + [None, [], page * 50, ["/p"]]
+    batch = pa.array(pages, pa.list_(pa.string()))
+    tracemalloc.start()
+    rows, at_once = 0, 0
+    for part in balance.balance_pages.func(iter([batch.slice(1)])):
+        rows += len(part)
+        at_once = max(at_once, len(part.field(0).values))
+        for k, tree in zip((0, -1), (part[0], part[len(part) - 1]), strict=True):
+            marks = pages[1 + rows - (len(part) if k == 0 else 1)]
+            assert [list(v) for v in tree.as_py().values()] == [list(v) for v in balance._balance(marks or [])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(pages) - 1 and at_once <= 2 * balance.PART
+    assert peak < 16 << 20  # as lists of numbers for the whole batch 35 MB
