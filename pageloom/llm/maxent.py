@@ -1,10 +1,15 @@
 """A maximum-entropy language model with hashed features and a class-factored softmax.
 
-A token's probability is that of its class given the two words before it, times that of the token within its class.
-The first factor is a softmax over the classes; its logits are sums of weight rows for the class itself, the word
-before, the word two before (a skip feature) and the pair of both, hashed into tables that grow with the square root
-of the vocabulary. The second factor is a softmax over log counts. Frequent words are classes of their own, all others
-are classed by how they end.
+A token's probability is that of its class given the two words before it, times that of the token within its class
+given the same two words. Both factors are softmaxes whose logits are sums of a log count and weight rows for the word
+before, the word two before (a skip feature) and the pair of both, hashed into tables that grow with the square root of
+the vocabulary; in the second factor they are hashed together with the class. Frequent words are classes of their own,
+all others are classed by how they end.
+
+The words of a class are too many for one softmax, so the second factor is a product down a tree: at each of its nodes
+the most frequent words left are outcomes of their own, the others are dealt to `GROUPS` groups by their hash, which are
+the nodes of the next level. The tree deepens with the vocabulary. Words that share one of its last groups divide the
+group's probability by their counts.
 
 Every task runs one pass of AdaGrad over its rows. The model's weights are those of the tasks, each row averaged by how
 often the tasks met it, so that what few tasks saw counts in full however many there are. Tokens are counted over the
@@ -31,6 +36,9 @@ from pageloom.llm.common import id_and_text, slices, written
 END = ""  # no word is empty
 OWN_CLASS, SUFFIX_CLASSES = 15, 16
 CLASSES = 1 + OWN_CLASS + SUFFIX_CLASSES  # a power of two, which `across` needs
+OWN_WORDS, GROUPS = 24, 8  # outcomes of a node within a class, as many as classes
+MOST_LEVELS, GROUP_WORDS = 6, 1 << 10
+EMPTY = -30.0  # bias of an outcome that stands for no word
 LEAST_PAST, MOST_PAST = 1 << 10, 1 << 18
 BLOCKS = 64
 RATE, BATCH = 0.1, 1 << 13
@@ -81,17 +89,100 @@ def classes_of(words: pa.Array, own: pa.Array) -> np.ndarray:
     return np.where(length == 0, 0, np.where(found >= 0, found + 1, by_suffix))
 
 
+def hashes_of(words: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(words))
+
+
+def levels_of(n_words: int) -> int:
+    """Levels of the tree, the classes being the first: its last groups hold `GROUP_WORDS` words on average at most."""
+    levels = 2
+    while levels < MOST_LEVELS and SUFFIX_CLASSES * GROUPS ** (levels - 1) * GROUP_WORDS < n_words:
+        levels += 1
+    return levels
+
+
+@dataclass
+class Tree:
+    """What a word's outcomes are: a slot is CLASSES x node + outcome, the root being node 0."""
+
+    levels: int
+    own: pa.Array  # words with an outcome of their own, those of the root first
+    level: np.ndarray  # of each
+    outcome: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        """The first node of each level; behind them, the number of nodes."""
+        return np.cumsum([0, 1, *(SUFFIX_CLASSES * GROUPS**k for k in range(self.levels - 1))])
+
+    def slots(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """By level, the slot of each word there, or -1 below an outcome of its own."""
+        found = pc.fill_null(pc.index_in(words, value_set=self.own), -1).to_numpy()
+        level, outcome = np.append(self.level, self.levels)[found], np.append(self.outcome, 0)[found]
+        classes = classes_of(words, self.own[:OWN_CLASS])
+        slots = np.full((self.levels, len(words)), -1, dtype=np.int64)
+        slots[0] = classes
+        at = np.flatnonzero(classes > OWN_CLASS)
+        within = classes[at] - 1 - OWN_CLASS  # number of the node in its level
+        for k in range(1, self.levels):
+            group = (hashes[at] >> np.uint64(3 * k) & np.uint64(GROUPS - 1)).astype(np.int64)
+            here = (found[at] >= 0) & (level[at] == k)
+            slots[k, at] = CLASSES * (self.first[k] + within) + np.where(here, outcome[at], OWN_WORDS + group)
+            at, within = at[~here], (within * GROUPS + group)[~here]
+        return slots
+
+
+def tree_of(frequent: pa.Array, n_words: int) -> Tree:
+    """`frequent` from the most frequent word down: each takes an outcome of its own as high up as one is free."""
+    levels = levels_of(n_words)
+    bare = Tree(levels, frequent[:OWN_CLASS], np.zeros(len(frequent[:OWN_CLASS]), dtype=np.int64), np.arange(1, 1 + len(frequent[:OWN_CLASS])))
+    nodes = bare.slots(frequent, hashes_of(frequent)) // CLASSES
+    taken: dict[int, int] = {}
+    places = [(w, 0, 1 + w) for w in range(len(bare.own))]
+    for w, path in enumerate(nodes.T[len(bare.own) :].tolist(), len(bare.own)):
+        for k in range(1, levels):
+            used = taken.get(path[k], 0)
+            if used < OWN_WORDS:
+                taken[path[k]] = used + 1
+                places.append((w, k, used))
+                break
+    which, level, outcome = np.array(places, dtype=np.int64).reshape(-1, 3).T
+    return Tree(levels, frequent.take(pa.array(which)), level, outcome)
+
+
+def masses_of(tree: Tree, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By slot: the bias, and log10 of the counts plus one of the words that divide it by counts.
+
+    `leaves` holds these sums without the one unknown word in each last group, which counts less in the biases: all
+    unknown words of a class as much as one.
+    """
+    first, shape = tree.first, (int(tree.first[-1]), CLASSES)
+    last = np.zeros(shape)
+    last[first[-2] :, OWN_WORDS:] = 1
+    log_mass = np.log10(np.maximum(leaves.reshape(shape) + last, 1))
+    mass = leaves.reshape(shape) + last / GROUPS ** (tree.levels - 1)
+    for k in range(tree.levels - 1, 0, -1):
+        inner = mass[first[k] : first[k + 1]].sum(axis=1)
+        if k == 1:
+            mass[0, 1 + OWN_CLASS :] = inner
+        else:
+            mass[first[k - 1] : first[k], OWN_WORDS:] = inner.reshape(-1, GROUPS)
+    with np.errstate(divide="ignore"):
+        bias = np.maximum(np.log(mass / mass.sum(axis=1, keepdims=True)), EMPTY)
+    return bias.astype(np.float32), log_mass.reshape(-1)
+
+
 def past_rows(n_words: int, per_root: int = 8) -> int:
     """Rows for the word before, as many for the one two before, half of all are the pairs': a power of two, at least
-    `per_root` times the root of the vocabulary. The end of the range, 128 MB of weights, stands for a billion words.
+    `per_root` times the root of the vocabulary. As many rows again are those within classes. The end of the range,
+    256 MB of weights, stands for a billion words.
     """
     wanted = per_root * math.isqrt(max(n_words, 1))
     return min(max(1 << (wanted - 1).bit_length(), LEAST_PAST), MOST_PAST)
 
 
-def features_of(tokens: Tokens, past: int) -> np.ndarray:
-    """Three rows of the weight table per token: the word before, the one two before, the pair."""
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in tokens.words.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(tokens.words))
+def contexts_of(tokens: Tokens, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes per token: the word before, the one two before, the pair."""
     by_token = hashes[tokens.code]
     one, two = np.empty_like(by_token), np.empty_like(by_token)
     one[1:], two[2:] = by_token[:-1], by_token[:-2]
@@ -99,13 +190,41 @@ def features_of(tokens: Tokens, past: int) -> np.ndarray:
     two[tokens.first] = START_HASH
     second = tokens.first + 1
     two[second[second < len(two)]] = START_HASH
-    pair = (one * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (two >> np.uint64(3))
+    return one, two, (one * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (two >> np.uint64(3))
+
+
+def rows_of(contexts: tuple[np.ndarray, np.ndarray, np.ndarray], past: int) -> np.ndarray:
+    one, two, pair = contexts
     size = np.uint64(past)
     return np.stack([
         one % size, size + (two >> np.uint64(7)) % size, np.uint64(2 * past) + (pair >> np.uint64(11)) % np.uint64(2 * past),
     ]).astype(np.int64)
 
 
+def features_of(tokens: Tokens, past: int) -> np.ndarray:
+    """Three rows of the weight table per token: the word before, the one two before, the pair."""
+    return rows_of(contexts_of(tokens, hashes_of(tokens.words)), past)
+
+
+def inner_features(contexts: tuple[np.ndarray, np.ndarray, np.ndarray], slots: np.ndarray, code: np.ndarray, past: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every token and level within its class: the token, its slot, and three rows of the table's second half."""
+    at, met = [], []
+    for level in slots[1:]:
+        slot = level[code]
+        inside = np.flatnonzero(slot >= 0)
+        at.append(inside)
+        met.append(slot[inside])
+    at, met = np.concatenate(at), np.concatenate(met)
+    salt = (met // CLASSES).astype(np.uint64) * START_HASH
+    bits, rows = past.bit_length() - 1, np.empty((3, len(at)), dtype=np.int64)
+    for k, (context, more) in enumerate(zip(contexts, (0, 0, 1), strict=True)):
+        mixed = (context[at] ^ salt) * np.uint64(0x9FB21C651E98DF25)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
+        rows[k] = (mixed >> np.uint64(64 - bits - more)).astype(np.int64) + (4 + k) * past
+    return at, met, rows
+
+
 def across(combine: np.ufunc, values: np.ndarray) -> np.ndarray:
     """A column of each row's values combined, by halves: numpy's own reductions of short rows take several times as long."""
     while values.shape[1] > 1:
@@ -124,6 +243,13 @@ def logits_of(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.nda
     return logits
 
 
+def bias_at(bias: np.ndarray, node: np.ndarray | None, at: int) -> np.ndarray:
+    """The bias of a batch that starts at a place: that of its nodes, without any that of the root."""
+    if node is None:
+        return bias if bias.ndim == 1 else bias[0]
+    return bias.take(node[at : at + BATCH], axis=0)
+
+
 def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     logits = logits_of(weights, bias, rows)
     logits -= np.log(across(np.add, np.exp(logits)))
@@ -149,7 +275,7 @@ def sums_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Trainer:
-    """AdaGrad over sparse batches, from zero weights."""
+    """AdaGrad over sparse batches, from zero weights. `bias` is that of all tokens, or by node."""
 
     def __init__(self, bias: np.ndarray, rows: int):
         self.bias = bias
@@ -157,10 +283,10 @@ class Trainer:
         self.squares = np.full((rows, CLASSES), 1e-2, dtype=np.float32)
         self.seen = np.zeros(rows)  # how often each row was met
 
-    def learn(self, rows: np.ndarray, label: np.ndarray) -> None:
+    def learn(self, rows: np.ndarray, label: np.ndarray, node: np.ndarray | None = None) -> None:
         for at in range(0, len(label), BATCH):
             some, y = rows[:, at : at + BATCH], label[at : at + BATCH]
-            error = logits_of(self.weights, self.bias, some)
+            error = logits_of(self.weights, bias_at(self.bias, node, at), some)
             np.exp(error, out=error)
             error /= across(np.add, error)
             error[np.arange(len(y)), y] -= 1
@@ -189,13 +315,15 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class Model:
-    """What tasks get: bounded by `most_frequent`, the classes and the tables, which have 4 x `MOST_PAST` rows at most."""
+    """What tasks get: bounded by `most_frequent`, the classes and the tables, which have 8 x `MOST_PAST` rows at most."""
 
     frequent: pa.Array
     frequent_n: np.ndarray
     own: pa.Array
-    log_mass: np.ndarray  # log10 of the counts plus one in each class
-    bias: np.ndarray
+    tree: Tree
+    log_mass: np.ndarray  # by slot, log10 of the counts plus one
+    bias: np.ndarray  # of the classes
+    inner_bias: np.ndarray  # by node
     weights: np.ndarray
     past: int  # rows of the word before
     n_tokens: int
@@ -216,28 +344,38 @@ def learn(docs: DataFrame, trained: Column, text_col: str = "text", most_frequen
     frequent, frequent_n = pa.array([r[0] for r in top], pa.string()), np.array([r[1] for r in top], dtype=np.int64)
     own = frequent[:OWN_CLASS]
 
-    def class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass = np.zeros(CLASSES, dtype=np.int64)
-        for batch in batches:
-            mass += np.bincount(classes_of(batch.column("word"), own), weights=batch.column("n").to_numpy() + 1, minlength=CLASSES).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(mass)], ["class", "mass"])
+    tree = tree_of(frequent, n_words)
+    n_slots = int(tree.first[-1]) * CLASSES
 
-    mass = np.zeros(CLASSES)
-    mass[1 + OWN_CLASS :] = 1  # one unknown word in each class that takes unknown words
-    for k, n in counts.mapInArrow(class_sums, "class long, mass long").groupBy("class").agg(F.sum("mass")).collect():
-        mass[k] += n
-    mass = np.maximum(mass, 1)
-    bias = np.log(mass / mass.sum()).astype(np.float32)
+    def slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass = np.zeros(n_slots, dtype=np.int64)
+        for batch in batches:
+            words = batch.column("word")
+            slots = tree.slots(words, hashes_of(words))
+            leaf = slots[(slots >= 0).sum(axis=0) - 1, np.arange(len(words))]
+            mass += np.bincount(leaf, weights=batch.column("n").to_numpy() + 1, minlength=n_slots).astype(np.int64)
+        slot = np.flatnonzero(mass)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(mass[slot])], ["slot", "mass"])
+
+    leaves = np.zeros(n_slots)
+    for k, n in counts.mapInArrow(slot_sums, "slot long, mass long").groupBy("slot").agg(F.sum("mass")).collect():
+        leaves[k] = n
+    inner_bias, log_mass = masses_of(tree, leaves)
+    bias = inner_bias[0]
 
     past = past_rows(n_words)
-    rows = 4 * past
+    rows = 8 * past
     shape = (rows // BLOCKS, CLASSES)
 
     def train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(bias, rows)
+        trainer = Trainer(inner_bias, rows)
         for batch in slices(batches):
             tokens = tokens_of(batch.column("text"))
-            trainer.learn(features_of(tokens, past), classes_of(tokens.words, own)[tokens.code])
+            hashes = hashes_of(tokens.words)
+            slots, contexts = tree.slots(tokens.words, hashes), contexts_of(tokens, hashes)
+            trainer.learn(rows_of(contexts, past), slots[0][tokens.code])
+            _, slot, inner = inner_features(contexts, slots, tokens.code, past)
+            trainer.learn(inner, slot % CLASSES, slot // CLASSES)
         if trainer.seen.any():
             parts = zip(np.split(trainer.seen, BLOCKS), np.split(trainer.weights, BLOCKS), strict=True)
             seen, weights = zip(*((n.tobytes(), w.tobytes()) for n, w in parts), strict=True)
@@ -264,18 +402,28 @@ def learn(docs: DataFrame, trained: Column, text_col: str = "text", most_frequen
     weights = np.zeros((BLOCKS, *shape), dtype=np.float32)
     for block, w in merged:
         weights[block] = np.frombuffer(w, dtype=np.float32).reshape(shape)
-    return Model(frequent, frequent_n, own, np.log10(mass), bias, weights.reshape(rows, CLASSES), past, n_tokens, n_words), counts
+    return Model(frequent, frequent_n, own, tree, log_mass, bias, inner_bias, weights.reshape(rows, CLASSES), past, n_tokens, n_words), counts
 
 
 def class_scores(model: Model, tokens: Tokens) -> np.ndarray:
-    """Per document: the sum of log10 of the class's probability over the mass of the class."""
-    label = classes_of(tokens.words, model.own)[tokens.code]
-    rows = features_of(tokens, model.past)
-    found = np.empty(len(label))
-    for at in range(0, len(label), BATCH):
-        y = label[at : at + BATCH]
-        found[at : at + BATCH] = log_softmax(model.weights, model.bias, rows[:, at : at + BATCH])[np.arange(len(y)), y]
-    return np.add.reduceat(found / math.log(10) - model.log_mass[label], tokens.first)
+    """Per document: the sum of log10 of the probabilities of the token's class and of its outcomes within it, over the
+    mass of the last.
+    """
+    hashes = hashes_of(tokens.words)
+    slots, contexts = model.tree.slots(tokens.words, hashes), contexts_of(tokens, hashes)
+
+    def found(rows: np.ndarray, label: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+        log_p = np.empty(len(label))
+        for at in range(0, len(label), BATCH):
+            y = label[at : at + BATCH]
+            log_p[at : at + BATCH] = log_softmax(model.weights, bias_at(model.inner_bias, node, at), rows[:, at : at + BATCH])[np.arange(len(y)), y]
+        return log_p
+
+    log_p = found(rows_of(contexts, model.past), slots[0][tokens.code])
+    at, slot, inner = inner_features(contexts, slots, tokens.code, model.past)
+    log_p += np.bincount(at, weights=found(inner, slot % CLASSES, slot // CLASSES), minlength=len(log_p))
+    leaf = slots[(slots >= 0).sum(axis=0) - 1, np.arange(len(tokens.words))]
+    return np.add.reduceat(log_p / math.log(10) - model.log_mass[leaf][tokens.code], tokens.first)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:

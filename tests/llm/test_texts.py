@@ -383,6 +383,69 @@ def test_op4_base_and_model(spark, corpus):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_context_tells_the_words_of_a_class_apart(spark, monkeypatch):
+    """Two words as frequent as each other that end alike: which comes is told by the word before, at any level."""
+    common = " ".join(f"w{i}" for i in range(maxent.OWN_CLASS))
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(i, f"red kaab {common} blue maab {common} " * 200) for i in range(30)], schema).coalesce(1)
+    asked = spark.createDataFrame([(0, "red kaab"), (1, "red maab"), (2, "blue kaab"), (3, "blue maab")], schema)
+    for own_words in (maxent.OWN_WORDS, 0):
+        monkeypatch.setattr(maxent, "levels_of", lambda n: 3)
+        if not own_words:
+            monkeypatch.setattr(maxent, "tree_of", lambda frequent, n: maxent.Tree(3, frequent[:15], np.zeros(15, int), np.arange(1, 16)))
+        model, counts = maxent.learn(docs, F.lit(True))
+        found = {r.doc_id: r.score for r in maxent.score(asked, model, counts, ["doc_id"]).collect()}
+        assert found[0] > found[1] + 1 and found[3] > found[2] + 1
+
+
+def test_class_scores_against_plain_loops(documents, odd, monkeypatch):
+    """The factors multiplied token by token, and the words of the tree share all of the probability."""
+    monkeypatch.setattr(maxent, "levels_of", lambda n: 3)
+    many = [" ".join(f"{k}ab" for k in range(60)), " ".join(f"{k}xy" for k in range(40)) * 2]
+    model, counts = maxent.learn(documents(*odd, *many), F.lit(True), most_frequent=50)
+    n_of, tree = {r.word: r.n for r in counts.collect()}, model.tree
+    texts = pa.array(["the cat 3ab 59ab unseen", "", "7xy 7xy 1ab"])
+    tokens = maxent.tokens_of(texts)
+    hashes = maxent.hashes_of(tokens.words)
+    slots, contexts = tree.slots(tokens.words, hashes), maxent.contexts_of(tokens, hashes)
+    at, slot, inner = maxent.inner_features(contexts, slots, tokens.code, model.past)
+    rows = maxent.features_of(tokens, model.past)
+
+    def log_p(bias, three, label):
+        logits = [math.fsum([bias[c], *(model.weights[r, c] for r in three)]) for c in range(maxent.CLASSES)]
+        return logits[label] - max(logits) - math.log(math.fsum(math.exp(x - max(logits)) for x in logits))
+
+    plain, last = [0.0] * len(tokens.code), {}
+    for t, code in enumerate(tokens.code):
+        plain[t] += log_p(model.bias, rows[:, t], slots[0, code])
+        last[t] = slots[0, code]
+    for i, t in enumerate(at):
+        plain[t] += log_p(model.inner_bias[slot[i] // maxent.CLASSES], inner[:, i], slot[i] % maxent.CLASSES)
+        last[t] = slot[i]
+    per_token = [p / math.log(10) - model.log_mass[last[t]] for t, p in enumerate(plain)]
+    assert np.allclose(maxent.class_scores(model, tokens), [sum(per_token[a:b]) for a, b in zip(tokens.first, [*tokens.first[1:], len(plain)], strict=True)], atol=1e-3)
+    assert set(at) == {t for t, code in enumerate(tokens.code) if slots[0, code] > maxent.OWN_CLASS} and len(at) > 4
+
+    words = pa.array(list(n_of), pa.string())
+    paths = tree.slots(words, maxent.hashes_of(words))
+    logits = model.inner_bias + np.random.default_rng(3).normal(size=model.inner_bias.shape)
+    p = np.exp(logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))).reshape(-1)
+    mass, total = 10**model.log_mass, 0.0
+    reach = np.ones(len(model.inner_bias))  # of each node
+    for k in range(1, tree.levels):
+        for node in range(maxent.SUFFIX_CLASSES * maxent.GROUPS ** (k - 1)):
+            up = 1 + maxent.OWN_CLASS + node if k == 1 else (
+                maxent.CLASSES * (tree.first[k - 1] + node // maxent.GROUPS) + maxent.OWN_WORDS + node % maxent.GROUPS)
+            reach[tree.first[k] + node] = reach[up // maxent.CLASSES] * p[up]
+    for w, path in zip(words.to_pylist(), paths.T, strict=True):
+        end = path[path >= 0][-1]
+        total += reach[end // maxent.CLASSES] * p[end] * (n_of[w] + 1) / mass[end]
+    for node in range(tree.first[-2], tree.first[-1]):  # an unknown word in each last group
+        for group in range(maxent.OWN_WORDS, maxent.CLASSES):
+            total += reach[node] * p[node * maxent.CLASSES + group] / mass[node * maxent.CLASSES + group]
+    assert math.isclose(total, 1, abs_tol=1e-5)
+
+
 def test_class_probabilities_sum_to_one(documents, odd):
     docs = documents(*odd)
     model, counts = maxent.learn(docs, F.lit(True), most_frequent=2)
