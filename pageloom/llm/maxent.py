@@ -11,10 +11,10 @@ the most frequent words left are outcomes of their own, the others are dealt to
 the nodes of the next level. The tree deepens with the vocabulary. Words that share one of its last groups divide the
 group's probability by their counts.
 
-Every task runs one pass of AdaGrad over its rows. The model's weights are those of the tasks, each row averaged by how
-often the tasks met it, so that what few tasks saw counts in full however many there are. Tokens are counted over the
-whole corpus, and rows meet the counts of their rarer words in a join: only a fixed number of the most frequent words,
-the class sums and the weight tables are sent to the tasks.
+Every task runs one pass of AdaGrad over its rows, with one rate for each row of the weights. The model's weights are
+those of the tasks, each row averaged by how often the tasks met it, so that what few tasks saw counts in full however
+many there are. Tokens are counted over the whole corpus, and rows meet the counts of their rarer words in a join: only
+a fixed number of the most frequent words, the class sums and the weight tables are sent to the tasks.
 """
 
 from __future__ import annotations
@@ -41,7 +41,11 @@ MOST_LEVELS, GROUP_WORDS = 6, 1 << 10
 EMPTY = -30.0  # bias of an outcome that stands for no word
 LEAST_PAST, MOST_PAST = 1 << 10, 1 << 18
 BLOCKS = 64
-RATE, BATCH = 0.1, 1 << 13
+RATE, FIRST_SQUARES, BATCH = 0.6, 0.1, 1 << 13
+ONES, LEAST_SUM = np.ones(CLASSES, dtype=np.float32), 1e-30
+LAYERS = 8  # so often a row's values are added one by one
+LONG = 64  # bytes of a word
+SLICE = 1 << 20  # bytes of text whose features a worker holds at a time
 START_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,7 +94,38 @@ def classes_of(words: pa.Array, own: pa.Array) -> np.ndarray:
 
 
 def hashes_of(words: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(words))
+    """64 bits of each word, eight bytes at a time of all words at once; words of more than `LONG` bytes are hashed alone."""
+    raw = words.cast(pa.large_binary())
+    if not len(raw):
+        return np.empty(0, dtype=np.uint64)
+    _, offsets, data = raw.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    base, length = ends[0], np.diff(ends)
+    padded = np.concatenate([np.frombuffer(data or b"", dtype=np.uint8)[base : ends[-1]], np.zeros(8, dtype=np.uint8)])
+    eights = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))  # those that start at each byte
+    found = length.astype(np.uint64) * START_HASH
+    at = np.flatnonzero((length > 0) & (length <= LONG))
+    for k in range(0, LONG, 8):
+        left = length[at] - k
+        part = eights[ends[at] - base + k]
+        part &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * np.maximum(8 - left, 0)).astype(np.uint64)
+        found[at] = mixed(found[at] ^ part)
+        at = at[left > 8]
+        if not len(at):
+            break
+    for k in np.flatnonzero(length > LONG).tolist():
+        found[k] = xxhash.xxh64_intdigest(raw[k].as_py())
+    return mixed(found)
+
+
+def mixed(bits: np.ndarray) -> np.ndarray:
+    """Every bit depends on all bits; one to one."""
+    bits = bits ^ bits >> np.uint64(32)
+    bits *= np.uint64(0x9FB21C651E98DF25)
+    bits ^= bits >> np.uint64(29)
+    bits *= np.uint64(0xC2B2AE3D27D4EB4F)
+    bits ^= bits >> np.uint64(32)
+    return bits
 
 
 def levels_of(n_words: int) -> int:
@@ -257,48 +292,87 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
 
 
 def sums_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct rows, how often each stands in `rows`, and the sums of the values that stand with it."""
+    """The distinct rows, how often each stands in `rows`, and the sums of the values that stand with it.
+
+    `rows` may hold several runs as long as `values`, which then stand with each of them.
+    """
     n = len(rows)
     bits = max(n - 1, 1).bit_length()
-    packed = rows << bits | np.arange(n)
+    packed = rows << bits
+    packed |= np.arange(n)
     packed.sort()  # by row and place; sorting numbers is faster than sorting places by their numbers
-    ordered, order = packed >> bits, packed & ((1 << bits) - 1)
+    ordered, order = packed >> bits, (packed & ((1 << bits) - 1)) % max(len(values), 1)
     start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     times = np.diff(np.append(start, n))
     sums = values.take(order[start], axis=0)
-    several = times > 1  # most rows stand there once and need no sum
-    if several.any():
-        among = np.repeat(several, times)
-        first = np.cumsum(times[several]) - times[several]
-        sums[several] = np.add.reduceat(values.take(order[among], axis=0), first, axis=0)
+    several = np.flatnonzero(times > 1)  # most rows stand there once and need no sum
+    if len(several):
+        several = several[np.argsort(-times[several], kind="stable")]
+        begin, left = start[several], times[several]
+        own = sums.take(several, axis=0)
+        for k in range(1, LAYERS):
+            m = int(np.searchsorted(-left, -k, side="left"))  # the k-th next of all rows that have one
+            if not m:
+                break
+            own[:m] += values.take(order[begin[:m] + k], axis=0)
+        m = int(np.searchsorted(-left, -LAYERS, side="left"))
+        if m:
+            rest = left[:m] - LAYERS
+            first = np.cumsum(rest) - rest
+            among = np.arange(int(rest.sum())) + np.repeat(begin[:m] + LAYERS - first, rest)
+            own[:m] += np.add.reduceat(values.take(order[among], axis=0), first, axis=0)
+        put(sums, several, own)
     return ordered[start], times, sums
 
 
+def put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """`table[rows] = values`, each row moved as one item, which takes half the time."""
+    item = np.dtype((np.void, table.strides[0]))
+    table.view(item)[:, 0][rows] = values.view(item)[:, 0]
+
+
+def shares_of(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By class, each row's exponentials, their sums, and the logits of the labels, all up to a factor of the row.
+
+    The largest logit is taken off only in a batch where exponentials without that leave the range: it costs as much as
+    the sums.
+    """
+    at = np.arange(len(label)), label
+    logits = weights.take(rows[0], axis=0)
+    logits += weights.take(rows[1], axis=0)
+    logits += weights.take(rows[2], axis=0)
+    logits += bias
+    found = logits[at]
+    with np.errstate(over="ignore"):
+        sums = np.exp(logits, out=logits) @ ONES
+    if len(sums) and not LEAST_SUM < sums.min() <= sums.max() < 1 / LEAST_SUM:
+        logits = logits_of(weights, bias, rows)
+        found = logits[at]
+        sums = np.exp(logits, out=logits) @ ONES
+    return logits, sums, found
+
+
 class Trainer:
-    """AdaGrad over sparse batches, from zero weights. `bias` is that of all tokens, or by node."""
+    """AdaGrad over sparse batches, from zero weights, with one rate for each row. `bias` is that of all tokens, or by node."""
 
     def __init__(self, bias: np.ndarray, rows: int):
         self.bias = bias
         self.weights = np.zeros((rows, CLASSES), dtype=np.float32)
-        self.squares = np.full((rows, CLASSES), 1e-2, dtype=np.float32)
+        self.squares = np.full(rows, FIRST_SQUARES, dtype=np.float32)  # of whole rows
         self.seen = np.zeros(rows)  # how often each row was met
 
     def learn(self, rows: np.ndarray, label: np.ndarray, node: np.ndarray | None = None) -> None:
         for at in range(0, len(label), BATCH):
             some, y = rows[:, at : at + BATCH], label[at : at + BATCH]
-            error = logits_of(self.weights, bias_at(self.bias, node, at), some)
-            np.exp(error, out=error)
-            error /= across(np.add, error)
+            error, sums, _ = shares_of(self.weights, bias_at(self.bias, node, at), some, y)
+            error *= (1 / sums)[:, None]
             error[np.arange(len(y)), y] -= 1
-            for row in some:
-                which, times, gradient = sums_by_row(row, error)
-                self.seen[which] += times
-                squares = self.squares.take(which, axis=0)
-                squares += gradient * gradient
-                self.squares[which] = squares
-                gradient *= RATE
-                gradient /= np.sqrt(squares, out=squares)
-                self.weights[which] = self.weights.take(which, axis=0) - gradient
+            which, times, gradient = sums_by_row(some.ravel(), error)
+            self.seen[which] += times
+            squares = self.squares[which] + (gradient * gradient) @ ONES
+            self.squares[which] = squares
+            gradient *= (RATE / np.sqrt(squares))[:, None]
+            put(self.weights, which, self.weights.take(which, axis=0) - gradient)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -369,35 +443,37 @@ def learn(docs: DataFrame, trained: Column, text_col: str = "text", most_frequen
 
     def train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(inner_bias, rows)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             tokens = tokens_of(batch.column("text"))
             hashes = hashes_of(tokens.words)
             slots, contexts = tree.slots(tokens.words, hashes), contexts_of(tokens, hashes)
             trainer.learn(rows_of(contexts, past), slots[0][tokens.code])
             _, slot, inner = inner_features(contexts, slots, tokens.code, past)
             trainer.learn(inner, slot % CLASSES, slot // CLASSES)
-        if trainer.seen.any():
-            parts = zip(np.split(trainer.seen, BLOCKS), np.split(trainer.weights, BLOCKS), strict=True)
-            seen, weights = zip(*((n.tobytes(), w.tobytes()) for n, w in parts), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(seen, pa.binary()), pa.array(weights, pa.binary())], ["block", "seen", "weights"])
+        # Only rows that were met, a block at a time: neither the worker nor the JVM holds the table once more.
+        for block, (seen, weights) in enumerate(zip(np.split(trainer.seen, BLOCKS), np.split(trainer.weights, BLOCKS), strict=True)):
+            met = np.flatnonzero(seen)
+            if len(met):
+                columns = [pa.array([x.tobytes()], pa.binary()) for x in (met.astype(np.int32), seen[met], weights[met])]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *columns], ["block", "met", "seen", "weights"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total, met = None, None, None
         done = []
         for batch in batches:
-            for b, n, w in zip(batch.column("block").to_pylist(), batch.column("seen"), batch.column("weights"), strict=True):
+            for b, *columns in zip(batch.column("block").to_pylist(), *batch.columns[1:], strict=True):
                 if b != block:
                     if block is not None:
                         done.append((block, (total / np.maximum(met, 1)).astype(np.float32).tobytes()))
                     block, total, met = b, np.zeros(shape), np.zeros((shape[0], 1))
-                times = np.frombuffer(n.as_buffer(), dtype=np.float64)[:, None]
-                total += np.frombuffer(w.as_buffer(), dtype=np.float32).reshape(shape) * times
-                met += times
+                row, times, w = (np.frombuffer(x.as_buffer(), dtype=t) for x, t in zip(columns, (np.int32, np.float64, np.float32), strict=True))
+                total[row] += w.reshape(-1, CLASSES) * times[:, None]
+                met[row, 0] += times
         if block is not None:
             done.append((block, (total / np.maximum(met, 1)).astype(np.float32).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in done], pa.int32()), pa.array([w for _, w in done], pa.binary())], ["block", "weights"])
 
-    parts = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(train_task, "block int, seen binary, weights binary")
+    parts = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(train_task, "block int, met binary, seen binary, weights binary")
     merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(average, "block int, weights binary").collect()
     weights = np.zeros((BLOCKS, *shape), dtype=np.float32)
     for block, w in merged:
@@ -416,7 +492,8 @@ def class_scores(model: Model, tokens: Tokens) -> np.ndarray:
         log_p = np.empty(len(label))
         for at in range(0, len(label), BATCH):
             y = label[at : at + BATCH]
-            log_p[at : at + BATCH] = log_softmax(model.weights, bias_at(model.inner_bias, node, at), rows[:, at : at + BATCH])[np.arange(len(y)), y]
+            _, sums, found = shares_of(model.weights, bias_at(model.inner_bias, node, at), rows[:, at : at + BATCH], y)
+            log_p[at : at + BATCH] = found - np.log(sums)
         return log_p
 
     log_p = found(rows_of(contexts, model.past), slots[0][tokens.code])
@@ -437,7 +514,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         n_of = np.append(model.frequent_n, 0)
-        for batch in slices(batches, text="_text"):
+        for batch in slices(batches, SLICE, "_text"):
             tokens = tokens_of(batch.column("_text"))
             at = pc.fill_null(pc.index_in(tokens.words, value_set=model.frequent), -1).to_numpy()
             doc, n_docs = tokens.doc, batch.num_rows

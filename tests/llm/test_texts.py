@@ -294,6 +294,41 @@ def test_op4_kernels_against_plain_loops(odd):
         assert maxent.classes_of(some, own).tolist() == plain
 
 
+def test_op4_learns_by_one_rate_a_row():
+    """Batches with rows that stand there once, often and with very large logits move the weights as plain loops do."""
+    rng = np.random.default_rng(3)
+    bias = rng.normal(size=(5, maxent.CLASSES)).astype(np.float32)
+    for n, size, scale in ((60, 400, 0), (300, 4, 1), (300, 30, 60)):
+        trainer = maxent.Trainer(bias, 3 * size)
+        trainer.weights += scale * rng.normal(size=trainer.weights.shape).astype(np.float32)
+        plain = trainer.weights.astype(float)
+        rows = rng.integers(0, size, (3, n)) + size * np.arange(3)[:, None]
+        label, node = rng.integers(0, maxent.CLASSES, n), rng.integers(0, 5, n)
+        gradient = np.zeros_like(plain)
+        for (a, b, c), y, k in zip(rows.T, label, node, strict=True):
+            logits = plain[a] + plain[b] + plain[c] + bias[k]
+            error = np.exp(logits - logits.max())
+            error /= error.sum()
+            error[y] -= 1
+            for row in (a, b, c):
+                gradient[row] += error
+        squares = maxent.FIRST_SQUARES + (gradient**2).sum(axis=1)
+        trainer.learn(rows, label, node)
+        assert trainer.squares.shape == (3 * size,) and np.allclose(trainer.squares, squares, rtol=1e-3)
+        assert np.allclose(trainer.weights, plain - maxent.RATE * gradient / np.sqrt(squares)[:, None], atol=1e-3)
+        assert np.array_equal(trainer.seen, np.bincount(rows.ravel(), minlength=3 * size))
+
+
+def test_hashes_of_words_depend_on_the_word_alone():
+    listed = ["", "a", "b", "aa", "a\0", "12345678", "123456789", "1234567x9", "é" * 20, "y" * 64, "x" * 65, "x" * 300, *(f"w{i}" for i in range(5000))]
+    words = pa.array(listed)
+    found = maxent.hashes_of(words)
+    assert len(set(found.tolist())) == len(listed) and found.dtype == np.uint64
+    assert [maxent.hashes_of(pa.array([w]))[0] for w in listed[:20]] == found[:20].tolist()
+    assert np.array_equal(maxent.hashes_of(words.slice(3, 12)), found[3:15]) and not len(maxent.hashes_of(words.slice(0, 0)))
+    assert all(abs((found[12:] >> np.uint64(bit) & np.uint64(1)).mean() - 0.5) < 0.05 for bit in range(64))
+
+
 def test_op10_base_places(spark, documents, odd):
     texts = [*odd, "Released under the MIT License. under the mit license", "Licensed under the Apache License, Version 2.0.", "CC BY-NC 4.0 cc-by-nc, xcc by nc",
              "Licensed under the GNU General Public License, version 3", "free software: Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"]
